@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import sys
 import uuid
-from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,14 +72,6 @@ def join_back(rows: DataFrame, verdicts: DataFrame, key: str, weight: str, sprea
     cold = verdicts.select(F.col(key).alias("_ck"), F.struct(*payload).alias("_cold"))
     dealt = rows.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key)))
     joined = dealt.join(cold, F.col("_k") == F.col("_ck"), "left")
-    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in payload])
+    known = F.col(key).isNotNull()
+    return joined.select(*rows.columns, *[F.when(known, F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}"))).alias(c) for c in payload])
 
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` without a barrier; the function gets and yields record batches."""
-    return df.mapInArrow(function, schema)
-
-
-def base_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns cannot clash with those an operator adds."""
-    return df.select(*names)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.bpe import bpe_encode
 from vellum.llm.exact_dedup import exact_dedup
+from vellum.llm.simhash import simhash_groups
 from vellum.session import table
 
 
@@ -22,5 +24,22 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the public 50k byte-level vocabulary, and the round trip."""
+    import public_tokenizers
+
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
