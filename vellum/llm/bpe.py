@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from vellum.llm.common import ship
 
 #: Characters of text a chunk holds before its words are encoded (a longer text is a chunk of its own).
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Pieces of text whose tokens a task remembers from chunk to chunk; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 class Vocabulary:
@@ -139,23 +140,9 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     return ids
 
 
-def _pieces(text: str) -> list[str]:
-    """The text cut before single spaces that stand between other characters.
-
-    No match of the split pattern crosses such a cut, so a piece may be encoded by itself.
-    """
-    parts = text.split(" ")
-    if "" not in parts and text.isprintable():
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    pieces, now = [], parts[0]
-    for part in parts[1:]:
-        if part and not part[0].isspace() and now and not now[-1].isspace():
-            pieces.append(now)
-            now = " " + part
-        else:
-            now += " " + part
-    pieces.append(now)
-    return pieces
+#: Before a single space that stands between other characters. No match of the split
+#: pattern crosses such a place, so what lies between two of them is encoded by itself.
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Encoder:
@@ -179,7 +166,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as bytes, in order."""
-        cut = [_pieces(t) for t in texts]
+        cut = [CUT.split(t) for t in texts]
         new = {p for pieces in cut for p in pieces} - self.known.keys()
         if new:
             met = {p for pieces in cut for p in pieces} if len(self.known) + len(new) > REMEMBERED else new
