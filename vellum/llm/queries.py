@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from vellum.llm.bpe import bpe_encode
 from vellum.llm.exact_dedup import exact_dedup
+from vellum.llm.hnsw import nearest
+from vellum.llm.langid import held_out, identify, train
+from vellum.llm.mixing import mix
+from vellum.llm.pii import pii_report
+from vellum.llm.secrets import secret_report
 from vellum.llm.simhash import simhash_groups
 from vellum.session import table
 
@@ -25,6 +30,38 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def language_model(docs: DataFrame):
+    """Fitted on a bounded sample of the labelled rows outside the held-out fold."""
+    return train(docs, ~held_out(F.col("doc_id")))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; lang, source and doc_id are no inputs of a prediction."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3, ... of their sources, three epochs at most."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, scanned once per distinct blob against an empty ledger."""
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all embeddings for every hundredth id."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(table(spark, sf_dir, "documents"))
@@ -38,6 +75,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
+    "op4_secrets": op4_secrets,
+    "op6_pii": op6_pii,
+    "op7_hnsw": op7_hnsw,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
