@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.llm.bpe import bpe_encode
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.hnsw import nearest
+from vellum.llm.html import extract
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.pii import pii_report
@@ -52,6 +53,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii_report(table(spark, sf_dir, "documents"))
@@ -78,6 +84,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
+    "op5_html": op5_html,
     "op6_pii": op6_pii,
     "op7_hnsw": op7_hnsw,
     "op8_byte_bpe": op8_byte_bpe,
