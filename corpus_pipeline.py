@@ -1,4 +1,71 @@
-"""The corpus pipeline; its stages follow in later commits."""
+"""Corpus pipeline over ``documents``: language ID, exact dedup, SimHash near-dedup, mixing, BPE encoding.
 
-STAGES: list = []
+Every stage is (spark, docs, sf_dir) -> DataFrame. It works on all rows that the stage
+before it kept; each result is written as Parquet and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.llm.bpe import bpe_encode
+from vellum.llm.common import store
+from vellum.llm.exact_dedup import exact_dedup
+from vellum.llm.langid import held_out, identify, train
+from vellum.llm.mixing import mix
+from vellum.llm.simhash import simhash_groups
+
+
+def _rows_of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id the verdicts (doc_id, repeats) name, each repeated as often as they say."""
+    wanted = verdicts.groupBy("doc_id").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language the classifier does not reject; all columns pass through."""
+    model = train(docs, ~held_out(F.col("doc_id")))
+    return identify(docs, model, keep=tuple(docs.columns), only_accepted=True)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keep the row with the largest doc_id."""
+    first = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0, F.lit(False))
+    kept = exact_dedup(docs, first).filter("kept")
+    return _rows_of(docs, kept.select("doc_id", F.lit(1).alias("repeats")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints, keep the one with the smallest doc_id."""
+    groups = simhash_groups(docs)
+    return _rows_of(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.lit(1).alias("repeats")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources meet their target weights."""
+    taken = store(mix(docs).select("doc_id", "repeats"), "taken")
+    return _rows_of(docs, taken.filter("repeats > 0"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the digest of their round trip."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("encoding", encoding)]
+
+#: No SQL can train and apply the classifier, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vellum.llm.bpe import bpe_encode
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.hnsw import nearest
@@ -90,5 +91,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op10_exact_dedup": OP10_SQL}
