@@ -1,16 +1,19 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Distinct fingerprints are sorted by Gray rank (their place in the reflected binary
+Two fingerprints that differ in two bits agree on one of three blocks of their bits.
+The index is therefore kept in three turns, each rotated so that another block leads.
+In a turn, fingerprints are sorted by Gray rank (their place in the reflected binary
 code, in which neighbours differ in one bit) and cut into shards of neighbours. In a
-shard, runs of FANOUT neighbours form a node that holds the bits they all share
-(mask and pattern); nodes form nodes again up to one root. Each node keeps only the
-shared bits that its parent lacks, so the differences of a probe add up on the way
-down, and a node whose sum passes the limit is dropped with everything below it.
-
-The roots of the shards (24 bytes each, MAX_SHARDS at most) are the leaves of one more
-such tree, by which probes are routed: a fingerprint is sent to its own shard and to
-the later ones that its differences do not rule out. Shards return spanning links of
-what they find, from which components are computed.
+shard, runs of FANOUT neighbours form a node that holds the bits they all share (mask
+and pattern); nodes form nodes again up to one root. Each node keeps only the shared
+bits that its parent lacks, so the differences of a probe add up on the way down, and
+a node whose sum passes the limit is dropped with everything below it.
+
+A fingerprint is sent to its own shard. Where those that share its leading block reach
+into later shards, as a very common block does, it is sent on to the ones that their
+roots do not rule out: the roots (24 bytes each, 3 * MAX_SHARDS at most) are the leaves
+of one more such tree. Shards return spanning links of what they find, from which
+components are computed.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from vellum.llm.components import connected_components
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
-#: Distinct fingerprints a shard holds on average, and the most shards (their roots are sent to every task).
+#: Rotation to the left of each turn and bits of the block that then leads.
+TURNS = ((0, 22), (22, 21), (43, 21))
+#: Distinct fingerprints a shard holds on average, and the most shards of a turn (their roots are sent to every task).
 SHARD_FINGERPRINTS = 8_192
 MAX_SHARDS = 65_536
 FANOUT = 16
@@ -72,6 +77,10 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
+def rotated(values: np.ndarray, left: int) -> np.ndarray:
+    return values if left % 64 == 0 else (values << np.uint64(left)) | (values >> np.uint64(64 - left))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x.as_py() or b"") for x in batch.column(1)], np.uint64)
@@ -127,11 +136,12 @@ def _unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _links(table: pa.Table) -> pa.Table:
     """Spanning links among a shard's fingerprints and the probes routed to it."""
-    values = np.asarray(table["fp"]).view(np.uint64)
+    values = np.asarray(table["value"]).view(np.uint64)
     own = np.asarray(table["own"].combine_chunks().cast(pa.int8())).astype(bool)
     index = values[own][np.argsort(gray_rank(values[own]), kind="stable")]
     if not len(index):
         return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    back = 64 - TURNS[table["shard"][0].as_py() // MAX_SHARDS][0]
     probes = np.concatenate([index, values[~own]])
     tree = GrayTree(index, np.full(len(index), ~np.uint64(0)))
     labels = np.arange(len(probes))
@@ -141,7 +151,43 @@ def _links(table: pa.Table) -> pa.Table:
         new = leaf < probe  # a pair of the shard's own comes twice
         labels = _unite(labels, probe[new], leaf[new])
     linked = np.nonzero(labels != np.arange(len(labels)))[0]
-    return pa.table({"u": probes[linked].view(np.int64), "v": probes[labels[linked]].view(np.int64)})
+    return pa.table({"u": rotated(probes[linked], back).view(np.int64), "v": rotated(probes[labels[linked]], back).view(np.int64)})
+
+
+class Router:
+    """Cuts of the turns into shards, and the roots of the shards."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        self.cuts = cuts
+        self.trees: list[GrayTree | None] = [None] * len(TURNS)
+        self.numbers: list[np.ndarray] = [np.zeros(0, np.int64)] * len(TURNS)
+
+    @staticmethod
+    def place(values: np.ndarray) -> np.ndarray:
+        """Gray rank as a double, without the bits that a double cannot hold."""
+        return (gray_rank(values) >> np.uint64(11)).astype(np.float64)
+
+    def home(self, turn: int, values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts[turn], self.place(values), side="right")
+
+    def last(self, turn: int, values: np.ndarray) -> np.ndarray:
+        """The last shard in which a fingerprint with the same leading block can be."""
+        rest = (np.uint64(1) << np.uint64(64 - TURNS[turn][1])) - np.uint64(1)
+        return np.searchsorted(self.cuts[turn], ((gray_rank(values) | rest) >> np.uint64(11)).astype(np.float64), side="right")
+
+    def add_roots(self, turn: int, numbers: np.ndarray, every: np.ndarray, some: np.ndarray) -> None:
+        self.numbers[turn], self.trees[turn] = numbers, GrayTree(every, ~(every ^ some))
+
+    def beyond(self, turn: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in ``values``, later shard) that may hold links."""
+        home, last = self.home(turn, values), self.last(turn, values)
+        far = np.nonzero(last > home)[0]
+        if not len(far) or self.trees[turn] is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        probe, leaf = self.trees[turn].within(values[far], MAX_DISTANCE)
+        probe, shard = far[probe], self.numbers[turn][leaf]
+        wanted = (shard > home[probe]) & (shard <= last[probe])
+        return probe[wanted], shard[wanted]
 
 
 def near_links(fingerprints: DataFrame) -> DataFrame:
@@ -149,43 +195,47 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
 
     ``fingerprints`` has distinct values in ``fp`` and must be stored.
     """
-    spark = fingerprints.sparkSession
-    n = fingerprints.count()
-    shards = min(MAX_SHARDS, max(1, -(-n // SHARD_FINGERPRINTS)))
+    shards = min(MAX_SHARDS, max(1, -(-fingerprints.count() // SHARD_FINGERPRINTS)))
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = gray_rank(np.asarray(batch.column(0)).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((rank >> np.uint64(11)).astype(np.float64))], ["fp", "place"])
+            values = np.asarray(batch.column(0)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(Router.place(rotated(values, left))) for left, _ in TURNS], [f"turn{k}" for k in range(len(TURNS))])
 
-    places = fingerprints.select("fp").mapInArrow(ranked, "fp long, place double")
-    cuts = np.array(sorted(set(places.approxQuantile("place", [k / shards for k in range(1, shards)], 1 / (4 * shards)))) if shards > 1 else [], np.float64)
+    cuts = [np.zeros(0)] * len(TURNS)
+    if shards > 1:
+        columns = [f"turn{k}" for k in range(len(TURNS))]
+        placed = fingerprints.select("fp").mapInArrow(places, ", ".join(f"{c} double" for c in columns))
+        cuts = [np.array(sorted(set(found))) for found in placed.approxQuantile(columns, [k / shards for k in range(1, shards)], 1 / (4 * shards))]
+    router = Router(cuts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ranked(batches):
-            at = np.searchsorted(cuts, np.asarray(batch.column(1)), side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], ["fp", "shard"])
-
-    placed = store(fingerprints.select("fp").mapInArrow(dealt, "fp long, shard int"), "placed")
-    roots = placed.groupBy("shard").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("shard").collect()  # MAX_SHARDS rows at most
-    if not roots:
-        return spark.createDataFrame([], "u long, v long")
-    numbers = np.array([r["shard"] for r in roots], np.int32)
-    every, some = (np.array([r[c] for r in roots], np.int64).view(np.uint64) for c in ("all", "any"))
-    top = GrayTree(every, ~(every ^ some))
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, home = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-            for k in range(0, len(values), PROBES):
-                probe, leaf = top.within(values[k : k + PROBES], MAX_DISTANCE)
-                own = home[k : k + PROBES][probe]
-                later = numbers[leaf] >= own
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[k : k + PROBES][probe[later]].view(np.int64)), pa.array(numbers[leaf[later]]), pa.array(numbers[leaf[later]] == own[later])], ["fp", "shard", "own"]
-                )
-
-    return placed.mapInArrow(routed, "fp long, shard int, own boolean").groupBy("shard").applyInArrow(_links, "u long, v long")
+            values = np.asarray(batch.column(0)).view(np.uint64)
+            for turn, (left, _) in enumerate(TURNS):
+                own = rotated(values, left)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array((turn * MAX_SHARDS + router.home(turn, own)).astype(np.int32))], ["value", "shard"])
+
+    turned = store(fingerprints.select("fp").mapInArrow(dealt, "value long, shard int"), "turned")
+    roots = turned.groupBy("shard").agg(F.bit_and("value").alias("every"), F.bit_or("value").alias("some")).orderBy("shard").collect()  # 3 * MAX_SHARDS rows at most
+    for turn in range(len(TURNS)):
+        if of_turn := [r for r in roots if r["shard"] // MAX_SHARDS == turn]:
+            every, some = (np.array([r[c] for r in of_turn], np.int64).view(np.uint64) for c in ("every", "some"))
+            router.add_roots(turn, np.array([r["shard"] % MAX_SHARDS for r in of_turn]), every, some)
+
+    def sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, of = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)) // MAX_SHARDS
+            for turn in range(len(TURNS)):
+                here = values[of == turn]
+                for k in range(0, len(here), PROBES):
+                    probe, shard = router.beyond(turn, here[k : k + PROBES])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(here[k : k + PROBES][probe].view(np.int64)), pa.array((turn * MAX_SHARDS + shard).astype(np.int32)), pa.array(np.zeros(len(probe), bool))], ["value", "shard", "own"]
+                    )
+
+    probes = turned.mapInArrow(sent_on, "value long, shard int, own boolean")
+    return turned.withColumn("own", F.lit(True)).unionByName(probes).groupBy("shard").applyInArrow(_links, "u long, v long")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
