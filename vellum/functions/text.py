@@ -1,0 +1,193 @@
+"""Text measures, cleaning and extraction as column functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Scripts of Chinese, Japanese and Korean text, in the notation of Java's patterns.
+HAN, KANA, HANGUL = r"\p{IsHan}", r"[\p{IsHiragana}\p{IsKatakana}]", r"\p{IsHangul}"
+CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+
+
+def _text(column: Column) -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
+def count_chars(column: Column) -> Column:
+    """Characters other than white space."""
+    return F.length(F.regexp_replace(_text(column), r"\s+", ""))
+
+
+def count_words(column: Column) -> Column:
+    """Each Han character, and each word or number of other scripts; inner apostrophes, dots and hyphens join."""
+    text = _text(column)
+    latin = F.regexp_replace(text, HAN, " ")
+    return (F.regexp_count(text, F.lit(HAN)) + F.regexp_count(latin, F.lit(r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*"))).cast("long")
+
+
+def estimate_tokens(column: Column) -> Column:
+    """One token per CJK character and one per four others, rounded up."""
+    text = _text(column)
+    cjk = F.regexp_count(text, F.lit(CJK))
+    return F.ceil(cjk + (F.length(text) - cjk) / 4.0).cast("long")
+
+
+def guess_language(column: Column) -> Column:
+    """ja by kana, ko by hangul, zh where Han weighs as much as Latin letters, else en; empty for no text."""
+    text = _text(column)
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    return (
+        F.when(F.trim(text) == "", "")
+        .when(n(KANA) > 0, "ja")
+        .when(n(HANGUL) > 0, "ko")
+        .when((n(HAN) > 0) & (n(HAN) * 4 >= n(r"\p{IsLatin}")), "zh")
+        .otherwise("en")
+    )
+
+
+def classify_source(is_pdf: Column, chars: Column, pages: Column) -> Column:
+    """ok, partial or none from the characters per page; without a page count, or for other files, from all of them."""
+    per_page = chars / pages
+    return (
+        F.when(~is_pdf, F.when(chars >= 200, "ok").otherwise("none"))
+        .when(F.coalesce(pages, F.lit(0)) <= 0, F.when(chars < 20, "none").otherwise("ok"))
+        .when(per_page < 100, "none")
+        .when(per_page < 600, "partial")
+        .otherwise("ok")
+    )
+
+
+def best_status(status: Column) -> Column:
+    """Aggregate: the best of several sources."""
+    ranked = F.when(status == "ok", 0).when(status == "partial", 1).when(status == "none", 2).otherwise(3)
+    return F.coalesce(F.min_by(status, ranked), F.lit("no_pdf"))
+
+
+def user_text(column: Column, start: str = "%% vellum:start", end: str = "%% vellum:end %%") -> Column:
+    """A note's own words: without frontmatter, managed regions, code, comments, headings, links and citations."""
+    steps = [
+        (r"\A\x{FEFF}?---\r?\n(?s:.*?)\r?\n---[ \t]*(\r?\n|\z)", ""),
+        (rf"(?m)^\Q{start}\E.*%%[ \t]*$(?s:.*?)^\Q{end}\E[ \t]*$", ""),
+        (r"(?m)^```(?s:.*?)^```[ \t]*$", ""),
+        (r"(?s)%%.*?%%", ""),
+        (r"(?s)<!--.*?-->", ""),
+        (r"(?m)^#{1,6}\s.*$", ""),
+        (r"!\[\[[^\]]*\]\]", ""),
+        (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
+        (r"\[\[([^\]]*)\]\]", "$1"),
+        (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"\[-?@[^\]]*\]", ""),
+        (r"(?m)^>\s*\[![^\]]*\][+-]?", ""),
+    ]
+    text = _text(column)
+    for pattern, put in steps:
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+def wikilinks(column: Column) -> Column:
+    """Targets of [[links]] in order, aliases and embeds left out."""
+    return F.regexp_extract_all(_text(column), F.lit(r"(?<!!)\[\[([^\]|#]+)[^\]]*\]\]"), F.lit(1))
+
+
+#: Numbers, with thousands commas and decimals, that do not stand inside a word or a longer number.
+NUMBER = r"(?<![\p{L}\d.])(?:\d{1,3}(?:,\d{3})+(?![\d,])(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?![\d])"
+
+
+def canonical_number(raw: Column) -> Column:
+    """Commas and idle zeros dropped: 1,234.50 is 1234.5, .001 is 0.001, 007 is 7. Works on digits, so of any length."""
+    plain = F.regexp_replace(raw, ",", "")
+    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    whole = F.regexp_replace(plain, r"^0+(?=\d)", "")
+    return F.when(whole.startswith("."), F.concat(F.lit("0"), whole)).when(whole == "", "0").otherwise(whole)
+
+
+def numbers_in(column: Column) -> Column:
+    """Canonical values of all numbers of a text, in order."""
+    return F.transform(F.regexp_extract_all(_text(column), F.lit(NUMBER), F.lit(0)), canonical_number)
+
+
+def edge_key(line: Column) -> Column:
+    """A line as it repeats from page to page: trimmed, lower case, digits masked, spaces collapsed."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#"), r"\s+", " ")
+
+
+#: Ordered rules of redaction: what an earlier one took is a mark that no later one matches.
+REDACTIONS = (
+    ("url", r"(?i)\b[a-z][a-z0-9+.-]{1,30}://[^\s\"'<>`()\[\]{}]+"),
+    ("link", r"(?i)\b(?:data|blob|mailto):[^\s\"'<>]+"),
+    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("token", r"(?i)\bBearer\s+[^\s\"'<>,;]+"),
+    ("token", r"\b(?:ntn_|secret_|sk-|ghp_|gho_|github_pat_|xox[abprs]-|AIza)[A-Za-z0-9_-]{6,}"),
+    ("secret", r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|token|password|passwd|secret|authorization)\s*[=:]\s*(?:\"[^\"]*\"|'[^']*'|[^\s,;&\"']{6,})"),
+    ("path", r"(?<![\p{L}\p{N}_])(?:[A-Za-z]:|%[A-Za-z_]+%)[\\/]+[^\s\"'<>|*?]*"),
+    ("path", r"(?<![\p{L}\p{N}_.~\\/-])~?/+(?:[^/\s\"'<>|]+/+)+[^/\s\"'<>|,;)]*"),
+    ("file", r"(?i)[^\s\"'<>|/\\]{1,120}\.(?:md|pdf|bib|ris|docx?|xlsx?|pptx?|csv|tsv|txt|rtf|epub|sqlite|json|html?)(?![\p{L}\p{N}_])"),
+    ("id", r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"),
+    ("id", r"(?i)\b[0-9a-f]{32}\b"),
+)
+
+
+def redact(column: Column) -> Column:
+    """Text with addresses, secrets, paths, files and ids replaced by <kind>; white space collapsed."""
+    text = _text(column)
+    for kind, pattern in REDACTIONS:
+        text = F.regexp_replace(text, pattern, f"<{kind}>")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def csv_cell(value: Column) -> Column:
+    """A CSV cell that no spreadsheet runs as a formula, quoted where it must be."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    risky = text.rlike(r"^[=+\-@\t\r]") & ~text.rlike(r"^[+-]?\d+(?:\.\d+)?$")
+    guarded = F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(guarded.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(guarded)
+
+
+def csv_line(*columns: Column) -> Column:
+    return F.concat_ws(",", *[csv_cell(c) for c in columns])
+
+
+def headings(column: Column) -> Column:
+    """Markdown headings as array of (level, title), in order, code blocks left out."""
+    text = F.regexp_replace(_text(column), r"(?m)^```(?s:.*?)^```[ \t]*$", "")
+    lines = F.filter(F.split(text, r"\r?\n"), lambda line: line.rlike(r"^#{1,6}\s+\S"))
+    return F.transform(lines, lambda line: F.struct(F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(line, r"^#+\s+|\s+#+\s*$", "")).alias("title")))
+
+
+def term_score(term: str, text: Column) -> Column:
+    """How well a search word fits: whole 100, start 80, start of a word 70, inside 60, letters in order 10 to 30."""
+    at = F.instr(text, term)
+    boundary = F.substring(text, F.greatest(at - 1, F.lit(1)), F.lit(1)).rlike(r"[\s(:/,-]")
+    first, last = F.lit(0), F.lit(0)
+    for k, letter in enumerate(term):
+        last = F.when((last > 0) | F.lit(k == 0), F.locate(letter, text, 1) if k == 0 else _locate(letter, text, last + 1)).otherwise(0)
+        first = last if k == 0 else first
+    loose = F.when(last > 0, 10 + F.round(20.0 * len(term) / (last - first + 1))).otherwise(0) if len(term) > 1 else F.lit(0)
+    return F.when(text == term, 100).when(at == 1, 80).when((at > 1) & boundary, 70).when(at > 1, 60).otherwise(loose).cast("int")
+
+
+def _locate(letter: str, text: Column, start: Column) -> Column:
+    """Place of a letter in the text from ``start`` on; 0 where there is none."""
+    found = F.instr(F.substring(text, start, F.lit(1 << 20)), letter)
+    return F.when(found > 0, found + start - 1).otherwise(0)
+
+
+def search_score(query: str, label: Column, keywords: Column, group: Column) -> Column:
+    """Score of an entry; null where a word of the query fits nowhere. The label counts three times, keywords twice."""
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(_text(c)), r"\s+", " "))
+    label, group = fold(label), fold(group)
+    keywords = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), fold)
+    total, covered, hit = F.lit(0), F.lit(0), F.lit(True)
+    for term in " ".join(query.lower().split()).split(" ") if query.strip() else []:
+        best = F.greatest(term_score(term, label) * 3, F.coalesce(F.array_max(_scores(term, keywords)), F.lit(0)) * 2, term_score(term, group))
+        hit = hit & (best > 0)
+        total = total + best
+        covered = covered + F.when(label.contains(term), len(term)).otherwise(0)
+    bonus = F.when(F.length(label) > 0, F.floor(20.0 * covered / F.length(label) + 0.5)).otherwise(0)
+    return F.when(hit, (total + bonus).cast("int"))
+
+
+def _scores(term: str, texts: Column) -> Column:
+    return F.transform(texts, lambda t: term_score(term, t))
