@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum.session import ship
 
@@ -25,12 +26,12 @@ def normalize_doi(column: Column) -> Column:
     return F.when(clean.rlike(r"^10\.\d{4,9}/\S+$"), clean).otherwise("")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -86,7 +87,7 @@ def suffix(n: int) -> str:
     return out
 
 
-@F.udf("string")
+@F.udf(StringType())
 def _suffix_of(n):
     return suffix(n)
 
