@@ -2,62 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import sys
-import uuid
-
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
+from vellum.session import ship
+from vellum.storage import store
+
+__all__ = ["join_back", "ship", "store"]
 
 #: Keys that get a broadcast row of their own in a join back; any other key then holds under 1/256 of the rows.
 HOT_KEYS = 256
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def ship(module: str) -> None:
-    """Send the functions of a module by value, so that executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SHARED).rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: the lineage ends there and lost executors lose nothing.
-
-    The tables of a session are removed when the driver process ends, or by ``clear_scratch``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch() -> None:
-    """Delete every table that ``store`` has written in this process."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-        if jvm is None or context is None:
-            continue
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended before its scratch tables
-            continue
-
-
-atexit.register(clear_scratch)
-
 
 def join_back(rows: DataFrame, verdicts: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
     """Left join of many ``rows`` per key with one row of ``verdicts`` per key.
@@ -72,6 +27,5 @@ def join_back(rows: DataFrame, verdicts: DataFrame, key: str, weight: str, sprea
     cold = verdicts.select(F.col(key).alias("_ck"), F.struct(*payload).alias("_cold"))
     dealt = rows.join(hot, F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key)))
     joined = dealt.join(cold, F.col("_k") == F.col("_ck"), "left")
-    known = F.col(key).isNotNull()
-    return joined.select(*rows.columns, *[F.when(known, F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}"))).alias(c) for c in payload])
-
+    value = lambda c: F.when(F.col("_hk").isNotNull(), F.col(f"_hot.{c}")).when(F.col(key).isNotNull(), F.col(f"_cold.{c}"))
+    return joined.select(*rows.columns, *[value(c).alias(c) for c in payload])

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import join_back, store
+from vellum.llm.common import HOT_KEYS, join_back, store
+
+#: Unseen blobs whose 40 bytes each may be broadcast; more of them are joined by a shuffle.
+BROADCAST_BLOBS = 100_000
 
 
 class Rule(NamedTuple):
@@ -38,7 +41,8 @@ RULES = (
 )
 RULE_VERSION = 1
 
-LEDGER_SCHEMA = T.StructType.fromDDL("blob binary, rule_version int, spans array<struct<start: int, kind: int, stop: int>>")
+SPAN = T.StructType([T.StructField(name, T.IntegerType()) for name in ("start", "kind", "stop")])
+LEDGER_SCHEMA = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rule_version", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
 
 
 def blob_of(text: Column) -> Column:
@@ -51,9 +55,10 @@ def empty_ledger(df: DataFrame) -> DataFrame:
 
 
 def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, spans`` for the blobs (blob, text) in which a rule finds something.
+    """``blob, spans`` for the blobs (blob, text, copies) in which a rule finds something.
 
-    Text is cut at the matches of a rule; the lengths of what lies before a match add
+    Whether a rule finds anything is asked of rows with copies only, which keeps the
+    optimizer from asking it of every row before the join that picks the unseen blobs. Text is cut at the matches of a rule; the lengths of what lies before a match add
     up to its start. Spans are in order of start, then of the rules, in code points.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -70,7 +75,7 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         )
 
     per_rule = [hits_of(k, rule) for k, rule in enumerate(rules)]
-    hits = blobs.filter(some).select("blob", F.inline(F.filter(F.flatten(F.array(*per_rule)), lambda x: x["size"].isNotNull()))).dropDuplicates(["blob", "kind", "i"])
+    hits = blobs.filter(F.when(F.col("copies") > 0, some)).select("blob", F.inline(F.filter(F.flatten(F.array(*per_rule)), lambda x: x["size"].isNotNull()))).dropDuplicates(["blob", "kind", "i"])
     stop = F.expr("sum(size + gap) OVER (PARTITION BY blob, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").cast("int")
     spans = hits.withColumn("stop", stop).filter("long_enough")
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct((F.col("stop") - F.col("size")).alias("start"), "kind", "stop"))).alias("spans"))
@@ -89,9 +94,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
     unseen = store(blobs.join(seen, "blob", "left_anti"), "unseen")
     # Only representative rows carry their text on; the small side is built, so no text is sorted.
-    reps = unseen.select(F.col("blob").alias("b"), "rep").hint("shuffle_hash")
-    texts = versions.select("path", "text", blob_of(F.col("text")).alias("blob")).join(reps, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")), "left_semi")
-    found = store(find_spans(texts.select("blob", "text"), rules), "findings")
+    way = "broadcast" if unseen.count() <= BROADCAST_BLOBS else "shuffle_hash"
+    reps = unseen.select(F.col("blob").alias("b"), "rep", "copies").hint(way)
+    texts = versions.select("path", "text", blob_of(F.col("text")).alias("blob")).join(reps, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")))
+    found = store(find_spans(texts.select("blob", "text", "copies"), rules), "findings")
     empty = F.array().cast(LEDGER_SCHEMA["spans"].dataType)
     entries = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
     return paths, ledger.unionByName(entries)
@@ -113,8 +119,10 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     """
     paths, known = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, rules, rule_version)
     known = store(known.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans"), "known")
+    # The most copied blobs are joined back by broadcast, whether or not they hold a secret.
     copies = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
-    weighed = store(known.join(copies, "blob").select("blob", "spans", "copies"), "weighed")
+    wanted = known.select("blob").unionByName(copies.orderBy(F.col("copies").desc(), "blob").limit(HOT_KEYS).select("blob")).distinct()
+    weighed = store(wanted.join(copies, "blob").join(known, "blob", "left").select("blob", "spans", "copies"), "weighed")
     spread = F.unhex(F.sha2(F.coalesce(F.col("path").cast("string"), F.lit("")), 256))
     joined = join_back(paths, weighed, "blob", "copies", spread).withColumn("spans", F.coalesce("spans", F.array().cast(LEDGER_SCHEMA["spans"].dataType)))
     kinds = [r.kind for r in rules]
