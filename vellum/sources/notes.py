@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def read_vault(spark: SparkSession, *folders: str) -> DataFrame:
     """``path, text`` of all Markdown files below the folders, hidden ones left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(folders))
+    files = spark.read.text(list(folders), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~F.col("path").rlike(r"/\."))
 
 
