@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ship
+from vellum.llm.common import chunks, ship
 
 #: Characters of text a chunk holds before its words are encoded (a longer text is a chunk of its own).
 CHUNK_CHARS = 4_000_000
@@ -175,19 +175,6 @@ class Encoder:
             yield b"".join([self.known[p] for p in pieces])
 
 
-def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters."""
-    now, size = [], 0
-    for text in texts:
-        now.append(text)
-        size += len(text)
-        if size >= chars:
-            yield now
-            now, size = [], 0
-    if now:
-        yield now
-
-
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of each row's text; with_ids adds ids and decoded text.
 
@@ -209,7 +196,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
         bytes_of = encoder.vocabulary.bytes_of
         for batch in batches:
             counts, id_digests, text_digests, ids_out, texts_out = [], [], [], [], []
-            for chunk in chunks([t or "" for t in batch.column(len(kept)).to_pylist()]):
+            for chunk in chunks([t or "" for t in batch.column(len(kept)).to_pylist()], CHUNK_CHARS):
                 for packed in encoder.encode(chunk):
                     ids = np.frombuffer(packed, "<u4").tolist()
                     decoded = b"".join([bytes_of[i] for i in ids])

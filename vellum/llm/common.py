@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.session import ship
 from vellum.storage import store
 
-__all__ = ["join_back", "ship", "store"]
+__all__ = ["chunks", "join_back", "ship", "store"]
 
 #: Keys that get a broadcast row of their own in a join back; any other key then holds under 1/256 of the rows.
 HOT_KEYS = 256
@@ -29,3 +31,19 @@ def join_back(rows: DataFrame, verdicts: DataFrame, key: str, weight: str, sprea
     joined = dealt.join(cold, F.col("_k") == F.col("_ck"), "left")
     value = lambda c: F.when(F.col("_hk").isNotNull(), F.col(f"_hot.{c}")).when(F.col(key).isNotNull(), F.col(f"_cold.{c}"))
     return joined.select(*rows.columns, *[value(c).alias(c) for c in payload])
+
+
+def chunks(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters; a longer text is a run of its own."""
+    now, size = [], 0
+    for text in texts:
+        now.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
+ship(__name__)

@@ -1,6 +1,6 @@
 """Language ID: averaged hashed subword embeddings under a linear softmax.
 
-A word gives its character n-grams, an n-gram the bucket of its CRC-32; a text is the
+A word gives its character n-grams, an n-gram the bucket of its hash; a text is the
 mean of the embeddings of all its n-grams, and a linear layer scores the languages.
 Embeddings and layer are trained together by stochastic gradient descent in numpy, on
 the driver, over a bounded sample of labelled rows. Part of the sample is kept back to
@@ -13,7 +13,6 @@ so a text costs one look-up per distinct word; its size does not depend on the c
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ship
+from vellum.llm.common import chunks, ship
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -41,16 +40,29 @@ REJECTED, MARGIN = 0.001, 0.8
 #: The score above which nothing is rejected, so that a text of two languages stays.
 MOST_THRESHOLD = 0.4
 #: Words whose scores a task remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of text whose new words are looked up together.
+CHUNK_CHARS = 4_000_000
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word between its boundary marks."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[k : k + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for k in range(len(w) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all words, each between its boundary marks, and the word of each."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    buckets, owners = [], []
+    with np.errstate(over="ignore"):
+        for n in GRAMS:
+            whole = np.nonzero(of[: len(of) - n + 1] == of[n - 1 :])[0] if len(of) >= n else np.zeros(0, np.int64)
+            mixed = np.full(len(whole), n, np.uint64)
+            for k in range(n):
+                mixed = (mixed ^ codes[whole + k]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(32)
+            buckets.append((mixed % np.uint64(BUCKETS)).astype(np.int64))
+            owners.append(of[whole])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class LanguageModel:
@@ -62,32 +74,37 @@ class LanguageModel:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.labels)))
-        self.sizes = np.zeros(1024)
-
-    def row(self, word: str) -> int:
-        """Place of a word's summed scores, computed when first met."""
-        at = self.rows.get(word)
-        if at is None:
-            at = len(self.rows)
-            if at == len(self.sums):
-                self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            found = grams(word)
-            self.sums[at], self.sizes[at] = self.table[found].sum(axis=0), len(found)
-            self.rows[word] = at
-        return at
+        self.sums, self.sizes = np.zeros((0, len(self.labels))), np.zeros(0)
+
+    def learn(self, words: set[str]) -> None:
+        """Sum the scores of words not met before."""
+        if len(self.rows) + len(words) > REMEMBERED:
+            self.forget()
+        new = [w for w in words if w not in self.rows]
+        if not new or not self.labels:
+            return
+        buckets, owners = grams(new)
+        sums = [np.bincount(owners, weights=self.table[buckets, k], minlength=len(new)) for k in range(len(self.labels))]
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.sums = np.concatenate([self.sums, np.stack(sums, axis=1)])
+        self.sizes = np.concatenate([self.sizes, np.bincount(owners, minlength=len(new))])
 
     def logits(self, words: Counter) -> np.ndarray:
-        at = [self.row(w) for w in words]
+        """Scores of a text from its words, all of them learned."""
+        at = [self.rows[w] for w in words]
         times = np.fromiter(words.values(), np.float64, len(words))
-        scores = (times @ self.sums[at]) / (times @ self.sizes[at]) + self.bias
-        if len(self.rows) > REMEMBERED:
-            self.forget()
-        return scores
+        return (times @ self.sums[at]) / (times @ self.sizes[at]) + self.bias
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Label, score in 0..1 and whether it is rejected, for each text; one without letters is undetermined."""
+        counted = [Counter(WORD.findall((text or "").lower())) for text in texts]
+        self.learn({w for words in counted for w in words})
+        return [self._predict(words) for words in counted]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Label, score in 0..1 and whether it is rejected; a text without letters is undetermined."""
-        words = Counter(WORD.findall((text or "").lower()))
+        return self.predict_all([text])[0]
+
+    def _predict(self, words: Counter) -> tuple[str, float, bool]:
         if not self.labels or not any(any(map(str.isalpha, w)) for w in words):
             return UNDETERMINED, 0.0, True
         p = softmax(self.logits(words) / self.temperature)
@@ -103,7 +120,6 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def _examples(texts: list[str], answers: list[int], random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Distinct buckets with their shares for each whole text and for windows of it."""
-    of_word: dict[str, list[int]] = {}
     examples = []
     for text, answer in zip(texts, answers, strict=True):
         words = WORD.findall(text.lower())
@@ -113,8 +129,8 @@ def _examples(texts: list[str], answers: list[int], random: np.random.Generator)
             begin = int(random.integers(0, max(1, len(words) - size)))
             cuts.append(words[begin : begin + size])
         for cut in cuts:
-            found = [b for w in cut for b in (of_word.get(w) or of_word.setdefault(w, grams(w)))]
-            if found:
+            if cut:
+                found = grams(cut)[0]
                 buckets, times = np.unique(found, return_counts=True)
                 examples.append((buckets, times / len(found), answer))
     return examples
@@ -155,6 +171,7 @@ def _calibrate(model: LanguageModel, held: list[tuple[str, int]]) -> None:
     for text, answer in held:
         words = Counter(WORD.findall(text.lower()))
         if words:
+            model.learn(set(words))
             scored.append((model.logits(words), answer))
     if not scored:
         return
@@ -203,7 +220,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for batch in batches:
-            found = [own.predict(x.as_py()) for x in batch.column(len(kept))]
+            found = [x for chunk in chunks(batch.column(len(kept)).to_pylist(), CHUNK_CHARS) for x in own.predict_all(chunk)]
             columns = batch.columns[: len(kept)]
             if only_accepted:
                 accepted = pa.array([not rejected for _, _, rejected in found], pa.bool_())
