@@ -12,11 +12,14 @@ from vellum.llm.hnsw import nearest
 from vellum.llm.html import extract
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
+from vellum.llm.oracles import ORACLES
 from vellum.llm.pii import pii_report
 from vellum.llm.secrets import secret_report
 from vellum.llm.simhash import simhash_groups
 from vellum.session import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in two arrivals: the first is indexed as history, the second looked up in it."""
@@ -25,13 +28,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, F.coalesce(first, F.lit(False)))
 
 
-OP10_SQL = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-"""
-
-
 def language_model(docs: DataFrame):
     """Fitted on a bounded sample of the labelled rows outside the held-out fold."""
     return train(docs, ~held_out(F.col("doc_id")))
@@ -93,4 +89,3 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_exact_dedup": OP10_SQL}
