@@ -54,6 +54,13 @@ def stream_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.run_available(events.status_log(changes), "status-log")
 
 
+@query("stream_watch", "SELECT DISTINCT event_id % 40 AS watch, user_id AS id FROM events")
+def stream_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as hits of forty saved searches, each reported once."""
+    hits = events.read_events(spark, sf_dir).select((F.col("event_id") % 40).alias("watch"), F.col("user_id").alias("id"), F.col("event_id").alias("pos"))
+    return events.run_available(events.unseen_ids(hits), "watch")
+
+
 @query("upsert_merge", """
 WITH c AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal, c_acctbal < 0 AS gone FROM customer WHERE c_mktsegment = 'BUILDING'
            UNION ALL SELECT s_suppkey + 10000000, s_name, s_acctbal, false FROM supplier)

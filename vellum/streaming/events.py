@@ -70,6 +70,28 @@ def status_log(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").applyInPandasWithState(_log, "key long, seq long, old string, new string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Ids a watch remembers; the oldest are forgotten first.
+SEEN_IDS = 2_000
+
+
+def _unseen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Ids of a watch that it does not remember, in order; it then remembers them."""
+    seen = dict.fromkeys(state.get[0]) if state.exists else {}
+    rows = pd.concat(list(batches)).sort_values(["pos", "id"], kind="stable")
+    new = []
+    for row in rows.itertuples(index=False):
+        if row.id not in seen:
+            seen[row.id] = None
+            new.append((key[0], row.id))
+    state.update((list(seen)[-SEEN_IDS:],))
+    yield pd.DataFrame(new, columns=["watch", "id"])
+
+
+def unseen_ids(found: DataFrame) -> DataFrame:
+    """Streaming de-duplication of a saved search's hits (watch, id, pos), with a bounded memory per watch."""
+    return found.groupBy("watch").applyInPandasWithState(_unseen, "watch long, id long", "ids array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
 def latest(updates: DataFrame, *keys: str) -> DataFrame:
     """Of each key the row of the last batch."""
     rest = [c for c in updates.columns if c not in keys and c != "_batch"]
