@@ -13,6 +13,7 @@ from vellum.llm.html import extract
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.oracles import ORACLES
+from vellum.llm.passages import repeated_passages
 from vellum.llm.pii import pii_report
 from vellum.llm.secrets import secret_report
 from vellum.llm.simhash import simhash_groups
@@ -45,6 +46,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand in two documents or more, over all paragraphs of all documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text, scanned once per distinct blob against an empty ledger."""
     return secret_report(table(spark, sf_dir, "documents"))
@@ -80,6 +86,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_secrets": op4_secrets,
     "op5_html": op5_html,
     "op6_pii": op6_pii,
