@@ -56,13 +56,6 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert {r.doc_id: r.n_spans for r in S.secret_report(again, forged, rule_version=2).collect()}[1] > 0
 
 
-def test_both_ways_to_join_agree(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
-    few = sorted(S.secret_report(docs).collect())
-    monkeypatch.setattr(S, "BROADCAST_BLOBS", 0)
-    assert sorted(S.secret_report(docs).collect()) == few
-
-
 def test_empty_table_and_no_python(spark):
     found = S.secret_report(spark.createDataFrame([], "doc_id long, text string"))
     assert found.count() == 0 and "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()

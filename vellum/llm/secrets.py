@@ -16,9 +16,6 @@ from pyspark.sql import types as T
 
 from vellum.llm.common import HOT_KEYS, join_back, store
 
-#: Unseen blobs whose 40 bytes each may be broadcast; more of them are joined by a shuffle.
-BROADCAST_BLOBS = 100_000
-
 
 class Rule(NamedTuple):
     """Spans of ``pattern`` are reported where the group ``measured`` has at least ``least`` characters."""
@@ -94,8 +91,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
     unseen = store(blobs.join(seen, "blob", "left_anti"), "unseen")
     # Only representative rows carry their text on; the small side is built, so no text is sorted.
-    way = "broadcast" if unseen.count() <= BROADCAST_BLOBS else "shuffle_hash"
-    reps = unseen.select(F.col("blob").alias("b"), "rep", "copies").hint(way)
+    reps = unseen.select(F.col("blob").alias("b"), "rep", "copies").hint("shuffle_hash")
     texts = versions.select("path", "text", blob_of(F.col("text")).alias("blob")).join(reps, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")))
     found = store(find_spans(texts.select("blob", "text", "copies"), rules), "findings")
     empty = F.array().cast(LEDGER_SCHEMA["spans"].dataType)
