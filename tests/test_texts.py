@@ -217,4 +217,4 @@ def test_sinks(spark, tmp_path):
     now, history = sinks.with_history(old.withColumn("ver", F.lit(1)), old.withColumn("ver", F.lit(1)).limit(0), spark.createDataFrame([(1, "c", 2)], "k int, v string, ver int"), "k", "ver")
     assert {tuple(r) for r in history.collect()} == {(1, "a", 1)} and (1, "c", 2) in {tuple(r) for r in now.collect()}
     sinks.write_csv(spark.createDataFrame([("1,a",)], "line string"), f"file://{tmp_path}/out.csv", "k,v")
-    assert next((tmp_path / "out.csv").glob("part-*")).read_bytes() == b"1,a\r\n"
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out.csv").glob("part-*")) == b"1,a\r\n"  # some parts may be empty
