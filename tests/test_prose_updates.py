@@ -139,3 +139,46 @@ def test_small_updates(spark):
     results = spark.createDataFrame([("a", "succeeded"), ("c", "errored"), ("c", "errored"), ("e", "succeeded")], "ref string, type string")
     items = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "ref string")
     assert {tuple(r) for r in U.settled(requests, results, items).collect()} == {("a", "ok"), ("b", "skipped"), ("c", "failed"), ("d", "missing"), ("e", "gone")}
+
+
+def test_trimmed_sections(spark):
+    body = "word " * 100
+    papers = {
+        "late": (f"intro {body}\n## References\n1. A\nTable 1 x\n## Results\nr", f"intro {body}\nTable 1 x\n## Results\nr", ["references"]),
+        "early": (f"i\n## References\n1. A\n## Results\n{body}", f"i\n## References\n1. A\n## Results\n{body}".strip(), []),
+        "long": (f"a\n## Funding\n{'x' * 4001}", f"a\n## Funding\n{'x' * 4001}", []),
+        "several": (f"{body}\n\n## Funding\nf\n\n## Competing interests\nnone\n\n## References:\nz", body.strip(), ["funding", "coi", "references"]),
+        "none": ("", "", []),
+        "plain": ("### Funding\nx", "### Funding\nx", []),
+    }
+    rows = spark.createDataFrame([(k, text) for k, (text, _, _) in papers.items()], "k string, text string")
+    got = {r.k: r.t for r in rows.select("k", P.trim_sections(F.col("text")).alias("t")).collect()}
+    for k, (text, md, cut) in papers.items():
+        assert (got[k].md, got[k].before, got[k].after, [c.id for c in got[k].cut]) == (md, len(text), len(md), cut), k
+    assert rows.select(P.trim_sections(F.lit(None).cast("string")).alias("t")).first().t.before == 0
+
+
+def test_creator_repair(spark):
+    from vellum.functions.creators import creator_repair
+
+    cases = [
+        (("Chen", "Mei-Ling", None), None),
+        (("陳", "美玲", None), None),
+        ((None, None, "衛生福利部 國民健康署"), None),
+        ((None, None, "陳美玲、林小華"), ("sure", [(None, None, "陳美玲"), (None, None, "林小華")])),
+        (("陳美玲 林小華", "", None), ("check", [(None, None, "陳美玲"), (None, None, "林小華")])),
+        (("陳美玲 Chen", "Mei", None), ("check", [(None, None, "陳美玲")])),
+        ((None, None, "陳 美玲"), ("sure", [(None, None, "陳美玲")])),
+        (("美玲", "陳", None), ("sure", [("陳", "美玲", None)])),
+        (("林美", "陳", None), ("check", [("陳", "林美", None)])),
+        (("歐", "陽志明", None), ("check", [("歐陽", "志明", None)])),
+        (("歐陽", "志明", None), None),
+        (("陳美玲", "林小華", None), ("check", [(None, None, "陳美玲"), (None, None, "林小華")])),
+        (("陳 ", "美 玲", None), ("sure", [("陳", "美玲", None)])),
+        ((None, None, None), None),
+        ((None, None, ""), None),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, (c, _) in enumerate(cases)], "k int, l string, f string, w string")
+    got = {r.k: r.r for r in df.select("k", creator_repair(F.col("l"), F.col("f"), F.col("w"), "陳林王李").alias("r")).collect()}
+    found = [None if got[k] is None else (got[k].confidence, [tuple(p) for p in got[k].replacement]) for k in range(len(cases))]
+    assert found == [want for _, want in cases]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import prose
+from vellum.functions.creators import creator_repair
 from vellum.plans.registry import query
 from vellum.session import table
 
@@ -103,3 +104,29 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("c_nationkey") % 4
     line = F.when(kind == 0, F.concat(F.col("c_custkey") % 90 + 1, F.lit(". Methods:"))).when(kind == 1, "R E F E R E N C E S").when(kind == 2, "IV. Results and  Discussion").otherwise(F.concat(F.lit("Methods were "), "c_name"))
     return table(spark, sf_dir, "customer").select(kind.alias("kind"), "c_custkey", prose.heading_id(line).alias("section"))
+
+
+@query("trimmed_sections", """
+WITH s AS (SELECT conv_id, turn, repeat('body text. ', turn::INT * 3 + 8) AS body FROM conversations), p AS (SELECT *, '# T' || chr(10) || body || chr(10) || '## Methods' || chr(10) || body || chr(10) AS top FROM s)
+SELECT conv_id, turn, rtrim(top, chr(10)) || chr(10) || 'Table 1 kept' AS md, 'references:' || (length('## 5. References') + 1 + length(body) + 1) || ',coi:' || length('## Disclosure' || chr(10) || 'None.' || chr(10)) AS cut FROM p
+""")
+def trimmed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers without references and interests; a table behind the references stays."""
+    body = "repeat('body text. ', CAST(turn AS INT) * 3 + 8)"
+    paper = F.expr(f"concat('# T\n', {body}, '\n## Methods\n', {body}, '\n## 5. References\n', {body}, '\nTable 1 kept\n## Disclosure\nNone.\n')")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", prose.trim_sections(paper).alias("t"))
+    cut = F.array_join(F.transform("t.cut", lambda c: F.concat_ws(":", c["id"], c["chars"].cast("string"))), ",")
+    return rows.select("conv_id", "turn", F.col("t.md").alias("md"), cut.alias("cut"))
+
+
+@query("creator_repairs", """
+SELECT CASE c_custkey % 5 WHEN 0 THEN 'several people in one field' WHEN 1 THEN 'names swapped' WHEN 2 THEN 'spaces in the name' WHEN 3 THEN 'two scripts in one name' END AS problem,
+       CASE WHEN c_custkey % 5 < 3 THEN 'sure' WHEN c_custkey % 5 = 3 THEN 'check' END AS confidence, count(*) AS n FROM customer GROUP BY ALL
+""")
+def creator_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on creators, counted."""
+    kind = F.col("c_custkey") % 5
+    last = F.when(kind == 0, "陳美玲、林小華").when(kind == 1, "美玲").when(kind == 2, "陳 ").when(kind == 3, "陳美玲 Chen").otherwise(F.col("c_name"))
+    first = F.when(kind == 1, "陳").when(kind == 2, "美 玲").otherwise("")
+    found = table(spark, sf_dir, "customer").select(creator_repair(last, first, F.lit(None).cast("string"), "陳林王李").alias("r"))
+    return found.groupBy(F.col("r.problem").alias("problem"), F.col("r.confidence").alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
