@@ -182,3 +182,16 @@ def test_creator_repair(spark):
     got = {r.k: r.r for r in df.select("k", creator_repair(F.col("l"), F.col("f"), F.col("w"), "陳林王李").alias("r")).collect()}
     found = [None if got[k] is None else (got[k].confidence, [tuple(p) for p in got[k].replacement]) for k in range(len(cases))]
     assert found == [want for _, want in cases]
+
+
+def test_reconcile(spark):
+    from vellum.operators import statuslog
+
+    items = spark.createDataFrame([("a", "read", False), ("b", None, None), ("c", "read", True), ("d", "read", False), ("e", "todo", False)], "key string, status string, deleted boolean")
+    notes = spark.createDataFrame([("a", "todo", "2"), ("a", "reading", "1"), ("c", "todo", "1"), ("e", None, "1")], "key string, status string, path string")
+    pages = spark.createDataFrame([("b", "read", 0), ("a", "todo", 5)], "key string, status string, pos int")
+    bases = spark.createDataFrame([("a", "todo"), ("z", "read")], "key string, base string")
+    merged = statuslog.reconcile(items, notes, pages, bases, "todo")
+    assert {tuple(r) for r in merged.collect()} == {("a", "reading", "notes", True, "library,table"), ("b", "read", "table", False, "library"), ("e", "todo", "library", False, "notes")}
+    failed = spark.createDataFrame([("a", "table")], "key string, side string")
+    assert {tuple(r) for r in statuslog.new_bases(bases, merged, failed).collect()} == {("a", "todo"), ("z", "read"), ("b", "read"), ("e", "todo")}

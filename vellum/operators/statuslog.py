@@ -66,6 +66,30 @@ def merge_status(base: Column, sides: dict[str, Column], default: str, deleted:
     )
 
 
+def reconcile(items: DataFrame, notes: DataFrame, pages: DataFrame, bases: DataFrame, default: str) -> DataFrame:
+    """Statuses of live items merged over their sides: key, value, source, conflict, writes.
+
+    ``items`` (key, status, deleted) take part where they have a note (key, status, path)
+    or a page of a remote table (key, status, pos); of several the first by path or pos
+    counts, of ties the least status. A note goes before the library, the library before the table. ``bases`` (key,
+    base) has what all sides agreed on last.
+    """
+    first = lambda order, name: F.min(F.struct(F.col(order), F.coalesce("status", F.lit("")).alias("status")))["status"].alias(name)
+    note = notes.groupBy("key").agg(first("path", "_note"))
+    page = pages.groupBy("key").agg(first("pos", "_page"))
+    live = items.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("key", F.coalesce("status", F.lit("")).alias("_item"))
+    joined = live.join(note, "key", "left").join(page, "key", "left").filter("_note IS NOT NULL OR _page IS NOT NULL").join(bases.select("key", F.col("base").alias("_base")), "key", "left")
+    merged = merge_status(F.col("_base"), {"notes": F.col("_note"), "library": F.col("_item"), "table": F.col("_page")}, default)
+    return joined.select("key", merged.alias("_m")).select("key", "_m.*")
+
+
+def new_bases(bases: DataFrame, merged: DataFrame, failed: DataFrame) -> DataFrame:
+    """Bases after a pass (key, base): the merged value where no side of the key failed to be written (key, side), else as before."""
+    bad = failed.select("key").distinct()
+    good = merged.join(bad, "key", "left_anti").select("key", F.col("value").alias("_new"))
+    return bases.select("key", "base").join(good, "key", "full").select("key", F.coalesce("_new", "base").alias("base"))
+
+
 def snapshot_diff(now: DataFrame, before: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """``now`` with ``d_<measure>``: the change since the snapshot; null where either side has no value."""
     old = before.select(*keys, *[F.col(m).alias(f"_{m}") for m in measures])

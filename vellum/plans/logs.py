@@ -234,6 +234,45 @@ def status_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), merged.alias("m")).select("id", "m.*")
 
 
+STATUS = "CASE {0} % 4 WHEN 0 THEN 'todo' WHEN 1 THEN 'reading' WHEN 2 THEN 'read' ELSE '' END"
+RECONCILE_SQL = f"""
+WITH i AS (SELECT o_orderkey AS key, {STATUS.format("o_orderkey")} AS item FROM orders WHERE o_orderstatus <> 'P'),
+n AS (SELECT l_orderkey AS key, min(struct_pack(a := l_linenumber, s := {STATUS.format("l_suppkey")})).s AS note FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+p AS (SELECT l_orderkey AS key, min(struct_pack(a := l_linenumber, s := {STATUS.format("l_partkey")})).s AS page FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+j AS (SELECT key, item, note, page, CASE WHEN key % 3 > 0 THEN {STATUS.format("(o_custkey // 2)")} END AS base FROM i JOIN orders ON key = o_orderkey LEFT JOIN n USING (key) LEFT JOIN p USING (key) WHERE note IS NOT NULL OR page IS NOT NULL),
+c AS (SELECT *, coalesce(base, '') AS b, list_filter([note, item, page], lambda x: x IS NOT NULL AND x <> '' AND x <> coalesce(base, '')) AS ch FROM j),
+v AS (SELECT *, CASE WHEN len(ch) > 0 THEN ch[1] WHEN b <> '' THEN b ELSE 'todo' END AS value,
+             CASE WHEN coalesce(note, '') NOT IN ('', b) THEN 'notes' WHEN item NOT IN ('', b) THEN 'library' WHEN coalesce(page, '') NOT IN ('', b) THEN 'table' WHEN b <> '' THEN 'base' ELSE 'default' END AS source FROM c),
+m AS (SELECT key, value, source, len(list_distinct(ch)) > 1 AS conflict, concat_ws(',', CASE WHEN note <> value THEN 'notes' END, CASE WHEN item <> value THEN 'library' END, CASE WHEN page <> value THEN 'table' END) AS writes FROM v)
+"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as items, their lines as notes and pages; the merged statuses and the bases before."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    status = lambda c: F.expr(STATUS.format(c)).alias("status")
+    items = orders.select(F.col("o_orderkey").alias("key"), status("o_orderkey"), (F.col("o_orderstatus") == "P").alias("deleted"))
+    notes = lines.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"), status("l_suppkey"), F.col("l_linenumber").alias("path"))
+    pages = lines.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("key"), status("l_partkey"), F.col("l_linenumber").alias("pos"))
+    bases = orders.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("key"), status("(o_custkey DIV 2)").alias("base"))
+    return statuslog.reconcile(items, notes, pages, bases, "todo"), bases
+
+
+@query("status_reconcile", RECONCILE_SQL + "SELECT * FROM m")
+def status_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir)[0]
+
+
+@query("status_new_bases", RECONCILE_SQL + f"""
+SELECT o_orderkey AS key, coalesce(CASE WHEN o_orderkey % 7 > 0 THEN value END, CASE WHEN o_orderkey % 3 > 0 THEN {STATUS.format("(o_custkey // 2)")} END) AS base FROM orders LEFT JOIN m ON key = o_orderkey
+WHERE o_orderkey % 3 > 0 OR (value IS NOT NULL AND o_orderkey % 7 > 0)
+""")
+def status_new_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases after a pass in which the writes of every seventh key failed."""
+    merged, bases = _reconciled(spark, sf_dir)
+    return statuslog.new_bases(bases, merged, merged.filter("key % 7 = 0").select("key", F.lit("notes").alias("side")))
+
+
 @query("snapshot_diff", """
 WITH m AS (SELECT o_custkey AS k, year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1, 2),
 a AS (SELECT * FROM m WHERE y = 1996), b AS (SELECT * FROM m WHERE y = 1995)
