@@ -84,3 +84,17 @@ def test_runs_of_a_large_host_are_cut(spark, monkeypatch):
     rows = [(k, "http://one.example/p", f"<div>Menu of the site here</div><p>page {k} own words {k}") for k in range(40)]
     found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
     assert len(found) == 40 and sum(r.text == f"page {r.page_id} own words {r.page_id}" for r in found) >= 36
+
+
+def test_repeated_runs_decide_open_blocks_of_pages_with_an_article():
+    page = "<div><p>Read all about our site here</p><p>Body {0} in plain divs {0} and more {0}</p></div><article>Teaser {0}</article>"
+    assert text_of(*[page.format(k) for k in range(4)]) == [f"Body {k} in plain divs {k} and more {k} Teaser {k}" for k in range(4)]
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
+def test_pages_with_a_teaser_article_keep_their_body(spark):
+    # The body in a plain element, and a small article beside it: few body blocks are repeated, so nearly all stay.
+    pages = table(spark, DATA, "pages").withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div>"), "</article>", "</div><article>Teaser</article>"))
+    whole = {r.page_id: r.text for r in H.extract(table(spark, DATA, "pages")).collect()}
+    found = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert sum(found[k] == f"{t} Teaser".strip() for k, t in whole.items()) >= 0.95 * len(whole)

@@ -217,7 +217,7 @@ def _texts(pages: list[list[tuple[int, str]]]) -> list[str]:
         kept = []
         for (zone, text), end, size in zip(page, ends, sizes, strict=True):
             repeated = zone == OPEN and covered[end - size : end].mean() >= COVERED
-            if zone == KEPT or (zone == OPEN and not repeated and not any(z == KEPT for z, _ in page)):
+            if zone == KEPT or (zone == OPEN and not repeated):
                 kept.append(text)
         texts.append(" ".join(kept))
     return texts
@@ -231,9 +231,9 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Null and empty html give the empty text. A page with an article (or main) element
-    keeps what stands in it; any other page keeps the open blocks that repeated runs do
-    not cover. Pages are compared within runs of RUN_TOKENS tokens and within a task, so a
+    Null and empty html give the empty text. What stands in an article (or main) element
+    is kept, and so are the open blocks that repeated runs do not cover, whether or not
+    the page has an article. Pages are compared within runs of RUN_TOKENS tokens and within a task, so a
     host that spans several is compared in parts. Repeated rows get equal results; only page_id, url and html are read, so
     extra columns cannot clash; an empty table gives none.
     """
