@@ -110,3 +110,21 @@ def test_paragraphs_cover_all_words_in_order():
         words, _, first, length = P.paragraphs(text.encode())
         assert words == text.encode().lower().split() and length.sum() == len(words)
         assert (first[1:] == first[:-1] + length[:-1]).all()
+
+
+@pytest.mark.parametrize("common_first", [True, False])
+def test_what_has_another_keeper_is_another_passage(spark, common_first):
+    rng = random.Random(11)
+    common, text = " ".join(prose(rng, 60)), " ".join(prose(rng, 90))
+    both = "\n".join([common, text] if common_first else [text, common])
+    docs = [(1, common), (5, both), (9, both)]
+    rows = P.passage_removals(spark.createDataFrame([(*d, "c") for d in docs], SCHEMA)).collect()
+    kept = {}  # the documents that keep each word of either part
+    for r in rows:
+        words = both.lower().split() if r.doc_id > 1 else common.lower().split()
+        for w in words[r.first_word : r.first_word + r.n_words]:
+            kept.setdefault(w, set()).update([] if r.removed else [r.doc_id])
+    # A paragraph over the border of the two parts belongs to neither; a word of both parts is kept in both.
+    parts = [(p.lower().split()[20:-20], keeper) for p, keeper in ((common, 1), (text, 5))]
+    for own, keeper in parts:
+        assert all(kept[w] == {keeper} for w in own if common.lower().split().count(w) + text.lower().split().count(w) == 1)

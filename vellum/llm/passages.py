@@ -13,7 +13,8 @@ limit of 0.8 meet with probability 1 - 0.2^3 = 0.992 and more similar ones often
 that meet are compared by the exact Jaccard similarity of their shingle sets; links
 give components. A component that stands in two documents or more is repeated; its
 occurrence in the smallest doc_id stays, all others are removals. Repeated paragraphs
-that follow each other in a document are one passage, reported from LEAST_PASSAGE words.
+that follow each other in a document are one run, reported from LEAST_PASSAGE words; a
+run is one passage for each stretch that the same document keeps.
 """
 
 from __future__ import annotations
@@ -185,16 +186,11 @@ def _further(k: int):
     return F.xxhash64("key", F.lit(k), F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k)))))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages that stand in two documents or more: doc_id, passage, first_word, n_words, keep_doc_id, removed.
-
-    One row per passage and document that has it; a document without repeated passages
-    has none. Words are runs of other than ASCII white space, numbered from 0.
-    ``keep_doc_id`` is the smallest doc_id with the passage's first repeated paragraph;
-    ``removed`` says that this occurrence goes. ``passage`` numbers them in a document.
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """Paragraphs that stand in two documents or more: doc_id, first, words, keep (the smallest doc_id that has it).
 
     Null and empty texts have no paragraphs, and rows without a doc_id are not looked at.
-    A passage repeated in one document only does not count; repeated rows of one doc_id
+    A paragraph repeated in one document only does not count; repeated rows of one doc_id
     are one document. Only doc_id and text are read, so extra columns cannot clash.
     Empty tables give an empty result.
     """
@@ -213,13 +209,46 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     verdicts = near.select("id", "n", F.col("class_low").alias("keep"), F.col("class_high").alias("high")).unionByName(stored.filter("NOT near").select("id", "n", F.col("low").alias("keep"), "high"))
     verdicts = store(verdicts.filter("keep <> high").select("id", "n", "keep"), "verdicts")
     # Occurrences without a verdict match nothing; the key of a hot text is met by broadcast.
-    found = store(join_back(units.select("doc_id", "first", "words", "id"), verdicts, "id", "n", F.unhex(F.md5(F.concat_ws("|", "doc_id", "first")))).filter("keep IS NOT NULL").select("doc_id", "first", "words", "keep").distinct(), "found")
+    return store(join_back(units.select("doc_id", "first", "words", "id"), verdicts, "id", "n", F.unhex(F.md5(F.concat_ws("|", "doc_id", "first")))).filter("keep IS NOT NULL").select("doc_id", "first", "words", "keep").distinct(), "found")
 
+
+def _runs(found: DataFrame) -> DataFrame:
+    """Repeated paragraphs with ``gap`` (1 where a run begins) and ``run``, its number in the document."""
     order = Window.partitionBy("doc_id").orderBy("first")
-    starts = F.coalesce(F.col("first") - F.lag(F.col("first") + F.col("words")).over(order) > BRIDGE_WORDS, F.lit(True))
-    runs = found.withColumn("starts", starts.cast("int")).withColumn("passage", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "passage").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("stop"), F.min_by("keep", "first").alias("keep_doc_id"))
-    return spans.withColumn("n_words", F.col("stop") - F.col("first_word")).filter(F.col("n_words") >= LEAST_PASSAGE).select("doc_id", "passage", "first_word", "n_words", "keep_doc_id", (F.col("keep_doc_id") != F.col("doc_id")).alias("removed"))
+    gap = F.coalesce(F.col("first") - F.lag(F.col("first") + F.col("words")).over(order) > BRIDGE_WORDS, F.lit(True))
+    return found.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Whole runs of repeated paragraphs: doc_id, passage, first_word, n_words, keep_doc_id, removed.
+
+    One row per run and document that has it; a document without repeated passages has
+    none. Words are runs of other than ASCII white space, numbered from 0. ``passage``
+    numbers runs in a document. ``keep_doc_id`` is the smallest doc_id with the run's first
+    paragraph; the others may have another one, so removals go by ``passage_removals``.
+    """
+    spans = _runs(repeated_paragraphs(docs)).withColumnRenamed("run", "passage")
+    spans = spans.groupBy("doc_id", "passage").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("stop"), F.min_by("keep", "first").alias("keep_doc_id"))
+    return _rows(spans.filter(F.col("stop") - F.col("first_word") >= LEAST_PASSAGE))
+
+
+def passage_removals(docs: DataFrame) -> DataFrame:
+    """As ``repeated_passages``, but a run is one passage for each stretch that the same document keeps.
+
+    ``keep_doc_id`` is the smallest doc_id that has the passage's repeated paragraphs, and
+    ``removed`` says that this occurrence goes. LEAST_PASSAGE holds for whole runs, so a
+    passage beside one with another keeper may have fewer words.
+    """
+    order = Window.partitionBy("doc_id").orderBy("first")
+    starts = (F.col("gap") == 1) | F.coalesce(F.col("keep") != F.lag("keep").over(order), F.lit(True))
+    parts = _runs(repeated_paragraphs(docs)).withColumn("starts", starts.cast("int")).withColumn("passage", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parts.groupBy("doc_id", "run", "passage").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("stop"), F.min("keep").alias("keep_doc_id"))
+    whole = Window.partitionBy("doc_id", "run")
+    return _rows(spans.withColumn("run_words", F.max("stop").over(whole) - F.min("first_word").over(whole)).filter(F.col("run_words") >= LEAST_PASSAGE))
+
+
+def _rows(spans: DataFrame) -> DataFrame:
+    return spans.select("doc_id", "passage", "first_word", (F.col("stop") - F.col("first_word")).alias("n_words"), "keep_doc_id", (F.col("keep_doc_id") != F.col("doc_id")).alias("removed"))
 
 
 ship(__name__)

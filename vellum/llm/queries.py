@@ -13,7 +13,7 @@ from vellum.llm.html import extract
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.oracles import ORACLES
-from vellum.llm.passages import repeated_passages
+from vellum.llm.passages import passage_removals
 from vellum.llm.pii import pii_report
 from vellum.llm.secrets import secret_report
 from vellum.llm.simhash import simhash_groups
@@ -48,7 +48,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in two documents or more, over all paragraphs of all documents."""
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return passage_removals(table(spark, sf_dir, "documents"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
