@@ -128,3 +128,44 @@ def test_what_has_another_keeper_is_another_passage(spark, common_first):
     parts = [(p.lower().split()[20:-20], keeper) for p, keeper in ((common, 1), (text, 5))]
     for own, keeper in parts:
         assert all(kept[w] == {keeper} for w in own if common.lower().split().count(w) + text.lower().split().count(w) == 1)
+
+
+def wrapped(words, width):
+    return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+
+def pasted(rng, shared, width):
+    own = [w.strip(".") for w in prose(rng, 200)]
+    at = rng.randrange(len(own))
+    return wrapped([w.lower() for w in own[:at]] + shared + [w.lower() for w in own[at:]], width)
+
+
+def sharing(docs, n):
+    """Documents that have n words in a row with another one, line ends aside."""
+    having = {}
+    for doc_id, text in docs:
+        words = text.lower().split()
+        for k in range(len(words) - n + 1):
+            having.setdefault(tuple(words[k : k + n]), set()).add(doc_id)
+    return set().union(*[d for d in having.values() if len(d) > 1])
+
+
+def test_short_lines_and_other_widths(spark):
+    rng = random.Random(4)
+    docs = []
+    for k in range(0, 40, 2):
+        shared = [w.strip(".").lower() for w in prose(rng, 90)]
+        docs += [(k, pasted(rng, shared, rng.randint(3, 7))), (k + 1, pasted(rng, shared, rng.randint(3, 12)))]
+    docs += [(100 + k, pasted(rng, [], 5)) for k in range(10)]
+    verse = wrapped([w.strip(".") for w in prose(rng, 2_000)], 6)
+    docs += [(200, verse), (201, verse)]
+    rows = P.passage_removals(spark.createDataFrame([(*d, "c") for d in docs], SCHEMA)).collect()
+    assert {r.doc_id for r in rows} == sharing(docs, 80)
+    assert sum(r.n_words for r in rows if r.doc_id == 201 and r.removed) >= 2_000
+
+
+def test_all_words_lie_in_paragraphs_long_enough():
+    rng = random.Random(3)
+    for text in [wrapped(prose(rng, 300), 4), "w! " * 300, "x\n\ny\n" * 20, "a b c d e f g h"]:
+        words, _, _, length = P.paragraphs(text.encode())
+        assert length.min() >= P.LEAST_WORDS and length.sum() == len(words)

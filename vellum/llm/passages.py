@@ -1,11 +1,11 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, removals by components.
 
-A paragraph is a run of words that ends with a line or a sentence; sentences under
-LEAST_WORDS words go with the next one, and a run of more than LONG_WORDS words is cut
-further after words that a hash picks. Cuts thus depend on the words before them alone,
-and a passage pasted into the middle of another text gives the same paragraphs there,
-but for its first. Paragraphs still under LEAST_WORDS words are too short to tell copies
-from chance and only bridge their neighbours.
+A paragraph is a run of words between two cuts. A cut stands after a word whose rank is
+the least among the LEAST_WORDS - 1 words on each side; ranks are hashes of a word and the
+one before, and words that end a sentence rank before all others. Cuts thus depend on
+the words near them alone, not on lines: a passage pasted into another text or wrapped
+at another width has the same cuts but near its ends, and every paragraph has LEAST_WORDS
+words or more, unless the text has fewer.
 
 Paragraphs with the same words are one text, told by a 128-bit digest. Texts are banded
 by minima of hashed five-word shingles: BANDS bands of one row, by which texts at the
@@ -35,7 +35,6 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 3
 LEAST_WORDS = 8
-LONG_WORDS, CUT_EVERY = 64, 16
 #: Words that may stand between repeated paragraphs of one passage, and the words a passage has at least.
 BRIDGE_WORDS, LEAST_PASSAGE = 12, 20
 #: Texts that meet in one band before they are dealt anew by further minima, of which AGAIN are taken.
@@ -54,38 +53,31 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def paragraphs(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Words of a text in lower case, their hashes, and first word and length of each paragraph."""
-    words: list[bytes] = []
-    line_ends = []
-    for line in data.lower().split(b"\n"):
-        words += line.split()
-        line_ends.append(len(words))
+    words = data.lower().split()
     n = len(words)
     if not n:
         empty = np.zeros(0, np.int64)
         return words, empty.astype(np.uint64), empty, empty
     hashes = np.fromiter(map(zlib.crc32, words), np.uint64, n)
     last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
-    ends = (last == 46) | (last == 33) | (last == 63)
-    stops = np.nonzero(ends)[0] + 1
-    ends[stops[np.diff(stops, prepend=0) < LEAST_WORDS] - 1] = False
-    line_ends = np.unique(line_ends)
-    ends[line_ends[line_ends > 0] - 1] = True
-    stops = np.nonzero(ends)[0] + 1
-    lengths = np.diff(stops, prepend=0)
-    picked = mixed(hashes) % np.uint64(CUT_EVERY) == 0
-    for stop, length in zip(stops[lengths > LONG_WORDS].tolist(), lengths[lengths > LONG_WORDS].tolist(), strict=True):
-        now = stop - length
-        for cut in (np.nonzero(picked[now:stop])[0] + now + 1).tolist():
-            if cut - now >= LEAST_WORDS and stop - cut >= LEAST_WORDS:
-                ends[cut - 1] = True
-                now = cut
+    with np.errstate(over="ignore"):
+        picked = mixed(hashes * np.uint64(0x100000001B3) + np.concatenate([hashes[:1], hashes[:-1]])) >> np.uint64(1)
+    picked[(last != 46) & (last != 33) & (last != 63)] += np.uint64(1 << 63)
+    # A cut is the least of the LEAST_WORDS - 1 words on each side, the first of equal ones.
+    ends = np.ones(n, bool)
+    for k in range(1, min(LEAST_WORDS, n)):
+        ends[k:] &= picked[k:] < picked[:-k]
+        ends[:-k] &= picked[:-k] <= picked[k:]
+    ends[: LEAST_WORDS - 1] = False
+    ends[-LEAST_WORDS:] = False
+    ends[-1] = True
     stops = np.nonzero(ends)[0] + 1
     lengths = np.diff(stops, prepend=0)
     return words, hashes, stops - lengths, lengths
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs long enough to compare: place, digest and the minima of their shingles."""
+    """Paragraphs, all but those of texts too short to compare: place, digest and the minima of their shingles."""
     for batch in batches:
         docs, firsts, sizes, digests, minima = [], [], [], [], []
         for k, x in enumerate(batch.column(1)):
