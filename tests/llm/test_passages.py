@@ -169,3 +169,17 @@ def test_all_words_lie_in_paragraphs_long_enough():
     for text in [wrapped(prose(rng, 300), 4), "w! " * 300, "x\n\ny\n" * 20, "a b c d e f g h"]:
         words, _, _, length = P.paragraphs(text.encode())
         assert length.min() >= P.LEAST_WORDS and length.sum() == len(words)
+
+
+def test_passages_of_51_to_100_words_without_punctuation_are_found(spark):
+    rng = random.Random(6)
+    docs, lengths = [], {}
+    for k in range(0, 200, 2):
+        shared = [w.strip(".").lower() for w in prose(rng, 110)][: rng.randint(51, 100)]
+        lengths[k] = len(shared)
+        docs += [(k, pasted(rng, shared, 10_000)), (k + 1, pasted(rng, shared, 10_000))]
+    rows = P.passage_removals(spark.createDataFrame([(*d, "c") for d in docs], SCHEMA)).collect()
+    wanted = sharing(docs, 51)
+    assert len(wanted) == 200 and {r.doc_id for r in rows} <= wanted
+    assert len({r.doc_id for r in rows}) >= 0.97 * len(wanted)
+    assert {k for k, n in lengths.items() if n >= 65} <= {r.doc_id for r in rows}

@@ -1,7 +1,7 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, removals by components.
 
 A paragraph is a run of words between two cuts. A cut stands after a word whose rank is
-the least among the LEAST_WORDS - 1 words on each side; ranks are hashes of a word and the
+the least among the LEAST_WORDS - 1 words on each side, which is one in 11; ranks are hashes of a word and the
 one before, and words that end a sentence rank before all others. Cuts thus depend on
 the words near them alone, not on lines: a passage pasted into another text or wrapped
 at another width has the same cuts but near its ends, and every paragraph has LEAST_WORDS
@@ -34,7 +34,7 @@ from vellum.operators.components import connected_components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 3
-LEAST_WORDS = 8
+LEAST_WORDS = 6
 #: Words that may stand between repeated paragraphs of one passage, and the words a passage has at least.
 BRIDGE_WORDS, LEAST_PASSAGE = 12, 20
 #: Texts that meet in one band before they are dealt anew by further minima, of which AGAIN are taken.
@@ -159,7 +159,7 @@ def near_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
     its bands once, with a document that has it and its place there. It must be stored.
     """
     rows = texts.select("id", F.posexplode(F.array(*[F.col(f"band{b}") for b in range(BANDS)])).alias("band", "low")).select("id", F.xxhash64("band", "low").alias("key"))
-    met = store(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("key", "n"), "met")
+    met = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")  # one row per text and band
     meetings = store(rows.join(met, "key").select("key", "id", "n"), "meetings")
     wanted = meetings.select("id").distinct()
     at = F.struct(F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("words"), "id")
