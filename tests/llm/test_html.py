@@ -13,7 +13,14 @@ DATA = "/root/testdata/sf0.01"
 
 
 def text_of(*pages):
-    return H._texts([H.blocks_of(p) for p in pages])
+    """Texts of the pages of one host."""
+    laid = [H.laid_out(H.blocks_of(p)) for p in pages]
+    repeated: dict[int, int] = {}
+    for keys, counts in H.counted_runs("h", list({mark: streams for mark, streams, _ in laid}.values())):
+        for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            repeated[key] = repeated.get(key, 0) + n
+    often = np.array([key for key, n in repeated.items() if n >= H.MIN_PAGES], np.int64)
+    return [H.kept_text(streams, blocks, often, H.host_key("h")) for _, streams, blocks in laid]
 
 
 def test_suffix_array_sorts_to_depth():
@@ -79,11 +86,37 @@ def test_hosts_nulls_repeats_and_clashing_columns(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_runs_of_a_large_host_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(H, "RUN_TOKENS", 50)
-    rows = [(k, "http://one.example/p", f"<div>Menu of the site here</div><p>page {k} own words {k}") for k in range(40)]
-    found = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
-    assert len(found) == 40 and sum(r.text == f"page {r.page_id} own words {r.page_id}" for r in found) >= 36
+@pytest.mark.parametrize("partitions, adaptive, run_tokens", [(1, True, 50), (1, False, 400_000), (8, True, 400_000), (8, False, 50), (32, True, 7), (32, False, 400_000)])
+def test_pieces_and_partitions_change_nothing(spark, monkeypatch, partitions, adaptive, run_tokens):
+    monkeypatch.setattr(H, "RUN_TOKENS", run_tokens)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", str(adaptive).lower())
+    try:
+        rows = [(k, "http://one.example/p", f"<div>Menu of the site here</div><p>page {k} own words {k}") for k in range(40)]
+        rows += [(100 + k, f"http://two.example/{k}", f"<div>Menu of the site here</div><p>page {k % 2} own words {k % 2}") for k in range(6)]
+        rows += [(200 + k, f"http://h{k}.example", f"<div>Menu of the site here</div><p>page {k} own words {k}") for k in range(4)]
+        found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [found[k] for k in range(40)] == [f"page {k} own words {k}" for k in range(40)]
+    # Two distinct pages of a host, and pages of hosts of their own, repeat nothing.
+    assert [found[100 + k] for k in range(6)] == [f"Menu of the site here page {k % 2} own words {k % 2}" for k in range(6)]
+    assert [found[200 + k] for k in range(4)] == [f"Menu of the site here page {k} own words {k}" for k in range(4)]
+
+
+def test_classes_inside_an_article():
+    page = (
+        "<article><p>Let <math><mi>x</mi></math> be.</p><div class='social contract'><p>The contract of all</p></div><label>Kept label</label><div class='share'><a>T</a> <a>F</a></div>"
+        "<div class=ad-slot>no</div><div class=ad-hoc>Made for this</div><div class=article-footer>no</div><svg><title>no</title><text>Figure {0}</text></svg>{1}</article>"
+    )
+    kept = "Let x be. The contract of all Kept label Made for this Figure "
+    assert text_of(page.format(1, "")) == [kept + "1"]
+    # A doubtful class is decided by the runs that other pages of the host repeat.
+    notice = "<div class=notice>We moved our shop to the new street</div>"
+    assert text_of(*[page.format(k, notice) for k in range(3)]) == [f"Let x be. Kept label Made for this Figure {k}" for k in range(3)]
+    assert text_of(*[page.format(k, notice) for k in range(2)]) == [f"{kept}{k} We moved our shop to the new street" for k in range(2)]
 
 
 def test_repeated_runs_decide_open_blocks_of_pages_with_an_article():
