@@ -23,6 +23,39 @@ def test_held_out_accuracy(spark, model):
     assert n > 200 and right > 0.98 and rejected <= 0.02 * n
 
 
+FOREIGN = {
+    "russian": "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "chinese": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "gibberish": "xq zvkj wpfq gjkx bzzq vwxk jqpd kxzv mqjf wxvz qqkj zpwx fvkq jzxw",
+    "keys": "asdf jklö qwer uiop zxcv bnmm fghj dfgh werty sdfg hjkl cvbn rtyu",
+}
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", FOREIGN)
+def test_languages_never_learned_are_rejected(model, name):
+    label, score, rejected = model.predict(FOREIGN[name])
+    assert label in model.labels and rejected and score < model.threshold
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
+def test_right_predictions_stay(spark, model):
+    docs = table(spark, DATA, "documents").filter(L.held_out(F.col("doc_id")))
+    right = L.identify(docs, model, keep=("doc_id", "lang")).filter("lang = lang_pred").collect()
+    assert sum(not r.rejected for r in right) >= 0.98 * len(right)
+    assert 0.01 < model.temperature < 20
+
+
+def test_a_few_texts_and_many_languages(spark):
+    few = L.fit(["the thing", "le chose", "the other"], ["en", "fr", "en"])
+    assert few.labels == ["en", "fr"] and few.predict("the")[0] == "en" and not few.predict("the")[2]
+    many = L.fit([f"{chr(97 + k // 10)}{chr(107 + k % 10)} wort" for k in range(230)], [f"l{k}" for k in range(230)])
+    assert len(many.labels) == 230
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
 def test_training_never_sees_the_held_out_fold(spark, model):
     docs = table(spark, DATA, "documents")

@@ -1,12 +1,19 @@
 """Language ID: averaged hashed subword embeddings under a linear softmax.
 
 A word gives its character n-grams, an n-gram the bucket of its hash; a text is the
-mean of the embeddings of all its n-grams, and a linear layer scores the languages.
-Embeddings and layer are trained together by stochastic gradient descent in numpy, on
-the driver, over a bounded sample of labelled rows. Part of the sample is kept back to
-set the temperature of the scores and the score under which a prediction is rejected.
-
-After training only the product of embeddings and layer is needed (buckets x languages),
+mean of the embeddings of all its n-grams, and a linear layer scores the languages and
+one class more, which stands for none of them. Embeddings and layer are trained together
+by stochastic gradient descent in numpy, on the driver, over a bounded sample of labelled
+rows and over negatives made from them: words with their letters dealt anew, words of
+letters drawn at random, and words of letters of other scripts.
+
+Rejection is calibrated on what is kept back, every fifth text of a language. A
+temperature is fitted to these texts and to negatives made from them; then the score of
+right predictions is set against that of negatives and of whole languages that further
+models, trained without them, have never seen. The threshold lies between the two, and
+costs at most REJECTED of the right predictions.
+
+After training only the product of embeddings and layer is needed (buckets x classes),
 so a text costs one look-up per distinct word; its size does not depend on the corpus.
 """
 
@@ -26,19 +33,21 @@ from vellum.llm.common import chunks, ship
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
-EPOCHS = 4
+EPOCHS = 3
 RATE = 0.5
 SEED = 7
-#: Labelled rows the model is fitted on: this many for all languages together (twice as many are never exceeded), languages alike.
-TRAIN_DOCS = 2_000
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 200
+#: Labelled rows the model is fitted on: about this many for all languages together, but PER_LANGUAGE of each; of a text, a stretch of TRAIN_CHARS characters.
+TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS = 2_000, 50, 1_500
 #: Examples cut from a training text besides the whole, and their words.
-WINDOWS, WINDOW_WORDS = 5, (1, 30)
-#: Share of right predictions on texts kept back that a rejection may cost at most, and the margin below that score.
-REJECTED, MARGIN = 0.001, 0.8
-#: The score above which nothing is rejected, so that a text of two languages stays.
-MOST_THRESHOLD = 0.4
+WINDOWS, WINDOW_WORDS = 4, (1, 24)
+#: Negatives of each kind for one training text.
+NEGATIVES = 0.2
+#: Share of right predictions on texts kept back that a rejection may cost at most.
+REJECTED = 0.003
+#: Models that are trained to calibrate, each without one part of the languages, and their epochs.
+FOLDS, FOLD_EPOCHS = 3, 1
+#: Code points of letters from which words of other scripts are made: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Kana, Han, Hangul.
+SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 #: Words whose scores a task remembers; the memory is emptied when full.
 REMEMBERED = 300_000
 #: Characters of text whose new words are looked up together.
@@ -66,7 +75,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Scores of languages by bucket; predicts a label, a score and whether to reject."""
+    """Scores of languages by bucket, and in the last column that of none of them; predicts a label, a score and whether to reject."""
 
     def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
         self.labels, self.table, self.bias, self.temperature, self.threshold = labels, table, bias, temperature, threshold
@@ -74,7 +83,7 @@ class LanguageModel:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.sums, self.sizes = np.zeros((0, len(self.labels))), np.zeros(0)
+        self.sums, self.sizes = np.zeros((0, self.table.shape[1])), np.zeros(0)
 
     def learn(self, words: set[str]) -> None:
         """Sum the scores of words not met before."""
@@ -84,7 +93,7 @@ class LanguageModel:
         if not new or not self.labels:
             return
         buckets, owners = grams(new)
-        sums = [np.bincount(owners, weights=self.table[buckets, k], minlength=len(new)) for k in range(len(self.labels))]
+        sums = [np.bincount(owners, weights=self.table[buckets, k], minlength=len(new)) for k in range(self.table.shape[1])]
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         self.sums = np.concatenate([self.sums, np.stack(sums, axis=1)])
         self.sizes = np.concatenate([self.sizes, np.bincount(owners, minlength=len(new))])
@@ -108,7 +117,7 @@ class LanguageModel:
         if not self.labels or not any(any(map(str.isalpha, w)) for w in words):
             return UNDETERMINED, 0.0, True
         p = softmax(self.logits(words) / self.temperature)
-        best = int(p.argmax())
+        best = int(p[:-1].argmax())
         score = float(min(1.0, p[best]))
         return self.labels[best], score, score < self.threshold
 
@@ -118,37 +127,45 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def _examples(texts: list[str], answers: list[int], random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Distinct buckets with their shares for each whole text and for windows of it."""
-    examples = []
-    for text, answer in zip(texts, answers, strict=True):
-        words = WORD.findall(text.lower())
-        cuts = [words]
-        for _ in range(WINDOWS):
-            size = int(random.integers(*WINDOW_WORDS, endpoint=True))
-            begin = int(random.integers(0, max(1, len(words) - size)))
-            cuts.append(words[begin : begin + size])
-        for cut in cuts:
-            if cut:
-                found = grams(cut)[0]
-                buckets, times = np.unique(found, return_counts=True)
-                examples.append((buckets, times / len(found), answer))
-    return examples
+def _cuts(text: str, random: np.random.Generator) -> list[list[str]]:
+    """The words of a text, and of windows of it."""
+    words = WORD.findall(text.lower())
+    cuts = [words]
+    for _ in range(WINDOWS):
+        size = int(random.integers(*WINDOW_WORDS, endpoint=True))
+        begin = int(random.integers(0, max(1, len(words) - size)))
+        cuts.append(words[begin : begin + size])
+    return [c for c in cuts if c]
 
 
-def fit(texts: list[str], langs: list[str]) -> LanguageModel:
-    """A model from labelled texts; every fifth text (in the order given) is kept back for calibration."""
-    labels = sorted(set(langs))
-    if not labels:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    random = np.random.default_rng(SEED)
-    answers = [labels.index(x) for x in langs]
-    kept = [k for k in range(len(texts)) if k % 5 != 4] if len(texts) >= 50 else list(range(len(texts)))
-    examples = _examples([texts[k] for k in kept], [answers[k] for k in kept], random)
+def negatives(words: list[str], letters: np.ndarray, random: np.random.Generator) -> list[list[str]]:
+    """Of one list of words, three that belong to no language: letters of each word dealt anew, letters drawn from all, letters of another script."""
+    low, high = SCRIPTS[int(random.integers(len(SCRIPTS)))]
+    codes = [np.array([ord(c) for c in w], np.uint32) for w in words]
+    dealt = [random.permutation(c) for c in codes]
+    drawn = [random.choice(letters, len(c)) for c in codes]
+    foreign = [random.integers(low, high, len(c), endpoint=True) for c in codes]
+    return [[c.astype("<u4").tobytes().decode("utf-32-le") for c in made] for made in (dealt, drawn, foreign)]
+
+
+def letters_of(texts: list[list[str]]) -> np.ndarray:
+    """Code points of all letters of the texts."""
+    return np.array(sorted({ord(c) for words in texts for c in set("".join(words))}) or [ord("a")], np.uint32)
+
+
+def _example(words: list[str], answer: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets with their shares."""
+    found = grams(words)[0]
+    buckets, times = np.unique(found, return_counts=True)
+    return buckets, times / len(found), answer
+
+
+def _descend(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, random: np.random.Generator, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent over the examples: the scores of buckets by class, and of classes."""
     embedding = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
-    layer, bias = np.zeros((DIMENSIONS, len(labels))), np.zeros(len(labels))
-    steps, done = EPOCHS * max(1, len(examples)), 0
-    for _ in range(EPOCHS):
+    layer, bias = np.zeros((DIMENSIONS, classes)), np.zeros(classes)
+    steps, done = epochs * max(1, len(examples)), 0
+    for _ in range(epochs):
         for k in random.permutation(len(examples)):
             buckets, shares, answer = examples[k]
             rate = RATE * (1 - done / steps)
@@ -157,45 +174,110 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel:
             error = softmax(mean @ layer + bias)
             error[answer] -= 1
             back = layer @ error
-            layer -= rate * np.outer(mean, error)
+            layer -= rate * mean[:, None] * error
             bias -= rate * error
-            embedding[buckets] -= rate * np.outer(shares, back) * len(buckets) ** 0.5
-    model = LanguageModel(labels, embedding @ layer, bias)
-    _calibrate(model, [(texts[k], answers[k]) for k in range(len(texts)) if k % 5 == 4] if len(texts) >= 50 else [])
+            embedding[buckets] -= (rate * len(buckets) ** 0.5) * shares[:, None] * back
+    return embedding @ layer, bias
+
+
+def fit(texts: list[str], langs: list[str]) -> LanguageModel:
+    """A model from labelled texts. Every fifth text of each language (in the order given) is kept back for calibration.
+
+    With no text kept back, that is with under five texts of every language, nothing
+    is rejected but texts without a letter.
+    """
+    labels = sorted(set(langs))
+    if not labels:
+        return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1))
+    random, none = np.random.default_rng(SEED), len(labels)
+    met, used, held = [0] * len(labels), [], []
+    for text, answer in zip(texts, map(labels.index, langs), strict=True):
+        met[answer] += 1
+        if met[answer] % 5:
+            used.append((_cuts(text, random), answer))
+        elif words := WORD.findall(text.lower()):
+            held.append((words, answer))
+    letters = letters_of([cuts[0] for cuts, _ in used if cuts])
+    examples = [_example(words, answer) for cuts, answer in used for words in cuts]
+    made = [words[: WINDOW_WORDS[1]] for cuts, _ in used for words in cuts if random.random() < NEGATIVES]
+    examples += [_example(words, none) for own in made for words in negatives(own, letters, random)]
+    model = LanguageModel(labels, *_descend(examples, none + 1, random, EPOCHS))
+    if held:
+        unseen = []
+        for fold in range(FOLDS):
+            known = [k for k in range(none) if k % FOLDS != fold]
+            left_out = [words for words, answer in held if answer % FOLDS == fold]
+            if left_out and known:
+                number = {k: n for n, k in enumerate([*known, none])}
+                seen = [(buckets, shares, number[answer]) for buckets, shares, answer in examples if answer in number]
+                partial = LanguageModel([labels[k] for k in known], *_descend(seen, len(known) + 1, random, FOLD_EPOCHS))
+                unseen.append((partial, left_out))
+        _calibrate(model, held, unseen, random)
     return model
 
 
-def _calibrate(model: LanguageModel, held: list[tuple[str, int]]) -> None:
-    """Set the temperature of least loss, then the score that at most REJECTED of the right predictions miss."""
-    scored = []
-    for text, answer in held:
-        words = Counter(WORD.findall(text.lower()))
-        if words:
-            model.learn(set(words))
-            scored.append((model.logits(words), answer))
-    if not scored:
-        return
-    grid = np.geomspace(0.05, 20, 60)
-    loss = [sum(-np.log(softmax(z / t)[answer] + 1e-12) for z, answer in scored) for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
-    right = [float(p.max()) for z, answer in scored if int((p := softmax(z / model.temperature)).argmax()) == answer]
+def _calibrate(model: LanguageModel, held: list[tuple[list[str], int]], unseen: list[tuple[LanguageModel, list[list[str]]]], random: np.random.Generator) -> None:
+    """Set the temperature of least loss, then a threshold between the scores of right predictions and those of negatives."""
+
+    def logits(by: LanguageModel, words: list[str]) -> np.ndarray:
+        counted = Counter(words)
+        by.learn(set(counted))
+        return by.logits(counted)
+
+    letters = letters_of([words for words, _ in held])
+    scored = [(logits(model, words), answer) for words, answer in held]
+    made = [logits(model, words) for own, _ in held for words in negatives(own[: WINDOW_WORDS[1]], letters, random)]
+    answered = scored + [(z, len(model.labels)) for z in made]
+    # Targets short of 1, after Platt: without them separable texts would have no temperature of least loss.
+    sure = (len(answered) + 1) / (len(answered) + 2)
+    scores, answers = np.stack([z for z, _ in answered]), np.array([answer for _, answer in answered])
+    targets = np.full(scores.shape, (1 - sure) / (scores.shape[1] - 1))
+    targets[np.arange(len(answers)), answers] = sure
+
+    def loss(t: float) -> float:
+        log = (scores - scores.max(axis=1, keepdims=True)) / t
+        log -= np.log(np.exp(log).sum(axis=1, keepdims=True))
+        return float(-(targets * log).sum())
+
+    grid = np.geomspace(0.01, 20, 80)
+    model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
+
+    def score(z: np.ndarray) -> float:
+        """Of the best language against all others and none, as log odds."""
+        p = z / model.temperature
+        best = int(p[:-1].argmax())
+        rest = np.delete(p, best)
+        return float(p[best] - rest.max() - np.log(np.exp(rest - rest.max()).sum()))
+
+    right = [score(z) for z, answer in scored if int(z[:-1].argmax()) == answer]
+    wrong = [score(z) for z in made] + [score(logits(by, words)) for by, left_out in unseen for words in left_out]
     if right:
-        model.threshold = min(MOST_THRESHOLD, MARGIN * float(np.quantile(right, REJECTED)))
+        low, high = float(np.quantile(wrong, 1 - REJECTED)), float(np.quantile(right, REJECTED))
+        between = (low + high) / 2 if low < high else high
+        model.threshold = float(1 / (1 + np.exp(-between)))
 
 
 def train(docs: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Fit on a bounded sample of the ``usable`` rows of ``docs`` with text and lang.
 
-    Languages get like shares of the sample; rows are drawn by a hash of doc_id and text.
+    All languages are learned and get like shares of the sample, PER_LANGUAGE rows or
+    more if they have so many; rows are drawn by a hash of doc_id and text, and of a text
+    longer than TRAIN_CHARS a stretch of that length from a place drawn likewise. The
+    driver holds one stretch per sampled row and one row of scores per language.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([], [])
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / len(counts) / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.filter(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).orderBy(F.xxhash64("doc_id", F.lit(SEED)), F.xxhash64("text"), "lang").limit(2 * train_docs).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    each = max(PER_LANGUAGE, train_docs / len(counts))
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    draw = F.xxhash64("doc_id", F.lit(SEED))
+    chance = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
+    begin = F.pmod(F.shiftright(draw, 20), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    sample = labelled.filter(chance < share[F.col("lang")]).select(draw.alias("draw"), F.xxhash64("text").alias("mark"), "lang", F.substring("text", begin, F.lit(TRAIN_CHARS)).alias("text"))
+    # The draw gives a language more than its share only by chance; twice the share is never exceeded.
+    rows = sample.orderBy("draw", "mark", "lang").limit(int(2 * each * len(counts))).collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def held_out(doc_id: Column) -> Column:
