@@ -36,6 +36,18 @@ def test_planted_spans_and_checksums():
     assert not P.mod97("DE88370400440532013000") and P.mod97("GB82WEST12345698765432")
 
 
+def test_ibans_end_with_the_length_of_their_country():
+    for text, want in (
+        ("DE89370400440532013000 IBAN OK", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 BIC DEUTDEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("NO9386011117947 GB82WEST12345698765432, NO9386011117947", ["NO9386011117947", "GB82WEST12345698765432", "NO9386011117947"]),
+        ("DE893704004405320130001", []),
+        ("DE89 3704 0044 0532 0130", []),
+        ("ZZ89370400440532013000", []),
+    ):
+        assert [text[a:b] for k, a, b in P.propose(text) if k == "iban"] == want
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000, "1" * 200_000, "1 " * 100_000, "+1" * 100_000, "a@" * 100_000, "." * 200_000 + "@x.y", "1." * 100_000):
         P.propose(text)
