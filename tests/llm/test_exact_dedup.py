@@ -10,18 +10,22 @@ SCHEMA = "doc_id long, text string, keep_id string, digest string"
 
 
 def brute(rows):
-    groups = {}
+    """One row of each text is kept, though others repeat its doc_id."""
+    groups, done = {}, set()
     for doc_id, text in rows:
         groups.setdefault(text or "", []).append(doc_id)
     out = []
     for doc_id, text in rows:
         known = [i for i in groups[text or ""] if i is not None]
         keep = max(known) if known else None
-        out.append((doc_id, keep, len(groups[text or ""]), doc_id == keep, hashlib.sha256((text or "").encode()).hexdigest()))
+        kept = doc_id == keep and (text or "") not in done
+        if kept:
+            done.add(text or "")
+        out.append((doc_id, keep, len(groups[text or ""]), kept, hashlib.sha256((text or "").encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-ROWS = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "A"), (7, "long " * 50_000), (8, "long " * 50_000), (None, "a"), (None, "only"), (9, "b"), (9, "b")]
+ROWS = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "A"), (7, "long " * 50_000), (8, "long " * 50_000), (None, "a"), (None, "only"), (None, "only"), (9, "b"), (9, "b"), (9, "c"), (9, "a")]
 
 
 @pytest.mark.parametrize("history", ["doc_id % 2 = 0", "true", "false", "doc_id > 100"])

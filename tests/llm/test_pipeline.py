@@ -57,6 +57,22 @@ def test_stages_against_brute_force(spark, docs):
     assert sorted(r.doc_id for r in coded) == sorted(r.doc_id for r in mixed.collect()) and all(r.n_tokens > 0 for r in coded)
 
 
+def test_repeated_and_missing_doc_ids(spark):
+    """Rows are judged by their own text: one row of a text stays, and rows of one id with other texts stay too."""
+    stages = dict(corpus_pipeline.STAGES)
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[4]), (3, texts[4]), (None, texts[4]), (8, None), (8, ""), (None, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, best in (("exact", 7), ("near", 3)):
+        want = sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (best, texts[4]), (8, "")], key=repr)
+        kept = stages[name](spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted([(r.doc_id, r.text or "") for r in kept.collect()], key=repr) == want
+    # All sources are one and take all words once.
+    mixed = stages["mixing"](spark, docs, "")
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.filter("text <> ''").collect()), key=repr) == sorted(map(tuple, docs.filter("text <> ''").collect()), key=repr)
+
+
 def test_run_on_no_documents(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.session import ship
 from vellum.storage import store
 
-__all__ = ["chunks", "join_back", "ship", "store"]
+__all__ = ["LOCATOR", "chunks", "join_back", "located", "ship", "store"]
 
 #: Keys that get a broadcast row of their own in a join back; any other key then holds under 1/256 of the rows.
 HOT_KEYS = 256
@@ -33,6 +34,22 @@ def join_back(rows: DataFrame, verdicts: DataFrame, key: str, weight: str, sprea
     return joined.select(*rows.columns, *[value(c).alias(c) for c in payload])
 
 
+#: Names of the columns that tell every row of a table from every other.
+LOCATOR = ("_file", "_row")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with LOCATOR: a hash of its file's path and its number in the file, the same whenever it is read.
+
+    Tables of other than Parquet files are stored first. Columns of those names are replaced.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = store(docs, "rows")
+    return docs.withColumns({LOCATOR[0]: F.xxhash64("_metadata.file_path"), LOCATOR[1]: F.col("_metadata.row_index")})
+
+
 def chunks(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
     """Runs of texts of about so many characters; a longer text is a run of its own."""
     now, size = [], 0

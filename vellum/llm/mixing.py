@@ -75,18 +75,18 @@ def _nearest(ordered: DataFrame, due: Column, before: Column) -> Column:
     return (due > 0) & ((2 * before + F.col("size")) <= 2 * due)
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, repeats.
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, repeats, and the columns ``keep``.
 
     Weights go round the sources by code point, the null source last. ``taken`` is
     ``size`` times ``repeats``, which never exceeds ``max_epochs``; reruns agree.
     Documents without words are taken not at all beyond the whole repetitions. Rows
     with one doc_id and size share their seeded place and are ordered arbitrarily among
-    themselves, which changes no sum. Only doc_id, text and source are read, so extra
-    columns cannot clash. Empty tables give an empty result.
+    themselves, which changes no sum. Only doc_id, text, source and ``keep`` (names not
+    made here) are read, so extra columns cannot clash. Empty tables give an empty result.
     """
     size = words_of(F.col("text"))
-    rows = docs.select("doc_id", "source", size.alias("size")).withColumn("place", draw(F.col("doc_id"), F.col("size")))
+    rows = docs.select("doc_id", "source", size.alias("size"), *keep).withColumn("place", draw(F.col("doc_id"), F.col("size")))
     rows = store(rows.withColumn("bucket", F.pmod("place", F.lit(BUCKETS))), "sizes")
     sums = store(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     sources = ranked_sources(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     placed = small.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     more = _nearest(placed, F.col("due") - F.col("given"), F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    done = placed.withColumn("more", more).select("doc_id", "size", "source_size", "target", "whole", "more").unionByName(large.select("doc_id", "size", "source_size", "target", "whole", "more"))
+    wanted = ("doc_id", "size", "source_size", "target", "whole", "more", *keep)
+    done = placed.withColumn("more", more).select(*wanted).unionByName(large.select(*wanted))
     repeats = F.least(F.col("whole") + F.when(F.col("more") & (F.col("size") > 0), 1).otherwise(0), F.lit(max_epochs)).cast("int")
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *keep)

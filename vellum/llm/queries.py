@@ -73,7 +73,7 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(table(spark, sf_dir, "documents")).drop("root_fp")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

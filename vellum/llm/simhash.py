@@ -84,7 +84,7 @@ def rotated(values: np.ndarray, left: int) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x.as_py() or b"") for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 class GrayTree:
@@ -238,27 +238,29 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     return turned.withColumn("own", F.lit(True)).unionByName(probes).groupBy("shard").applyInArrow(_links, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+def simhash_groups(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, root_fp, and the columns ``keep``.
 
     Null and empty texts have fingerprint zero and link like any other. component_id is
     the smallest doc_id reachable over fingerprints that differ in MAX_DISTANCE bits or
-    fewer; null only where no row of the component has a doc_id. Repeated rows share
-    their component. Only doc_id and text are read, so extra columns cannot clash.
-    Empty tables give an empty result.
+    fewer; null only where no row of the component has a doc_id. root_fp is the same for
+    all rows of a component, and for no others. Repeated rows share their component.
+    doc_id has any type that can be ordered. Only doc_id, text and ``keep`` (names not
+    made here) are read, so extra columns cannot clash. Empty tables give an empty result.
     """
-    rows = store(docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    own, *passed = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"), *keep).mapInArrow(_fingerprints, ", ".join([own, "fp long", *passed]))
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     values = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "values")
     roots = store(connected_components(near_links(values)), "roots")
     linked = store(values.join(roots, values.fp == roots.node).select("fp", "first", "root"), "linked")
     least = store(linked.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("size")), "least")
-    of_linked = join_back(linked.select("fp", "root"), least, "root", "size", F.col("fp")).select(F.col("fp").alias("linked_fp"), "component")
-    verdicts = store(
-        values.join(of_linked, values.fp == F.col("linked_fp"), "left").select("fp", "n", F.when(F.col("linked_fp").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id")),
-        "verdicts",
-    )
-    joined = join_back(rows, verdicts, "fp", "n", F.xxhash64("doc_id"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_linked = join_back(linked.select("fp", "root"), least, "root", "size", F.col("fp")).select(F.col("fp").alias("linked_fp"), "root", "component")
+    alone = F.col("linked_fp").isNull()
+    verdicts = values.join(of_linked, values.fp == F.col("linked_fp"), "left")
+    verdicts = store(verdicts.select("fp", "n", F.when(alone, F.col("first")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("fp")).otherwise(F.col("root")).alias("root_fp")), "verdicts")
+    joined = join_back(rows, verdicts, "fp", "n", F.col("row"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root_fp", *keep)
 
 
 ship(__name__)
