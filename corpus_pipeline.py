@@ -2,6 +2,8 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame. It works on all rows that the stage
 before it kept; each result is written as Parquet and read again as the next stage's docs.
+A stage decides about rows, told by their place in the files, not about doc_ids: rows
+without a doc_id or with one that others have are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -10,47 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import bpe_encode
-from vellum.llm.common import store
+from vellum.llm.common import LOCATOR, located, store
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.simhash import simhash_groups
 
 
-def _rows_of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id the verdicts (doc_id, repeats) name, each repeated as often as they say."""
-    wanted = verdicts.groupBy("doc_id").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
+def _without(docs: DataFrame, losers: DataFrame) -> DataFrame:
+    """Located ``docs`` without the rows named; what is named is stored, so Spark knows its size and broadcasts it only if small."""
+    return docs.join(store(losers.select(*LOCATOR), "losers"), list(LOCATOR), "left_anti").drop(*LOCATOR)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language the classifier does not reject; all columns pass through."""
+    """Keep the documents whose language the classifier does not reject; all columns pass through.
+
+    Null texts and texts without a letter go; repeated rows share their verdict.
+    """
     model = train(docs, ~held_out(F.col("doc_id")))
     return identify(docs, model, keep=tuple(docs.columns), only_accepted=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the row with the largest doc_id."""
+    """Of equal texts, keep one row: one with the largest doc_id, or any row if none has a doc_id. Null equals the empty text."""
+    rows = located(docs)
     first = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0, F.lit(False))
-    kept = exact_dedup(docs, first).filter("kept")
-    return _rows_of(docs, kept.select("doc_id", F.lit(1).alias("repeats")))
+    return _without(rows, exact_dedup(rows, first, keep=LOCATOR).filter("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, keep the one with the smallest doc_id."""
-    groups = simhash_groups(docs)
-    return _rows_of(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.lit(1).alias("repeats")))
+    """Of documents linked by their fingerprints, keep one row: the smallest doc_id, nulls last, then the first in the files."""
+    rows = located(docs)
+    groups = store(simhash_groups(rows, keep=LOCATOR), "groups")
+    winners = groups.groupBy("root_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *LOCATOR)).alias("best")).select(*[F.col(f"best.{c}").alias(c) for c in LOCATOR])
+    return _without(rows, groups.join(winners, list(LOCATOR), "left_anti"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
-    taken = store(mix(docs).select("doc_id", "repeats"), "taken")
-    return _rows_of(docs, taken.filter("repeats > 0"))
+    """Repeat or leave out documents so that sources meet their target weights; the null source is one of them, rows without words stay as often as their whole source."""
+    rows = located(docs)
+    taken = store(mix(rows, keep=LOCATOR).filter("repeats > 0").select(*LOCATOR, F.col("repeats").alias("_repeats")), "taken")
+    return rows.join(taken, list(LOCATOR)).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and the digest of their round trip."""
+    """Number and digest of every document's token ids and digest of their round trip; null texts have no tokens."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
