@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from vellum.llm import passages as P
@@ -94,6 +96,40 @@ def test_crowded_bands_are_dealt_anew(spark, monkeypatch):
     assert {tuple(r) for r in got} == brute(docs)
 
 
+def test_dividing_crowds_changes_nothing(spark, monkeypatch):
+    """Hundreds of texts with one common phrase, some of them similar, on both sides of the bound and far below it."""
+    rng = random.Random(12)
+    phrase = "all rights reserved by the lovely firm of this country".split()
+    docs = []
+    for k in range(0, 240, 2):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(14)]
+        near = [*own[:-1], "other"] if k % 4 else own[::-1]
+        docs += [(k, " ".join(phrase + own)), (k + 1, " ".join(phrase + near))]
+    docs += [(1_000 + k, " ".join([*phrase, *("same words stand here in all of the many copies of it".split()), f"n{k}"])) for k in range(60)]
+    # No cuts: a text is one paragraph.
+    whole = lambda data: (w := data.lower().split(), np.fromiter(map(zlib.crc32, w), np.uint64, len(w)), np.zeros(1, np.int64), np.array([len(w)]))
+    monkeypatch.setattr(P, "paragraphs", whole)
+    frame = spark.createDataFrame([(*d, "c") for d in docs], SCHEMA)
+    found = []
+    for crowd in (1, 59, 60, 61, 10**9):
+        monkeypatch.setattr(P, "CROWD", crowd)
+        found.append({tuple(r) for r in P.repeated_paragraphs(frame).collect()})
+    assert all(f == found[0] for f in found)
+    similar = {d for k in range(0, 240, 2) if k % 4 for d in (k, k + 1)} | {1_000 + k for k in range(60)}
+    assert {r[0] for r in found[0]} == similar
+
+
+def test_bands_follow_the_wanted_recall():
+    assert [P.tuned_bands(0.8, r) for r in (0.5, 0.8, 0.95, 0.99, 0.9999)] == [1, 1, 2, 3, 6] and P.tuned_bands(0.8, 0.99, 2) == 5
+
+
+def test_least_passage_is_a_parameter(spark):
+    rng = random.Random(13)
+    text = " ".join(prose(rng, 12)[:12])
+    frame = spark.createDataFrame([(1, text, "c"), (2, text, "c")], SCHEMA)
+    assert P.passage_removals(frame).count() == 0 and P.passage_removals(frame, least_passage=6).count() == 2
+
+
 def test_nulls_empties_repeats_and_long_texts(spark):
     rng = random.Random(5)
     text, long = " ".join(prose(rng, 60)), " ".join(prose(rng, 30_000))

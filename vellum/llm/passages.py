@@ -8,17 +8,20 @@ at another width has the same cuts but near its ends, and every paragraph has LE
 words or more, unless the text has fewer.
 
 Paragraphs with the same words are one text, told by a 128-bit digest. Texts are banded
-by minima of hashed five-word shingles: BANDS bands of one row, by which texts at the
-limit of 0.8 meet with probability 1 - 0.2^3 = 0.992 and more similar ones oftener. Texts
+by minima of hashed five-word shingles. Bands have one row, and there are as many as
+RECALL asks for: with three, texts at the limit of 0.8 meet with probability
+1 - 0.2^3 = 0.992 and more similar ones oftener. A band in which more than CROWD texts
+meet is divided by the rarest shingles of its texts, so that no similar pair is parted. Texts
 that meet are compared by the exact Jaccard similarity of their shingle sets; links
 give components. A component that stands in two documents or more is repeated; its
 occurrence in the smallest doc_id stays, all others are removals. Repeated paragraphs
-that follow each other in a document are one run, reported from LEAST_PASSAGE words; a
+that follow each other in a document are one run, reported from LEAST_PASSAGE words (a parameter); a
 run is one passage for each stretch that the same document keeps.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +36,23 @@ from vellum.operators.components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 3
+#: Wanted probability that two texts at the limit meet.
+RECALL = 0.99
+
+
+def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
+    """The least number of bands of so many rows in which texts of that similarity meet with the wanted probability."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows) - 1e-9))
+
+
+BANDS = tuned_bands(SIMILARITY, RECALL)
 LEAST_WORDS = 6
 #: Words that may stand between repeated paragraphs of one passage, and the words a passage has at least.
 BRIDGE_WORDS, LEAST_PASSAGE = 12, 20
-#: Texts that meet in one band before they are dealt anew by further minima, of which AGAIN are taken.
-CROWD, AGAIN = 2_048, 4
+#: Texts that meet in one band before it is divided (which changes no result), and rows that are compared in one group.
+CROWD, PART_ROWS = 2_048, 16_384
 
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_SEEDS = np.cumsum(np.full(BANDS, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -93,7 +105,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Shingles inside a paragraph lie from its first word to SHINGLE_WORDS - 1 before its end.
             edges = np.stack([first, first + length - SHINGLE_WORDS + 1], axis=1).ravel()
             edges = edges[:-1] if edges[-1] == len(shingles) else edges
-            minima.append(np.stack([np.minimum.reduceat(mixed(shingles ^ seed), edges)[::2] for seed in _SEEDS[:BANDS]]))
+            minima.append(np.stack([np.minimum.reduceat(mixed(shingles ^ seed), edges)[::2] for seed in _SEEDS]))
             docs += [k] * len(first)
             firsts.append(first)
             sizes.append(length)
@@ -164,18 +176,38 @@ def near_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = meetings.select("id").distinct()
     at = F.struct(F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("words"), "id")
     asked = store(texts.join(wanted, "id", "left_semi").groupBy(F.col("low").alias("of")).agg(F.collect_list(at).alias("asked")), "asked")
-    bodies = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of"))).select("data", "asked")
+    bodies = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(asked, F.col("doc_id") == F.col("of")).select("data", "asked")
     sets = store(bodies.mapInArrow(_shingle_sets, "id binary, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
-    paired = meetings.join(sets, "id")
-    again = F.array(*[_further(k) for k in range(AGAIN)])
-    keys = F.when(F.col("n") > CROWD, again).otherwise(F.array("key"))
-    dealt = paired.select("id", "shingles", F.explode(keys).alias("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4_096)))
-    return dealt.groupBy("part").applyInArrow(_links, "u binary, v binary")
-
-
-def _further(k: int):
-    """One more minimum of a text's shingles, within its band."""
-    return F.xxhash64("key", F.lit(k), F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k)))))
+    small = meetings.filter(F.col("n") <= CROWD).select("key", "id")
+    crowded, crowd_rows = meetings.filter(F.col("n") > CROWD).select("key", "id"), None
+    while (now := crowded.count()) and (crowd_rows is None or now < crowd_rows):
+        crowd_rows = now
+        divided = store(_divided(crowded, sets), "divided")
+        sizes = store(divided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        divided = store(divided.join(sizes, "key"), "divided")
+        small = small.unionByName(divided.filter(F.col("n") <= CROWD).select("key", "id"))
+        crowded = divided.filter(F.col("n") > CROWD).select("key", "id")
+    dealt = store(small.unionByName(crowded), "dealt")
+    parts = max(1, -(-dealt.count() // PART_ROWS))
+    paired = dealt.join(sets, "id").select("id", "shingles", "key", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)).alias("part"))
+    return paired.groupBy("part").applyInArrow(_links, "u binary, v binary")
+
+
+def _divided(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows ``key, id`` anew, by a key for each of the rarest shingles that a text has.
+
+    Shingles are ordered by the number of texts under the same key that have them. Of two
+    sets of which one holds 0.8 of the other, the first fifth of each (and one more) have a
+    shingle in common, whatever the order, so every similar pair meets under a new key.
+    What all texts of a crowd share comes last and brings them together no more.
+    """
+    rows = store(crowded.join(sets, "id").select("key", "id", F.explode("shingles").alias("shingle")).withColumn("place", F.xxhash64("key", "shingle")), "crowds")
+    counts = store(rows.groupBy("place").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "times")
+    known = join_back(rows, counts, "place", "times", F.xxhash64("id", "shingle")).withColumn("times", F.coalesce("times", F.lit(1)))
+    order = known.groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("order"))
+    # In whole numbers: n less the least that 0.8 n may be, and one.
+    first = order.select("key", "id", F.expr("slice(order, 1, cast(size(order) - (4 * size(order) + 4) div 5 + 1 as int))").alias("first"))
+    return first.select("id", "key", F.inline("first")).filter("times > 1").select(F.xxhash64("key", "shingle").alias("key"), "id")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -211,7 +243,7 @@ def _runs(found: DataFrame) -> DataFrame:
     return found.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """Whole runs of repeated paragraphs: doc_id, passage, first_word, n_words, keep_doc_id, removed.
 
     One row per run and document that has it; a document without repeated passages has
@@ -221,14 +253,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spans = _runs(repeated_paragraphs(docs)).withColumnRenamed("run", "passage")
     spans = spans.groupBy("doc_id", "passage").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("stop"), F.min_by("keep", "first").alias("keep_doc_id"))
-    return _rows(spans.filter(F.col("stop") - F.col("first_word") >= LEAST_PASSAGE))
+    return _rows(spans.filter(F.col("stop") - F.col("first_word") >= least_passage))
 
 
-def passage_removals(docs: DataFrame) -> DataFrame:
+def passage_removals(docs: DataFrame, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """As ``repeated_passages``, but a run is one passage for each stretch that the same document keeps.
 
     ``keep_doc_id`` is the smallest doc_id that has the passage's repeated paragraphs, and
-    ``removed`` says that this occurrence goes. LEAST_PASSAGE holds for whole runs, so a
+    ``removed`` says that this occurrence goes. ``least_passage`` holds for whole runs, so a
     passage beside one with another keeper may have fewer words.
     """
     order = Window.partitionBy("doc_id").orderBy("first")
@@ -236,7 +268,7 @@ def passage_removals(docs: DataFrame) -> DataFrame:
     parts = _runs(repeated_paragraphs(docs)).withColumn("starts", starts.cast("int")).withColumn("passage", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = parts.groupBy("doc_id", "run", "passage").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("stop"), F.min("keep").alias("keep_doc_id"))
     whole = Window.partitionBy("doc_id", "run")
-    return _rows(spans.withColumn("run_words", F.max("stop").over(whole) - F.min("first_word").over(whole)).filter(F.col("run_words") >= LEAST_PASSAGE))
+    return _rows(spans.withColumn("run_words", F.max("stop").over(whole) - F.min("first_word").over(whole)).filter(F.col("run_words") >= least_passage))
 
 
 def _rows(spans: DataFrame) -> DataFrame:
