@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +61,25 @@ def test_copies_ties_and_unusable_vectors(spark):
 def test_empty_table(spark):
     assert H.nearest(as_frame(spark, []), F.lit(True)).count() == 0
     assert H.nearest(as_frame(spark, [(0, [1.0])]), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("sf, shard, block", [("0.001", 16_384, 8_192), ("0.01", 60, 2), ("0.1", 16_384, 8_192), ("0.1", 400, 7)])
+def test_recall_on_the_embeddings(spark, monkeypatch, sf, shard, block):
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    monkeypatch.setattr(H, "SHARD_VECTORS", shard)
+    monkeypatch.setattr(H, "QUERY_BLOCK", block)
+    table = spark.read.parquet(path)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect()]
+    ids, vectors = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = {}
+    for r in H.nearest(table, F.pmod("vec_id", F.lit(100)) == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hit = 0
+    for q, got in found.items():
+        own = vectors[ids == q][0]
+        far = ((vectors - own) ** 2).sum(axis=1)
+        far[ids == q] = np.inf
+        hit += len(set(ids[np.argsort(far)[:10]]) & set(got))
+    assert len(found) == sum(i % 100 == 0 for i in ids) and hit >= 0.95 * sum(map(len, found.values()))
