@@ -182,3 +182,15 @@ def test_status_log_append_cap_and_changes(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_scratch_tables_are_deleted_when_done(spark):
+    from vellum import storage
+
+    first = storage.store(spark.range(3).toDF("id"), "kept")
+    with storage.stage():
+        storage.store(spark.range(5).toDF("id"), "inner")
+        last = storage.store(first.filter("id > 0"), "last")
+    assert first.count() == 3 and last.count() == 2 and not [p for _, p in storage._scratch if "/inner-" in p]
+    storage.discard(last)
+    assert first.count() == 3 and not [p for _, p in storage._scratch if "/last-" in p]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.storage import store
+from vellum.storage import discard, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,5 +41,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = store(_small_star(_large_star(now)), "edges")
+        last, now = now, store(_small_star(_large_star(now)), "edges")
+        discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
