@@ -90,8 +90,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("copies"))
     seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
     unseen = store(blobs.join(seen, "blob", "left_anti"), "unseen")
-    # Only representative rows carry their text on; the small side is built, so no text is sorted.
-    reps = unseen.select(F.col("blob").alias("b"), "rep", "copies").hint("shuffle_hash")
+    # Only representative rows carry their text on.
+    reps = unseen.select(F.col("blob").alias("b"), "rep", "copies")
     texts = versions.select("path", "text", blob_of(F.col("text")).alias("blob")).join(reps, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("rep")))
     found = store(find_spans(texts.select("blob", "text", "copies"), rules), "findings")
     empty = F.array().cast(LEDGER_SCHEMA["spans"].dataType)
