@@ -17,6 +17,7 @@ from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.simhash import simhash_groups
+from vellum.storage import stage
 
 
 def _without(docs: DataFrame, losers: DataFrame) -> DataFrame:
@@ -72,6 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, function in STAGES[:-1]:
+        with stage():
+            docs = store(function(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
