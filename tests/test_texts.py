@@ -29,16 +29,24 @@ CASES = [
     (I.pmid_of, {"PMID: 123": "123", "https://pubmed.ncbi.nlm.nih.gov/456/": "456", "789": "789", "x 12": "", None: ""}),
     (I.concept_key, {"Burn_Out - x": "burn out x", "Ｆｕｌｌ－width": "full width", None: ""}),
     (I.match_key, {"A-b C!": "abc", None: ""}),
-    (T.count_words, {"don't stop 3.5 well-known 護理師": 7, "": 0, None: 0}),
+    (T.count_words, {"don't stop 3.5 well-known 護理師": 7, "a..b -c- d'e'f 護x理.y": 8, "": 0, None: 0}),
     (T.estimate_tokens, {"護理abcde": 4, "": 0, None: 0}),
     (T.guess_language, {"護理 in practice": "en", "護理研究ab": "zh", "テスト": "ja", "한국": "ko", "abc": "en", " ": "", None: ""}),
     (T.wikilinks, {"a [[x|y]] ![[pic]] [[z#h]]": ["x", "z"], None: []}),
-    (T.numbers_in, {"n = 1,234.50, p = .001, 007 and 1.2.3 or a5": ["1234.5", "0.001", "7", "1.2"], "0.0 0 00": ["0", "0", "0"], None: []}),
+    (T.numbers_in, {"n = 1,234.50, p = .001, 007 and 1.2.3 or a5": ["1234.5", "0.001", "7", "1.2"], "0.0 0 00": ["0", "0", "0"], "共１２３人，4·5％，SF-36 and COVID-19 scored 12": ["123", "4.5", "12"], None: []}),
     (T.edge_key, {"  Page 12  OF 30 ": "page # of #", None: None}),
     (T.csv_cell, {"=1+1": "'=1+1", "-5": "-5", 'a"b,c': '"a""b,c"', "@x": "'@x", None: ""}),
     (T.user_text, {"---\na: 1\n---\n# T\nown [[x|y]] words\n```\ncode\n```\n%% vellum:start v1 %%\nmine\n%% vellum:end %%\n[@cite] end": "\nown y words\n\n\n end"}),
-    (T.redact, {"see https://a.b/c?d=1 or a@b.org, token=abcdef123 C:\\Users\\me /home/me/x.txt paper.pdf": "see <url> or <email>, <secret> <path> <path> <file>", None: ""}),
-    (M.normalize_pages, {"ｐ．４５～５６頁": "45-56", "第45至56頁": "45-56", "pp. 3, 7-9": "3, 7-9", "see below": None, None: None}),
+    (T.redact, {"see https://a.b/c?d=1 or a@b.org, token=abcdef123 C:\\Users\\me /home/me/x.txt paper.pdf": "see <url> or <email>, <secret> <path> <path> <file>", None: "",
+        "Could not open C:\\Users\\Bob Chen\\My Vault\\Smith 2020 - Falls.md at line 3": "Could not open <path> at line 3", "\\\\srv\\share\\my me\\cohort data.xlsx missing": "<path> missing",
+        "NotFound: /Users/Bob Yu/Application Support/x.default/z.sqlite is missing": "NotFound: <path> is missing", "wrote a/b/c.md, and/or 1/2 N = 120/240": "wrote <path>, and/or 1/2 N = 120/240",
+        "pk_live_abcdef12345 ghs_abcdefgh1234 rk_live_abcdef1": "<token> <token> <token>", "SyntaxError: unexpected token: }": "SyntaxError: unexpected token: }",
+        "Authorization: Bearer abc.def password='p@ss word'": "<secret> <secret>", "key 0123abcd4567efgh8901ijkl2345 zotero-bridge-cmd-report-issue": "key <hidden> zotero-bridge-cmd-report-issue",
+        "page 01234567-89ab-cdef-0123-456789abcdef of 0123456789abcdef0123456789abcdef.": "page <id> of <id>.", 'pref "obsidian.vaultPath" not "My own title"': 'pref "obsidian.vaultPath" not "…"',
+        "同步「護理人員的經驗」失敗 can't read 'foo' of 'Falls RCTs'": "同步「…」失敗 can't read 'foo' of '…'", "(/mnt/c/Users/bob/vault) path=/Volumes/USB/d.sav": "(<path>) path=<path>"}),
+    (lambda c: T.redact(c, ("My Vault", "alice", "跌倒預防")), {"My Vault of ALICE (alicex) in 跌倒預防論文": "<hidden> of <hidden> (alicex) in <hidden>論文"}),
+    (M.normalize_pages, {"ｐ．４５～５６頁": "45-56", "第45至56頁": "45-56", "pp. 3, 7-9": "3, 7-9", "see below": None, "p45": "45", "第 12 頁": "12", "S1–S12、e3": "S1-S12, e3", "45-": None, "頁次：1 ~ 2": "1-2", None: None}),
+    (M.normalize_design, {"隨機對照試驗": "RCT", "系統性文獻回顧": "systematic review", "質性研究": "qualitative", "Case_Control": "case-control", "rct": "RCT", "Systematic review and meta-analysis": "meta-analysis", "opinion": "other", "未報告": "", None: ""}),
     (M.clean_volume, {"第70卷": "70", "Vol. 7": "7", "7a": None, None: None}),
     (M.clean_issue, {"第2 - 3期": "2-3", "No. 4": "4", "(5)": "5", "x": None}),
     (lambda c: M.split_volume(c)["issue"], {"70（2）": "2", "第70卷第2期": "2", "Vol. 70, No. 2": "2", "70": None}),
@@ -46,7 +54,8 @@ CASES = [
     (M.clean_han, {"陳　美玲 et  al": "陳美玲 et al", None: ""}),
     (M.sample_size, {"N = 1,234 nurses": 1234, "not reported": None, "12": 12, None: None}),
     (M.evidence_level, {"Level II": "2", "CEBM 2011 level 3": "3", "iv": "4", "n/a": "", "high": ""}),
-    (M.normalize_answer, {"**Yes**": "yes", "Can't tell": "unclear", "N/A": "not applicable", "maybe": "", None: ""}),
+    (M.normalize_answer, {"**Yes**": "yes", "Can't tell": "unclear", "N/A": "not applicable", "是": "yes", "否": "no", "**不清楚**": "unclear", "不適用": "not applicable", "無法判斷": "unclear", "maybe": "", None: ""}),
+    (lambda c: M.normalize_answer(c, ("是", "否", "不清楚", "不適用")), {"yes": "是", "不適用": "不適用", "x": ""}),
     (M.file_name, {"a/b: c?. ": "a b c", "": "Untitled", None: "Untitled"}),
     (M.status_of_tag, {"status/read ✅": "read", "other": ""}),
     (lambda c: notes.frontmatter_map(notes.split_frontmatter(c)["frontmatter"]), {'---\nkey: "N1"\ntags:\n  - a\n  - \'b c\'\nlist: [x, y]\nempty:\nkey: N2\n---\nbody': {"key": ["N2"], "tags": ["a", "b c"], "list": ["x", "y"], "empty": []}, "no front": {}}),
