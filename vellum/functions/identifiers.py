@@ -26,6 +26,64 @@ def normalize_doi(column: Column) -> Column:
     return F.when(clean.rlike(r"^10\.\d{4,9}/\S+$"), clean).otherwise("")
 
 
+def loose_doi(column: Column) -> Column:
+    """Lower-case DOI of any registrant form, without resolver and prefix; empty if it is not one."""
+    bare = F.regexp_replace(F.lower(blank(column)), r"^(?:(?:https?://)?(?:dx\.)?doi\.org/)?(?:doi:\s*)?", "")
+    return F.when(bare.rlike(r"^10\.\S+/\S+$"), bare).otherwise("")
+
+
+def repair_doi(column: Column) -> Column:
+    """DOI in its own case, half-width, without resolver, prefix and trailing punctuation; empty if it is not one.
+
+    What trails is cut but for closing parentheses that have an opening one, and for a
+    bracket in a DOI that opens one.
+    """
+    from vellum.functions.metadata import half_width
+
+    text = F.trim(half_width(column))
+    decoded = F.when(text.rlike(r"(?i)%2F|%28|%29"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
+    bare = F.trim(F.regexp_replace(decoded, r"^(?i:https?://(?:dx\.)?doi\.org/|doi\s*:\s*|doi\s+)", ""))
+    square = bare.contains("[")
+    part = lambda k: F.when(square, F.regexp_extract(bare, r"^(.*?)([.,;:。、'\"」』)]*)$", k)).otherwise(F.regexp_extract(bare, r"^(.*?)([.,;:。、'\"」』)\]]*)$", k))
+    head, tail = part(1), part(2)
+    n = lambda text, sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+    due = F.least(n(bare, "(") - n(head, ")"), n(tail, ")"))
+    clean = F.when(due > 0, F.concat(head, F.array_join(F.slice(F.split(tail, r"\)"), 1, due), ")"), F.lit(")"))).otherwise(head)
+    return F.when(clean.rlike(r"^10\.\d{4,9}/\S+$"), clean).otherwise("")
+
+
+def detect_doi(extra: Column, url: Column) -> Column:
+    """A DOI kept outside its field: in a line "DOI: ..." of Extra, else in an address; empty if there is none."""
+    lines = F.regexp_extract_all(F.coalesce(extra, F.lit("")), F.lit(r"(?im)^\s*DOI\s*[:：]\s*(\S+)[^\S\n]*$"), F.lit(1))
+    found = F.filter(F.transform(lines, repair_doi), lambda d: d != "")
+    address = blank(url)
+    places = (r"(?i)^https?://(?:dx\.)?doi\.org/(.+)$", r"(?i)/doi/(?:abs/|full/|pdf/)?(10\.\d{4,9}/[^?#\s]+)", r"(?i)[?&]doi=(10(?:\.|%2E)[^&#\s]+)")
+    inside = F.coalesce(*[F.nullif(F.regexp_extract(address, place, 1), F.lit("")) for place in places], F.lit(""))
+    return F.coalesce(F.get(found, 0), repair_doi(inside))
+
+
+def work_key(column: Column) -> Column:
+    """Key of a work (W and digits) at the end of an id or address, in capitals; empty if there is none."""
+    return F.upper(F.regexp_extract(blank(column), r"(?i)(W\d+)$", 1))
+
+
+def candidate_key(doi: Column, pmid: Column) -> Column:
+    """doi:... or pmid:..., the DOI first; empty for neither."""
+    return F.when(blank(doi) != "", F.concat(F.lit("doi:"), blank(doi))).when(blank(pmid) != "", F.concat(F.lit("pmid:"), blank(pmid))).otherwise("")
+
+
+def key_in_line(line: Column) -> Column:
+    """candidate_key of the first DOI or PubMed address in a line of text; empty if there is none."""
+    doi = normalize_doi(F.regexp_extract(F.coalesce(line, F.lit("")), r"(?i)https?://(?:dx\.)?doi\.org/([^\s)>\]]+)", 1))
+    return candidate_key(doi, F.regexp_extract(F.coalesce(line, F.lit("")), r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/(\d{1,9})", 1))
+
+
+def is_key_for(key: Column, base: Column) -> Column:
+    """Whether a citekey is its base, or the base with letters behind it; case aside."""
+    key, base = F.lower(blank(key)), F.lower(blank(base))
+    return key.startswith(base) & F.substring(key, F.length(base) + 1, F.length(key)).rlike("^[a-z]*$")
+
+
 @F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))

@@ -84,8 +84,15 @@ def funnel_counts(rows: DataFrame) -> DataFrame:
     return counts.withColumn("broken", check_counts())
 
 
-def check_counts() -> Column:
-    """Names of the sums of the funnel that the counters of a row break."""
+def checked_counts(counts: DataFrame, reasons: DataFrame) -> DataFrame:
+    """``counts`` (by ``other``) with ``broken`` by all five sums, that of the counts by reason (``other, reason, n``) among them."""
+    total = reasons.groupBy(F.col("other").alias("_other")).agg(F.sum("n").alias("_reasons"))
+    joined = counts.join(total, F.col("other").eqNullSafe(F.col("_other")), "left")
+    return joined.withColumn("broken", check_counts(F.coalesce("_reasons", F.lit(0)))).drop("_other", "_reasons")
+
+
+def check_counts(reasons: Column | None = None) -> Column:
+    """Names of the sums of the funnel that the counters of a row break; ``reasons`` is the sum of the counts by reason."""
     c = F.col
     rules = {
         "identified": c("duplicates") + c("screened"),
@@ -93,13 +100,15 @@ def check_counts() -> Column:
         "sought": c("not_retrieved") + c("assessed"),
         "assessed": c("ft_excluded") + c("included") + c("ft_pending"),
     }
+    if reasons is not None:
+        rules["ft_excluded"] = reasons
     return F.array_join(F.filter(F.array(*[F.when(c(name) != total, name) for name, total in rules.items()]), lambda x: x.isNotNull()), ",")
 
 
 def primary_reason(reasons: Column, order: tuple[str, ...]) -> Column:
     """The reason that comes first in ``order``; of unlisted ones the first by code point; NO_REASON for none."""
     listed = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
-    ranked = F.transform(reasons, lambda r: F.struct(F.when(F.array_contains(listed, r), F.array_position(listed, r)).otherwise(1 << 20).alias("rank"), r.alias("reason")))
+    ranked = F.transform(reasons, lambda r: F.struct(F.when(F.array_contains(listed, r), F.array_position(listed, r)).otherwise(len(order) + 1).alias("rank"), r.alias("reason")))
     return F.coalesce(F.array_min(ranked)["reason"], F.lit(NO_REASON))
 
 

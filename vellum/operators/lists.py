@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.storage import store
+
 
 def round_robin(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first of every group, then the second of every group, ... ``k`` rows in all, groups by name."""
@@ -25,23 +27,41 @@ def checklist_counts(lines: DataFrame, line: Column, *groups: str) -> DataFrame:
     return lines.filter(box).groupBy(*groups).agg(F.count(F.lit(1)).alias("items"), F.count_if(line.rlike(r"^\s*[-*] \[[xX]\] ")).alias("ticked"))
 
 
+def numbered_within(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``rows`` with ``n``, their number (from 1) in their group by ``order``; equal rows are numbered in any order.
+
+    Rows lie in ranges of group and order, so that a group of any size is spread over
+    many tasks; a range's numbers go on from those of the ranges before it.
+    """
+    ranged = store(rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.select("_g", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
+    met = ranged.withColumn("_inside", inside).join(parts, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return met.withColumn("n", F.col("_before") + F.col("_inside")).drop("_part", "_p", "_g", "_before", "_inside")
+
+
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """``rows`` with ``file``: names that differ only in case get " 2", " 3", ... by order."""
-    place = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return rows.withColumn("_n", place).withColumn("file", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit(" "), F.col("_n").cast("string")))).drop("_n")
-
-
-def descendants(edges: DataFrame, top: str, most_levels: int = 100) -> DataFrame:
-    """``key, path, level`` of all below ``top`` in a tree (key, parent, name), level by level in one recursive query."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE sub(key, path, level) MAX RECURSION LEVEL {most_levels} AS (
-              SELECT key, name, 0 FROM {{edges}} WHERE key = {{top}}
-              UNION ALL SELECT e.key, concat(s.path, '/', e.name), s.level + 1 FROM {{edges}} e JOIN sub s ON e.parent = s.key)
-            SELECT * FROM sub""",
-        edges=edges,
-        top=top,
-    )
+    placed = numbered_within(rows.withColumn("_name", F.lower(name)), "_name", F.col(order).asc())
+    return placed.withColumn("file", F.when(F.col("n") == 1, F.col(name)).otherwise(F.concat(name, F.lit(" "), F.col("n").cast("string")))).drop("_name", "n")
+
+
+def descendants(edges: DataFrame, top: str) -> DataFrame:
+    """``key, path, level`` of all below ``top`` in a tree (key, parent, name), level by level until a level is empty.
+
+    A key is met once, at its first level, so that a loop ends; siblings of one key and level each give a path.
+    """
+    edges = edges.select("key", "parent", "name")
+    level = store(edges.filter(F.col("key") == top).select("key", F.col("name").alias("path"), F.lit(0).alias("level")), "level")
+    found, depth = level, 0
+    while level.limit(1).count():
+        depth += 1
+        below = edges.join(level.select(F.col("key").alias("parent"), F.col("path").alias("_above")), "parent").join(found.select("key").distinct(), "key", "left_anti")
+        level = store(below.select("key", F.concat_ws("/", "_above", "name").alias("path"), F.lit(depth).alias("level")), "level")
+        found = found.unionByName(level)
+    return found
 
 
 def top_level(items: DataFrame, selected: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import ship
+from vellum.storage import store
 
 
 def last_matching(messages: DataFrame, matches: Column, order: str, most: int) -> DataFrame:
@@ -57,25 +58,24 @@ def stale_files(files: DataFrame, kept: DataFrame, pattern: str = r"^([0-9A-Z]{8
     return named.join(kept.select("owner").distinct(), "owner", "left_semi").join(kept.select("owner", "part").distinct(), ["owner", "part"], "left_anti").select("file", "owner", "part")
 
 
-def undo(memberships: DataFrame, added: DataFrame, created: DataFrame, containers: DataFrame, most_levels: int = 100) -> tuple[DataFrame, DataFrame]:
+def undo(memberships: DataFrame, added: DataFrame, created: DataFrame, containers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a run did is taken back: memberships (container, item) without the added ones, and the created containers with ``deleted``.
 
     A created container goes unless it, or something below it, still has items or was
     not created by the run: whatever must stay keeps everything above it.
-    ``containers`` is the tree (key, parent).
+    ``containers`` is the tree (key, parent), which is climbed level by level until no container is new.
     """
     left = memberships.join(added.select("container", "item").distinct(), ["container", "item"], "left_anti")
     made = created.select("key").distinct()
     filled = left.select(F.col("container").alias("key")).distinct()
     stays = containers.select("key").join(made, "key", "left_anti").unionByName(filled).distinct()
-    above = containers.sparkSession.sql(
-        f"""WITH RECURSIVE up(key, level) MAX RECURSION LEVEL {most_levels} AS (
-              SELECT key, 0 FROM {{stays}}
-              UNION ALL SELECT t.parent, u.level + 1 FROM up u JOIN {{containers}} t ON t.key = u.key WHERE t.parent IS NOT NULL)
-            SELECT DISTINCT key, true AS stays FROM up""",
-        stays=stays,
-        containers=containers,
-    )
+    parents = containers.filter("parent IS NOT NULL").select("key", "parent")
+    level = store(stays, "stays")
+    above = level
+    while level.limit(1).count():
+        level = store(parents.join(level, "key").select(F.col("parent").alias("key")).distinct().join(above, "key", "left_anti"), "stays")
+        above = above.unionByName(level)
+    above = above.withColumn("stays", F.lit(True))
     return left, made.join(above, "key", "left").select("key", F.col("stays").isNull().alias("deleted"))
 
 
@@ -150,7 +150,7 @@ class Budget:
         return True
 
 
-def _stepwise(rows: DataFrame, group: str, order: str, schema: str, start, step) -> DataFrame:
+def stepwise(rows: DataFrame, group: str, order: str | tuple[str, ...], schema: str, start, step) -> DataFrame:
     """``rows`` with the column ``schema`` that ``step(state, row)`` gives to the rows of a group in order.
 
     A group's rows stream through one task in sorted order, with a state of fixed size; no group is held whole.
@@ -169,18 +169,18 @@ def _stepwise(rows: DataFrame, group: str, order: str, schema: str, start, step)
                 values.append(step(state, row))
             yield batch.assign(**{name: values})
 
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, whole)
+    return rows.repartition(group).sortWithinPartitions(group, *((order,) if isinstance(order, str) else order)).mapInPandas(run, whole)
 
 
 def numbered(items: DataFrame, group: str, order: str) -> DataFrame:
     """List items (number, letter) with ``n``, their number in the whole list. Rows need a group, an order and a number."""
-    return _stepwise(items.filter(f"{group} IS NOT NULL AND number IS NOT NULL"), group, order, "n long", Numbering, lambda state, row: state.next(int(row.number), bool(row.letter)))
+    return stepwise(items.filter(f"{group} IS NOT NULL AND number IS NOT NULL"), group, order, "n long", Numbering, lambda state, row: state.next(int(row.number), bool(row.letter)))
 
 
 def within_budget(entries: DataFrame, group: str, order: str, count: int, each: int, total: int) -> DataFrame:
     """Entries (size) with ``taken``: chosen in order under limits on number, single size and total size. A null size is never taken."""
     known = entries.filter(f"{group} IS NOT NULL").withColumn("size", F.coalesce("size", F.lit(each + 1)).cast("long"))
-    return _stepwise(known, group, order, "taken boolean", lambda: Budget(count, each, total), lambda state, row: state.takes(int(row.size)))
+    return stepwise(known, group, order, "taken boolean", lambda: Budget(count, each, total), lambda state, row: state.takes(int(row.size)))
 
 
 ship(__name__)

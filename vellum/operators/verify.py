@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.identifiers import nfkc
 from vellum.functions.text import CJK, edge_key, numbers_in
+from vellum.operators.updates import stepwise
 from vellum.session import ship
 from vellum.storage import store
 
@@ -126,23 +127,27 @@ def repeated_edges(pages: DataFrame, lines: int = 3, least: int = 3, share: floa
     return counts.join(totals, "doc").filter(F.col("n_pages") >= F.greatest(F.lit(least), F.ceil(F.col("total") * share))).select("doc", "key", "n_pages")
 
 
+class Packing:
+    """Puts entries in turn into the last chunk while its size and count stay within limits."""
+
+    def __init__(self, most: int, count: int) -> None:
+        self.most, self.count, self.chunk, self.used, self.n = most, count, 0, 0, 0
+
+    def next(self, size: int) -> int:
+        if self.n > 0 and (self.used + size > self.most or self.n >= self.count):
+            self.chunk, self.used, self.n = self.chunk + 1, 0, 0
+        self.used, self.n = self.used + size, self.n + 1
+        return self.chunk
+
+
 def greedy_chunks(rows: DataFrame, group: str, order: str, size: Column, most: int, count: int) -> DataFrame:
     """``group, order, chunk``: rows of a group packed in order, a new chunk where size or count would pass the limit.
 
-    A row larger than the limit is a chunk of its own. Groups are sequences that fit a task, as a conversation does.
+    A row larger than the limit is a chunk of its own; a null size is none. Rows need a
+    group. A group streams through one task with a state of fixed size.
     """
-    packed = rows.select(group, order, size.cast("long").alias("_size")).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, "_size"))).alias("_rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        full = (state["n"] > 0) & ((state["used"] + row["_size"] > most) | (state["n"] >= count))
-        chunk = F.when(full, state["chunk"] + 1).otherwise(state["chunk"])
-        return F.struct(
-            chunk.alias("chunk"), (F.when(full, 0).otherwise(state["used"]) + row["_size"]).alias("used"), (F.when(full, 0).otherwise(state["n"]) + 1).alias("n"), F.concat(state["out"], F.array(chunk)).alias("out")
-        )
-
-    chunks = F.aggregate("_rows", zero, step, lambda s: s["out"])
-    return packed.select(group, F.inline(F.arrays_zip(F.col("_rows"), chunks.alias("chunk")))).select(group, f"_rows.{order}", "chunk")
+    sized = rows.filter(F.col(group).isNotNull()).select(group, order, F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    return stepwise(sized, group, (order, "_size"), "chunk long", lambda: Packing(most, count), lambda state, row: state.next(int(row[2]))).drop("_size")
 
 
 ship(__name__)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from vellum.functions import text as T
 from vellum.functions.identifiers import citekey_base, key_suffix
 from vellum.operators import verify
+from vellum.operators.lists import numbered_within
 from vellum.plans.registry import query
 from vellum.session import table
 from vellum.storage import store
@@ -125,8 +125,7 @@ SELECT id, base || CASE WHEN n = 0 THEN '' WHEN n <= 26 THEN chr((96 + n)::INT)
 def citekeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = citekey_base(F.col("p_brand"), 2000 + F.col("p_size") % 3, F.col("p_name"), STOPWORDS)
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), base.alias("base"))
-    place = F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1
-    return rows.withColumn("place", place).select("id", F.concat("base", key_suffix(F.col("place"))).alias("citekey"))
+    return numbered_within(rows, "base", F.col("id").asc()).select("id", F.concat("base", key_suffix(F.col("n") - 1)).alias("citekey"))
 
 
 @query("ranked_search")

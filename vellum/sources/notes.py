@@ -51,7 +51,7 @@ def replace_region(text: Column, block: Column, start: str, end: str) -> Column:
     region = F.concat(F.lit(start + "\n"), block, F.lit("\n" + end))
     at, stop = F.instr(text, start), F.instr(text, end)
     inside = (at > 0) & (stop > at)
-    kept = F.concat(F.substring(text, F.lit(1), at - 1), region, F.substring(text, stop + len(end), F.lit(1 << 30)))
+    kept = F.concat(F.substring(text, F.lit(1), at - 1), region, F.substring(text, stop + len(end), F.length(text)))
     return F.when(inside, kept).when(F.coalesce(text, F.lit("")) == "", region).otherwise(F.concat(F.rtrim(text), F.lit("\n\n"), region, F.lit("\n")))
 
 

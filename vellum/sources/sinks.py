@@ -30,7 +30,10 @@ def with_history(current: DataFrame, history: DataFrame, changes: DataFrame, key
 
 
 def write_csv(lines: DataFrame, path: str, header: str) -> None:
-    """Write formatted lines (column ``line``) as CSV text with a byte order mark and header per file."""
-    lines.select("line").write.option("lineSep", "\r\n").option("header", False).mode("overwrite").text(path)
-    spark = lines.sparkSession
-    spark.createDataFrame([("﻿" + header,)], "line string").coalesce(1).write.option("lineSep", "\r\n").mode("overwrite").text(f"{path}-header")
+    """Write formatted lines (column ``line``) as CSV text that begins with a byte order mark and the header.
+
+    The files of the folder, in order of their names, are one CSV file cut in parts; the
+    first part is the header.
+    """
+    first = lines.sparkSession.createDataFrame([("\ufeff" + header,)], "line string").coalesce(1)
+    first.union(lines.select("line")).write.option("lineSep", "\r\n").mode("overwrite").text(path)
