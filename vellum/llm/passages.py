@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import join_back, ship, store
 from vellum.operators.components import connected_components
+from vellum.storage import discard, stage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -173,11 +174,13 @@ def near_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
     rows = texts.select("id", F.posexplode(F.array(*[F.col(f"band{b}") for b in range(BANDS)])).alias("band", "low")).select("id", F.xxhash64("band", "low").alias("key"))
     met = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")  # one row per text and band
     meetings = store(rows.join(met, "key").select("key", "id", "n"), "meetings")
+    discard(met)
     wanted = meetings.select("id").distinct()
     at = F.struct(F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("words"), "id")
     asked = store(texts.join(wanted, "id", "left_semi").groupBy(F.col("low").alias("of")).agg(F.collect_list(at).alias("asked")), "asked")
     bodies = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(asked, F.col("doc_id") == F.col("of")).select("data", "asked")
     sets = store(bodies.mapInArrow(_shingle_sets, "id binary, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    discard(asked)
     small = meetings.filter(F.col("n") <= CROWD).select("key", "id")
     crowded, crowd_rows = meetings.filter(F.col("n") > CROWD).select("key", "id"), None
     while (now := crowded.count()) and (crowd_rows is None or now < crowd_rows):
@@ -188,6 +191,7 @@ def near_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
         small = small.unionByName(divided.filter(F.col("n") <= CROWD).select("key", "id"))
         crowded = divided.filter(F.col("n") > CROWD).select("key", "id")
     dealt = store(small.unionByName(crowded), "dealt")
+    discard(meetings)
     parts = max(1, -(-dealt.count() // PART_ROWS))
     paired = dealt.join(sets, "id").select("id", "shingles", "key", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)).alias("part"))
     return paired.groupBy("part").applyInArrow(_links, "u binary, v binary")
@@ -224,10 +228,12 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     place = F.min_by(F.col("first").cast("long") * (1 << 32) + F.col("words"), "doc_id").alias("place")  # numbers only, so that sums are hashed
     bands = [F.min(f"band{b}").alias(f"band{b}") for b in range(BANDS)]
     texts = store(units.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), place, *bands), "texts")
-    roots = store(connected_components(near_texts(texts, docs)), "roots")
+    with stage():
+        roots = store(connected_components(near_texts(texts, docs)), "roots")
     linked = texts.join(roots, F.col("id") == F.col("node"), "left").select("id", "low", "high", "n", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("near"))
     # Texts alone in their class are done; only those that are linked meet again by class.
     stored = store(linked.filter("near OR low <> high"), "candidates")
+    discard(texts)
     classes = stored.filter("near").groupBy("class").agg(F.min("low").alias("class_low"), F.max("high").alias("class_high"), F.count(F.lit(1)).alias("members"))
     near = join_back(stored.filter("near"), store(classes, "classes"), "class", "members", F.col("id"))
     verdicts = near.select("id", "n", F.col("class_low").alias("keep"), F.col("class_high").alias("high")).unionByName(stored.filter("NOT near").select("id", "n", F.col("low").alias("keep"), "high"))
