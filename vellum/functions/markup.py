@@ -214,6 +214,16 @@ def _mapped(function):
     return run
 
 
+def encoded_id(column: Column) -> Column:
+    """``encode_id`` of every value; null for none."""
+    return F.pandas_udf(lambda v: v.map(lambda x: None if x is None else encode_id(x)), "string")(column)
+
+
+def decoded_id(column: Column) -> Column:
+    """``decode_id`` of every value; null for none."""
+    return F.pandas_udf(lambda v: v.map(lambda x: None if x is None else decode_id(x)), "string")(column)
+
+
 def html_to_md(column: Column) -> Column:
     return F.pandas_udf(_mapped(html_to_markdown), StringType())(column)
 

@@ -143,15 +143,32 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.by_language(sources, F.lit(True), "n_nationkey")
 
 
-@query("list_numbers")
+@query("list_numbers", """
+WITH RECURSIVE i AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS number, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS k FROM lineitem),
+r AS (
+  SELECT l_suppkey, pos, number, k, 0::BIGINT AS off, number::BIGINT AS n FROM i WHERE k = 1
+  UNION ALL
+  SELECT i.l_suppkey, i.pos, i.number, i.k, CASE WHEN i.number <= r.number THEN r.n WHEN r.off <> 0 AND i.number IN (r.n, r.n + 1) THEN 0 ELSE r.off END,
+         i.number + CASE WHEN i.number <= r.number THEN r.n WHEN r.off <> 0 AND i.number IN (r.n, r.n + 1) THEN 0 ELSE r.off END
+  FROM r JOIN i ON i.l_suppkey = r.l_suppkey AND i.k = r.k + 1)
+SELECT l_suppkey, pos, number, '' AS letter, n FROM r
+""")
 def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of lists that start again with every order of a supplier; depends on the row before, so there is no SQL."""
+    """Numbers of lists that start again with every order of a supplier; each depends on the row before."""
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").alias("number"), F.lit("").alias("letter"))
     return updates.numbered(items, "l_suppkey", "pos")
 
 
-@query("budget_picks")
+@query("budget_picks", """
+WITH RECURSIVE i AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+r AS (
+  SELECT source, doc_id, size, k, coalesce(size <= 20000, false) AS taken, CASE WHEN size <= 20000 THEN size ELSE 0 END AS used, CASE WHEN size <= 20000 THEN 1 ELSE 0 END AS n FROM i WHERE k = 1
+  UNION ALL
+  SELECT source, doc_id, size, k, t, used + CASE WHEN t THEN size ELSE 0 END, n + t::INT
+  FROM (SELECT i.source, i.doc_id, i.size, i.k, r.used, r.n, coalesce(r.n < 20 AND i.size <= 20000 AND r.used + i.size <= 60000, false) AS t FROM r JOIN i ON i.source = r.source AND i.k = r.k + 1))
+SELECT source, doc_id, coalesce(size, 20001)::BIGINT AS size, taken FROM r
+""")
 def budget_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source taken in turn under three limits; what does not fit is passed over, so there is no SQL."""
+    """Documents of a source taken in turn under three limits; what does not fit is passed over."""
     entries = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").alias("size"))
     return updates.within_budget(entries, "source", "doc_id", 20, 20_000, 60_000)

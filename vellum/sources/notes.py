@@ -52,12 +52,12 @@ def replace_region(text: Column, block: Column, start: str, end: str) -> Column:
     at, stop = F.instr(text, start), F.instr(text, end)
     inside = (at > 0) & (stop > at)
     kept = F.concat(F.substring(text, F.lit(1), at - 1), region, F.substring(text, stop + len(end), F.length(text)))
-    return F.when(inside, kept).when(F.coalesce(text, F.lit("")) == "", region).otherwise(F.concat(F.rtrim(text), F.lit("\n\n"), region, F.lit("\n")))
+    return F.when(inside, kept).when(F.coalesce(text, F.lit("")) == "", region).otherwise(F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), region, F.lit("\n")))
 
 
-def config_lines(text: DataFrame) -> DataFrame:
-    """``pos, line`` of a configuration (column ``text``): trimmed, comments and blank lines left out, positions from 1."""
-    lines = text.select(F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).select((F.col("pos") + 1).alias("pos"), F.trim("line").alias("line"))
+def config_lines(text: DataFrame, *keys: str) -> DataFrame:
+    """``keys, pos, line`` of configurations (column ``text``): trimmed, comments and blank lines left out, positions from 1."""
+    lines = text.select(*keys, F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).select(*keys, (F.col("pos") + 1).alias("pos"), F.trim("line").alias("line"))
     return lines.filter(~F.col("line").rlike(r"^(#|//|$)"))
 
 

@@ -56,13 +56,11 @@ def _log(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     """Log entries of a key: not empty, not unchanged, not to where the last one went."""
     last = state.get[0] if state.exists else None
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    kept = []
-    for row in rows.itertuples(index=False):
-        if row.new and row.new != row.old and row.new != last:
-            kept.append((key[0], row.seq, row.old, row.new))
-            last = row.new
-    state.update((last,))
-    yield pd.DataFrame(kept, columns=["key", "seq", "old", "new"])
+    changed = rows[rows["new"].fillna("").ne("") & rows["new"].ne(rows["old"])]
+    # What repeats the entry before it is dropped, so the row before always holds the last status.
+    kept = changed[changed["new"].ne(changed["new"].shift(fill_value=last))]
+    state.update((kept["new"].iloc[-1] if len(kept) else last,))
+    yield kept.assign(key=key[0])[["key", "seq", "old", "new"]]
 
 
 def status_log(changes: DataFrame) -> DataFrame:
@@ -70,26 +68,9 @@ def status_log(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").applyInPandasWithState(_log, "key long, seq long, old string, new string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Ids a watch remembers; the oldest are forgotten first.
-SEEN_IDS = 2_000
-
-
-def _unseen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ids of a watch that it does not remember, in order; it then remembers them."""
-    seen = dict.fromkeys(state.get[0]) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["pos", "id"], kind="stable")
-    new = []
-    for row in rows.itertuples(index=False):
-        if row.id not in seen:
-            seen[row.id] = None
-            new.append((key[0], row.id))
-    state.update((list(seen)[-SEEN_IDS:],))
-    yield pd.DataFrame(new, columns=["watch", "id"])
-
-
 def unseen_ids(found: DataFrame) -> DataFrame:
-    """Streaming de-duplication of a saved search's hits (watch, id, pos), with a bounded memory per watch."""
-    return found.groupBy("watch").applyInPandasWithState(_unseen, "watch long, id long", "ids array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    """``watch, id`` the first time that a watch finds an id; every id is remembered, in the state store."""
+    return found.select("watch", "id").dropDuplicates(["watch", "id"])
 
 
 def latest(updates: DataFrame, *keys: str) -> DataFrame:
