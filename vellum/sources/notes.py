@@ -37,6 +37,14 @@ def frontmatter_map(frontmatter: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"))))
 
 
+def head_value(text: Column, key: str, head: int = 4_096) -> Column:
+    """A frontmatter value, read from the first characters where the frontmatter ends within them, else from the whole note; null without one."""
+    first = F.left(text, F.lit(head))
+    closed = first.rlike(r"\A\x{FEFF}?---[ \t]*\r?\n(?s:.*?\n)?---[ \t]*\r?\n")
+    value = lambda note: F.nullif(F.regexp_extract(split_frontmatter(note)["frontmatter"], rf"(?m)^\Q{key}\E:[ \t]*(\S.*?)[ \t]*$", 1), F.lit(""))
+    return F.when(closed, value(first)).otherwise(value(text))
+
+
 def first_copy(notes: DataFrame, key: str, order: str = "path") -> DataFrame:
     """One note per key, the first by path; notes without a key are left out."""
     rest = [c for c in notes.columns if c != key]
