@@ -59,15 +59,16 @@ def exact_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(a) + 1)
+    """Length of the longest common subsequence, by bits: a column of the usual table is one number, whose zeros are the steps up."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    column = full
     for y in b:
-        above = 0
-        for i, x in enumerate(a, 1):
-            kept = row[i]
-            row[i] = above + 1 if x == y else max(row[i], row[i - 1])
-            above = kept
-    return row[-1]
+        if met := column & places.get(y, 0):
+            column = ((column + met) | (column - met)) & full
+    return len(a) - column.bit_count()
 
 
 def fuzzy_in(quote: list[str], text: list[str]) -> bool:
