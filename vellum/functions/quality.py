@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.identifiers import blank
+from vellum.functions.metadata import half_width, roc_date
+from vellum.functions.prose import degree_of
 from vellum.session import ship
 
 HAN = r"\p{IsHan}"
@@ -78,25 +80,29 @@ def title_findings(title: Column, journal: Column) -> Column:
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
-DOCTORAL = r"(?i)博士(?:學位)?論文|doctoral dissertation|ph\.?\s*d\.?\s*dissertation"
-MASTER = r"(?i)碩士(?:學位)?論文|master'?s thesis"
-
-
-def degree_of(*texts: Column) -> Column:
-    """doctoral or master where a text of the record says which; empty if none does."""
-    words = F.concat_ws("\n", *texts)
-    return F.when(words.rlike(DOCTORAL), "doctoral").when(words.rlike(MASTER), "master").otherwise("")
+def date_findings(date: Column) -> Column:
+    """What is wrong with a date: array of (field, problem, current, suggested, sure); a year of the Republic, full-width digits, no date or no year in it."""
+    text, half, roc = F.coalesce(date, F.lit("")), F.trim(half_width(date)), roc_date(date)
+    wide = roc.isNull() & ~text.rlike("[0-9]{4}") & half.rlike("[0-9]{4}")
+    tests = (
+        ("missing", F.trim(text) == "", F.lit(""), F.lit(False)),
+        ("republic year", roc.isNotNull(), roc["date"], roc["sure"]),
+        ("full-width digits", wide, half, F.lit(True)),
+        ("no year", (F.trim(text) != "") & roc.isNull() & ~half.rlike("[0-9]{4}"), F.lit(""), F.lit(False)),
+    )
+    rows = [F.when(when, F.struct(F.lit("date").alias("field"), F.lit(problem).alias("problem"), text.alias("current"), suggested.alias("suggested"), sure.alias("sure"))) for problem, when, suggested, sure in tests]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
 def guess_thesis(url: Column, catalog: Column, journal: Column, publisher: Column, extra: Column, title: Column) -> Column:
-    """Struct of degree and by (url, catalog, words) for a thesis filed as something else; null for no thesis. The title alone makes none."""
+    """Struct of degree (empty where none is named) and by (url, catalog, words) for a thesis filed as something else; null for no thesis. The title alone makes none."""
     words = F.concat_ws("\n", journal, publisher, extra)
     by = (
         F.when(F.coalesce(url, F.lit("")).rlike(r"(?i)ndltd\.ncl\.edu\.tw|hdl\.handle\.net/11296/"), "url")
         .when(F.coalesce(catalog, F.lit("")).rlike(r"(?i)臺灣博碩士|台灣博碩士|ndltd"), "catalog")
-        .when(words.rlike(rf"{DOCTORAL}|{MASTER}|學位論文"), "words")
+        .when(degree_of(words).isNotNull() | words.rlike("學位論文"), "words")
     )
-    return F.when(by.isNotNull(), F.struct(degree_of(words, title).alias("degree"), by.alias("by")))
+    return F.when(by.isNotNull(), F.struct(F.coalesce(degree_of(words, title), F.lit("")).alias("degree"), by.alias("by")))
 
 
 def note_tag(column: Column) -> Column:

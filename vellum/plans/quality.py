@@ -63,7 +63,7 @@ def work_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("title_forms", """
 WITH r AS (SELECT p_partkey AS id, p_partkey % 6 AS k, p_name AS name FROM part)
 SELECT id, CASE k WHEN 0 THEN '護理：研究' WHEN 1 THEN '跌倒，預防' WHEN 2 THEN name WHEN 3 THEN '護理雜誌 The Journal of Nursing' WHEN 4 THEN '主題 副題' ELSE '結束' END AS tidy,
-       CASE WHEN k = 3 THEN '護理雜誌' END AS chinese, CASE k WHEN 3 THEN '護理' ELSE name END AS journal, CASE k WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 1 END + CASE WHEN k IN (0, 1, 2, 5) THEN 0 ELSE 0 END AS findings
+       CASE WHEN k = 3 THEN '護理雜誌' END AS chinese, CASE k WHEN 3 THEN '護理' ELSE name END AS journal, CASE k WHEN 3 THEN 3 ELSE 1 END AS findings
 FROM r
 """)
 def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("thesis_guess", """
 WITH r AS (SELECT c_custkey AS id, c_custkey % 6 AS k FROM customer)
-SELECT id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'master' WHEN 2 THEN 'doctoral' WHEN 3 THEN '' END AS degree, CASE k WHEN 0 THEN 'url' WHEN 1 THEN 'words' WHEN 2 THEN 'words' WHEN 3 THEN 'catalog' END AS by FROM r
+SELECT id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'master' WHEN 2 THEN 'doctor' WHEN 3 THEN '' END AS degree, CASE k WHEN 0 THEN 'url' WHEN 1 THEN 'words' WHEN 2 THEN 'words' WHEN 3 THEN 'catalog' END AS by FROM r
 """)
 def thesis_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, none = F.col("c_custkey"), F.lit(None).cast("string")
@@ -88,6 +88,15 @@ def thesis_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), found["degree"].alias("degree"), found["by"].alias("by"))
 
 
+@query("date_findings", """
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'republic year' WHEN 2 THEN 'full-width digits' WHEN 3 THEN 'no year' WHEN 4 THEN 'republic year' END AS problem,
+       CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '2023-04' WHEN 2 THEN '2020 May' WHEN 3 THEN '' WHEN 4 THEN '2010-05' END AS suggested, CASE o_orderkey % 6 WHEN 1 THEN true WHEN 2 THEN true WHEN 5 THEN NULL ELSE false END AS sure FROM orders
+""")
+def date_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.get(Q.date_findings(pick(F.col("o_orderkey"), " ", "民國112年4月", "２０２０ May", "spring", "99.5", "2020-05")), 0)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), found["problem"].alias("problem"), found["suggested"].alias("suggested"), found["sure"].alias("sure"))
+
+
 @query("note_links", """
 SELECT c_custkey AS id, 'https://doi.org/10.1000/a' || c_custkey || '%282%29%3C' AS doi, 'obsidian://open?vault=My%20Vault&file=Notes%2F' || c_name::VARCHAR.replace('#', '%23') AS note,
        CASE WHEN c_custkey % 3 = 0 THEN 'zotero://open-pdf/library/items/K?page=' || c_custkey || '&annotation=A' WHEN c_custkey % 3 = 1 THEN 'zotero://open-pdf/library/items/K?annotation=A' ELSE 'zotero://select/library/items/K' END AS annotation,
@@ -211,8 +220,7 @@ def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("enabled_features", """
 WITH RECURSIVE f AS (SELECT s_suppkey AS k, s_suppkey % 11 <> 7 AS on_, CASE WHEN s_suppkey = 0 THEN NULL WHEN s_suppkey = 1 THEN 1 ELSE s_suppkey // 2 END AS need FROM supplier),
-e AS (SELECT k FROM f WHERE on_ AND need IS NULL UNION SELECT f.k FROM f JOIN e ON f.need = e.k WHERE f.on_),
-z AS (SELECT f.k, f.on_, (f.k % 5 <> 0 OR EXISTS (SELECT 1 FROM e WHERE e.k = 0)) AS both_ FROM f)
+e AS (SELECT k FROM f WHERE on_ AND need IS NULL UNION SELECT f.k FROM f JOIN e ON f.need = e.k WHERE f.on_)
 SELECT 'f' || f.k AS id, EXISTS (SELECT 1 FROM e WHERE e.k = f.k) AS enabled FROM f
 """)
 def enabled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
