@@ -53,7 +53,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their target weights; the null source is one of them, rows without words stay as often as their whole source."""
     rows = located(docs)
     taken = store(mix(rows, keep=LOCATOR).filter("repeats > 0").select(*LOCATOR, F.col("repeats").alias("_repeats")), "taken")
-    return rows.join(taken, list(LOCATOR)).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
+    # Nearly every row is taken, so the texts are shuffled at every size; a broadcast below some size would only hide it.
+    return rows.join(taken.hint("merge"), list(LOCATOR)).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
