@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from vellum.operators import lists, reports
+from vellum.operators import assembly, lists, reports
 from vellum.sources import records
 from vellum.streaming import events
 
@@ -82,3 +82,44 @@ def test_watch_plan_and_self_changes(spark):
     at = lambda rows: spark.createDataFrame(rows, "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     left = events.suppress_own(at([("a", "2024-01-01 00:00:10"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:10")]), at([("a", "2024-01-01 00:00:00")]))
     assert left.count() == 2
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [("hot", k % 500, k) for k in range(2_000)] + [(None, k, k) for k in range(3)] + [(f"g{k}", 1, k) for k in range(50)]
+    frame = spark.createDataFrame(rows, "g string, o int, id int").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        found = lists.numbered_within(frame, "g", F.col("o").desc(), F.col("id").asc()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for g, _, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
+        want.setdefault(g, []).append(i)
+    assert len(found) == len(rows) and all(want[r.g][r.n - 1] == r.id for r in found)
+    assert lists.numbered_within(frame.limit(0), "g", F.col("o").asc()).count() == 0
+
+
+def test_deep_trees_and_loops_end(spark):
+    rows = [(f"k{n}", f"k{n - 1}" if n else None, f"n{n}") for n in range(15)] + [("a", "b", "A"), ("b", "a", "B")]
+    edges = spark.createDataFrame(rows, "key string, parent string, name string")
+    found = {r.key: (r.path, r.level) for r in lists.descendants(edges, "k3").collect()}
+    assert set(found) == {f"k{n}" for n in range(3, 15)} and found["k5"] == ("n3/n4/n5", 2)
+    assert sorted(r.key for r in lists.descendants(edges, "a").collect()) == ["a", "b"]
+    assert lists.descendants(edges, "none").count() == 0
+
+
+def test_pieces_of_notes_and_their_edge_cases(spark):
+    one = lambda column, value: spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).first()[0]
+    assert one(lambda c: assembly.text_pieces(c, 3), "abcdefg") == ["abc", "def", "g"] and one(lambda c: assembly.text_pieces(c, 3), None) == []
+    assert [one(assembly.confidence, v) for v in ("High", "80%", "0.5", "12", "x", None)] == ["high", "high", "medium", "low", "", ""]
+    assert one(assembly.page_paragraphs, "a\nb\n\n| x |\n| y |\nc-\nd") == ["a b", "| x |", "| y |", "cd"] and one(assembly.page_paragraphs, None) == []
+    assert [one(assembly.escaped, v) for v in ("# a", "---", "a == b", "a")] == ["\\# a", "\\---", "a =\\= b", "a"]
+    batches = spark.createDataFrame([("g", 0, 1), ("g", 0, 2), ("g", 1, 3), (None, 0, 4)], "g string, batch int, id int")
+    answers = spark.createDataFrame([("g", 0, '{"1": ["a", " a", "z"], "2": null}'), ("g", 1, "[]")], "g string, batch int, json string")
+    topics = spark.createDataFrame([("a",)], "topic string")
+    found = {r.id: (r.status, r.topics) for r in assembly.batch_topics(batches, answers, topics, "g").collect()}
+    assert found == {"1": ("ok", ["a"]), "2": ("ok", []), "3": ("failed", []), "4": ("failed", [])}
+    quotes = spark.createDataFrame([(1, "A b!"), (1, "none"), (1, "..."), (2, "x")], "id int, quote string")
+    pages = spark.createDataFrame([(1, 3, "x a, B c"), (1, 2, "A-B"), (2, 1, None)], "id int, page int, text string")
+    assert {(r.id, r.quote): r.page for r in assembly.quote_pages(quotes, pages).collect()} == {(1, "A b!"): 2, (1, "none"): None, (1, "..."): None, (2, "x"): None}
