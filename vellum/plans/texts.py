@@ -128,7 +128,14 @@ def citekeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_within(rows, "base", F.col("id").asc()).select("id", F.concat("base", key_suffix(F.col("n") - 1)).alias("citekey"))
 
 
-@query("ranked_search")
+@query("ranked_search", r"""
+WITH f AS (SELECT p_partkey AS id, lower(p_name) AS label, unnest([lower(p_name), lower(p_type), lower(p_brand)]) AS txt, unnest([3, 2, 1]) AS weight FROM part),
+t AS (SELECT id, label, weight, term, txt, strpos(txt, term) AS pos, strpos(txt, term[1]) AS a FROM f, (VALUES ('re'), ('st')) v(term)),
+u AS (SELECT *, CASE WHEN a > 0 AND strpos(substr(txt, a + 1), term[2]) > 0 THEN a + strpos(substr(txt, a + 1), term[2]) ELSE 0 END AS z FROM t),
+s AS (SELECT id, label, term, max(weight * CASE WHEN txt = term THEN 100 WHEN pos = 1 THEN 80 WHEN pos > 1 AND regexp_matches(substr(txt, pos - 1, 1), '[\s(:/,-]') THEN 70 WHEN pos > 1 THEN 60 WHEN z > 0 THEN 10 + round(40.0 / (z - a + 1)) ELSE 0 END) AS best FROM u GROUP BY ALL),
+r AS (SELECT id, min(best) AS least, sum(best) + floor(20.0 * sum(CASE WHEN contains(label, term) THEN 2 ELSE 0 END) / any_value(length(label)) + 0.5) AS score FROM s GROUP BY id)
+SELECT id, score::INT AS score FROM r WHERE least > 0 ORDER BY score DESC, id LIMIT 50
+""")
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best parts for a query; the limit is the feature."""
     score = T.search_score("re st", F.col("p_name"), F.array("p_type"), F.col("p_brand"))
