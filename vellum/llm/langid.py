@@ -10,8 +10,8 @@ letters drawn at random, and words of letters of other scripts.
 Rejection is calibrated on what is kept back, every fifth text of a language. A
 temperature is fitted to these texts and to negatives made from them; then the score of
 right predictions is set against that of negatives and of whole languages that further
-models, trained without them, have never seen. The threshold lies between the two, and
-costs at most REJECTED of the right predictions.
+models, trained without them, have never seen. The threshold lies between the two, or at
+the score that REJECTED of the right predictions miss if that is lower, less a margin.
 
 After training only the product of embeddings and layer is needed (buckets x classes),
 so a text costs one look-up per distinct word; its size does not depend on the corpus.
@@ -42,8 +42,8 @@ TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS = 2_000, 50, 1_500
 WINDOWS, WINDOW_WORDS = 4, (1, 24)
 #: Negatives of each kind for one training text.
 NEGATIVES = 0.2
-#: Share of right predictions on texts kept back that a rejection may cost at most.
-REJECTED = 0.003
+#: Share of right predictions on texts kept back that may lie below the threshold before the margin, and the margin in log odds: texts kept back are few, and a text wrongly rejected is lost.
+REJECTED, MARGIN = 0.003, 2.0
 #: Models that are trained to calibrate, each without one part of the languages, and their epochs.
 FOLDS, FOLD_EPOCHS = 3, 1
 #: Code points of letters from which words of other scripts are made: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Kana, Han, Hangul.
@@ -253,7 +253,7 @@ def _calibrate(model: LanguageModel, held: list[tuple[list[str], int]], unseen:
     wrong = [score(z) for z in made] + [score(logits(by, words)) for by, left_out in unseen for words in left_out]
     if right:
         low, high = float(np.quantile(wrong, 1 - REJECTED)), float(np.quantile(right, REJECTED))
-        between = (low + high) / 2 if low < high else high
+        between = min((low + high) / 2, high) - MARGIN
         model.threshold = float(1 / (1 + np.exp(-between)))
 
 
