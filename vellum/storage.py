@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only on one machine (a local master), where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: Spark's setting that deletes the shuffle files of a query at its end, instead of at some later garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -31,7 +34,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of a table again once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
