@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing
+from vellum.llm import collocations, mixing
 from vellum.llm.secrets import RULES
 
 EXACT_DEDUP = """
@@ -52,4 +52,21 @@ m AS (SELECT *, least(whole + CASE WHEN size > 0 AND (big OR (NOT large AND due
 SELECT doc_id, size, source_size, target, size * repeats AS taken, repeats FROM m
 """
 
-ORACLES = {"op2_mixing": MIXING, "op4_secrets": SECRETS, "op10_exact_dedup": EXACT_DEDUP}
+COLLOCATIONS = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+s AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+h AS (SELECT lang, words, i, unnest(range(1, least({collocations.LONGEST}, len(words) - i + 1) + 1)) AS k FROM g),
+f AS (SELECT lang, words[i:i + k - 1] AS p, k, count(*)::HUGEINT AS f FROM h GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= {collocations.LEAST}),
+u AS (SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, n, cut, 1000 * c.f * n // (x.f * y.f) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN s USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[:cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:]),
+v AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT lang, unnest([p[:k - 1], p[2:]]) AS p, f AS a FROM c WHERE k > 2),
+t AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM v ANTI JOIN o USING (lang, p, a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM t QUALIFY rank <= {collocations.TOP}
+"""
+
+ORACLES = {"op11_collocations": COLLOCATIONS, "op2_mixing": MIXING, "op4_secrets": SECRETS, "op10_exact_dedup": EXACT_DEDUP}

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from vellum.llm.alignment import align
 from vellum.llm.bpe import bpe_encode
+from vellum.llm.collocations import collocations
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.hnsw import nearest
 from vellum.llm.html import extract
 from vellum.llm.langid import held_out, identify, train
 from vellum.llm.mixing import mix
 from vellum.llm.oracles import ORACLES
+from vellum.llm.packing import pack
 from vellum.llm.passages import passage_removals
 from vellum.llm.pii import pii_report
 from vellum.llm.secrets import secret_report
@@ -83,6 +86,26 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 first collocations of every language, over all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two public vocabularies, aligned, with the corpus-wide counts of its links."""
+    import public_tokenizers
+
+    found, _ = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2,048 tokens."""
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -94,5 +117,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
+    "op13_packing": op13_packing,
     "pipeline": corpus_pipeline.run,
 }
