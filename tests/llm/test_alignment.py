@@ -2,12 +2,13 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vellum.llm import alignment
+from vellum.llm import alignment, pieces
 
 FIRST, SECOND = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A = Tokenizer.from_file(FIRST)
@@ -17,7 +18,7 @@ ODD = [None, "", " ", "a", "  two  spaces ", "x\n\ny z \n end", "<|endoftext|> <
 
 
 def token_bytes():
-    letters = alignment.byte_letters()
+    letters = pieces.byte_letters()
     a = {k: bytes(letters[c] for c in t) for t, k in A.get_vocab().items() if t != "<|endoftext|>"}
     b = {k: bytes([int(B.id_to_piece(k)[3:5], 16)]) if B.is_byte(k) else B.id_to_piece(k).replace("▁", " ").encode() for k in range(B.get_piece_size())}
     return a, b
@@ -65,12 +66,13 @@ def brute(texts):
 @pytest.mark.parametrize("block", [300, 2_000_000])
 def test_documents_and_pairs_as_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_CHARS", block)
+    monkeypatch.setattr(alignment, "WIDE", 256 if block > 300 else 2)
     random.seed(8)
     texts = ODD + [" ".join(random.choice(["alpha", "unbelievably", "Größe", "don't", "1234567", "x.y", "日本", "the", "the,\nand"]) for _ in range(random.randint(1, 40))) for _ in range(60)]
     texts += texts[15:20]
     want, count, highest = brute(texts)
     frame = spark.createDataFrame([(k, None if k % 5 == 0 else k, t, "q") for k, t in enumerate(texts)], "key long, doc_id long, text string, n_a string").repartition(3)
-    found, pairs = alignment.align(frame, FIRST, SECOND, keep=("key", "n_a"))
+    found, pairs = alignment.align(frame, FIRST, SECOND, None if block == 300 else public_tokenizers.PATTERN, keep=("key", "n_a"))
     assert found.columns == ["key", *[n for n, _ in alignment.MADE], "n_best", "count_sum"]
     assert {r.key: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) for r in found.collect()} == dict(enumerate(want))
     assert {(r.a, r.b): (r.n, r.best) for r in pairs.collect()} == {p: (n, n == highest[p[0]]) for p, n in count.items()}
@@ -84,14 +86,17 @@ def test_digests_empty_tables_and_groups_in_parts(spark, monkeypatch):
     assert alignment.align(frame.limit(0), FIRST, SECOND)[0].count() == 0
     monkeypatch.setattr(alignment, "LINKS", 3)
     a, b = [5, 6, 5, 7, 8], [1, 2, 1, 3]
-    assert Counter(dict(alignment._links(a, b))) == Counter(x * alignment.SIDE + y for x in a for y in b)
+    found = Counter()
+    for pairs, times in alignment.wide_links(np.array(a), np.array(b)):
+        assert len(pairs) <= 3
+        found.update(dict(zip(pairs.tolist(), times.tolist(), strict=True)))
+    assert found == Counter(x * alignment.SIDE + y for x in a for y in b)
 
 
 def test_texts_are_whole_where_tokens_join_words():
     sides = alignment.Sides(open(FIRST).read(), open(SECOND, "rb").read())
     assert sides.by_piece
     texts = [t or "" for t in ODD]
-    by_piece = alignment.Aligner(sides)(texts)
+    by_piece = sides.encode(texts)
     sides.by_piece = False
-    whole = alignment.Aligner(sides)(texts)
-    assert [";".join(p.text for p in f) for f in by_piece] == [";".join(p.text for p in f) for f in whole]
+    assert sides.encode(texts) == by_piece

@@ -10,15 +10,17 @@ from vellum.llm import packing, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-ODD = ["", " ", "a", "  two  spaces ", "x\n\ny z \n end", "<|endoftext|> and <|endoftext|>x", "\x1c a\x85 b", "日本語 テスト　x", "z" * 3_000, "tab\t word  \t", "I'll 's don't"]
+ODD = ["", " ", "a", "  two  spaces ", "x\n\ny z \n end", "<|endoftext|> and <|endoftext|>x", "\x1c a\x85 b", "日本語 テスト　x", "z" * 3_000, "tab\t word  \t", "I'll 's don't", "".join(map(chr, range(1, 0x250)))]
 
 
 def want(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-def test_pieces_give_the_ids_of_the_whole_text():
-    encode = pieces.ByteIds(pieces.byte_tokenizer(open(PATH).read(), plain_specials=False))
+@pytest.mark.parametrize("pattern", [None, public_tokenizers.PATTERN])
+def test_ids_of_the_whole_text(pattern):
+    encode = pieces.ByteIds(open(PATH).read(), pattern=pattern)
+    assert (encode.quick is None) == (pattern is None)
     random.seed(3)
     texts = ODD + ["".join(random.choice(["a", "Bc", " ", " ", "  ", "\n", "7", ".", "é", "'s", "\x1c", " "]) for _ in range(60)) for _ in range(300)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [want(t) for t in texts]
@@ -28,12 +30,17 @@ def test_pieces_give_the_ids_of_the_whole_text():
 def test_memory_of_pieces_is_bounded_and_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     monkeypatch.setattr(pieces, "LONGEST", 4)
-    encode = pieces.ByteIds(pieces.byte_tokenizer(open(PATH).read(), plain_specials=False))
+    encode = pieces.ByteIds(open(PATH).read())
     for text in ("one two three four", "five six", "one longest six"):
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == want(text)
         assert all(len(p) <= 4 for p in encode.inner.known)
 
 
+def test_other_rules_are_left_to_the_tokenizer():
+    rules = open(PATH).read()
+    assert pieces.as_ranks(rules.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true'), public_tokenizers.PATTERN) is None
+
+
 def squares(levels, window):
     return sum(n * n for level, n in levels.items() if 0 < level < window)
 
@@ -99,7 +106,7 @@ def test_pieces_of_all_documents(spark):
     texts += texts[20:40]
     docs = dict(enumerate(texts))
     frame = spark.createDataFrame([(k, k % 7 or None, t, "x") for k, t in docs.items()], "key long, doc_id long, text string, length string").repartition(3)
-    rows = packing.pack(frame, PATH, window=64, keep=("key", "doc_id", "length"), with_ids=True).collect()
+    rows = packing.pack(frame, PATH, public_tokenizers.PATTERN, window=64, keep=("key", "doc_id", "length"), with_ids=True).collect()
     windows = check(rows, docs, 64)
     total = sum(len(want(t)) + 1 for t in texts)
     assert len(windows) <= total // 64 + 3 * 7

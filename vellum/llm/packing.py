@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import chunks, ship
-from vellum.llm.pieces import ByteIds, byte_tokenizer
+from vellum.llm.pieces import ByteIds
 
 WINDOW = 2_048
 #: Id that ends every document.
@@ -131,11 +131,11 @@ def _cut(pieces: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
 MADE = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str | None = None, window: int = WINDOW, end: int = END, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """One row per piece: columns ``keep`` of its row, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids.
 
-    A document is its text's ids under the tokenizer at ``path`` (read by the driver) and
-    ``end``; null and empty texts have ``end`` alone. A special token's string in a text
+    A document is its text's ids under the tokenizer at ``path`` (read by the driver; its
+    split ``pattern`` only makes it faster) and ``end``; null and empty texts have ``end`` alone. A special token's string in a text
     gives that token, as the library does by default. Rows are documents each for itself,
     repeated ones too. Windows have ``window`` ids, or a power of two of fewer. Which
     window a document gets depends on the rows that its task reads, so rows whose order is
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text:
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteIds(byte_tokenizer(definition.value, plain_specials=False))
+        encode = ByteIds(definition.value, pattern=pattern)
         packer = Packer(window)
         rows: dict[int, tuple[list, int, int]] = {}  # of documents with ids still open: values of keep, ids in all, ids not given out
         number, sequence = 0, TaskContext.get().partitionId() * PER_TASK

@@ -95,7 +95,7 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens under two public vocabularies, aligned, with the corpus-wide counts of its links."""
     import public_tokenizers
 
-    found, _ = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+    found, _ = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, with_groups=False)
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
@@ -103,7 +103,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2,048 tokens."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
