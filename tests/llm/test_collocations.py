@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.llm import collocations
@@ -58,11 +60,26 @@ def test_products_beyond_64_bits_are_exact(spark, monkeypatch):
     a, n, left, right = 8 * 10**15, 9 * 10**17 + 7, 9 * 10**15 + 1, 8 * 10**15 + 3
     words = spark.createDataFrame([("en", b"x", left, 1), ("en", b"y", right, 2)], "lang string, word binary, f long, id long")
     found = spark.createDataFrame([("en", (1).to_bytes(8) + (2).to_bytes(8), a)], "lang string, phrase binary, f long")
-    monkeypatch.setattr(collocations, "phrases", lambda docs, least: (words, spark.createDataFrame([("en", n)], "lang string, n long"), found))
+    monkeypatch.setattr(collocations, "phrases", lambda docs, least: (words, spark.createDataFrame([("en", n)], "lang string, n long"), found, 8))
     (row,) = collocations.collocations(None).collect()
     assert (row.phrase, row.score) == ("x y", 1000 * a * n // (left * right))
 
 
+def test_packed_rows_hold_the_fragments():
+    random.seed(2)
+    sequence = np.array([random.choice([0, 1, 2, 3, 70_000, 5]) for _ in range(400)])
+    for width in (4, 8):
+        rows, weights = collocations._fragments(sequence, np.ones(400, np.int64), width)
+        ids = np.arange(70_001)
+        data = sequence.astype("<u4")
+        chunk = pa.table({"lang": ["en"], "sequence": [collocations._planes(data)], "weights": [collocations._planes(np.ones(int((sequence == 0).sum()) + 1, "<u8"))]})
+        known = pa.table({"place": ids[1:] - 1, "id": ids[1:], "f": np.full(70_000, 120)})
+        packed = collocations._routed(3, 50, width)(chunk, known)
+        assert set(packed["part"].to_pylist()) == {0, 1, 2} and all(packed["dealt"].to_pylist())
+        got, n, _, _ = collocations._unpacked(packed, width)
+        assert sorted(zip(map(tuple, got.tolist()), n.tolist(), strict=True)) == sorted(zip(map(tuple, rows.tolist()), weights.tolist(), strict=True))
+
+
 def test_empty_tables_and_texts(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(empty).count() == 0

@@ -8,9 +8,9 @@ as the pivot or more so. Rarer words, and those below the least frequency, end a
 A partition counts the phrases it owns level by level, longer ones only where both shorter
 ones are frequent, and gives the frequent ones.
 
-What is hot is split twice: equal fragments of a chunk of text are one row with a weight,
-and a pivot of many occurrences is dealt into parts by a hash of the fragment, whose counts
-are summed afterwards.
+What is hot is split twice: equal fragments of a chunk of text are one with a weight, and
+a pivot of many occurrences is dealt into parts by a hash of the fragment, whose counts are
+summed afterwards. The fragments that a chunk sends to a part travel as one packed row.
 
 Texts are cut into chunks whatever their length, and their words are numbered in each
 chunk. The frequencies come back to the chunk's own list of distinct words by a join, so
@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import join_back, ship, store
+from vellum.storage import discard
 
 LEAST = 100
 LONGEST = 5
 TOP = 2_000
 #: Bytes of text whose words are numbered together.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 6_000_000
 #: Occurrences of pivots that meet in one group, on average, and the most that a part of one pivot stands for.
 PART_WORDS, PIVOT_WORDS = 500_000, 250_000
 #: Pieces end at these bytes; letters A-Z become lower case.
@@ -59,7 +60,17 @@ def _chunk(pieces: Counter) -> tuple[list[bytes], list[int], bytes, bytes]:
     sequence = np.array(flat, "<u4")
     each = np.repeat(np.array(weights, np.int64), sizes)
     times = np.bincount(sequence, each, len(number) + 1).astype(np.int64)[1:]
-    return list(number), times.tolist(), sequence.tobytes(), np.array(weights, "<i8").tobytes()
+    return list(number), times.tolist(), _planes(sequence), _planes(np.array(weights, "<u8"))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all the next ones, and so on: the high ones are mostly zeros, which packs well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplaned(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +118,17 @@ def frequent_words(chunks: DataFrame, least: int) -> DataFrame:
     return ordered.join(parts, "part").select("lang", "word", "f", (F.col("before") + F.row_number().over(inside)).alias("id"))
 
 
-def _fragments(sequence: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fragments(sequence: np.ndarray, weights: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct fragments, rows of 2 * LONGEST - 1 ids with the pivot in the middle and zeros around, and their weights.
 
     ``sequence`` has ids, and 0 for words that are not frequent; ``weights`` one number per place.
     """
-    reach = LONGEST - 1
-    padded = np.concatenate([np.zeros(reach, np.int64), sequence, np.zeros(reach, np.int64)])
+    reach, kind = LONGEST - 1, f">u{width}"
+    sequence = sequence.astype(f"<u{width}")
+    padded = np.concatenate([np.zeros(reach, sequence.dtype), sequence, np.zeros(reach, sequence.dtype)])
     n = len(sequence)
     left, right = sequence > 0, sequence > 0
-    sides = np.zeros((n, 2 * LONGEST - 1), np.int64)
+    sides = np.zeros((n, 2 * LONGEST - 1), kind)
     sides[:, reach] = sequence
     for step in range(1, LONGEST):
         here = padded[reach - step : reach - step + n]
@@ -126,91 +138,97 @@ def _fragments(sequence: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
         right = right & (here > 0) & (here <= sequence)
         sides[right, reach + step] = here[right]
     some = (sides[:, reach - 1] > 0) | (sides[:, reach + 1] > 0)
-    rows, of = sides[some].astype(">u8"), weights[some]
+    rows, of = sides[some], weights[some]
     if not len(rows):
         return rows, of
-    found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * 8), len(rows), [None, pa.py_buffer(rows.tobytes())]).dictionary_encode()
-    distinct = np.frombuffer(b"".join(found.dictionary.to_pylist()), ">u8").reshape(-1, rows.shape[1])
+    found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * width), len(rows), [None, pa.py_buffer(rows.tobytes())]).dictionary_encode()
+    distinct = np.frombuffer(b"".join(found.dictionary.to_pylist()), kind).reshape(-1, rows.shape[1])
     return distinct, np.bincount(found.indices.to_numpy(), of, len(distinct)).astype(np.int64)
 
 
-FRAGMENT_SCHEMA = "part int, lang string, pivot long, dealt boolean, before binary, after binary, weight long"
+FRAGMENT_SCHEMA = "part int, lang string, dealt boolean, befores binary, afters binary, ids binary, weights binary"
 
 
-def _routed(parts: int, pivot_words: int):
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits."""
+    values = values.astype(np.uint64)
+    for factor, shift in ((0x9E3779B97F4A7C15, 29), (0xC2B2AE3D27D4EB4F, 32)):
+        values = values * np.uint64(factor)
+        values ^= values >> np.uint64(shift)
+    return values
+
+
+def _routed(parts: int, pivot_words: int, width: int):
     """The function of a chunk: its word numbers become ids, and its fragments go to the parts of their pivots."""
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        (sequence,), (weights,) = chunk["sequence"].to_pylist(), chunk["weights"].to_pylist()
-        sequence, weights = np.frombuffer(sequence, "<u4"), np.frombuffer(weights, "<i8")
-        ids, times = np.zeros(int(sequence.max()) + 1, np.int64), np.zeros(int(sequence.max()) + 1, np.int64)
-        place = np.asarray(known["place"]) + 1
-        ids[place], times[place] = np.asarray(known["id"]), np.asarray(known["f"])
-        each = weights[np.cumsum(sequence == 0) - (sequence == 0)]
-        rows, total = _fragments(ids[sequence], each)
-        reach = LONGEST - 1
-        pivots = rows[:, reach].astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        shares = -(-times[order[np.searchsorted(ids[order], pivots)]] // pivot_words)
-        mixed = np.zeros(len(rows), np.uint64)
-        for column in range(rows.shape[1]):
-            mixed = (mixed ^ rows[:, column].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        salt = (mixed % np.maximum(shares, 1).astype(np.uint64)).astype(np.uint64)
-        part = ((pivots.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)) % np.uint64(parts)
-        width = 8
-        befores = (rows[:, :reach] > 0).sum(axis=1)
-        afters = (rows[:, reach + 1 :] > 0).sum(axis=1)
-        data = rows.tobytes()
-        step = width * rows.shape[1]
-        middle = width * reach
-        before = [data[k * step + middle - width * n : k * step + middle] for k, n in enumerate(befores.tolist())]
-        after = [data[k * step + middle + width : k * step + middle + width * (n + 1)] for k, n in enumerate(afters.tolist())]
-        n = len(rows)
-        columns = [part.astype(np.int32), pa.array(chunk["lang"].to_pylist() * n, pa.string()), pivots, shares > 1, pa.array(before, pa.binary()), pa.array(after, pa.binary()), total]
-        return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["part", "lang", "pivot", "dealt", "before", "after", "weight"])
+        columns: list[list] = [[] for _ in range(7)]
+        if len(chunk) and len(known):
+            sequence, weights = _unplaned(chunk["sequence"][0].as_py(), "<u4"), _unplaned(chunk["weights"][0].as_py(), "<u8").astype(np.int64)
+            ids, times = np.zeros(int(sequence.max()) + 1, np.int64), np.zeros(int(sequence.max()) + 1, np.int64)
+            place = np.asarray(known["place"]) + 1
+            ids[place], times[place] = np.asarray(known["id"]), np.asarray(known["f"])
+            rows, total = _fragments(ids[sequence], weights[np.cumsum(sequence == 0) - (sequence == 0)], width)
+            pivots = rows[:, LONGEST - 1].astype(np.int64)
+            order = np.argsort(ids, kind="stable")
+            shares = np.maximum(-(-times[order[np.searchsorted(ids[order], pivots)]] // pivot_words), 1)
+            salt = np.zeros(len(rows), np.uint64)
+            for column in range(rows.shape[1]):
+                salt = _mixed(salt ^ rows[:, column].astype(np.uint64))
+            part = (_mixed(_mixed(pivots) ^ (salt % shares.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+            lane = part * 2 + (shares > 1)
+            order = np.lexsort((pivots, lane))
+            rows, total, lane = rows[order], total[order], lane[order]
+            held = rows > 0
+            befores, afters = (held[:, : LONGEST - 1].sum(axis=1), held[:, LONGEST:].sum(axis=1))
+            starts = [*np.nonzero(np.diff(lane, prepend=-1))[0].tolist(), len(lane)]
+            for i, j in zip(starts, starts[1:], strict=False):
+                cells = int(lane[i]) // 2, chunk["lang"][0].as_py(), bool(lane[i] % 2), befores[i:j].astype(np.uint8).tobytes(), afters[i:j].astype(np.uint8).tobytes(), _planes(rows[i:j][held[i:j]].astype(f"<u{width}")), _planes(total[i:j].astype("<u8"))
+                for values, cell in zip(columns, cells, strict=True):
+                    values.append(cell)
+        types = [pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "lang", "dealt", "befores", "afters", "ids", "weights"])
 
     return run
 
 
-def _sides(column: pa.ChunkedArray, reach: int, from_right: bool) -> np.ndarray:
-    """Ids of one side of the fragments, the nearest to the pivot first; zeros beyond."""
-    combined = column.combine_chunks().cast(pa.binary())
-    data = combined.buffers()[2]
-    offsets = np.frombuffer(combined.buffers()[1], np.int32)[combined.offset : combined.offset + len(combined) + 1].astype(np.int64) // 8
-    values = np.frombuffer(data or b"", ">u8", offsets[-1] if len(offsets) else 0).astype(np.int64) if data else np.zeros(0, np.int64)
-    out = np.zeros((len(combined), reach), np.int64)
-    for k in range(reach):
-        at = offsets[1:] - 1 - k if from_right else offsets[:-1] + k
-        some = (offsets[1:] - offsets[:-1]) > k
-        out[some, k] = values[at[some]]
-    return out
+def _unpacked(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of packed rows as in ``_fragments``, with the row each came in, and whether its pivot is dealt."""
+    befores, afters = ([np.frombuffer(x, np.uint8) for x in rows[c].to_pylist()] for c in ("befores", "afters"))
+    of = np.repeat(np.arange(len(rows)), [len(x) for x in befores])
+    before, after = (np.concatenate(x).astype(np.int64) for x in (befores, afters))
+    ids = np.concatenate([_unplaned(x, f"<u{width}") for x in rows["ids"].to_pylist()])
+    weights = np.concatenate([_unplaned(x, "<u8") for x in rows["weights"].to_pylist()]).astype(np.int64)
+    size = before + 1 + after
+    row = np.repeat(np.arange(len(size)), size)
+    column = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LONGEST - 1 - before, size)
+    whole = np.zeros((len(size), 2 * LONGEST - 1), f">u{width}")
+    whole[row, column] = ids
+    return whole, weights, of, np.asarray(rows["dealt"])[of]
 
 
-def _mined(least: int):
+def _mined(least: int, width: int):
     """The function of a part: counts of the phrases that its pivots own."""
 
-    def run(fragments: pa.Table) -> pa.Table:
+    def run(rows: pa.Table) -> pa.Table:
+        whole, weight, of, dealt = _unpacked(rows, width)
         reach = LONGEST - 1
-        weight, dealt = np.asarray(fragments["weight"]), fragments["dealt"].to_numpy()
-        before, after = _sides(fragments["before"], reach, True), _sides(fragments["after"], reach, False)
-        whole = np.concatenate([before[:, ::-1], np.asarray(fragments["pivot"])[:, None], after], axis=1).astype(">u8")
         good: dict[tuple[int, int], np.ndarray] = {(0, 0): np.ones(len(whole), bool)}
-        keys, totals, firsts, sums = [], [], [], []
+        keys, totals, firsts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in range(2, LONGEST + 1):
             for a in range(size):
                 b = size - 1 - a
-                rows = np.ones(len(whole), bool)
+                wanted = np.ones(len(whole), bool)
                 if a:
-                    rows &= (before[:, a - 1] > 0) & good[a - 1, b]
+                    wanted &= (whole[:, reach - a] > 0) & good[a - 1, b]
                 if b:
-                    rows &= (after[:, b - 1] > 0) & good[a, b - 1]
-                here = np.nonzero(rows)[0]
+                    wanted &= (whole[:, reach + b] > 0) & good[a, b - 1]
+                here = np.nonzero(wanted)[0]
                 good[a, b] = np.zeros(len(whole), bool)
                 if not len(here):
                     continue
-                phrases = np.ascontiguousarray(whole[here, reach - a : reach + b + 1])
-                found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * size), len(here), [None, pa.py_buffer(phrases.tobytes())]).dictionary_encode()
+                phrases = whole[here, reach - a : reach + b + 1].tobytes()
+                found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * size), len(here), [None, pa.py_buffer(phrases)]).dictionary_encode()
                 index = found.indices.to_numpy()
                 n = np.bincount(index, weight[here]).astype(np.int64)
                 first = np.zeros(len(n), np.int64)
@@ -221,9 +239,8 @@ def _mined(least: int):
                 keys += found.dictionary.take(pa.array(kept)).to_pylist()
                 totals.append(n[kept])
                 firsts.append(first[kept])
-        firsts_all = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-        sums = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-        return pa.table([fragments["lang"].take(pa.array(firsts_all)), pa.array(keys, pa.binary()), pa.array(sums), pa.array(dealt[firsts_all])], names=["lang", "phrase", "f", "dealt"])
+        first = np.concatenate(firsts)
+        return pa.table([rows["lang"].take(pa.array(of[first])), pa.array(keys, pa.binary()), pa.array(np.concatenate(totals)), pa.array(dealt[first])], names=["lang", "phrase", "f", "dealt"])
 
     return run
 
@@ -231,41 +248,32 @@ def _mined(least: int):
 PHRASE_SCHEMA = "lang string, phrase binary, f long, dealt boolean"
 
 
-def _number(id: Column) -> Column:
-    """An id as the eight bytes that stand for it in a phrase."""
-    return F.unhex(F.lpad(F.hex(id), 16, "0"))
+def _number(id: Column, width: int) -> Column:
+    """An id as the bytes that stand for it in a phrase."""
+    return F.unhex(F.lpad(F.hex(id), 2 * width, "0"))
 
 
-def phrases(docs: DataFrame, least: int = LEAST, part_words: int = PART_WORDS, pivot_words: int = PIVOT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = LEAST, part_words: int = PART_WORDS, pivot_words: int = PIVOT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Stored tables of frequent words (lang, word, f, id), of sums by language (lang, n), and of frequent phrases (lang, phrase, f).
 
-    ``phrase`` holds the ids of two to LONGEST words, eight bytes each.
+    ``phrase`` holds the ids of two to LONGEST words, each of as many bytes as the number
+    given last: four, or eight where there are more frequent words than four bytes can number.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     chunks = store(texts.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
     sums = store(chunks.groupBy("lang").agg(F.sum("total").alias("n")), "sums")
     words = store(frequent_words(chunks, least), "frequent")
-    total = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()["n"]
+    total, most = words.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
+    width = 4 if most < 1 << 32 else 8
     listed = chunks.select(F.col("chunk").alias("of"), "lang", F.posexplode("words").alias("place", "word"))
     known = listed.join(words, ["lang", "word"]).select("of", "place", "id", "f")
-    route = _routed(max(1, -(-total // part_words)), pivot_words)
-    fragments = chunks.select("chunk", "lang", "sequence", "weights").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_empty_safe(route), FRAGMENT_SCHEMA)
-    mined = store(fragments.groupBy("part").applyInArrow(_mined(least), PHRASE_SCHEMA), "mined")
+    route = _routed(max(1, -(-total // part_words)), pivot_words, width)
+    fragments = chunks.select("chunk", "lang", "sequence", "weights").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(route, FRAGMENT_SCHEMA)
+    mined = store(fragments.groupBy("part").applyInArrow(_mined(least, width), PHRASE_SCHEMA), "mined")
+    discard(chunks)
     whole = mined.filter("NOT dealt").select("lang", "phrase", "f")
     dealt = mined.filter("dealt").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return words, sums, store(whole.unionByName(dealt), "phrases")
-
-
-def _empty_safe(route):
-    """Chunks in which no word is frequent have no fragments."""
-
-    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(chunk) or not len(known):
-            types = [pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
-            return pa.table([pa.array([], t) for t in types], names=["part", "lang", "pivot", "dealt", "before", "after", "weight"])
-        return route(chunk, known)
-
-    return run
+    return words, sums, store(whole.unionByName(dealt), "phrases"), width
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, **sizes: int) -> DataFrame:
@@ -279,11 +287,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, **sizes: i
     as empty; repeated rows count each; empty tables give an empty result. Only lang and
     text are read, so extra columns cannot clash.
     """
-    words, sums, found = phrases(docs, least, **sizes)
-    size = (F.length("phrase") / 8).cast("int")
-    counts = store(found.select(F.col("phrase").alias("part"), "f").unionByName(words.select(_number(F.col("id")).alias("part"), "f")), "counts")
+    words, sums, found, width = phrases(docs, least, **sizes)
+    size = (F.length("phrase") / width).cast("int")
+    counts = store(found.select(F.col("phrase").alias("part"), "f").unionByName(words.select(_number(F.col("id"), width).alias("part"), "f")), "counts")
     cuts = found.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cuts = cuts.select("*", F.expr("substring(phrase, 1, 8 * k)").alias("left"), F.expr("substring(phrase, 8 * k + 1)").alias("right"))
+    cuts = cuts.select("*", F.expr(f"substring(phrase, 1, {width} * k)").alias("left"), F.expr(f"substring(phrase, {width} * k + 1)").alias("right"))
     spread = F.concat("phrase", F.col("k").cast("string").cast("binary"), F.lit("|").cast("binary"))  # of a length that no part has
     # A part of q phrases has a frequency of q times `least` or more, so the 256 most frequent are the hot ones.
     cuts = join_back(cuts, counts.select(F.col("part").alias("left"), F.col("f").alias("l")), "left", "l", spread)
@@ -292,12 +300,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, **sizes: i
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.call_function("div", exact("a") * F.lit(1000).cast("decimal(4,0)") * exact("n"), exact("l") * exact("r"))
     worst = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("worst")).select("lang", "phrase", "worst.*")
-    longer = found.filter(size > 2).select("f", F.explode(F.array(F.expr("substring(phrase, 1, length(phrase) - 8)"), F.expr("substring(phrase, 9)"))).alias("inside"))
+    longer = found.filter(size > 2).select("f", F.explode(F.array(F.expr(f"substring(phrase, 1, length(phrase) - {width})"), F.expr(f"substring(phrase, {width} + 1)"))).alias("inside"))
     closed = worst.join(longer.distinct(), (F.col("phrase") == F.col("inside")) & (F.col("a") == F.col("f")), "left_anti")
     order = [F.col("score").desc(), F.col("a").desc()]
     first = store(closed.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top), "first")  # with ties, which the words decide
-    spelled = first.select("lang", "phrase", F.posexplode(F.sequence(F.lit(1), size)).alias("at", "k")).select("lang", "phrase", "at", F.expr("substring(phrase, 8 * k - 7, 8)").alias("part"))
-    letters = spelled.join(words.select(_number(F.col("id")).alias("part"), "word"), "part")
+    spelled = first.select("lang", "phrase", F.posexplode(F.sequence(F.lit(1), size)).alias("at", "k")).select("lang", "phrase", "at", F.expr(f"substring(phrase, {width} * (k - 1) + 1, {width})").alias("part"))
+    letters = spelled.join(words.select(_number(F.col("id"), width).alias("part"), "word"), "part")
     texts = letters.groupBy("lang", "phrase").agg(F.sort_array(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
     texts = texts.select("lang", "phrase", F.concat_ws(" ", F.transform("w", lambda x: x["word"])).alias("text"))
     named = first.drop("place").join(texts, ["lang", "phrase"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "text")))
