@@ -76,3 +76,15 @@ def test_repeated_and_missing_doc_ids(spark):
 def test_run_on_no_documents(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    extra = ("_repeats", "_copy", "_row", "_file", "_text", "own0x", "_metadata")
+    clashing = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in extra})
+    now = clashing
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        now = function(spark, now, "")
+        assert now.columns == clashing.columns, name
+    rows = now.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == len(rows)

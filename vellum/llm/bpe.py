@@ -37,13 +37,18 @@ REMEMBERED = 300_000
 class Vocabulary:
     """Ranks of tokens, and the rank that each mergeable pair of tokens has."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks = ranks
+        self.pattern = pattern
         self.split = regex.compile(pattern)
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pair_keys, self.pair_ranks = pairs or self._pairs(ranks)
+
+    @staticmethod
+    def _pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         pairs = [
             ((ranks[token[:k]] << 32) | ranks[token[k:]], rank)
             for token, rank in ranks.items()
@@ -51,8 +56,11 @@ class Vocabulary:
             if token[:k] in ranks and token[k:] in ranks
         ]
         pairs.sort()
-        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs], np.int64)
+        return np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
+
+    def parts(self) -> tuple:
+        """What the constructor takes: plain values, which executors can read without this package."""
+        return self.ranks, self.pattern, (self.pair_keys, self.pair_ranks)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair merges into; -1 where there is none."""
@@ -189,10 +197,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema], *[f"{n} {t}" for n, t in made]])
     names = [*kept, *[n for n, _ in made]]
 
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path, pattern))  # as large as the vocabulary, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path, pattern).parts())  # as large as the vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         bytes_of = encoder.vocabulary.bytes_of
         for batch in batches:
             counts, id_digests, text_digests, ids_out, texts_out = [], [], [], [], []
