@@ -2,12 +2,16 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame. It works on all rows that the stage
 before it kept; each result is written as Parquet and read again as the next stage's docs.
+Extra columns of any name pass through all stages but the last.
 A stage decides about rows, told by their place in the files, not about doc_ids: rows
 without a doc_id or with one that others have are each judged by their own text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +24,28 @@ from vellum.llm.simhash import simhash_groups
 from vellum.storage import stage
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _apart(function: Stage) -> Stage:
+    """A stage whose input may have columns of any name: those that could clash with names of its own bear others inside it."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        mark = next(m for k in range(len(taken) + 1) if not any(c.startswith(m := f"own{k}x") for c in taken))
+        names = {c: f"{mark}{k}" for k, c in enumerate(docs.columns) if c.startswith("_")}
+        return function(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({inside: c for c, inside in names.items()})
+
+    return run
+
+
 def _without(docs: DataFrame, losers: DataFrame) -> DataFrame:
     """Located ``docs`` without the rows named; what is named is stored, so Spark knows its size and broadcasts it only if small."""
     return docs.join(store(losers.select(*LOCATOR), "losers"), list(LOCATOR), "left_anti").drop(*LOCATOR)
 
 
+@_apart
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language the classifier does not reject; all columns pass through.
 
@@ -34,6 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=tuple(docs.columns), only_accepted=True)
 
 
+@_apart
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep one row: one with the largest doc_id, or any row if none has a doc_id. Null equals the empty text."""
     rows = located(docs)
@@ -41,6 +63,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, exact_dedup(rows, first, keep=LOCATOR).filter("NOT kept"))
 
 
+@_apart
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints, keep one row: the smallest doc_id, nulls last, then the first in the files."""
     rows = located(docs)
@@ -49,6 +72,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, groups.join(winners, list(LOCATOR), "left_anti"))
 
 
+@_apart
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their target weights; the null source is one of them, rows without words stay as often as their whole source."""
     rows = located(docs)
@@ -57,6 +81,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(taken.hint("merge"), list(LOCATOR)).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_repeats"))).alias("_copy")).drop("_copy")
 
 
+@_apart
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of every document's token ids and digest of their round trip; null texts have no tokens."""
     import public_tokenizers
