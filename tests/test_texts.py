@@ -42,7 +42,7 @@ CASES = [
         "Could not open C:\\Users\\Bob Chen\\My Vault\\Smith 2020 - Falls.md at line 3": "Could not open <path> at line 3", "\\\\srv\\share\\my me\\cohort data.xlsx missing": "<path> missing",
         "NotFound: /Users/Bob Yu/Application Support/x.default/z.sqlite is missing": "NotFound: <path> is missing", "wrote a/b/c.md, and/or 1/2 N = 120/240": "wrote <path>, and/or 1/2 N = 120/240",
         "pk_live_abcdef12345 ghs_abcdefgh1234 rk_live_abcdef1": "<token> <token> <token>", "SyntaxError: unexpected token: }": "SyntaxError: unexpected token: }",
-        "Authorization: Bearer abc.def password='p@ss word'": "<secret> <secret>", "key 0123abcd4567efgh8901ijkl2345 zotero-bridge-cmd-report-issue": "key <hidden> zotero-bridge-cmd-report-issue",
+        "Authorization: Bearer abc.def password='p@ss word'": "<secret> <secret>", "key 0123abcd4567efgh8901ijkl2345 panel-window-cmd-report-issue-of-user": "key <hidden> panel-window-cmd-report-issue-of-user",
         "page 01234567-89ab-cdef-0123-456789abcdef of 0123456789abcdef0123456789abcdef.": "page <id> of <id>.", 'pref "obsidian.vaultPath" not "My own title"': 'pref "obsidian.vaultPath" not "…"',
         "同步「護理人員的經驗」失敗 can't read 'foo' of 'Falls RCTs'": "同步「…」失敗 can't read 'foo' of '…'", "(/mnt/c/Users/bob/vault)": "(<path>)", "path=/Volumes/USB/d.sav": "path=<path>"}),
     (lambda c: T.redact(c, ("My Vault", "alice", "跌倒預防")), {"My Vault of ALICE (alicex) in 跌倒預防論文": "<hidden> of <hidden> (alicex) in <hidden>論文"}),
