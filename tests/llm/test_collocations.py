@@ -73,7 +73,7 @@ def test_packed_rows_hold_the_fragments():
         ids = np.arange(70_001)
         data = sequence.astype("<u4")
         chunk = pa.table({"lang": ["en"], "sequence": [collocations._planes(data)], "weights": [collocations._planes(np.ones(int((sequence == 0).sum()) + 1, "<u8"))]})
-        known = pa.table({"place": ids[1:] - 1, "id": ids[1:], "f": np.full(70_000, 120)})
+        known = pa.table({"known": [[{"place": int(k) - 1, "id": int(k), "f": 120} for k in ids[1:]]]})
         packed = collocations._routed(3, 50, width)(chunk, known)
         assert set(packed["part"].to_pylist()) == {0, 1, 2} and all(packed["dealt"].to_pylist())
         got, n, _, _ = collocations._unpacked(packed, width)

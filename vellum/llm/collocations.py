@@ -163,11 +163,12 @@ def _routed(parts: int, pivot_words: int, width: int):
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
         columns: list[list] = [[] for _ in range(7)]
-        if len(chunk) and len(known):
+        found = known["known"].combine_chunks().flatten() if len(known) else ()
+        if len(chunk) and len(found):
             sequence, weights = _unplaned(chunk["sequence"][0].as_py(), "<u4"), _unplaned(chunk["weights"][0].as_py(), "<u8").astype(np.int64)
             ids, times = np.zeros(int(sequence.max()) + 1, np.int64), np.zeros(int(sequence.max()) + 1, np.int64)
-            place = np.asarray(known["place"]) + 1
-            ids[place], times[place] = np.asarray(known["id"]), np.asarray(known["f"])
+            place = np.asarray(found.field("place")) + 1
+            ids[place], times[place] = np.asarray(found.field("id")), np.asarray(found.field("f"))
             rows, total = _fragments(ids[sequence], weights[np.cumsum(sequence == 0) - (sequence == 0)], width)
             pivots = rows[:, LONGEST - 1].astype(np.int64)
             order = np.argsort(ids, kind="stable")
@@ -266,7 +267,9 @@ def phrases(docs: DataFrame, least: int = LEAST, part_words: int = PART_WORDS, p
     total, most = words.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
     width = 4 if most < 1 << 32 else 8
     listed = chunks.select(F.col("chunk").alias("of"), "lang", F.posexplode("words").alias("place", "word"))
-    known = listed.join(words, ["lang", "word"]).select("of", "place", "id", "f")
+    # Nearly all words of a small corpus are rare and few of a large one: every listed word gets an answer, by a shuffle at every size.
+    answered = listed.join(words.hint("merge"), ["lang", "word"], "left")
+    known = answered.groupBy("of").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("place", "id", "f"))).alias("known"))
     route = _routed(max(1, -(-total // part_words)), pivot_words, width)
     fragments = chunks.select("chunk", "lang", "sequence", "weights").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(route, FRAGMENT_SCHEMA)
     mined = store(fragments.groupBy("part").applyInArrow(_mined(least, width), PHRASE_SCHEMA), "mined")
