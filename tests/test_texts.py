@@ -38,13 +38,13 @@ CASES = [
     (T.edge_key, {"  Page 12  OF 30 ": "page # of #", None: None}),
     (T.csv_cell, {"=1+1": "'=1+1", "-5": "-5", 'a"b,c': '"a""b,c"', "@x": "'@x", None: ""}),
     (T.user_text, {"---\na: 1\n---\n# T\nown [[x|y]] words\n```\ncode\n```\n%% vellum:start v1 %%\nmine\n%% vellum:end %%\n[@cite] end": "\nown y words\n\n\n end"}),
-    (T.redact, {"see https://a.b/c?d=1 or a@b.org, token=abcdef123 C:\\Users\\me /home/me/x.txt paper.pdf": "see <url> or <email>, <secret> <path> <path> <file>", None: "",
+    (T.redact, {"see https://a.b/c?d=1 or a@b.org, token=abcdef123 C:\\Users\\me /home/me/x.txt paper.pdf": "see <url> or <email>, token=<token> <path> <path> <file>", None: "",
         "Could not open C:\\Users\\Bob Chen\\My Vault\\Smith 2020 - Falls.md at line 3": "Could not open <path> at line 3", "\\\\srv\\share\\my me\\cohort data.xlsx missing": "<path> missing",
         "NotFound: /Users/Bob Yu/Application Support/x.default/z.sqlite is missing": "NotFound: <path> is missing", "wrote a/b/c.md, and/or 1/2 N = 120/240": "wrote <path>, and/or 1/2 N = 120/240",
         "pk_live_abcdef12345 ghs_abcdefgh1234 rk_live_abcdef1": "<token> <token> <token>", "SyntaxError: unexpected token: }": "SyntaxError: unexpected token: }",
-        "Authorization: Bearer abc.def password='p@ss word'": "<secret> <secret>", "key 0123abcd4567efgh8901ijkl2345 panel-window-cmd-report-issue-of-user": "key <hidden> panel-window-cmd-report-issue-of-user",
+        "Authorization: Bearer abc.def password='p@ss word'": "Authorization: Bearer <token> password=<token>", "key 0123abcd4567efgh8901ijkl2345 panel-window-cmd-report-issue-of-user": "key <hidden> panel-window-cmd-report-issue-of-user",
         "page 01234567-89ab-cdef-0123-456789abcdef of 0123456789abcdef0123456789abcdef.": "page <id> of <id>.", 'pref "obsidian.vaultPath" not "My own title"': 'pref "obsidian.vaultPath" not "…"',
-        "同步「護理人員的經驗」失敗 can't read 'foo' of 'Falls RCTs'": "同步「…」失敗 can't read 'foo' of '…'", "(/mnt/c/Users/bob/vault)": "(<path>)", "path=/Volumes/USB/d.sav": "path=<path>"}),
+        "同步「護理人員的經驗」失敗 can't read 'foo' of 'Falls RCTs'": "同步「…」失敗 can't read 'foo' of '…'", "(/mnt/c/Users/bob/vault)": "(<path>)", "saw /tmp/x and then /tmp/y, a (D:/b)/c d": "saw <path> and then <path>, a (<path> d", "Bearer abc.def GET https://bob:pw@API.openai.com/v1/x doi.org https://doi.org/ ftp://h/x": "Bearer <token> GET https://api.openai.com/… doi.org https://doi.org <link>", "x-api-key: 0a1b2c3d4e5f; api_key=supersecret123&tool=zb": "x-api-key: <token>; api_key=<token>&tool=zb", "path=/Volumes/USB/d.sav": "path=<path>"}),
     (lambda c: T.redact(c, ("My Vault", "alice", "跌倒預防")), {"My Vault of ALICE (alicex) in 跌倒預防論文": "<hidden> of <hidden> (alicex) in <hidden>論文"}),
     (M.normalize_pages, {"ｐ．４５～５６頁": "45-56", "第45至56頁": "45-56", "pp. 3, 7-9": "3, 7-9", "see below": None, "p45": "45", "第 12 頁": "12", "S1–S12、e3": "S1-S12, e3", "45-": None, "頁次：1 ~ 2": "1-2", None: None}),
     (M.normalize_design, {"隨機對照試驗": "RCT", "系統性文獻回顧": "systematic review", "質性研究": "qualitative", "Case_Control": "case-control", "rct": "RCT", "Systematic review and meta-analysis": "meta-analysis", "opinion": "other", "未報告": "", None: ""}),

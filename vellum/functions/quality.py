@@ -36,14 +36,24 @@ def quality_issues(has_ai: Column, full_text: Column, item_type: Column, doi: Co
     return F.filter(F.array(*[F.when(test, code) for code, test in tests.items()]), lambda x: x.isNotNull())
 
 
+#: Signs between Han characters: half-width, as they should be, and what may stand before and after them.
+_CLOSED, _OPENED = r"[\p{IsHan}）」』》]", r"[\p{IsHan}（「『《]"
+TITLE_SIGNS = (
+    (r"\s*:\s*", "：", _CLOSED, _OPENED),
+    (r"\s*,\s*", "，", HAN, HAN),
+    (r"\s*;\s*", "；", HAN, HAN),
+    (r"\s*\?", "？", HAN, rf"(?:{HAN}|\z)"),
+    (r"[。.]", "", _CLOSED, r"\z"),
+    (r"\x20{2,}", " ", "", ""),
+)
+
+
 def tidy_title(column: Column) -> Column:
     """Title without idle spaces, with full-width signs between Han characters, and no full stop after one."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(column, F.lit("")), r"\A[\s　]+|[\s　]+\z", ""), r" {2,}", " ")
-    before, after = r"(?<=[\p{IsHan}）」』》])", r"(?=[\p{IsHan}（「『《])"
-    text = F.regexp_replace(text, rf"{before}\s*:\s*{after}", "：")
-    for half, full in ((",", "，"), (";", "；")):
-        text = F.regexp_replace(text, rf"(?<={HAN})\s*{half}\s*(?={HAN})", full)
-    return F.regexp_replace(F.regexp_replace(text, rf"(?<={HAN})\s*\?(?={HAN}|\z)", "？"), rf"{before}[。.]\z", "")
+    text = F.regexp_extract(F.coalesce(column, F.lit("")), r"(?s)\A[\s　]*(.*?)[\s　]*\z", 1)
+    for half, full, before, after in TITLE_SIGNS:
+        text = F.regexp_replace(text, (f"(?<={before})" if before else "") + half + (f"(?={after})" if after else ""), full)
+    return text
 
 
 def chinese_part(column: Column, least_words: int) -> Column:

@@ -129,7 +129,7 @@ def own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("redacted_logs", """
-SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'open <path> at line ' || o_orderkey WHEN 1 THEN 'GET <url> failed ' || o_orderkey WHEN 2 THEN 'mail <email>, key <token>' WHEN 3 THEN 'page <id> of "…"' WHEN 4 THEN '<secret> in <file> ' || o_orderkey ELSE 'pref "a.b" of <hidden> and/or ' || o_orderkey END AS text FROM orders
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'open <path> at line ' || o_orderkey WHEN 1 THEN 'GET <url> failed ' || o_orderkey WHEN 2 THEN 'mail <email>, key <token>' WHEN 3 THEN 'page <id> of "…"' WHEN 4 THEN 'token=<token> in <file> ' || o_orderkey ELSE 'pref "a.b" of <hidden> and/or ' || o_orderkey END AS text FROM orders
 """)
 def redacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = (
