@@ -36,9 +36,9 @@ LEAST = 100
 LONGEST = 5
 TOP = 2_000
 #: Bytes of text whose words are numbered together.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 #: Occurrences of pivots that meet in one group, on average, and the most that a part of one pivot stands for.
-PART_WORDS, PIVOT_WORDS = 500_000, 250_000
+PART_WORDS, PIVOT_WORDS = 300_000, 150_000
 #: Pieces end at these bytes; letters A-Z become lower case.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(PIECE_ENDS + bytes(range(65, 91)), b"\n" * len(PIECE_ENDS) + bytes(range(97, 123)))
