@@ -31,7 +31,7 @@ from vellum.llm.common import chunks, ship
 #: Characters of text a chunk holds before its words are encoded (a longer text is a chunk of its own).
 CHUNK_CHARS = 4_000_000
 #: Pieces of text whose tokens a task remembers from chunk to chunk; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -86,7 +86,12 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """Token ids of each word, by replaying all merges in rank order over all words."""
+    """Token ids of each word."""
+    return [np.frombuffer(x, "<u4") for x in packed(vocabulary, words)]
+
+
+def packed(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """Token ids of each word (little-endian, 32 bits), by replaying all merges in rank order over all words."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     token = vocabulary.of_byte[np.frombuffer(b"".join(words), np.uint8)]
     n = len(token)
@@ -142,9 +147,11 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
         if len(touched):
             enter(touched, rank)
     kept = token >= 0
-    ids = np.split(token[kept], np.cumsum(np.bincount(word_of[kept], minlength=len(words)))[:-1]) if len(words) else []
+    data = token[kept].astype("<u4").tobytes()
+    stops = (4 * np.cumsum(np.bincount(word_of[kept], minlength=len(words)))).tolist()
+    ids = [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
     for k in np.nonzero(odd)[0]:
-        ids[k] = np.array(vocabulary.one_word(words[k]), np.int64)
+        ids[k] = np.array(vocabulary.one_word(words[k]), "<u4").tobytes()
     return ids
 
 
@@ -164,23 +171,25 @@ class Encoder:
         """Encode pieces (as little-endian unsigned 32-bit ids) by one replay over their distinct words."""
         if len(self.known) + len(pieces) > REMEMBERED:
             self.known.clear()
-        split = {piece: [w.encode() for w in self.vocabulary.split.findall(piece)] for piece in pieces}
-        words = {w: None for found in split.values() for w in found}
-        whole = self.vocabulary.ranks
-        rare = [w for w in words if w not in whole]
-        ids = {w: np.array([whole[w]], "<u4").tobytes() for w in words if w in whole}
-        ids.update({w: found.astype("<u4").tobytes() for w, found in zip(rare, replay(self.vocabulary, rare), strict=True)})
-        self.known.update({piece: b"".join([ids[w] for w in found]) for piece, found in split.items()})
+        order = list(pieces)
+        split = list(map(self.vocabulary.split.findall, order))
+        words = sorted(set().union(*split))
+        coded = [w.encode() for w in words]
+        ranks = list(map(self.vocabulary.ranks.get, coded))
+        rare = [w for w, rank in zip(coded, ranks, strict=True) if rank is None]
+        merged = iter(packed(self.vocabulary, rare))
+        ids = {w: next(merged) if rank is None else rank.to_bytes(4, "little") for w, rank in zip(words, ranks, strict=True)}
+        self.known.update(zip(order, [b"".join(map(ids.__getitem__, found)) for found in split], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as bytes, in order."""
-        cut = [CUT.split(t) for t in texts]
-        new = {p for pieces in cut for p in pieces} - self.known.keys()
+        cut = list(map(CUT.split, texts))
+        met = set().union(*cut)
+        new = met - self.known.keys()
         if new:
-            met = {p for pieces in cut for p in pieces} if len(self.known) + len(new) > REMEMBERED else new
-            self.learn(met)
+            self.learn(met if len(self.known) + len(new) > REMEMBERED else new)
         for pieces in cut:
-            yield b"".join([self.known[p] for p in pieces])
+            yield b"".join(map(self.known.__getitem__, pieces))
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -207,7 +216,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
             for chunk in chunks([t or "" for t in batch.column(len(kept)).to_pylist()], CHUNK_CHARS):
                 for packed in encoder.encode(chunk):
                     ids = np.frombuffer(packed, "<u4").tolist()
-                    decoded = b"".join([bytes_of[i] for i in ids])
+                    decoded = b"".join(map(bytes_of.__getitem__, ids))
                     counts.append(len(ids))
                     id_digests.append(hashlib.sha256(packed).hexdigest())
                     text_digests.append(hashlib.sha256(decoded).hexdigest())
