@@ -88,7 +88,8 @@ def library_lookup(candidates: DataFrame, library: DataFrame) -> DataFrame:
     sides carry different DOIs. Both need id, doi, pmid, title and year; ids are unique.
     """
     lib = keyed(library.withColumn("date", F.lit(None).cast("string"))).select("id", "pos", "doi_key", "title_key", F.col("year_key").try_cast("int").alias("y"), "pmid")
-    cand = keyed(candidates.withColumn("date", F.lit(None).cast("string"))).withColumn("y", F.col("year_key").try_cast("int"))
+    lib = store(lib, "library")
+    cand = store(keyed(candidates.withColumn("date", F.lit(None).cast("string"))).withColumn("y", F.col("year_key").try_cast("int")), "candidates")
     by_doi = lib.filter("doi_key IS NOT NULL").groupBy("doi_key").agg(F.min_by("id", "pos").alias("doi_hit"))
     by_pmid = lib.filter("pmid IS NOT NULL AND pmid <> ''").groupBy("pmid").agg(F.min_by("id", "pos").alias("pmid_hit"))
     by_title = lib.filter("title_key IS NOT NULL AND y > 0").groupBy("title_key", "y").agg(F.min_by(F.struct("id", "doi_key"), "pos").alias("hit"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.identifiers import concept_key
+from vellum.storage import store
 
 TYPE_ORDER = ("concept", "measure", "outcome")
 
@@ -28,6 +29,7 @@ def resolved(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame
 
 def concept_nodes(rows: DataFrame) -> DataFrame:
     """``key, name, n_papers, n_variants, types``: the alias's name, else the most used spelling (on a tie the one seen first)."""
+    rows = store(rows.select("key", "name", "type", "paper", "pos", "fixed"), "resolved")
     spelled = rows.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("paper", "pos")).alias("first"), F.max("fixed").alias("fixed"))
     # Of the most used spellings the one seen first: the largest count with the smallest place.
     best = spelled.groupBy("key").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_variants"), F.max("fixed").alias("fixed"))
@@ -37,15 +39,27 @@ def concept_nodes(rows: DataFrame) -> DataFrame:
     return papers.join(best, "key").join(named, "key").select("key", F.coalesce("fixed", "spelling").alias("name"), "n_papers", "n_variants", types.alias("types"))
 
 
+#: Concepts of a paper that are paired with all others of it in one task.
+PAIRED = 1_000
+
+
 def cooccurrence(rows: DataFrame, paper: str = "paper", key: str = "key") -> DataFrame:
-    """``a, b, n`` with a < b: papers that mention both. A paper's own pairs are its concepts, which are few."""
-    sets = rows.select(paper, key).distinct()
-    left, right = sets.select(paper, F.col(key).alias("a")), sets.select(paper, F.col(key).alias("b"))
-    return left.join(right, paper).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """``a, b, n`` with a < b: papers that mention both.
+
+    A paper of n concepts has n (n - 1) / 2 pairs, which is what is asked for; they are
+    counted in parts of PAIRED concepts against all, so no task has more than that of a paper.
+    """
+    sets = store(rows.select(paper, F.col(key).alias("a")).filter(F.col(paper).isNotNull() & F.col("a").isNotNull()).distinct(), "concepts")
+    parts = sets.groupBy(paper).agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("parts"))
+    sized = sets.join(parts, paper)
+    left = sized.select(paper, "a", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    right = sized.select(paper, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, [paper, "part"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:
     """``node, other, n, place``: each node's ``k`` strongest neighbours, ties by name."""
+    edges = store(edges, "edges")
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "n").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "other"))
     return both.withColumn("place", place).filter(F.col("place") <= k)

@@ -120,8 +120,10 @@ def report_reminders(reports: DataFrame, table: list[Check] | None = None) -> Da
     none = F.array().cast("array<struct<code: string, level: string, evidence: array<string>>>")
 
     def told(check: Check) -> Column:
-        one = F.transform(check.evidence, lambda e: finding(check, F.array(e))) if check.each else F.array(finding(check, check.evidence))
-        return F.when(check.evidence.isNotNull(), one).otherwise(none)
+        """The findings of a check; its evidence stands in the plan once."""
+        if check.each:
+            return F.coalesce(F.transform(check.evidence, lambda e: finding(check, F.array(e))), none)
+        return F.transform(F.filter(F.array(check.evidence), lambda e: e.isNotNull()), lambda e: finding(check, e))
 
     parts = [told(check) for check in (checks() if table is None else table)]
     found = reports.select("report", F.posexplode(F.flatten(F.array(*parts))).alias("pos", "f"))

@@ -52,10 +52,34 @@ def candidate_pairs(quotes: DataFrame, texts: DataFrame, fuzzy: bool) -> DataFra
     return pairs.join(quotes, "quote_id").withColumnRenamed("tokens", "quote").join(texts, "text_id").withColumnRenamed("tokens", "text")
 
 
+def _grams(tokens: Column) -> Column:
+    """Hashes of all runs of three tokens, in order; none for fewer tokens."""
+    return F.when(F.size(tokens) >= 3, F.transform(F.sequence(F.lit(0), F.size(tokens) - 3), lambda k: F.xxhash64(F.get(tokens, k), F.get(tokens, k + 1), F.get(tokens, k + 2))))
+
+
 def exact_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``quote_id, text_id`` where the tokens of the quote stand in the text in one run."""
+    """``quote_id, text_id`` where the tokens of the quote stand in the text in one run.
+
+    A quote is looked for by its two rarest runs of three tokens, which must stand at their
+    distance; only then are tokens compared. Quotes of one or two tokens are looked for by
+    the rarest. Takes (quote_id, tokens) and (text_id, tokens), both stored.
+    """
+    short = quotes.filter(F.size("tokens") < 3)
     line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return candidate_pairs(quotes, texts, fuzzy=False).filter(F.contains(line("text"), line("quote"))).select("quote_id", "text_id")
+    few = candidate_pairs(short, texts, fuzzy=False).filter(F.contains(line("text"), line("quote"))).select("quote_id", "text_id") if short.take(1) else None
+    asked = store(quotes.filter(F.size("tokens") >= 3).select("quote_id", F.posexplode(_grams(F.col("tokens"))).alias("at", "gram")), "asked")
+    wanted = store(asked.select("gram").distinct(), "wanted")
+    held = store(texts.select("text_id", F.posexplode(_grams(F.col("tokens"))).alias("place", "gram")).join(wanted, "gram", "left_semi"), "held")
+    rarity = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = asked.join(rarity, "gram", "left").groupBy("quote_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram"))), 1, 2).alias("best"))
+    anchors = store(ranked.select("quote_id", F.size("best").alias("needed"), F.explode("best").alias("b")).select("quote_id", "needed", "b.at", "b.gram"), "anchors")
+    # A place counts once for each of a quote's anchors that stands where it should.
+    hits = anchors.join(held, "gram").groupBy("quote_id", "text_id", (F.col("place") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"), F.max("needed").alias("needed"))
+    met = hits.filter("n = needed AND start >= 0").select("quote_id", "text_id", "start")
+    pairs = met.join(quotes, "quote_id").withColumnRenamed("tokens", "quote").join(texts, "text_id")
+    same = F.slice("tokens", F.col("start") + 1, F.size("quote")) == F.col("quote")
+    many = pairs.filter(same).select("quote_id", "text_id").distinct()
+    return many if few is None else many.unionByName(few)
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

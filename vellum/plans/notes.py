@@ -60,9 +60,10 @@ def report_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 8 == 0, "harm").alias("questionType"), scenario.alias("scenario"), F.lit("p").alias("population"), F.lit("i").alias("intervention"), F.when(k % 3 != 0, "c").alias("comparison"), F.lit("o").alias("outcome"),
         databases.alias("databases"), F.lit(None).cast("string").alias("searchDate"), F.lit("falls").alias("query"),
     )
-    orders = table(spark, sf_dir, "orders").join(lines, k == F.col("k"), "left")
+    written = table(spark, sf_dir, "orders").select("o_orderkey", F.create_map(*[x for name, text in texts.items() for x in (F.lit(name), text)]).alias("sections"))
+    orders = written.join(lines, k == F.col("k"), "left")
     reports = orders.select(
-        k.cast("string").alias("report"), F.create_map(*[x for name, text in texts.items() for x in (F.lit(name), text)]).alias("sections"), F.transform("x", lambda x: x["e"]).alias("entries"), F.transform("x", lambda x: x["r"]).alias("rows"),
+        k.cast("string").alias("report"), "sections", F.transform("x", lambda x: x["e"]).alias("entries"), F.transform("x", lambda x: x["r"]).alias("rows"),
         answer.alias("answer"), F.when(k % 6 != 0, F.struct((k % 7).cast("int").alias("taPending"), F.lit(0).alias("ftPending"))).alias("prisma"),
         F.when(k % 10 == 0, F.struct(F.lit("falls").alias("query"), F.lit("尚未實際檢索").alias("queryNote"))).alias("search"), F.when(k % 13 == 0, F.array(F.lit("S1"))).alias("withoutAI"),
     )
