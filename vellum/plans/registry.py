@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from vellum.plans import assembly, changes, facets, fulltext, funnel, lists, logs, metadata, notes, prose, quality, records, sources, streams, texts, updates  # noqa: F401
+    from vellum.plans import assembly, changes, facets, fulltext, funnel, lists, logs, metadata, notes, periods, prose, quality, records, sources, streams, texts, updates  # noqa: F401
 
 
 load_all()
