@@ -131,3 +131,71 @@ def test_pages_with_a_teaser_article_keep_their_body(spark):
     whole = {r.page_id: r.text for r in H.extract(table(spark, DATA, "pages")).collect()}
     found = {r.page_id: r.text for r in H.extract(pages).collect()}
     assert sum(found[k] == f"{t} Teaser".strip() for k, t in whole.items()) >= 0.95 * len(whole)
+
+
+def brute_text(pages, k, min_tokens=12):
+    """Text of an open page of one host: every run of a block is looked for in every other distinct page."""
+    streams = [[w for b in p for w in b.split()] for p in pages]
+    distinct = list(dict.fromkeys(tuple(p) for p in pages))
+    needed = max(3, 0.001 * len(distinct))
+    flat = {p: [w for b in p for w in b.split()] for p in distinct}
+    has = lambda run: sum(any(flat[p][a : a + len(run)] == run for a in range(len(flat[p]))) for p in distinct) >= needed
+    often = [False] * len(streams[k])
+    for a in range(len(streams[k]) - min_tokens + 1):
+        if has(streams[k][a : a + min_tokens]):
+            often[a : a + min_tokens] = [True] * min_tokens
+    out, at = [], 0
+    for b in pages[k]:
+        n = len(b.split())
+        whole = n < min_tokens and sum(b in p for p in distinct) >= needed
+        if not whole and sum(often[at : at + n]) / n < 0.8:
+            out.append(b)
+        at += n
+    return " ".join(out)
+
+
+def test_open_pages_by_brute_force():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    long = ["this long notice stands on very many pages of the whole site and says nothing new", "read more about us"]
+    pages = []
+    for _ in range(14):
+        blocks = [" ".join(rng.choice(words, int(rng.integers(1, 25)))) for _ in range(int(rng.integers(0, 5)))]
+        for extra in long:
+            if rng.random() < 0.5:
+                blocks.insert(int(rng.integers(0, len(blocks) + 1)), extra + rng.choice(["", " a tail of own words here"]))
+        pages.append(blocks)
+    pages += pages[:2]
+    texts = text_of(*["".join(f"<div>{b}</div>" for b in p) for p in pages])
+    assert texts == [brute_text(pages, k) for k in range(len(pages))]
+
+
+def test_own_text_stays_however_large_the_host():
+    # Everyday runs of a few words reach many pages; only whole boilerplate goes.
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(12)])
+    bodies = [" ".join(rng.choice(words, 40)) for _ in range(1_500)]
+    texts = text_of(*[f"<div>Welcome to our site</div><div>{b}</div><div>Copyright by the lovely firm</div>" for b in bodies])
+    assert texts == bodies
+
+
+def test_repeats_on_a_small_share_of_a_host_stay(spark, monkeypatch):
+    notice = "<div>A notice of twelve words or more that three pages of the host share today</div>"
+    rows = [(k, "http://h.example", f"<div>Body {k} in own words {k}</div>{notice if k < 3 else ''}") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = lambda: sum("notice" in r.text for r in H.extract(pages).collect())
+    assert kept() == 0
+    monkeypatch.setattr(H, "HOST_SHARE", 0.5)
+    assert kept() == 3
+
+
+def test_classes_of_readers_and_notices():
+    page = "<article><p>Own text</p>{}</article>"
+    for name in ("user-comments", "responses", "cookie-banner", "signup-box", "comment-list"):
+        assert text_of(page.format(f"<div class='{name}'>no</div>")) == ["Own text"], name
+    assert text_of(page.format("<div id='disqus_thread'>no</div>")) == ["Own text"]
+    assert text_of(page.format("<div class='cookies-recipe'>Mix it</div>")) == ["Own text Mix it"]
+    # Of a page without an article a doubtful class leaves the decision to the runs.
+    body = "<div class='elementor-widget-text-editor'><p>Body {0} of the page</p></div><div class='right-side column'>More {0}</div>"
+    assert text_of(*[body.format(k) for k in range(4)]) == [f"Body {k} of the page More {k}" for k in range(4)]
+    assert text_of(body.format(1) + "<article>The article</article>") == ["The article"]

@@ -9,10 +9,14 @@ one under a class that may mean chrome or not (``social``, ``related``, ``notice
 Repeated runs decide about open blocks. The streams of a host, which are the blocks
 outside its articles, are concatenated in pieces of bounded size, and all suffixes of a
 piece are sorted by prefix doubling, so that those that agree on MIN_TOKENS tokens stand
-together. A piece gives each such run with the number of distinct pages that have it.
-Pages with equal text are counted once, wherever they lie, so the numbers of pieces add
-up to those of the host, and the result depends neither on pieces nor on partitions. An
-open block goes where runs of MIN_PAGES pages or more cover most of it.
+together. A longer substring that pages share is covered by its runs of MIN_TOKENS, each
+of which they share too, so no deeper order is needed to know what repeats cover. A block
+of fewer tokens is a run of its own, repeated only as a whole. Each piece gives its runs
+with the number of distinct pages that have them. Pages with equal text are counted once,
+wherever they lie, so the numbers of pieces add up to those of the host, and the result
+depends neither on pieces nor on partitions. An open block goes where runs cover most of
+it that stand on MIN_PAGES pages and on HOST_SHARE of all distinct pages of the host: what a
+few pages of a large host have in common by chance stays.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import join_back, ship, store
 
-#: Tokens that make a repeated run long, distinct pages that must share it, and the share of a block it must cover.
-MIN_TOKENS = 4
+#: Tokens that make a repeated run long, distinct pages that must share it and their share of a host's, and the share of a block it must cover.
+MIN_TOKENS = 12
 MIN_PAGES = 3
+HOST_SHARE = 0.001
 COVERED = 0.8
 #: Tokens of one suffix array. This bounds memory and changes no result.
 RUN_TOKENS = 400_000
@@ -43,13 +48,13 @@ IN_HEAD = frozenset("title meta link script style base noscript template".split(
 CHROME = frozenset("nav footer aside form button select textarea input fieldset menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr newsletter comment comments commentlist disqus".split()
+    "ad ads advert adverts advertisement advertising adsense sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr newsletter comment comments commentlist responses disqus signup".split()
 )
 #: Words that may mark chrome inside an article, but may as well be the article's subject.
 DOUBTFUL = frozenset("sponsor promo promotion menu notice notices subscribe share sharing social replies respond related recommended".split())
 OUTER_MARKS = MARKS | DOUBTFUL | frozenset("side menubar header masthead alert banner popup modal overlay signup login reply widget pager pagination skip".split())
 #: Words that say nothing beside a mark of the same class: ``ad-slot`` is an ad, ``ad-hoc`` is none.
-FILLERS = frozenset("area article bar block body bottom box button buttons content container form head header icon icons inner inline item items left link links list main message outer page post right section site slot text title top unit wrap wrapper".split())
+FILLERS = frozenset("area article banner bar block body bottom box button buttons content container form head header icon icons inner inline item items left link links list main message outer overlay page popup post reader readers right section site slot text thread title top unit user users widget wrap wrapper".split())
 CONTENT = frozenset("article main".split())
 CONTENT_MARKS = frozenset("article content main post entry story".split())
 NEVER_CONTENT = frozenset("comment comments commentlist replies ad ads advert advertisement sidebar related recommended".split())
@@ -73,7 +78,7 @@ ENDS = {
 WORDS = re.compile(r"[a-z0-9]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
-KEPT, OPEN, DROPPED, DOUBTED = 0, 1, 2, 3
+KEPT, OPEN, DROPPED, DOUBTED, WEAK = 0, 1, 2, 3, 4
 #: Share of a doubtful block's text in links that makes it a list of links.
 LINKS = 0.8
 
@@ -124,9 +129,11 @@ class Blocks(HTMLParser):
             else:
                 marks = set(WORDS.findall(classes))
                 content = tag in CONTENT or bool(marks & CONTENT_MARKS)
-                if marks & NEVER_CONTENT or (not content and marks & OUTER_MARKS):
+                if marks_chrome(classes) == DROPPED or (marks & NEVER_CONTENT and (content or now == WEAK)):
                     return DROPPED
-        return KEPT if now == OPEN and (tag in CONTENT or role in CONTENT) else now
+                if not content and marks & (OUTER_MARKS | NEVER_CONTENT):
+                    return WEAK  # chrome beside an article; of a page without one the runs decide
+        return KEPT if now in (OPEN, WEAK) and (tag in CONTENT or role in CONTENT) else now
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -181,11 +188,16 @@ class Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
-    """Blocks (zone, text) of a page, script and style left out."""
+    """Blocks (zone, text) of a page, script and style left out.
+
+    A block under a class that may mean chrome is dropped where the page has an article, and
+    open where it has none.
+    """
     parser = Blocks()
     parser.feed(html)
     parser.finish()
-    return parser.blocks
+    weak = DROPPED if any(zone == KEPT for zone, _ in parser.blocks) else OPEN
+    return [(weak if zone == WEAK else zone, text) for zone, text in parser.blocks]
 
 
 def suffix_groups(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +287,17 @@ def covered_tokens(pages: list[np.ndarray], depth: int = MIN_TOKENS, min_pages:
 
 def token_ids(text: str) -> np.ndarray:
     """A 63-bit hash of each token."""
-    return np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in text.encode().split(b" ") if w], np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in text.encode().split()], np.int64)
+
+
+#: Sets the keys of whole short blocks apart from those of runs.
+SHORT = 0x5BD1E9955BD1E995
+
+
+def short_keys(stream: str, host: int) -> np.ndarray:
+    """Keys of the blocks of a stream (one a line) that have fewer than MIN_TOKENS tokens."""
+    short = [token_ids(b) for b in stream.split("\n") if b.count(" ") + 1 < MIN_TOKENS]
+    return np.concatenate([np.zeros(0, np.int64), *[run_keys(t, len(t), host ^ SHORT) for t in short if len(t)]])
 
 
 def host_key(host: str) -> int:
@@ -285,7 +307,7 @@ def host_key(host: str) -> int:
 def laid_out(blocks: list[tuple[int, str]]) -> tuple[int, list[str], list[dict]]:
     """Of a page: a digest of all its text, its streams outside the article, and its kept and open blocks.
 
-    Neighbouring blocks outside the article are one stream. An open block knows its
+    Neighbouring blocks outside the article are one stream, a line each. An open block knows its
     stream and the number of its first token there; a kept one has stream -1.
     """
     streams: list[list[str]] = []
@@ -303,13 +325,13 @@ def laid_out(blocks: list[tuple[int, str]]) -> tuple[int, list[str], list[dict]]
             first += text.count(" ") + 1
         before = zone
     mark = xxhash.xxh3_64_intdigest("\n".join([text for _, text in blocks]).encode()) - (1 << 63)
-    return mark, [" ".join(x) for x in streams], shown
+    return mark, ["\n".join(x) for x in streams], shown
 
 
 def open_runs(streams: list[str], blocks: list[dict], host: int) -> np.ndarray:
     """Distinct keys of the runs of the streams in which open blocks stand."""
     wanted = sorted({b["stream"] for b in blocks if b["stream"] >= 0})
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *[run_keys(token_ids(streams[k]), MIN_TOKENS, host) for k in wanted]]))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[keys for k in wanted for keys in (run_keys(token_ids(streams[k]), MIN_TOKENS, host), short_keys(streams[k], host))]]))
 
 
 def kept_text(streams: list[str], blocks: list[dict], repeated: np.ndarray, host: int) -> str:
@@ -319,24 +341,35 @@ def kept_text(streams: list[str], blocks: list[dict], repeated: np.ndarray, host
     kept = []
     for b in blocks:
         size = b["text"].count(" ") + 1
+        if b["stream"] >= 0 and np.isin(short_keys(b["text"], host), repeated).any():
+            continue
         if b["stream"] < 0 or flags[b["stream"]][b["first"] : b["first"] + size].mean() < COVERED:
             kept.append(b["text"])
     return " ".join(kept)
 
 
+def _piece(streams: list[str], owners: list[int], host: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and short blocks of one piece with their numbers of pages."""
+    keys, counts = run_pages([token_ids(x) for x in streams], np.array(owners), MIN_TOKENS, host)
+    short = [short_keys(x, host) for x in streams]
+    pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *short]), np.repeat(np.array(owners, np.int64), [len(x) for x in short])]), axis=1)
+    blocks, pages = np.unique(pairs[0], return_counts=True)
+    return np.concatenate([keys, blocks]), np.concatenate([counts, pages])
+
+
 def counted_runs(host: str, pages: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys and page numbers of all runs of a host's distinct pages, by pieces of bounded size."""
     key, streams, owners, size = host_key(host), [], [], 0
     for number, page in enumerate(pages):
         for text in page:
-            streams.append(token_ids(text))
+            streams.append(text)
             owners.append(number)
-            size += len(streams[-1])
+            size += text.count(" ") + text.count("\n") + 1
         if size >= RUN_TOKENS:
-            yield run_pages(streams, np.array(owners), MIN_TOKENS, key)
+            yield _piece(streams, owners, key)
             streams, owners, size = [], [], 0
     if streams:
-        yield run_pages(streams, np.array(owners), MIN_TOKENS, key)
+        yield _piece(streams, owners, key)
 
 
 def host_of(url: Column) -> Column:
@@ -418,9 +451,14 @@ def extract(pages: DataFrame) -> DataFrame:
     counted = streams.repartitionByRange("host", "mark").sortWithinPartitions("host", "mark").mapInArrow(_count, "run long, pages long")
     repeated = store(counted.groupBy("run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= MIN_PAGES), "runs")
     undecided = parsed.filter(is_open)
-    asked = undecided.select("row", "host", "streams", "blocks").mapInArrow(_ask, "row long, run long")
-    met = join_back(asked, repeated, "run", "pages", F.xxhash64("row", "run")).filter("pages IS NOT NULL").groupBy("row").agg(F.collect_list("run").alias("runs"))
-    decided = undecided.join(met, "row", "left").select("page_id", "url", "host", "streams", "blocks", "runs").mapInArrow(_decide, f"{fields}, text string")
+    sizes = store(parsed.select("host", "mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("distinct_pages")), "hosts")
+    wanted = undecided.select("row", "host", "streams", "blocks").mapInArrow(_ask, "row long, run long")
+    met = join_back(wanted, repeated, "run", "pages", F.xxhash64("row", "run")).filter("pages IS NOT NULL")
+    # A page asks with all its runs, and takes those that stand on enough of its host's pages.
+    found = met.groupBy("row").agg(F.collect_list(F.struct("run", "pages")).alias("found"))
+    of_host = join_back(undecided, sizes, "host", "distinct_pages", F.concat(F.lit("row "), F.col("row").cast("string")))
+    often = F.transform(F.filter("found", lambda x: x["pages"] >= F.col("distinct_pages") * HOST_SHARE), lambda x: x["run"])
+    decided = of_host.join(found, "row", "left").select("page_id", "url", "host", "streams", "blocks", often.alias("runs")).mapInArrow(_decide, f"{fields}, text string")
     return plain.unionByName(decided).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
