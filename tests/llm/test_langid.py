@@ -87,3 +87,28 @@ def test_filter_keeps_all_columns(spark, model):
     docs = spark.createDataFrame([(1, "the and of that thing", "s", "x"), (2, None, "s", "y"), (1, "the and of that thing", "s", "x")], "doc_id long, text string, score string, lang_pred string")
     kept = L.identify(docs, model, keep=tuple(docs.columns), only_accepted=True)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 1]
+
+
+def test_words_not_seen_are_accepted_and_noise_is_not():
+    import random
+
+    random.seed(3)
+    syllables = {"aa": "ka to mi ren sol va".split(), "bb": "brü stei chen wald ung ver".split(), "cc": "çon aux lleu îr oué ent".split()}
+    word = lambda lang: "".join(random.choice(syllables[lang]) for _ in range(random.randint(2, 4)))
+    seen = {lang: [word(lang) for _ in range(150)] for lang in syllables}
+    texts, langs = zip(*[(" ".join(random.choice(seen[lang]) for _ in range(60)), lang) for lang in syllables for _ in range(60)], strict=True)
+    model = L.fit(list(texts), list(langs))
+    known = {w for words in seen.values() for w in words}
+    new = [(lang, " ".join(w for w in (word(lang) for _ in range(40)) if w not in known)) for lang in syllables for _ in range(40)]
+    found = model.predict_all([t for _, t in new])
+    assert sum(p[0] == lang for p, (lang, _) in zip(found, new, strict=True)) >= 0.98 * len(new)
+    assert sum(p[2] for p in found) <= 0.05 * len(new)  # rejected for it
+    noise = [" ".join("".join(random.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(12)) for _ in range(60)]
+    assert sum(not p[2] for p in model.predict_all(noise)) <= 0.05 * len(noise)  # accepted for all that
+
+
+def test_most_labels_bound_what_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LABELS", 2)
+    rows = [(k, f"word{k % 3} text of many letters", f"l{k % 3}" if k < 60 else f"rare{k}") for k in range(90)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.labels == ["l0", "l1"]

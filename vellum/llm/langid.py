@@ -8,10 +8,13 @@ rows and over negatives made from them: words with their letters dealt anew, wor
 letters drawn at random, and words of letters of other scripts.
 
 Rejection is calibrated on what is kept back, every fifth text of a language. A
-temperature is fitted to these texts and to negatives made from them; then the score of
-right predictions is set against that of negatives and of whole languages that further
-models, trained without them, have never seen. The threshold lies between the two, or at
-the score that REJECTED of the right predictions miss if that is lower, less a margin.
+temperature is fitted to these texts and to negatives made from them. Then scores of right
+predictions are set against scores of negatives and of whole languages that further models,
+trained without them, have never seen. Right predictions are those of the kept texts, and
+those of their words that yet other models have never seen: each of these is trained
+without one part of all words and judges texts of that part alone, as a reader of new
+vocabulary does. The threshold is the least at which no more than REJECTED of the wrong
+ones pass, or the score that REJECTED of the right ones miss if that is lower.
 
 After training only the product of embeddings and layer is needed (buckets x classes),
 so a text costs one look-up per distinct word; its size does not depend on the corpus.
@@ -42,8 +45,12 @@ TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS = 2_000, 50, 1_500
 WINDOWS, WINDOW_WORDS = 4, (1, 24)
 #: Negatives of each kind for one training text.
 NEGATIVES = 0.2
-#: Share of right predictions on texts kept back that may lie below the threshold before the margin, and the margin in log odds: texts kept back are few, and a text wrongly rejected is lost.
-REJECTED, MARGIN = 0.003, 2.0
+#: Share of negatives and languages left out that may pass, and share of right predictions, on texts kept back and on words not seen, that may be rejected for it.
+REJECTED = 0.003
+#: Parts of all words of which a model each is trained without one, and the least letters of such a part's text that is judged.
+WORD_FOLDS, WORD_LETTERS = 2, 60
+#: Labels learned: the most frequent ones. This bounds what the driver holds, with the rows of a label.
+MOST_LABELS = 200
 #: Models that are trained to calibrate, each without one part of the languages, and their epochs.
 FOLDS, FOLD_EPOCHS = 3, 1
 #: Code points of letters from which words of other scripts are made: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Kana, Han, Hangul.
@@ -212,11 +219,34 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel:
                 seen = [(buckets, shares, number[answer]) for buckets, shares, answer in examples if answer in number]
                 partial = LanguageModel([labels[k] for k in known], *_descend(seen, len(known) + 1, random, FOLD_EPOCHS))
                 unseen.append((partial, left_out))
-        _calibrate(model, held, unseen, random)
+        _calibrate(model, held, unseen, _new_words(used, held, labels, letters, random), random)
     return model
 
 
-def _calibrate(model: LanguageModel, held: list[tuple[list[str], int]], unseen: list[tuple[LanguageModel, list[list[str]]]], random: np.random.Generator) -> None:
+def _part(word: str) -> int:
+    """The part of all words that a word belongs to, whatever its text."""
+    return sum(map(ord, word)) * 31 % 97 % WORD_FOLDS
+
+
+def _new_words(used: list[tuple[list[list[str]], int]], held: list[tuple[list[str], int]], labels: list[str], letters: np.ndarray, random: np.random.Generator) -> list[tuple[LanguageModel, list[tuple[list[str], int]]]]:
+    """Models that were trained without one part of all words, each with the words of that part of the texts kept back."""
+    out = []
+    for part in range(WORD_FOLDS):
+        seen = [([w for w in words if _part(w) != part], answer) for cuts, answer in used for words in cuts[:3]]
+        seen = [(words, answer) for words, answer in seen if words]
+        examples = [_example(words, answer) for words, answer in seen]
+        made = [words[: WINDOW_WORDS[1]] for words, _ in seen if random.random() < NEGATIVES]
+        examples += [_example(words, len(labels)) for own in made for words in negatives(own, letters, random)]
+        new = [([w for w in words if _part(w) == part], answer) for words, answer in held]
+        new = [(words, answer) for words, answer in new if sum(map(len, words)) >= WORD_LETTERS]
+        if examples and new:
+            out.append((LanguageModel(labels, *_descend(examples, len(labels) + 1, random, FOLD_EPOCHS)), new))
+    return out
+
+
+def _calibrate(
+    model: LanguageModel, held: list[tuple[list[str], int]], unseen: list[tuple[LanguageModel, list[list[str]]]], new: list[tuple[LanguageModel, list[tuple[list[str], int]]]], random: np.random.Generator
+) -> None:
     """Set the temperature of least loss, then a threshold between the scores of right predictions and those of negatives."""
 
     def logits(by: LanguageModel, words: list[str]) -> np.ndarray:
@@ -249,29 +279,29 @@ def _calibrate(model: LanguageModel, held: list[tuple[list[str], int]], unseen:
         rest = np.delete(p, best)
         return float(p[best] - rest.max() - np.log(np.exp(rest - rest.max()).sum()))
 
-    right = [score(z) for z, answer in scored if int(z[:-1].argmax()) == answer]
+    judged = scored + [(logits(by, words), answer) for by, texts in new for words, answer in texts]
+    right = [score(z) for z, answer in judged if int(z[:-1].argmax()) == answer]
     wrong = [score(z) for z in made] + [score(logits(by, words)) for by, left_out in unseen for words in left_out]
     if right:
         low, high = float(np.quantile(wrong, 1 - REJECTED)), float(np.quantile(right, REJECTED))
-        between = min((low + high) / 2, high) - MARGIN
-        model.threshold = float(1 / (1 + np.exp(-between)))
+        model.threshold = float(1 / (1 + np.exp(-min(low, high))))
 
 
 def train(docs: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Fit on a bounded sample of the ``usable`` rows of ``docs`` with text and lang.
 
-    All languages are learned and get like shares of the sample, PER_LANGUAGE rows or
-    more if they have so many; rows are drawn by a hash of doc_id and text, and of a text
+    The MOST_LABELS most frequent languages are learned and get like shares of the sample,
+    PER_LANGUAGE rows or more if they have so many; rows are drawn by a hash of doc_id and text, and of a text
     longer than TRAIN_CHARS a stretch of that length from a place drawn likewise. The
     driver holds one stretch per sampled row and one row of scores per language.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LABELS).collect()}
     if not counts:
         return fit([], [])
     each = max(PER_LANGUAGE, train_docs / len(counts))
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    draw = F.xxhash64("doc_id", F.lit(SEED))
+    draw = F.xxhash64("doc_id", "text", F.lit(SEED))
     chance = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
     begin = F.pmod(F.shiftright(draw, 20), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
     sample = labelled.filter(chance < share[F.col("lang")]).select(draw.alias("draw"), F.xxhash64("text").alias("mark"), "lang", F.substring("text", begin, F.lit(TRAIN_CHARS)).alias("text"))
