@@ -59,3 +59,11 @@ def test_only_unseen_blobs_are_scanned(spark):
 def test_empty_table_and_no_python(spark):
     found = S.secret_report(spark.createDataFrame([], "doc_id long, text string"))
     assert found.count() == 0 and "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+
+
+def test_two_arrivals_give_what_one_gives(spark):
+    rows = [(k, t) for k, t in enumerate([*TEXTS, *TEXTS, None])] + [(None, TEXTS[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    assert sorted(map(str, S.arrivals_report(docs, first).collect())) == sorted(map(str, S.secret_report(docs).collect()))
+    assert "Python" not in S.arrivals_report(docs, first)._jdf.queryExecution().toString()

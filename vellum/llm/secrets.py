@@ -132,3 +132,9 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         joined_spans(F.col("spans"), rules).alias("spans"),
         F.size("spans").cast("long").alias("n_spans"),
     )
+
+
+def arrivals_report(docs: DataFrame, first: Column, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """As ``secret_report``, of documents that come in two arrivals: those of ``first`` are scanned into a ledger that is kept, and of the others only the blobs that it lacks."""
+    _, ledger = scan(docs.filter(first).select(F.col("doc_id").alias("path"), "text"), None, rules, rule_version)
+    return secret_report(docs, store(ledger, "ledger"), rules, rule_version)
