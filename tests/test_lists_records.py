@@ -123,3 +123,14 @@ def test_pieces_of_notes_and_their_edge_cases(spark):
     quotes = spark.createDataFrame([(1, "A b!"), (1, "none"), (1, "..."), (2, "x")], "id int, quote string")
     pages = spark.createDataFrame([(1, 3, "x a, B c"), (1, 2, "A-B"), (2, 1, None)], "id int, page int, text string")
     assert {(r.id, r.quote): r.page for r in assembly.quote_pages(quotes, pages).collect()} == {(1, "A b!"): 2, (1, "none"): None, (1, "..."): None, (2, "x"): None}
+
+
+def test_schema_is_evolved_and_nothing_overwritten(spark):
+    from vellum.operators import lists
+
+    rows = spark.createDataFrame([("7", "x", "mine", None)], "Year string, Name string, title string, other int")
+    want = [{"key": "title", "names": ["Name"], "type": "string"}, {"key": "year", "names": ["Jahr", "Year"], "type": "int"}, {"key": "tags", "names": ["Tags"], "type": "array<string>"}]
+    out = lists.evolved(rows, want)
+    assert out.columns == ["title", "year", "tags", "title_old", "other"]
+    assert tuple(out.first()) == ("x", 7, None, "mine", None)
+    assert lists.evolved(rows.limit(0), want).count() == 0

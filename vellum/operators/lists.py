@@ -123,3 +123,15 @@ def resolve_columns(have: list[tuple[str, str, str]], want: list[dict]) -> dict[
                 found[field["key"]] = name
                 break
     return found
+
+
+def evolved(rows: DataFrame, want: list[dict]) -> DataFrame:
+    """``rows`` in the wanted schema: fields (key, names, type) that a column serves are renamed and cast, others are added as nulls, and columns that no field asks for stay behind them.
+
+    A column that is left over and bears a wanted field's name is put aside as ``<name>_old``, so nothing is overwritten.
+    """
+    served = resolve_columns([(f.name, f.name, f.dataType.simpleString()) for f in rows.schema], want)
+    used = set(served.values())
+    fields = [(F.col(served[f["key"]]).try_cast(f["type"]) if f["key"] in served else F.lit(None).cast(f["type"])).alias(f["key"]) for f in want]
+    taken = {f["key"] for f in want}
+    return rows.select(*fields, *[F.col(c).alias(f"{c}_old" if c in taken else c) for c in rows.columns if c not in used])

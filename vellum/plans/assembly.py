@@ -164,8 +164,12 @@ def status_pie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(reports.mermaid_pie("Status", sorted(counts.items())),)], "chart string")
 
 
-@query("resolved_columns", "SELECT * FROM (VALUES ('title', 'Name'), ('year', 'Year'), ('doi', 'DOI')) t(field, col_name)")
+@query("resolved_columns", """
+SELECT s_suppkey::VARCHAR AS key, s_name AS title, NULL::DATE AS seen, trunc(s_acctbal)::BIGINT AS balance, s_nationkey FROM supplier
+UNION ALL SELECT c_custkey::VARCHAR, c_name, NULL, trunc(c_acctbal)::BIGINT, c_nationkey FROM customer
+""")
 def resolved_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = [("1", "Name", "title"), ("2", "Year", "number"), ("3", "DOI", "text"), ("4", "Other", "text")]
-    want = [{"key": "title", "id": "1", "names": ["題名"], "type": "title"}, {"key": "year", "id": "9", "names": ["年份", "Year"], "type": "number"}, {"key": "doi", "names": ["DOI"], "type": "url"}, {"key": "tags", "names": ["Tags"], "type": "tags"}]
-    return spark.createDataFrame(sorted(lists.resolve_columns(have, want).items()), "field string, col_name string")
+    """Suppliers and customers brought to one schema by the names that their tables give to its fields."""
+    want = [{"key": "key", "names": ["id", "s_suppkey", "c_custkey"], "type": "string"}, {"key": "title", "names": ["s_name", "c_name"], "type": "string"}, {"key": "seen", "names": ["last_seen"], "type": "date"}, {"key": "balance", "names": ["s_acctbal", "c_acctbal"], "type": "bigint"}]
+    parts = [lists.evolved(table(spark, sf_dir, name), want).withColumnRenamed(f"{name[0]}_nationkey", "s_nationkey").select(*[f["key"] for f in want], "s_nationkey") for name in ("supplier", "customer")]
+    return parts[0].unionByName(parts[1])

@@ -117,15 +117,19 @@ def chinese_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), prose.is_chinese(pick(k, "護理", "Nursing", "", "看護のテスト"), names, F.lit("en")).alias("chinese"))
 
 
-@query("own_words", """
-SELECT conv_id, turn, chr(10) || 'said ' || turn || ' of alias and plain' || chr(10) || chr(10) || chr(10) || 'end ' AS words, 'plain,target' AS links FROM conversations
+SIGNS = "#[]%<>`!@|-"
+
+
+@query("own_words", f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{SIGNS}', '') AS t FROM documents)
+SELECT doc_id, chr(10) || t || ' of alias and plain' || chr(10) || chr(10) || chr(10) || 'end ' AS words, 'plain,target' || doc_id AS links FROM d
 """)
 def own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    note = F.concat(
-        F.lit("---\na: 1\n---\n# Head\nsaid "), F.col("turn").cast("string"), F.lit(" of [[x|alias]] and [[plain]]![[pic]]\n```\ncode [[no]]\n```\n%% vellum:start %%\nmine\n%% vellum:end %%\n<!-- a\nb -->end [-@cite2020]%% c\nd %%")
-    )
-    links = F.array_join(F.array_sort(T.wikilinks(F.lit("[[target|x]] [[plain#h]] ![[no]]"))), ",")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.user_text(note).alias("words"), links.alias("links"))
+    """Documents, without signs of markup, as the own words of notes full of everything else."""
+    text = F.translate(F.coalesce("text", F.lit("")), SIGNS, "")
+    note = F.concat(F.lit("---\na: 1\n---\n# Head\n"), text, F.lit(" of [[x|alias]] and [[plain]]![[pic]]\n```\ncode [[no]]\n```\n%% vellum:start %%\nmine\n%% vellum:end %%\n<!-- a\nb -->end [-@cite2020]%% c\nd %%"))
+    links = F.array_join(F.array_sort(T.wikilinks(F.concat(F.lit("[[target"), F.col("doc_id").cast("string"), F.lit("|x]] [[plain#h]] ![[no]]")))), ",")
+    return table(spark, sf_dir, "documents").select("doc_id", T.user_text(note).alias("words"), links.alias("links"))
 
 
 @query("redacted_logs", """

@@ -43,11 +43,16 @@ def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.array_join(found, " ").alias("numbers"))
 
 
-@query("number_support")
+@query("number_support", """
+WITH c AS (SELECT o_orderkey AS id, unnest([o_custkey % 40, o_orderkey % 30])::VARCHAR AS number FROM orders), s AS (SELECT l_orderkey AS id, unnest([l_linenumber, l_quantity::INT])::VARCHAR AS number FROM lineitem)
+SELECT DISTINCT id, number FROM c ANTI JOIN s USING (id, number)
+""")
 def number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in answers that no other turn of the conversation has."""
-    turns = table(spark, sf_dir, "conversations")
-    return verify.unsupported_numbers(turns.filter("role = 'assistant'"), turns.filter("role <> 'assistant'"), ["conv_id"])
+    """Numbers in sentences about orders that none of the sentences about their lines has."""
+    words = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("int").cast("string") for p in parts])
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), words("In ", F.col("o_custkey") % 40, " cases of ", F.col("o_orderkey") % 30, ".").alias("text"))
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), words("Saw ", F.col("l_linenumber"), ", then ", F.col("l_quantity"), "!").alias("text"))
+    return verify.unsupported_numbers(claims, sources, ["id"])
 
 
 REDACT_SQL = r"""
