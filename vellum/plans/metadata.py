@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import markup
+from vellum.functions import analyser, markup
 from vellum.functions import metadata as M
 from vellum.functions.text import headings
 from vellum.plans.registry import query
 from vellum.session import table
+from vellum.storage import store
 
 FIELDS = {
     "doi": "CASE p_partkey % 4 WHEN 0 THEN 'https://doi.org/10.1000/' || p_size WHEN 1 THEN '10.1000/' || p_size WHEN 2 THEN 'n/a' END",
@@ -104,3 +105,26 @@ def loose_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, e = F.col("props"), F.col("event_id")
     text = F.when(e % 4 == 0, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nDone"))).when(e % 4 == 1, F.replace(p, F.lit("}"), F.lit(",}"))).when(e % 4 == 2, F.replace(p, F.lit("}"), F.lit(", \"cut"))).otherwise(F.lit("none"))
     return table(spark, sf_dir, "events").select(e.alias("id"), markup.parse_loose(text).alias("parsed"))
+
+
+ANALYSED = (
+    ("date", "民國112年", "2023"), ("volume", "70(2)", "70(2)"), ("pages", "第45至56頁", "45-56"), ("DOI", "doi:10.6224/JN.1", "10.6224/JN.1"), ("DOI-bad", "10.6224", ""), ("language", "繁體中文", "zh-TW"), ("publicationTitle", "《護理雜誌》", "護理雜誌"), ("title", "護理,研究。", "護理，研究"),
+)
+
+
+@query("analysed_records", f"""
+WITH k(i, kind, suggested) AS (VALUES {", ".join(f"({i}, '{kind}', '{suggested}')" for i, (kind, _, suggested) in enumerate(ANALYSED))})
+SELECT p_partkey AS id, kind, suggested, kind <> 'DOI-bad' AS sure FROM part JOIN k ON i = p_partkey % {len(ANALYSED) + 1}
+UNION ALL SELECT p_partkey, 'volume-missing', '', false FROM part WHERE p_size % 5 = 0 AND p_partkey % {len(ANALYSED) + 1} <> 2
+""")
+def analysed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as Chinese records with one thing wrong each, and some without pages; every ninth is right."""
+    part = table(spark, sf_dir, "part")
+    wrong = lambda name, right: F.coalesce(*[F.when(F.col("p_partkey") % (len(ANALYSED) + 1) == i, bad) for i, (kind, bad, _) in enumerate(ANALYSED) if kind.split("-")[0] == name], F.lit(right))
+    right = {"itemType": "journalArticle", "title": "護理人員的經驗", "date": "2023-04", "volume": "70", "pages": "45-56", "DOI": "10.6224/JN.7", "language": "zh-TW", "publicationTitle": "護理雜誌"}
+    fields = {name: wrong(name, right[name]) if name in right else F.lit(None).cast("string") for name in analyser.FIELDS}
+    fields["pages"] = F.when((F.col("p_size") % 5 == 0) & (F.col("p_partkey") % (len(ANALYSED) + 1) != 2), F.lit(None)).otherwise(fields["pages"])
+    records = part.select(F.col("p_partkey").alias("id"), *[column.alias(name) for name, column in fields.items()], F.lit(None).cast(analyser.CREATORS).alias("creators"))
+    found = store(analyser.analyse(store(records, "records"), "陳林王李張黃").select("id", "findings"), "findings")
+    found = found.select("id", F.explode("findings").alias("f"))  # of a stored table: else the tests for findings would be repeated below it
+    return found.select("id", "f.kind", "f.suggested", "f.sure")
