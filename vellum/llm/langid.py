@@ -13,8 +13,8 @@ predictions are set against scores of negatives and of whole languages that furt
 trained without them, have never seen. Right predictions are those of the kept texts, and
 those of their words that yet other models have never seen: each of these is trained
 without one part of all words and judges texts of that part alone, as a reader of new
-vocabulary does. The threshold is the least at which no more than REJECTED of the wrong
-ones pass, or the score that REJECTED of the right ones miss if that is lower.
+vocabulary does. What is judged is the probability of all languages together, so a text that mixes them
+is kept. The threshold is the least at which no more than PASSED of the wrong ones pass, or the score that REJECTED of the right ones miss if that is lower.
 
 After training only the product of embeddings and layer is needed (buckets x classes),
 so a text costs one look-up per distinct word; its size does not depend on the corpus.
@@ -45,8 +45,8 @@ TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS = 2_000, 50, 1_500
 WINDOWS, WINDOW_WORDS = 4, (1, 24)
 #: Negatives of each kind for one training text.
 NEGATIVES = 0.2
-#: Share of negatives and languages left out that may pass, and share of right predictions, on texts kept back and on words not seen, that may be rejected for it.
-REJECTED = 0.003
+#: Share of negatives and languages left out that may pass, and the smaller share of right predictions, on texts kept back and on words not seen, that may be rejected for it: a text wrongly rejected is lost.
+PASSED, REJECTED = 0.003, 0.001
 #: Parts of all words of which a model each is trained without one, and the least letters of such a part's text that is judged.
 WORD_FOLDS, WORD_LETTERS = 2, 60
 #: Labels learned: the most frequent ones. This bounds what the driver holds, with the rows of a label.
@@ -125,8 +125,8 @@ class LanguageModel:
             return UNDETERMINED, 0.0, True
         p = softmax(self.logits(words) / self.temperature)
         best = int(p[:-1].argmax())
-        score = float(min(1.0, p[best]))
-        return self.labels[best], score, score < self.threshold
+        # A text of two languages has a low score, but is not one of none of them.
+        return self.labels[best], float(min(1.0, p[best])), float(p[:-1].sum()) < self.threshold
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -273,17 +273,15 @@ def _calibrate(
     model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
 
     def score(z: np.ndarray) -> float:
-        """Of the best language against all others and none, as log odds."""
+        """Of all languages together against none, as log odds."""
         p = z / model.temperature
-        best = int(p[:-1].argmax())
-        rest = np.delete(p, best)
-        return float(p[best] - rest.max() - np.log(np.exp(rest - rest.max()).sum()))
+        return float(p[:-1].max() + np.log(np.exp(p[:-1] - p[:-1].max()).sum()) - p[-1])
 
     judged = scored + [(logits(by, words), answer) for by, texts in new for words, answer in texts]
     right = [score(z) for z, answer in judged if int(z[:-1].argmax()) == answer]
     wrong = [score(z) for z in made] + [score(logits(by, words)) for by, left_out in unseen for words in left_out]
     if right:
-        low, high = float(np.quantile(wrong, 1 - REJECTED)), float(np.quantile(right, REJECTED))
+        low, high = float(np.quantile(wrong, 1 - PASSED)), float(np.quantile(right, REJECTED))
         model.threshold = float(1 / (1 + np.exp(-min(low, high))))
 
 

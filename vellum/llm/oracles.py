@@ -69,4 +69,4 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM t QUALIFY rank <= {collocations.TOP}
 """
 
-ORACLES = {"op11_collocations": COLLOCATIONS, "op2_mixing": MIXING, "op4_secrets": SECRETS, "op10_exact_dedup": EXACT_DEDUP}
+ORACLES = {"op11_collocations": COLLOCATIONS, "op2_mixing": MIXING, "op4_secrets": SECRETS, "secrets_in_arrivals": SECRETS, "op10_exact_dedup": EXACT_DEDUP}

@@ -18,7 +18,7 @@ from vellum.llm.oracles import ORACLES
 from vellum.llm.packing import pack
 from vellum.llm.passages import passage_removals
 from vellum.llm.pii import pii_report
-from vellum.llm.secrets import arrivals_report
+from vellum.llm.secrets import arrivals_report, secret_report
 from vellum.llm.simhash import simhash_groups
 from vellum.session import table
 
@@ -58,7 +58,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text, scanned once per distinct blob in two arrivals: the second meets the ledger that the first has left."""
+    """Secrets in every whole text, scanned once per distinct blob against an empty ledger."""
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def secrets_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two arrivals: the second meets the ledger that the first has left."""
     return arrivals_report(table(spark, sf_dir, "documents"), first_arrival())
 
 
@@ -123,5 +128,6 @@ QUERIES = {
     "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
+    "secrets_in_arrivals": secrets_in_arrivals,
     "pipeline": corpus_pipeline.run,
 }
