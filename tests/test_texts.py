@@ -290,3 +290,13 @@ def test_settings_come_back_with_values_or_an_error(spark):
     rows = [(1, '{"name": "a"}'), (2, "{"), (3, None), (4, '{"name": null}'), (5, "[]"), (6, "")]
     read = records.read_settings(spark.createDataFrame(rows, "id int, text string"), "text", "name string", ("name",)).orderBy("id").collect()
     assert [r.error for r in read] == [None, "json", "json", "name", "json", "json"] and [r.settings is None for r in read] == [False] + [True] * 5
+
+
+def test_findings_read_each_field_once(spark):
+    """A text's shape is told once for each function that looks at it, not once for each use of the result."""
+    record = {k: F.col(k) for k in ("doi", "pages", "volume", "issue", "date", "title")}
+    df = spark.createDataFrame([("", "", "70(2)", "", "112/04", "x")], ", ".join(f"{k} string" for k in record))
+    plan = df.select(M.findings(record).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") <= 6
+    (row,) = df.select(M.findings(record).alias("f")).collect()
+    assert [(f.field, f.suggested) for f in row.f] == [("volume", "70"), ("issue", "2"), ("date", "2023-04")]

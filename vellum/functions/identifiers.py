@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ def blank(column: Column) -> Column:
     return F.trim(F.coalesce(column.cast("string"), F.lit("")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: inside higher-order functions nothing else is shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_doi(column: Column) -> Column:
     """Lower-case DOI without resolver, prefix and trailing punctuation; empty if it is not one."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(blank(column)), r"^(?:https?://)?(?:dx\.)?doi\.org/", ""), r"^doi:\s*", "")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.identifiers import blank
+from vellum.functions.identifiers import blank, let
 
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
@@ -40,11 +42,9 @@ ISSUE_MARKS = {"n": r"\d+(?:\s*[-/]\s*\d+)?", "W": r"(?i:volume)\b\.?", "V": r"(
 DATE_MARKS = {"n": r"\d+", "R": "(?:中華)?民國", "y": "年", "m": "月", "d": "日", "-": "[./-]"}
 
 
-def _shape(column: Column, marks: dict[str, str]) -> tuple[Column, Column]:
-    """A text's marks as a string of their letters, and its numbers; the shape is empty where anything else stands in the text."""
-    text = F.trim(half_width(column))
+def _shape(column: Column, marks: dict[str, str], body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` of a text, of its marks as a string of their letters, and of its numbers; the marks are empty where anything else stands in the text."""
     pattern = "|".join(marks.values())
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
     def letter(mark: Column) -> Column:
         out = F.when(F.lit(False), "")
@@ -52,28 +52,38 @@ def _shape(column: Column, marks: dict[str, str]) -> tuple[Column, Column]:
             out = out.when(mark.rlike(rf"\A(?:{one})\z"), name)
         return out
 
-    whole = F.regexp_replace(text, rf"{pattern}|\s", "") == ""
-    numbers = F.transform(F.filter(found, lambda m: m.rlike(r"\A\d")), lambda m: F.regexp_replace(m, r"\s+", ""))
-    return F.when(whole, F.array_join(F.transform(found, letter), "")).otherwise(""), numbers
+    def parts(text: Column) -> Column:
+        # Most texts fail here, and their marks are not looked at.
+        whole = F.regexp_replace(text, rf"{pattern}|\s", "") == ""
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        return let(F.when(whole, found).otherwise(F.array().cast("array<string>")), lambda marks: F.struct(text.alias("text"), F.array_join(F.transform(marks, letter), "").alias("shape"), _numbers(marks).alias("numbers")))
+
+    return let(let(F.trim(half_width(column)), parts), lambda p: body(p["text"], p["shape"], p["numbers"]))
+
+
+def _numbers(marks: Column) -> Column:
+    return F.transform(F.filter(marks, lambda m: m.rlike(r"\A\d")), lambda m: F.regexp_replace(m, r"\s+", ""))
 
 
 def clean_volume(column: Column) -> Column:
     """The number of a volume, as in 第70卷 or Vol. 70; null where the text is something else."""
-    shape, numbers = _shape(column, ISSUE_MARKS)
-    return F.when(shape.rlike(r"\A(?:o?nv|[VW]?n)\z") & F.get(numbers, F.lit(0)).rlike(r"\A\d+\z"), F.get(numbers, F.lit(0)))
+    first = lambda numbers: F.get(numbers, F.lit(0))
+    return _shape(column, ISSUE_MARKS, lambda _, shape, numbers: F.when(shape.rlike(r"\A(?:o?nv|[VW]?n)\z") & first(numbers).rlike(r"\A\d+\z"), first(numbers)))
 
 
 def clean_issue(column: Column) -> Column:
     """The number of an issue or of several, as in 第2期, No. 2-3 or (2); null where the text is something else."""
-    shape, numbers = _shape(column, ISSUE_MARKS)
-    return F.when(shape.rlike(r"\A(?:o?ni|N?n|\(n\))\z"), F.get(numbers, F.lit(0)))
+    return _shape(column, ISSUE_MARKS, lambda _, shape, numbers: F.when(shape.rlike(r"\A(?:o?ni|N?n|\(n\))\z"), F.get(numbers, F.lit(0))))
 
 
 def split_volume(column: Column) -> Column:
     """Struct of volume and issue written together, as in 70(2); null where they are not."""
-    shape, numbers = _shape(column, ISSUE_MARKS)
-    volume = F.get(numbers, F.lit(0))
-    return F.when(shape.rlike(r"\A(?:n\(n\)|o?nv,?o?ni|Vn,?Nn)\z") & volume.rlike(r"\A\d+\z"), F.struct(volume.alias("volume"), F.get(numbers, F.lit(1)).alias("issue")))
+
+    def split(_: Column, shape: Column, numbers: Column) -> Column:
+        volume = F.get(numbers, F.lit(0))
+        return F.when(shape.rlike(r"\A(?:n\(n\)|o?nv,?o?ni|Vn,?Nn)\z") & volume.rlike(r"\A\d+\z"), F.struct(volume.alias("volume"), F.get(numbers, F.lit(1)).alias("issue")))
+
+    return _shape(column, ISSUE_MARKS, split)
 
 
 def roc_date(column: Column) -> Column:
@@ -81,16 +91,19 @@ def roc_date(column: Column) -> Column:
 
     A year is named by its sign, which makes it sure, or else written as a plain date.
     """
-    shape, numbers = _shape(column, DATE_MARKS)
-    named, plain = shape.rlike(r"\AR?ny(?:nm(?:nd)?)?\z"), shape.rlike(r"\An(?:-n(?:-n)?)?\z") & ~F.trim(half_width(column)).rlike(r"\s")
-    digits = [F.coalesce(F.length(F.get(numbers, F.lit(k))), F.lit(0)) for k in range(3)]
-    part = [F.get(numbers, F.lit(k)).try_cast("int") for k in range(3)]
-    # Without the Republic's name one digit is too few; without any mark two are.
-    least = F.when(shape.startswith("R"), 1).when(shape == "n", 3).otherwise(2)
-    good = digits[0].between(least, 3) & (digits[1] <= 2) & (digits[2] <= 2) & part[0].between(1, 200)
-    good = good & F.coalesce(part[1].between(1, 12), F.lit(True)) & F.coalesce(part[2].between(1, 31), F.lit(True))
-    date = F.concat_ws("-", (part[0] + 1911).cast("string"), *[F.lpad(p.cast("string"), 2, "0") for p in part[1:]])
-    return F.when((named | plain) & good, F.struct((part[0] + 1911).alias("year"), date.alias("date"), named.alias("sure")))
+
+    def dated(text: Column, shape: Column, numbers: Column) -> Column:
+        named, plain = shape.rlike(r"\AR?ny(?:nm(?:nd)?)?\z"), shape.rlike(r"\An(?:-n(?:-n)?)?\z") & ~text.rlike(r"\s")
+        digits = [F.coalesce(F.length(F.get(numbers, F.lit(k))), F.lit(0)) for k in range(3)]
+        part = [F.get(numbers, F.lit(k)).try_cast("int") for k in range(3)]
+        # Without the Republic's name one digit is too few; without any mark two are.
+        least = F.when(shape.startswith("R"), 1).when(shape == "n", 3).otherwise(2)
+        good = digits[0].between(least, 3) & (digits[1] <= 2) & (digits[2] <= 2) & part[0].between(1, 200)
+        good = good & F.coalesce(part[1].between(1, 12), F.lit(True)) & F.coalesce(part[2].between(1, 31), F.lit(True))
+        date = F.concat_ws("-", (part[0] + 1911).cast("string"), *[F.lpad(p.cast("string"), 2, "0") for p in part[1:]])
+        return F.when((named | plain) & good, F.struct((part[0] + 1911).alias("year"), date.alias("date"), named.alias("sure")))
+
+    return _shape(column, DATE_MARKS, dated)
 
 
 def author_names(creators: Column) -> Column:
@@ -216,33 +229,40 @@ def findings(record: dict[str, Column]) -> Column:
     """
     from vellum.functions.identifiers import normalize_doi
 
-    text = {k: blank(v) for k, v in record.items()}
-    both, roc = split_volume(record["volume"]), roc_date(record["date"])
-    tidy = F.trim(F.regexp_replace(record["title"], r"\s+", " "))
+    known = F.struct(
+        *[blank(v).alias(k) for k, v in record.items()], record["title"].alias("own_title"), F.trim(F.regexp_replace(record["title"], r"\s+", " ")).alias("tidy"), split_volume(record["volume"]).alias("both"), roc_date(record["date"]).alias("roc"),
+        normalize_doi(record["doi"]).alias("a_doi"), normalize_pages(record["pages"]).alias("a_pages"), clean_volume(record["volume"]).alias("a_volume"), clean_issue(record["issue"]).alias("a_issue"),
+    )
 
-    def finding(field: str, problem: str, when: Column, suggested: Column, sure: bool | Column = True) -> Column:
+    def finding(text: Column, field: str, problem: str, when: Column, suggested: Column, sure: bool | Column = True) -> Column:
         return F.when(
             F.coalesce(when, F.lit(False)),
             F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem"), text[field].alias("current"), suggested.alias("suggested"), (F.lit(sure) if isinstance(sure, bool) else sure).alias("sure")),
         )
 
-    doi, pages, volume, issue = normalize_doi(record["doi"]), normalize_pages(record["pages"]), clean_volume(record["volume"]), clean_issue(record["issue"])
-    rows = [
-        finding("doi", "form", (text["doi"] != "") & (doi != "") & (doi != F.lower(text["doi"])), doi),
-        finding("doi", "invalid", (text["doi"] != "") & (doi == ""), F.lit(""), False),
-        finding("pages", "form", pages.isNotNull() & (pages != text["pages"]), pages),
-        finding("volume", "issue inside", both.isNotNull() & (text["issue"] == ""), both["volume"]),
-        finding("issue", "in volume", both.isNotNull() & (text["issue"] == ""), both["issue"]),
-        finding("volume", "form", volume.isNotNull() & (volume != text["volume"]), volume),
-        finding("issue", "form", issue.isNotNull() & (issue != text["issue"]), issue),
-        finding("date", "republic year", roc.isNotNull(), roc["date"], roc["sure"]),
-        finding("title", "spaces", tidy != record["title"], tidy),
-    ]
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+    def found(k: Column) -> Column:
+        doi, pages, volume, issue, both, roc, tidy = (k[name] for name in ("a_doi", "a_pages", "a_volume", "a_issue", "both", "roc", "tidy"))
+        rows = [
+            finding(k, "doi", "form", (k["doi"] != "") & (doi != "") & (doi != F.lower(k["doi"])), doi),
+            finding(k, "doi", "invalid", (k["doi"] != "") & (doi == ""), F.lit(""), False),
+            finding(k, "pages", "form", pages.isNotNull() & (pages != k["pages"]), pages),
+            finding(k, "volume", "issue inside", both.isNotNull() & (k["issue"] == ""), both["volume"]),
+            finding(k, "issue", "in volume", both.isNotNull() & (k["issue"] == ""), both["issue"]),
+            finding(k, "volume", "form", volume.isNotNull() & (volume != k["volume"]), volume),
+            finding(k, "issue", "form", issue.isNotNull() & (issue != k["issue"]), issue),
+            finding(k, "date", "republic year", roc.isNotNull(), roc["date"], roc["sure"]),
+            finding(k, "title", "spaces", tidy != k["own_title"], tidy),
+        ]
+        return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+    return let(known, found)
 
 
 def apply_findings(record: dict[str, Column], found: Column) -> dict[str, Column]:
-    """The record's columns after the sure findings; of two for one field the later wins."""
+    """The record's columns after the sure findings; of two for one field the later wins.
+
+    ``found`` is named for each field, so it should be a column of the table rather than the expression that makes it.
+    """
     sure = F.filter(found, lambda x: x["sure"])
     return {name: F.coalesce(F.try_element_at(_of_field(sure, name), F.lit(-1))["suggested"], column) for name, column in record.items()}
 

@@ -9,7 +9,7 @@ from vellum.functions import analyser, markup
 from vellum.functions import metadata as M
 from vellum.functions.text import headings
 from vellum.plans.registry import query
-from vellum.session import table
+from vellum.session import spread, table
 from vellum.storage import store
 
 FIELDS = {
@@ -48,7 +48,10 @@ SELECT id, CASE WHEN id % 4 = 0 THEN '10.1000/' || n ELSE doi END AS doi, CASE W
 """)
 def metadata_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = {k: F.expr(x) for k, x in FIELDS.items()}
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[c.alias(k) for k, c in M.apply_findings(record, M.findings(record)).items()])
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select(F.col("p_partkey").alias("id"), *[c.alias(k) for k, c in record.items()])
+    fields = {k: F.col(k) for k in record}
+    found = rows.withColumn("found", M.findings(fields))
+    return found.select("id", *[c.alias(k) for k, c in M.apply_findings(fields, F.col("found")).items()])
 
 
 @query("study_data", r"""

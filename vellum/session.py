@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, four tasks for each: a small file has few splits, whatever the work on a row costs."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def ship(module: str) -> None:
     """Send the functions of a module by value, so that executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
