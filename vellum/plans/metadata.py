@@ -38,7 +38,7 @@ SELECT * FROM f
 """)
 def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = {k: F.expr(x) for k, x in FIELDS.items()}
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.inline(M.findings(record)))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select(F.col("p_partkey").alias("id"), F.inline(M.findings(record)))
 
 
 @query("metadata_repaired", f"""
