@@ -73,3 +73,36 @@ def test_notices_without_time_or_channel_and_empty_tables(spark):
     (row,) = bursts.debounced(frame).collect()
     assert (row.channel, row.notices, row.changed) == ("c", 1, ["a"])
     assert bursts.debounced(frame.limit(0)).count() == 0
+
+
+def test_one_timer_gives_all_flushes_that_the_watermark_has_passed():
+    """The waiting notices are read once at a watermark, not once for each flush that it has passed."""
+    from types import SimpleNamespace as Some
+
+    class State:
+        value, reads = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    state, timers = State(), []
+    flusher = bursts.Flusher(250_000, restart=False)
+    flusher.init(Some(getValueState=lambda *_: state, registerTimer=timers.append))
+    rows = [Some(ts=START + timedelta(seconds=k), id=str(k), kind="add") for k in range(50)]
+    assert list(flusher.handleInputRows(("c",), iter(rows), None)) == []
+    assert timers == [(bursts.micros(START) + 250_000) // 1000]
+    watermark = bursts.micros(START + timedelta(seconds=40)) // 1000
+    found = list(flusher.handleExpiredTimer(("c",), Some(getCurrentWatermarkInMs=lambda: watermark), Some(getExpiryTimeInMs=lambda: timers[0])))
+    assert [r.changed for r in found] == [[str(k)] for k in range(40)] and state.reads == 1
+    # The next flush has a timer of its own.
+    assert timers[1:] == [(bursts.micros(START) + 40_250_000) // 1000]

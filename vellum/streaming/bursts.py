@@ -60,7 +60,7 @@ def flush_row(channel: str, due: int, held: list[Notice]) -> Row:
 
 
 class Flusher(StatefulProcessor):
-    """State of a channel: the notices that wait. A timer stands at every time at which a flush has seemed due."""
+    """State of a channel: the notices that wait. A timer stands at the time at which its first flush is due."""
 
     def __init__(self, delay: int, restart: bool):
         self.delay, self.restart = delay, restart
@@ -85,18 +85,23 @@ class Flusher(StatefulProcessor):
         # A notice that came twice is one; order is by time, then id and kind, so equal times do not depend on arrival.
         found = {*self._held(), *((micros(r.ts), r.id, r.kind) for r in rows)}
         waiting = sorted(found, key=lambda n: (n[0], n[1] is not None, n[1] or "", n[2]))
-        for due in {-(-due // 1000) for due, _ in flushes(waiting, self.delay, self.restart)}:
-            self.handle.registerTimer(due)
+        self._wait_for(flushes(waiting, self.delay, self.restart))
         self._keep(waiting)
         return iter([])
 
+    def _wait_for(self, coming: list[tuple[int, list[Notice]]]) -> None:
+        if coming:
+            self.handle.registerTimer(-(-coming[0][0] // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # All that the watermark has passed is flushed at once: the notices are read once, not once for each flush.
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         due, rest = [], []
         for at, held in flushes(self._held(), self.delay, self.restart):
             (due if at <= now else rest).append((at, held))
         if due:
             self._keep([n for _, held in rest for n in held])
+        self._wait_for(rest)
         return iter([flush_row(key[0], at, held) for at, held in due])
 
     def close(self) -> None:
