@@ -300,3 +300,12 @@ def test_findings_read_each_field_once(spark):
     assert plan.count("translate(") <= 6
     (row,) = df.select(M.findings(record).alias("f")).collect()
     assert [(f.field, f.suggested) for f in row.f] == [("volume", "70"), ("issue", "2"), ("date", "2023-04")]
+
+
+def test_folding_plain_texts_needs_no_python(spark):
+    """Only texts with signs beyond ASCII are sent to Python, where a batch's places are one array of integers."""
+    rows = [("Ab\nC",), ("",), (None,), ("ﬁÉx",)]
+    found = spark.createDataFrame(rows, "t string").select(Q.fold_with_offsets(F.col("t")).alias("f")).collect()
+    assert [None if r.f is None else (r.f.folded, r.f.starts) for r in found] == [("ab\nc", [0, 1, 2, 3]), ("", []), None, ("fiex", [0, 0, 1, 2])]
+    plan = spark.createDataFrame(rows, "t string").select(Q.fold_with_offsets(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"_folded\(CASE WHEN NOT RLIKE", plan)

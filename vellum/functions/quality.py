@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,19 +202,33 @@ def demote_headings(column: Column, by: int) -> Column:
     return F.array_join(F.transform(lines, shown), "\n")
 
 
-@F.pandas_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
-def fold_with_offsets(texts: pd.Series) -> pd.DataFrame:
-    """Text without case, width and accents, and for each of its characters the place of the one it came from; null stays null."""
-    folded, starts = [], []
+@F.arrow_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+def _folded(texts: pa.Array) -> pa.Array:
+    """What ``fold_with_offsets`` gives; places stand in one plain array of integers, not in a list of objects for each text."""
+    folded, ends, places, signs = [], [0], array("i"), {}
     for text in texts:
-        if text is None:
-            folded.append(None)
-            starts.append(None)
-            continue
-        parts = ["".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.category(c).startswith("M")).lower() for ch in text]
-        folded.append("".join(parts))
-        starts.append([i for i, part in enumerate(parts) for _ in part])
-    return pd.DataFrame({"folded": folded, "starts": starts})
+        text = text.as_py()
+        for ch in set(text or "") - signs.keys():
+            signs[ch] = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.category(c).startswith("M")).lower()
+        parts = [signs[ch] for ch in text or ""]
+        folded.append(None if text is None else "".join(parts))
+        for i, part in enumerate(parts):
+            places.extend([i] * len(part))
+        ends.append(len(places))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(places), [None, pa.py_buffer(places)]))
+    return pa.StructArray.from_arrays([pa.array(folded, pa.string()), lists], ["folded", "starts"])
+
+
+def fold_with_offsets(column: Column) -> Column:
+    """Struct of the text without case, width and accents (``folded``), and for each of its characters the place of the one it came from (``starts``); null stays null.
+
+    Signs of ASCII fold to one sign each, so texts of them alone need no Python and hold no batch of places.
+    """
+    plain = column.rlike(r"\A[\x00-\x7F]*\z")
+    # Of texts with other signs the empty one is left to Python as any other would be; null stands for those that it need not see.
+    other = _folded(F.when(~plain, column))
+    places = F.when(column == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.length(column) - 1))
+    return F.when(plain, F.struct(F.lower(column).alias("folded"), places.alias("starts"))).when(column.isNotNull(), F.struct(other["folded"].alias("folded"), other["starts"].alias("starts")))
 
 
 def last_json_block(column: Column) -> Column:
