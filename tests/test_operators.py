@@ -194,3 +194,15 @@ def test_scratch_tables_are_deleted_when_done(spark):
     assert first.count() == 3 and last.count() == 2 and not [p for _, p in storage._scratch if "/inner-" in p]
     storage.discard(last)
     assert first.count() == 3 and not [p for _, p in storage._scratch if "/last-" in p]
+
+
+def test_library_lookup_broadcasts_nothing(spark):
+    """Stored candidates are small files, but what is made of them must not be gathered in the driver."""
+    from vellum.operators import dedup
+
+    schema = "id long, pos long, doi string, pmid string, title string, year string"
+    lib = spark.createDataFrame([(1, 1, "10.1000/a", "7", "A title of some length", "2001"), (2, 2, None, "8", "A title of some length", "2000")], schema)
+    cand = spark.createDataFrame([(5, 1, "doi:10.1000/A", "8", None, None), (6, 2, None, "8", "A title of some length", "2001"), (7, 3, None, None, "A title of some length", "2001"), (8, 4, None, "", None, None)], schema)
+    found = dedup.library_lookup(cand, lib)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: (r.match_id, r.match_by) for r in found.collect()} == {5: (1, "doi"), 6: (2, "pmid"), 7: (2, "title"), 8: (None, None)}

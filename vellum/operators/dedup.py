@@ -90,15 +90,18 @@ def library_lookup(candidates: DataFrame, library: DataFrame) -> DataFrame:
     lib = keyed(library.withColumn("date", F.lit(None).cast("string"))).select("id", "pos", "doi_key", "title_key", F.col("year_key").try_cast("int").alias("y"), "pmid")
     lib = store(lib, "library")
     cand = store(keyed(candidates.withColumn("date", F.lit(None).cast("string"))).withColumn("y", F.col("year_key").try_cast("int")), "candidates")
-    by_doi = lib.filter("doi_key IS NOT NULL").groupBy("doi_key").agg(F.min_by("id", "pos").alias("doi_hit"))
-    by_pmid = lib.filter("pmid IS NOT NULL AND pmid <> ''").groupBy("pmid").agg(F.min_by("id", "pos").alias("pmid_hit"))
-    by_title = lib.filter("title_key IS NOT NULL AND y > 0").groupBy("title_key", "y").agg(F.min_by(F.struct("id", "doi_key"), "pos").alias("hit"))
+    by_doi = lib.filter("doi_key IS NOT NULL").groupBy("doi_key").agg(F.min_by("id", "pos").alias("hit"))
+    by_pmid = lib.filter("pmid IS NOT NULL AND pmid <> ''").groupBy("pmid").agg(F.min_by("id", "pos").alias("hit"))
+    by_title = lib.filter("title_key IS NOT NULL AND y > 0").groupBy("title_key", "y").agg(F.min_by(F.struct("id", "doi_key"), "pos").alias("first"))
+    # Stored tables are small as files and large in memory, so nothing is left to a broadcast; candidates without a key join nothing, so nulls do not gather in one task.
+    probe = lambda key: cand.filter(F.col(key).isNotNull()).select("id", key)
+    hit = lambda rank, by: F.struct(F.lit(rank).alias("rank"), (F.col("y") if by == "title" else F.lit(0)).alias("y"), F.col("hit").alias("match_id"), F.lit(by).alias("match_by"))
+    by_key = [probe(key).join(first.hint("merge"), key).select("id", hit(rank, by).alias("m")) for rank, (key, first, by) in enumerate([("doi_key", by_doi, "doi"), ("pmid", by_pmid, "pmid")])]
     probes = cand.filter("title_key IS NOT NULL AND y > 0").select("id", F.col("doi_key").alias("own_doi"), "title_key", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"))
-    same_work = F.col("own_doi").isNull() | F.col("hit.doi_key").isNull() | (F.col("own_doi") == F.col("hit.doi_key"))
-    titled = probes.join(by_title, ["title_key", "y"]).filter(same_work).groupBy("id").agg(F.min_by("hit.id", "y").alias("title_hit"))
-    joined = cand.join(by_doi, "doi_key", "left").join(by_pmid, "pmid", "left").join(titled, "id", "left")
-    by = F.when(F.col("doi_hit").isNotNull(), "doi").when(F.col("pmid_hit").isNotNull(), "pmid").when(F.col("title_hit").isNotNull(), "title")
-    return joined.select(*candidates.columns, F.coalesce("doi_hit", "pmid_hit", "title_hit").alias("match_id"), by.alias("match_by"))
+    same_work = F.col("own_doi").isNull() | F.col("first.doi_key").isNull() | (F.col("own_doi") == F.col("first.doi_key"))
+    titled = probes.join(by_title.hint("merge"), ["title_key", "y"]).filter(same_work).withColumn("hit", F.col("first.id")).select("id", hit(2, "title").alias("m"))
+    best = by_key[0].unionByName(by_key[1]).unionByName(titled).groupBy("id").agg(F.min("m").alias("m"))
+    return cand.join(best.hint("merge"), "id", "left").select(*candidates.columns, F.col("m.match_id").alias("match_id"), F.col("m.match_by").alias("match_by"))
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
