@@ -74,3 +74,17 @@ def test_addresses(spark):
     assert got[1].s.startswith("https://x.org/works/pmid:77?") and got[2].s is None and got[2].l is None
     assert got[0].l == f"https://x.org/works?filter=cited_by:W5&select={cited.WORK_FIELDS}&sort=cited_by_count:desc&per-page=50&cursor=*"
     assert "filter=cites:W6" in got[1].l and got[1].l.endswith("cursor=x%3D%3D")
+
+
+def test_a_bucket_is_read_in_small_parts(tmp_path):
+    """A task holds the works of some pages, not of a whole file of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 2_000
+    (tmp_path / "bucket=0").mkdir()
+    answer = '{"meta": {"count": 1}, "results": [{"id": "W1"}]}'
+    pages = {"seed": [f"s{k}" for k in range(n)], "direction": ["forward"] * n, "page": pa.array([0] * n, pa.int32()), "first": pa.array([0] * n, pa.int32()), "json": [answer] * n}
+    pq.write_table(pa.table(pages), tmp_path / "bucket=0" / "a.parquet")
+    sizes = [b.num_rows for b in cited.read_bucket(cited.Bucket(str(tmp_path / "bucket=0"), 0, None), 10)]
+    assert sum(sizes) == n and max(sizes) <= cited.BATCH_PAGES

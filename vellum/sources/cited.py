@@ -26,6 +26,8 @@ from vellum.sources.records import WORKS, percent_encode
 FIRST_CURSOR = "*"
 CAP = 200
 PER_PAGE = 200
+#: Pages parsed at once; a page has up to PER_PAGE works.
+BATCH_PAGES = 512
 ROWS = "seed string, direction string, place int, page int, total long, work string"
 #: Fields asked for, as the remote service names them (fixed values).
 SEED_FIELDS = "id,doi,display_name,cited_by_count,referenced_works"
@@ -86,7 +88,9 @@ def read_bucket(part: Bucket, cap: int) -> Iterator[pa.RecordBatch]:
     wanted &= pads.field("page") >= part.start
     if part.end is not None:
         wanted &= pads.field("page") < part.end
-    for batch in _dataset(part.path).to_batches(columns=["seed", "direction", "page", "first", "json"], filter=wanted):
+    # Read ahead, whole row groups of answers would wait in memory; a batch is parsed before the next one is read.
+    ahead = {"batch_size": BATCH_PAGES, "batch_readahead": 0, "fragment_readahead": 0, "use_threads": False}
+    for batch in _dataset(part.path).to_batches(columns=["seed", "direction", "page", "first", "json"], filter=wanted, fragment_scan_options=pads.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False), **ahead):
         columns: list[list] = [[] for _ in range(6)]
         for seed, direction, page, first, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
             try:
