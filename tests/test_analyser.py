@@ -69,3 +69,12 @@ def test_sure_findings_are_applied(spark):
     ((_, new, creators),) = analysed(spark, [(record, people)])
     assert (new["title"], new["volume"], new["issue"], new["DOI"], new["extra"], new["language"], new["date"]) == ("護理，研究", "70", "2", "10.6224/JN.2", "a: b", "zh-TW", "112/04")
     assert creators == [(None, None, "陳美玲", "author"), (None, None, "林大同", "author"), ("張", "三", None, "editor")]
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    from vellum.session import spread
+
+    spark.range(1_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == 1_000

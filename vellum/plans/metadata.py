@@ -122,7 +122,7 @@ UNION ALL SELECT p_partkey, 'volume-missing', '', false FROM part WHERE p_size %
 """)
 def analysed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as Chinese records with one thing wrong each, and some without pages; every ninth is right."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     wrong = lambda name, right: F.coalesce(*[F.when(F.col("p_partkey") % (len(ANALYSED) + 1) == i, bad) for i, (kind, bad, _) in enumerate(ANALYSED) if kind.split("-")[0] == name], F.lit(right))
     right = {"itemType": "journalArticle", "title": "護理人員的經驗", "date": "2023-04", "volume": "70", "pages": "45-56", "DOI": "10.6224/JN.7", "language": "zh-TW", "publicationTitle": "護理雜誌"}
     fields = {name: wrong(name, right[name]) if name in right else F.lit(None).cast("string") for name in analyser.FIELDS}
