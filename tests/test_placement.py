@@ -122,3 +122,48 @@ def test_evidence_is_kept_by_its_quotes(spark):
     items = spark.createDataFrame([(1, i) for i in "abcef"] + [(2, "d")], "text_id long, item string")
     verdicts = {r["item"]: (r.kept, r.dropped, r.located, r.low_confidence) for r in placement.verified_items(items, quotes).collect()}
     assert verdicts == {"a": (1, 1, 1, False), "b": (0, 1, 0, True), "c": (1, 0, 0, False), "d": (0, 1, 0, True), "e": (0, 1, 0, True), "f": (0, 0, 0, True)}
+
+
+def slow_near(where, quote):
+    """Places of a quote as before: every stretch around its rarest tokens is compared."""
+    n = len(quote)
+    need, out, tried = -(-9 * n // 10), [], set()
+    if n < 3:
+        return []
+    slack = n - need + 2
+    for anchor in where.rarest(quote)[: n - need + 1]:
+        for p in where.at.get(quote[anchor], ()):
+            start = max(0, p - anchor - slack)
+            if start not in tried:
+                tried.add(start)
+                length, a, b = lcs_span(quote, where.tokens, start, min(len(where.tokens), p - anchor + n + slack))
+                if length >= need:
+                    out.append((a, b))
+    return out
+
+
+def test_near_places_compare_only_stretches_that_hold_the_tokens(monkeypatch):
+    random.seed(5)
+    words = [random.choice([f"w{k}" for k in range(12)] + [f"r{k}" for k in range(200)]) for _ in range(1500)]
+    where, compared = placement.Places(" ".join(words)), []
+    monkeypatch.setattr(placement, "lcs_length", lambda a, b: compared.append(1) or lcs_span(a, b, 0, len(b))[0])
+    anchors = 0
+    for k in range(0, 1400, 7):
+        quote = words[k : k + random.randint(1, 24)]
+        if len(quote) > 11 and k % 2:
+            quote[5] = "other"
+        anchors += sum(len(where.at.get(quote[a], ())) for a in where.rarest(quote)[: placement.misses(len(quote)) + 1]) if len(quote) > 2 else 0
+        assert where.near(quote) == slow_near(where, quote)
+        assert where.near(quote) is where.near(list(quote))
+    assert len(compared) < anchors / 4
+
+
+def test_only_pages_that_can_hold_a_quote_are_read(monkeypatch):
+    read = []
+    monkeypatch.setattr(placement.Places, "__init__", lambda self, text, init=placement.Places.__init__: read.append(text) or init(self, text))
+    words = [f"w{k % 97}x{k}" for k in range(5000)]
+    pages = placement.PageIndex([(k // 50, " ".join(words[k : k + 50])) for k in range(0, 5000, 50)][::-1])
+    assert pages.first([words[2010:2016]]) == 40 and pages.first([[*words[2010:2019], "other"]]) == 40
+    assert pages.first([words[2010:2014], words[2020:2024]]) == 40 and pages.first([words[2010:2014], words[2060:2064]]) is None
+    assert pages.first([[]]) is None and pages.first([]) is None and pages.first([["none"]]) is None
+    assert len(read) == 1

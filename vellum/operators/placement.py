@@ -8,6 +8,7 @@ decided quote by quote in reading order, in a stream over a text's quotes.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from vellum.functions.prose import join_hyphens
 from vellum.operators.updates import stepwise
 from vellum.operators.verify import FUZZY_SHARE, SLACK, lcs_length
 from vellum.session import ship
+from vellum.storage import store
 
 QUOTES_A_LANE = 500
 #: Quotes of fewer tokens prove nothing.
@@ -28,19 +30,27 @@ LEAST_TOKENS = 4
 
 SCRIPTS = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}"
 TOKEN = regex.compile(rf"[{SCRIPTS}]|(?:(?![{SCRIPTS}])[\p{{L}}\p{{M}}\p{{N}}])+")
+#: The same of a text of ASCII alone, in small letters.
+PLAIN = re.compile(r"[a-z0-9]+")
 #: Signs that leave something out: three dots or more, or such in brackets.
 LEFT_OUT = r"\s*(?:[\[(（［]\s*(?:…+|(?:\.\s*){3})\s*[\])）］]|(?:\.\s*){3,}|…+|⋯+)\s*"
 
 Span = tuple[int, int]
 
 
+def misses(n: int) -> int:
+    """Tokens that a quote of ``n`` may miss: a tenth, none below three tokens."""
+    return n - math.ceil(n * FUZZY_SHARE) if n >= 3 else 0
+
+
 class Places:
-    """Tokens of a text with their places."""
+    """Tokens of a text with their places. What a quote finds is kept, so repeated quotes are looked for once."""
 
     def __init__(self, text: str):
-        found = list(TOKEN.finditer(text))
-        self.tokens = [unicodedata.normalize("NFKC", m[0]).lower() for m in found]
+        found = list(PLAIN.finditer(text.lower()) if text.isascii() else TOKEN.finditer(text))
+        self.tokens = [_folded(m[0]) for m in found]
         self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.known: dict[tuple[bool, tuple[str, ...]], list[Span]] = {}
         self.at: dict[str, list[int]] = {}
         for k, token in enumerate(self.tokens):
             self.at.setdefault(token, []).append(k)
@@ -51,6 +61,19 @@ class Places:
 
     def exact(self, quote: list[str]) -> list[Span]:
         """Where the quote stands token by token, in order."""
+        return self._kept(True, quote, self._exact)
+
+    def near(self, quote: list[str]) -> list[Span]:
+        """Where nine tenths of the quote stand in order in a stretch about as long as it; none for under three tokens."""
+        return self._kept(False, quote, self._near)
+
+    def _kept(self, exact: bool, quote: list[str], find) -> list[Span]:
+        key = exact, tuple(quote)
+        if key not in self.known:
+            self.known[key] = find(quote)
+        return self.known[key]
+
+    def _exact(self, quote: list[str]) -> list[Span]:
         n = len(quote)
         if not n:
             return []
@@ -58,28 +81,78 @@ class Places:
         starts = (p - anchor for p in self.at.get(quote[anchor], ()))
         return [(s, s + n - 1) for s in starts if s >= 0 and self.tokens[s : s + n] == quote]
 
-    def near(self, quote: list[str]) -> list[Span]:
-        """Where nine tenths of the quote stand in order in a stretch about as long as it; none for under three tokens."""
+    def _near(self, quote: list[str]) -> list[Span]:
         n = len(quote)
-        need = math.ceil(n * FUZZY_SHARE)
         if n < 3:
             return []
-        slack = n - need + SLACK
+        most = misses(n)
+        need, slack = n - most, most + SLACK
+        order = self.rarest(quote)
+        places = [self.at.get(quote[k], ()) for k in order]
         tried, out = set(), []
-        for anchor in self.rarest(quote)[: n - need + 1]:
+        found: dict[tuple[str, ...], Span | None] = {}
+        for anchor in order[: most + 1]:
             for p in self.at.get(quote[anchor], ()):
-                start = max(0, p - anchor - slack)
+                start, stop = max(0, p - anchor - slack), p - anchor + n + slack
                 if start in tried:
                     continue
                 tried.add(start)
-                stretch = self.tokens[start : p - anchor + n + slack]
-                if lcs_length(quote, stretch) >= need:
-                    first, last = matched(quote, stretch)
-                    out.append((start + first, start + last))
+                if _lacks(places, start, stop, most):
+                    continue
+                stretch = tuple(self.tokens[start:stop])
+                if stretch not in found:
+                    found[stretch] = matched(quote, stretch) if lcs_length(quote, stretch) >= need else None
+                if span := found[stretch]:
+                    out.append((start + span[0], start + span[1]))
         return out
 
 
-def matched(quote: list[str], stretch: list[str]) -> Span:
+def _lacks(places: list[list[int]], start: int, stop: int, most: int) -> bool:
+    """Whether more than ``most`` of the tokens, given by their places, the rarest first, are not from ``start`` up to ``stop``."""
+    for at in places:
+        k = bisect_left(at, start)
+        if k == len(at) or at[k] >= stop:
+            most -= 1
+            if most < 0:
+                return True
+    return False
+
+
+class PageIndex:
+    """Pages of a text, in order: which of them can hold a quote is told by its tokens, only those are read."""
+
+    def __init__(self, pages: list[tuple[int, str]]):
+        self.pages = sorted(pages, key=lambda x: x[0])
+        self.places: dict[int, Places] = {}
+        self.holds: dict[str, int] = {}
+        for k, (_, text) in enumerate(self.pages):
+            for token in set(_tokens(text)):
+                self.holds[token] = self.holds.get(token, 0) | 1 << k
+
+    def _possible(self, quote: list[str]) -> int:
+        """Pages, as bits, that lack no more tokens of the quote than it may miss."""
+        lacking = [(1 << len(self.pages)) - 1] * (misses(len(quote)) + 1)  # that lack at most 0, 1, ... so far
+        for token in quote:
+            has = self.holds.get(token, 0)
+            lacking = [(now & has) | less for now, less in zip(lacking, [0, *lacking], strict=False)]
+        return lacking[-1]
+
+    def first(self, quotes: list[list[str]]) -> int | None:
+        """The first page on which all the quotes stand, exactly or nearly."""
+        left = (1 << len(self.pages)) - 1 if quotes and all(quotes) else 0  # an empty quote stands nowhere
+        for quote in quotes:
+            left &= self._possible(quote)
+        while left:
+            k = (left & -left).bit_length() - 1
+            left &= left - 1
+            if k not in self.places:
+                self.places[k] = Places(self.pages[k][1])
+            if all(self.places[k].exact(q) or self.places[k].near(q) for q in quotes):
+                return self.pages[k][0]
+        return None
+
+
+def matched(quote: list[str], stretch: list[str] | tuple[str, ...]) -> Span:
     """First and last place of the stretch that a longest common subsequence uses: from the ends, a pair that is part of one is taken, else the quote gives way first."""
     length = [[0] * (len(stretch) + 1)]
     for x in quote:
@@ -105,33 +178,72 @@ def fragments(column: Column) -> Column:
     return F.filter(F.split(text, LEFT_OUT), lambda f: f.rlike(r"[\p{L}\p{M}\p{N}]"))
 
 
+def _folded(token: str) -> str:
+    return token.lower() if token.isascii() else unicodedata.normalize("NFKC", token).lower()
+
+
 def _tokens(text: str) -> list[str]:
-    return [unicodedata.normalize("NFKC", m[0]).lower() for m in TOKEN.finditer(text)]
+    return PLAIN.findall(text.lower()) if text.isascii() else [_folded(m[0]) for m in TOKEN.finditer(text)]
 
 
 def in_lanes(quotes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with ``lane``: quotes of a text dealt into lanes, and the text once for each; texts without quotes are left out."""
-    sizes = quotes.groupBy("text_id").agg(F.ceil(F.count(F.lit(1)) / QUOTES_A_LANE).alias("lanes"))
-    dealt = quotes.join(sizes, "text_id").withColumn("lane", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in quotes.columns if c != "text_id"]), F.col("lanes")).cast("int")).drop("lanes")
-    held = texts.join(sizes, "text_id").withColumn("lane", F.explode(F.sequence(F.lit(0), (F.col("lanes") - 1).cast("int")))).drop("lanes")
+    """Both with ``lane`` and the number of ``lanes``: quotes of a text dealt into lanes, and the text once for each; texts without quotes are left out."""
+    quotes = store(quotes, "quotes")  # they are read twice
+    sizes = store(quotes.groupBy("text_id").agg(F.ceil(F.count(F.lit(1)) / QUOTES_A_LANE).alias("lanes")), "lanes")
+    dealt = quotes.join(sizes, "text_id").withColumn("lane", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in quotes.columns if c != "text_id"]), F.col("lanes")).cast("int"))
+    held = texts.join(sizes, "text_id").withColumn("lane", F.explode(F.sequence(F.lit(0), (F.col("lanes") - 1).cast("int"))))
     return dealt, held
 
 
-FOUND = "exact array<array<int>>, near array<array<int>>"
+_SPANS = pa.list_(pa.list_(pa.int32()))
+FOUND = [(name, _SPANS, "array<array<int>>") for name in ("exact", "near")]
 
 
-def _candidates(columns: list[str]):
-    def run(quotes: pa.Table, texts: pa.Table) -> pa.Table:
-        places = Places("\n".join(sorted(t or "" for t in texts["text"].to_pylist()))) if len(texts) else None
-        exact, near = [], []
-        for parts in quotes["fragments"].to_pylist():
-            for out, find in ((exact, Places.exact), (near, Places.near)):
-                spans = [find(places, _tokens(p)) if places else [] for p in parts or []]
-                out.append([[x for a, b in found for x in (a, b, places.starts[a], places.ends[b])] for found in spans])
-        kind = pa.list_(pa.list_(pa.int32()))
-        return pa.table([*[quotes[c] for c in columns], pa.array(exact, kind), pa.array(near, kind)], names=[*columns, "exact", "near"])
+def _asked(dealt: DataFrame, held: DataFrame, columns: list[str], found: list[tuple[str, pa.DataType, str]], prepare, answer, order: tuple[str, ...] = ()) -> DataFrame:
+    """Quotes with what ``answer(prepare(sources), fragments)`` says of each; sources are the pairs (page, text) of its lane.
+
+    A lane's texts come before its quotes in a sorted stream, so a lane costs no call of its own and no quotes are held.
+    """
+    quotes = dealt.withColumn("_quote", F.lit(1))
+    rows = held.withColumn("_quote", F.lit(0)).unionByName(quotes, allowMissingColumns=True).select(*columns, "lane", "_quote", "fragments", "_page", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sources, ready = None, [], None
+        for batch in batches:
+            told: list[list] = [[] for _ in found]
+            quote = batch["_quote"].to_pylist()
+            for key, is_quote, fragments, page, text in zip(zip(batch["text_id"].to_pylist(), batch["lane"].to_pylist(), strict=True), quote, *(batch[c].to_pylist() for c in ("fragments", "_page", "text")), strict=True):
+                if key != now:
+                    now, sources, ready = key, [], None
+                if not is_quote:
+                    sources.append((page, text or ""))
+                    continue
+                if ready is None:
+                    ready = prepare(sources)
+                for out, value in zip(told, answer(ready, [_tokens(f) for f in fragments or []]), strict=True):
+                    out.append(value)
+            kept = batch.filter(pa.array([bool(q) for q in quote], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[kept[c] for c in columns], *[pa.array(out, kind) for out, (_, kind, _) in zip(told, found, strict=True)]], names=[*columns, *[name for name, _, _ in found]])
 
-    return run
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*columns).schema], *[f"{name} {kind}" for name, _, kind in found]])
+    return rows.repartition("text_id", "lane").sortWithinPartitions("text_id", "lane", "_quote", *order).mapInArrow(run, schema)
+
+
+def _placed_in(sources: list[tuple[None, str]]) -> Places | None:
+    return Places("\n".join(sorted(text for _, text in sources))) if sources else None
+
+
+def _flat(places: Places | None, found: list[Span]) -> list[int]:
+    return [x for a, b in found for x in (a, b, places.starts[a], places.ends[b])]
+
+
+def _all_places(places: Places | None, asked: list[list[str]]) -> tuple[list, list]:
+    return tuple([_flat(places, find(places, q)) if places else [] for q in asked] for find in (Places.exact, Places.near))
+
+
+def _taken_in(ready: tuple[Places | None, Taken], asked: list[list[str]]) -> tuple[list[list[int]] | None]:
+    places, taken = ready
+    return (taken.place([_flat(places, places.exact(q)) for q in asked], lambda k: _flat(places, places.near(asked[k]))) if places else None,)
 
 
 def candidates(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -140,11 +252,12 @@ def candidates(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     ``texts`` has text_id and text, one row per id (several are one text, in order). Quotes
     of ids that no text has find nothing.
     """
+    return _asked(*_wanted(quotes, texts), ["text_id", "pos", "quote_id"], FOUND, _placed_in, _all_places)
+
+
+def _wanted(quotes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = quotes.select("text_id", "pos", "quote_id", fragments(F.col("quote")).alias("fragments")).filter("text_id IS NOT NULL")
-    dealt, held = in_lanes(wanted, texts.select("text_id", "text"))
-    columns = ["text_id", "pos", "quote_id"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*columns).schema], FOUND])
-    return dealt.groupBy("text_id", "lane").cogroup(held.groupBy("text_id", "lane")).applyInArrow(_candidates(columns), schema)
+    return in_lanes(wanted, texts.select("text_id", F.lit(None).cast("int").alias("_page"), "text"))
 
 
 class Taken:
@@ -166,11 +279,14 @@ class Taken:
         return min((x for x in found if self.free(x[0], x[1])), key=lambda x: (x[0] < prefer, x[0]), default=None)
 
     def place(self, exact, near) -> list[list[int]] | None:
-        """Places of all fragments of a quote, in order, taken from now on; None, and nothing taken, if one has no place after the one before."""
+        """Places of all fragments of a quote, in order, taken from now on; None, and nothing taken, if one has no place after the one before.
+
+        ``near`` is asked only for fragments without a free exact place.
+        """
         spans: list[tuple[int, int, int, int]] = []
         prefer = self.prefer
-        for a, b in zip(exact, near, strict=True):
-            span = self.choose(list(a), prefer) or self.choose(list(b), prefer)
+        for k, a in enumerate(exact):
+            span = self.choose(list(a), prefer) or self.choose(list(near(k)), prefer)
             if span is None or (spans and span[0] <= spans[-1][1]):
                 return None
             spans.append(span)
@@ -192,8 +308,14 @@ def placed(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     a quote follow each other. Empty quotes and ids stand nowhere. Rows without a text_id are
     left out, an empty table gives none.
     """
-    found = candidates(quotes, texts)
-    return stepwise(found, "text_id", ("pos", "quote_id"), "spans array<array<int>>", Taken, lambda taken, row: taken.place(row.exact, row.near)).select("text_id", "pos", "quote_id", "spans")
+    columns = ["text_id", "pos", "quote_id"]
+    dealt, held = _wanted(quotes, texts)
+    one, many = ([df.filter(where) for df in (dealt, held)] for where in ("lanes = 1", "lanes > 1"))
+    # A text of one lane is decided where it is read; else places found in several lanes are brought together.
+    whole = _asked(*one, columns, [("spans", _SPANS, "array<array<int>>")], lambda sources: (_placed_in(sources), Taken()), _taken_in, ("pos", "quote_id"))
+    found = _asked(*many, columns, FOUND, _placed_in, _all_places)
+    parted = stepwise(found, "text_id", ("pos", "quote_id"), "spans array<array<int>>", Taken, lambda taken, row: taken.place(row.exact, lambda k: row.near[k]))
+    return whole.unionByName(parted.select(*columns, "spans"))
 
 
 def marked(texts: DataFrame, spans: DataFrame, opening: Column, closing: Column) -> DataFrame:
@@ -224,23 +346,15 @@ def marked(texts: DataFrame, spans: DataFrame, opening: Column, closing: Column)
     return both.select("text_id", text.alias("text"))
 
 
-def _verified(columns: list[str]):
-    def run(quotes: pa.Table, sources: pa.Table) -> pa.Table:
-        texts = [Places(t or "") for t, p in zip(sources["text"].to_pylist(), sources["page"].to_pylist(), strict=True) if p is None]
-        pages = sorted(((p, Places(t or "")) for t, p in zip(sources["text"].to_pylist(), sources["page"].to_pylist(), strict=True) if p is not None), key=lambda x: x[0])
-        found, page = [], []
-        for parts in quotes["fragments"].to_pylist():
-            asked = [_tokens(p) for p in parts or []]
-
-            def stands(where: Places, asked: list[list[str]] = asked) -> bool:
-                return bool(asked) and all(where.exact(q) or where.near(q) for q in asked)
+def _texts_and_pages(sources: list[tuple[int | None, str]]) -> tuple[list[Places], PageIndex]:
+    return [Places(text) for page, text in sources if page is None], PageIndex([x for x in sources if x[0] is not None])
 
-            good = sum(map(len, asked)) >= LEAST_TOKENS and any(map(stands, texts))
-            found.append(good)
-            page.append(next((p for p, where in pages if stands(where)), None) if good else None)
-        return pa.table([*[quotes[c] for c in columns], pa.array(found, pa.bool_()), pa.array(page, pa.int32())], names=[*columns, "kept", "page_found"])
 
-    return run
+def _verified(ready: tuple[list[Places], PageIndex], asked: list[list[str]]) -> tuple[bool, int | None]:
+    texts, pages = ready
+    stands = any(bool(asked) and all(where.exact(q) or where.near(q) for q in asked) for where in texts)
+    good = sum(map(len, asked)) >= LEAST_TOKENS and stands
+    return good, pages.first(asked) if good else None
 
 
 def verified_quotes(quotes: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -251,11 +365,9 @@ def verified_quotes(quotes: DataFrame, texts: DataFrame, pages: DataFrame) -> Da
     kept; ``page_found`` is null where no page has a kept quote, which then keeps the page given.
     """
     wanted = quotes.select("text_id", "item", "n", "quote", F.col("page").cast("int").alias("page"), fragments(F.col("quote")).alias("fragments")).filter("text_id IS NOT NULL")
-    sources = texts.select("text_id", F.lit(None).cast("int").alias("page"), "text").unionByName(pages.select("text_id", F.col("page").cast("int").alias("page"), "text").filter("page IS NOT NULL"))
+    sources = texts.select("text_id", F.lit(None).cast("int").alias("_page"), "text").unionByName(pages.select("text_id", F.col("page").cast("int").alias("_page"), "text").filter("_page IS NOT NULL"))
     dealt, held = in_lanes(wanted, sources)
-    columns = ["text_id", "item", "n", "quote", "page"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*columns).schema], "kept boolean", "page_found int"])
-    return dealt.groupBy("text_id", "lane").cogroup(held.groupBy("text_id", "lane")).applyInArrow(_verified(columns), schema)
+    return _asked(dealt, held, ["text_id", "item", "n", "quote", "page"], [("kept", pa.bool_(), "boolean"), ("page_found", pa.int32(), "int")], _texts_and_pages, _verified)
 
 
 def verified_items(items: DataFrame, quotes: DataFrame) -> DataFrame:

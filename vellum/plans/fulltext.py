@@ -74,8 +74,9 @@ def placed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six words of every twenty of each document, with other signs between them, placed in its text in reading order."""
     words = _words(spark, sf_dir)
     n = F.floor(F.size("w") / EVERY).cast("int")
-    quote = F.array_join(F.slice("w", F.col("pos") * EVERY + 1, F.lit(LONG)), " - ")
-    quotes = words.filter(n > 0).select(F.col("doc_id").alias("text_id"), "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).select("text_id", "pos", F.col("pos").alias("quote_id"), quote.alias("quote"))
+    # Only quotes leave the words of a text: exploded beside them, each quote would carry all.
+    quote = lambda pos: F.struct(pos.alias("pos"), F.array_join(F.slice("w", pos * EVERY + 1, F.lit(LONG)), " - ").alias("quote"))
+    quotes = words.select(F.col("doc_id").alias("text_id"), F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), quote))).alias("q")).select("text_id", "q.pos", F.col("q.pos").alias("quote_id"), "q.quote")
     found = placement.placed(quotes, words.select(F.col("doc_id").alias("text_id"), "text"))
     return found.select(F.col("text_id").alias("doc_id"), "pos", F.get(F.get("spans", F.lit(0)), F.lit(0)).alias("start"), F.get(F.get("spans", F.lit(0)), F.lit(1)).alias("end"))
 
@@ -95,9 +96,11 @@ def verified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
     n = F.floor(F.size("w") / EVERY).cast("int")
     made_up = F.concat_ws(" ", F.lit("never"), *[x for sign, word in (("xq", "said"), ("xr", "by"), ("xs", "")) for x in (F.concat(F.lit(sign), F.col("n").cast("string")), F.lit(word))])
-    quote = F.when(F.col("n") % 3 == 1, made_up).otherwise(F.array_join(F.slice("w", F.col("n") * EVERY + 1, F.lit(LONG)), " "))
-    quotes = words.filter(n > 0).select(F.col("doc_id").alias("text_id"), "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("n")).select("text_id", F.floor(F.col("n") / 6).alias("item"), "n", quote.alias("quote"), F.lit(None).cast("int").alias("page"))
-    pages = words.select(F.col("doc_id").alias("text_id"), "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / PAGE_WORDS).cast("int"))).alias("page"))
-    pages = pages.select("text_id", "page", F.array_join(F.slice("w", F.col("page") * PAGE_WORDS + 1, F.lit(PAGE_WORDS)), " ").alias("text"))
+    piece = lambda k, every, size: F.struct(k.alias("k"), F.array_join(F.slice("w", k * every + 1, F.lit(size)), " ").alias("text"))
+    numbers = F.sequence(F.lit(0), n - 1)
+    said = words.select(F.col("doc_id").alias("text_id"), F.explode(F.when(n > 0, F.transform(numbers, lambda k: piece(k, EVERY, LONG)))).alias("q")).select("text_id", F.col("q.k").alias("n"), "q.text")
+    quotes = said.select("text_id", F.floor(F.col("n") / 6).alias("item"), "n", F.when(F.col("n") % 3 == 1, made_up).otherwise(F.col("text")).alias("quote"), F.lit(None).cast("int").alias("page"))
+    every_page = F.sequence(F.lit(0), F.floor(F.size("w") / PAGE_WORDS).cast("int"))
+    pages = words.select(F.col("doc_id").alias("text_id"), F.explode(F.transform(every_page, lambda k: piece(k, PAGE_WORDS, PAGE_WORDS))).alias("p")).select("text_id", F.col("p.k").alias("page"), "p.text")
     verified = placement.verified_quotes(quotes, words.select(F.col("doc_id").alias("text_id"), "text"), pages)
     return placement.verified_items(quotes.select("text_id", "item"), verified).withColumnRenamed("text_id", "doc_id")
