@@ -309,3 +309,18 @@ def test_folding_plain_texts_needs_no_python(spark):
     assert [None if r.f is None else (r.f.folded, r.f.starts) for r in found] == [("ab\nc", [0, 1, 2, 3]), ("", []), None, ("fiex", [0, 0, 1, 2])]
     plan = spark.createDataFrame(rows, "t string").select(Q.fold_with_offsets(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
     assert re.search(r"_folded\(CASE WHEN NOT RLIKE", plan)
+
+
+def test_guarded_shapes_find_what_the_shapes_find(spark):
+    """Random texts, whose spans by one guarded pattern are those by the plain alternation; one has the mark itself."""
+    import random
+
+    random.seed(11)
+    bits = ["data:", "http://", "a.b", "@x.org", "Bearer ", "token = ", "sk-", "C:\\", "~/", "/", "\\", "My file", ".pdf", ".docx", "report", "Word", "x9", "-", "_", ".", ",", ";", " ", " ", "\n", "'", '"', "“", "”", "「", "」", "é", "跌倒", "0" * 8, "abcdef0123456789" * 2, "a" * 32, "b1" * 13, "%TEMP%", "(", ")", ":", "ghp_abcdefgh"]
+    texts = ["".join(random.choices(bits, k=random.randint(1, 40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, guarded = "|".join(p for _, p in T.SHAPES), T.guarded()
+    found = rows.select("t", F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(guarded), F.lit(0)).alias("b")).collect()
+    assert all(r.a == r.b for r in found) and sum(len(r.a) for r in found) > 3000
+    told = spark.createDataFrame([(f"{T.MARK}see a@b.org{T.MARK} or",)], "t string").select(T.redact(F.col("t")).alias("t")).first().t
+    assert told == f"{T.MARK}see <email>{T.MARK} or"

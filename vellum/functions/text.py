@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,6 +200,23 @@ SHAPES = (
 )
 
 
+#: Kinds of which none matches where a plain word begins: letters of ASCII up to white space, at most a sign that closes a clause between.
+NOT_PLAIN = ("link", "url", "email", "path", "file", "hidden")
+#: Between two letters or digits of ASCII only a file can begin, on white space nothing.
+_INSIDE = r"(?<=[A-Za-z0-9])(?=[A-Za-z0-9])"
+_NO_PLAIN_WORD = r"(?![A-Za-z]++[,.;]?+(?:\s|\z))"
+#: A sign that no character has, set around the spans of a text.
+MARK = "\uffff"
+
+
+def guarded(shapes: Sequence[tuple[str, str]] = SHAPES) -> str:
+    """One pattern of all the shapes, the upper one first, that finds what they find; most places of a running text are told by a sign or two."""
+    kinds = [(name in NOT_PLAIN, "|".join(pattern for _, pattern in run)) for name, run in groupby(shapes, key=lambda x: x[0])]
+    runs = [f"{_NO_PLAIN_WORD if plain else ''}(?:{'|'.join(pattern for _, pattern in run)})" for plain, run in groupby(kinds, key=lambda x: x[0])]
+    files = "|".join(pattern for name, pattern in shapes if name == "file")
+    return rf"(?!\s)(?:(?!{_INSIDE})(?:{'|'.join(runs)})|{_INSIDE}{_NO_PLAIN_WORD}(?:{files}))"
+
+
 def _shown_url(span: Column) -> Column:
     """An address without what it says: only the name of a known host stays, with a sign for what follows it."""
     scheme, host, rest = (F.regexp_extract(span, r"(?i)\A(https?)://(?:[^/?#]*@)?([^/?#@:]*)(?::\d+)?([/?#].*)?\z", k) for k in (1, 2, 3))
@@ -213,8 +233,7 @@ def redact(column: Column, known: tuple[str, ...] = ()) -> Column:
     or setting stays.
     """
     own = "|".join(rf"(?<![{_WORD}])\Q{value}\E(?![{_WORD}])" if value.isascii() else rf"\Q{value}\E" for value in sorted(known, key=len, reverse=True))
-    shapes = ((("hidden", f"(?i:{own})"),) if own else ()) + SHAPES
-    any_shape = "|".join(pattern for _, pattern in shapes)
+    any_shape = f"(?i:{own})|{guarded()}" if own else guarded()
     text = _text(column)
 
     def named(span: Column) -> Column:
@@ -230,9 +249,12 @@ def redact(column: Column, known: tuple[str, ...] = ()) -> Column:
             kind = kind.when(span.rlike(rf"\A(?:{pattern})\z"), shown.get(name, f"<{name}>"))
         return kind.otherwise("<hidden>")
 
-    pieces = F.arrays_zip(F.split(text, any_shape, -1).alias("plain"), F.regexp_extract_all(text, F.lit(any_shape), F.lit(0)).alias("span"))
-    joined = F.array_join(F.transform(pieces, lambda x: F.concat(x["plain"], F.when(x["span"].isNull(), "").otherwise(named(x["span"])))), "")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    # Spans are every other piece of a text that is marked in one pass; one that has the mark itself is read twice.
+    marked = F.split(F.regexp_replace(text, any_shape, f"{MARK}$0{MARK}"), MARK, -1)
+    plain, spans = F.split(text, any_shape, -1), F.regexp_extract_all(text, F.lit(any_shape), F.lit(0))
+    pieces = F.when(F.contains(text, F.lit(MARK)), F.flatten(F.transform(plain, lambda x, k: F.array(x, F.coalesce(F.get(spans, k), F.lit("")))))).otherwise(marked)
+    shown = F.transform(pieces, lambda x, k: F.when((k % 2 == 0) | (x == ""), x).otherwise(named(x)))
+    return F.trim(F.regexp_replace(F.array_join(shown, ""), r"\s+", " "))
 
 
 def redact_emails(column: Column) -> Column:
