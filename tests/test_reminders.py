@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from vellum.operators import reminders as R
 
 
@@ -92,3 +94,11 @@ def test_all_checks_as_told_one_by_one(spark):
     counts = {r.report: (r.warnings, r.infos) for r in R.issue_counts(R.report_reminders(frame)).collect()}
     assert counts == {k: (sum(x[1] == "warn" for x in expected(one)), sum(x[1] == "info" for x in expected(one))) for k, one in reports.items()}
     assert R.report_reminders(frame.limit(0)).count() == 0
+
+
+def test_lengths_are_told_once_and_only_of_texts_that_can_pass_the_limit(spark):
+    found = {c.code: str(c.evidence) for c in R.checks()}
+    assert found["bodyLength"].count("[*_`>#]") == 1 and found["abstractLength"].count("[*_`>#]") == 2 and found["todos"].count(R.TO_DO) == 1
+    texts = ["護理 word [S1] **two**\n## heading\n| a |", "plain words, don't", "", "é ü", "長" * 5]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.rough_length(F.col("t")).alias("n"), R._over(F.col("t"), 4).alias("over")).collect()
+    assert [r.n for r in rows] == [4, 3, 0, 0, 5] and [r.over for r in rows] == [[], [], [], [], [5]]

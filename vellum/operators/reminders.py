@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.identifiers import blank
+from vellum.functions.identifiers import blank, let
 from vellum.functions.prose import citations
 from vellum.functions.text import HAN
 
@@ -48,7 +48,13 @@ def rough_length(text: Column) -> Column:
     """Han characters and Latin words of a text, without tables, headings, citations and marks."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^(?:\s*\||#{1,6}\s).*$", "")
     plain = F.regexp_replace(plain, r"(?i)\[S\d+(?:[^\]\n]*)\]|[*_`>#]", "")
-    return F.regexp_count(plain, F.lit(HAN)) + F.regexp_count(F.regexp_replace(plain, HAN, " "), F.lit(r"[A-Za-z0-9]+(?:[.'’-][A-Za-z0-9]+)*"))
+    words = lambda t: F.regexp_count(t, F.lit(r"[A-Za-z0-9]+(?:[.'’-][A-Za-z0-9]+)*"))
+    return let(plain, lambda t: F.when(F.octet_length(t) == F.length(t), words(t)).otherwise(F.regexp_count(t, F.lit(HAN)) + words(F.regexp_replace(t, HAN, " "))))
+
+
+def _over(text: Column, limit: int) -> Column:
+    """The rough length of a text where it passes the limit, in an array; a text of no more signs cannot, and is not read."""
+    return F.filter(F.array(F.when(F.length(text) > limit, rough_length(text))), lambda n: F.coalesce(n > limit, F.lit(False)))
 
 
 def _found(values: Column) -> Column:
@@ -70,20 +76,22 @@ def checks() -> list[Check]:
     names = lambda found: F.transform(found, lambda r: name(r["id"]))
     headings = F.array_join(F.regexp_extract_all(section("appraisal"), F.lit(r"(?m)^#{1,6}\s.*$"), F.lit(0)), "\n")
     cited = F.transform(citations(headings), lambda c: c["id"])
-    unappraised = F.transform(F.filter(entries, lambda e: ~F.array_contains(cited, F.upper(e["id"]))), lambda e: e["citation"])
+    # As the variable of a function, what is cited is looked for once and not for every entry.
+    uncited = F.flatten(F.transform(F.array(cited), lambda c: F.filter(entries, lambda e: ~F.array_contains(c, F.upper(e["id"])))))
+    unappraised = F.transform(uncited, lambda e: e["citation"])
     other_tools = F.filter(rows, lambda r: (blank(r["tool"]) != "") & ~r["tool"].rlike("(?i)casp"))
     kind = F.coalesce(F.nullif(answer("questionType"), F.lit("")), F.lit(THERAPY))
     databases, scenario = answer("databases"), answer("scenario")
     missing_databases = F.filter(F.array(*[F.when(~databases.rlike(p), F.lit(x)) for p, x in (("(?i)cochrane", "Cochrane Library"), ("(?i)pubmed|medline", "PubMed"))]), lambda x: x.isNotNull())
-    lengths = {key: rough_length(section(key)) for key in ("abstractZh", "abstractEn")}
-    long_abstracts = F.filter(F.array(*[F.when(size > ABSTRACT_LIMIT, F.concat(F.lit(f"{key}: "), size.cast("string"))) for key, size in lengths.items()]), lambda x: x.isNotNull())
-    body = rough_length(F.concat_ws("\n", *[section(k) for k in BODY]))
-    to_do = F.regexp_count(F.concat_ws("\n", *[section(k) for k in SECTIONS]), F.lit(TO_DO))
+    abstract = lambda key: F.transform(_over(section(key), ABSTRACT_LIMIT), lambda n: F.concat(F.lit(f"{key}: "), n.cast("string")))
+    long_abstracts = F.concat(abstract("abstractZh"), abstract("abstractEn"))
+    long_body = F.transform(_over(F.concat_ws("\n", *[section(k) for k in BODY]), BODY_LIMIT), lambda n: n.cast("string"))
+    to_do = F.transform(F.filter(F.array(F.regexp_count(F.concat_ws("\n", *[section(k) for k in SECTIONS]), F.lit(TO_DO))), lambda n: n > 0), lambda n: n.cast("string"))
     empty = F.filter(F.array(*[F.when(blank(section(k)) == "", F.lit(k)) for k in SECTIONS]), lambda x: x.isNotNull())
     no_pico = F.filter(F.array(*[F.when(answer(k) == "", F.lit(letter)) for k, letter in PICO]), lambda x: x.isNotNull())
     pending = F.filter(F.array(*[F.when(F.coalesce(F.col(f"prisma.{c}"), F.lit(0)) > 0, F.concat(F.lit(f"{c}: "), F.col(f"prisma.{c}").cast("string"))) for c in ("taPending", "ftPending")]), lambda x: x.isNotNull())
     return [
-        Check("missingSection", "warn", _found(empty), each=True),
+        Check("missingSection", "warn", empty, each=True),
         Check("missingAppraisal", "warn", F.when(blank(section("appraisal")) != "", _found(unappraised))),
         Check("fewStudies", "warn", _when(n < LEAST_STUDIES, n)),
         Check("manyStudies", "info", _when(n > MOST_STUDIES, n)),
@@ -94,7 +102,7 @@ def checks() -> list[Check]:
         Check("tool", "warn", _found(F.array_distinct(F.transform(other_tools, lambda r: F.concat(name(r["id"]), F.lit(": "), r["tool"]))))),
         Check("noScenario", "warn", _when(scenario == "")),
         Check("noQuote", "info", _when((scenario != "") & ~scenario.rlike("[「『“\"]"))),
-        Check("pico", "warn", _found(no_pico), each=True),
+        Check("pico", "warn", no_pico, each=True),
         Check("noDatabases", "warn", _when(databases == "")),
         Check("databases", "warn", F.when(databases != "", _found(missing_databases))),
         Check("cinahl", "info", _when((databases != "") & ~databases.rlike("(?i)cinahl"))),
@@ -102,9 +110,9 @@ def checks() -> list[Check]:
         Check("autoQuery", "warn", _when(blank(F.col("search.queryNote")).contains(NOT_SEARCHED) & (answer("query") == blank(F.col("search.query"))), answer("query"))),
         Check("noPrisma", "warn", _when(F.col("prisma").isNull())),
         Check("prismaPending", "warn", _found(pending)),
-        Check("abstractLength", "warn", _found(long_abstracts), each=True),
-        Check("bodyLength", "warn", _when(body > BODY_LIMIT, body)),
-        Check("todos", "info", _when(to_do > 0, to_do)),
+        Check("abstractLength", "warn", long_abstracts, each=True),
+        Check("bodyLength", "warn", long_body, each=True),
+        Check("todos", "info", to_do, each=True),
         Check("chineseRefs", "info", _found(F.transform(F.filter(entries, lambda e: F.coalesce(e["chinese"], F.lit(False))), lambda e: e["citation"]))),
         Check("appraisers", "info", F.array().cast("array<string>")),
     ]
