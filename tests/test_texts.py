@@ -324,3 +324,19 @@ def test_guarded_shapes_find_what_the_shapes_find(spark):
     assert all(r.a == r.b for r in found) and sum(len(r.a) for r in found) > 3000
     told = spark.createDataFrame([(f"{T.MARK}see a@b.org{T.MARK} or",)], "t string").select(T.redact(F.col("t")).alias("t")).first().t
     assert told == f"{T.MARK}see <email>{T.MARK} or"
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    rows = spark.createDataFrame([("<p>a</p>",), (None,)], "html string").select(K.html_to_md(F.col("html")).alias("md"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r.md.strip() for r in rows.collect()] == ["a", ""]
+
+
+def test_numbers_are_made_distinct_only_where_no_source_has_them(spark):
+    claims = spark.createDataFrame([(1, "In 12 of 13, and 12."), (1, "Again 12 and 13"), (None, "12"), (3, None)], "id long, text string")
+    sources = spark.createDataFrame([(1, "Saw 13 and 13"), (2, "12")], "id long, text string")
+    left = verify.unsupported_numbers(claims, sources, ["id"])
+    assert sorted((r.id or 0, r.number) for r in left.collect()) == [(0, "12"), (1, "12")]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join")

@@ -135,8 +135,9 @@ def fuzzy_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def unsupported_numbers(claims: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, number`` of the claims' numbers that no source of the same keys has."""
-    of = lambda df: df.select(*keys, F.explode(numbers_in(F.col("text"))).alias("number")).distinct()
-    return of(claims).join(of(sources), [*keys, "number"], "left_anti")
+    # Only what is left is made distinct: tables of all numbers met so far would grow with a task's rows.
+    of = lambda df: df.select(*keys, F.explode(F.array_distinct(numbers_in(F.col("text")))).alias("number"))
+    return of(claims).join(of(sources), [*keys, "number"], "left_anti").distinct()
 
 
 def repeated_edges(pages: DataFrame, lines: int = 3, least: int = 3, share: float = 0.3) -> DataFrame:
