@@ -126,3 +126,9 @@ def test_han_text_over_pages_and_markdown(spark):
     (md,) = fulltext.to_markdown(rows, tables=True).collect()
     assert md.md == "研究方法本研究以護理人員為對象，收集資料進行分析。\n\n=\\= x =\\=\n\n| a | b |\n| c | d |"
     assert fulltext.paragraphs(spark.createDataFrame([], "doc string, page int, text string")).count() == 0
+
+
+def test_texts_are_dealt_once(spark):
+    pages = spark.range(40).selectExpr("concat('d', id % 4) AS doc", "cast(id AS int) AS page", "concat('Head\nline ', id, '\nmore\n', id) AS text")
+    shuffles = [x for x in fulltext.paragraphs(pages)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert len(shuffles) == 1 and "hashpartitioning(doc" in shuffles[0]

@@ -2,7 +2,8 @@
 
 ``pages`` has doc, page (a number) and text. Lines, paragraphs and pages are rows in order;
 what belongs together is told by flags and running sums over them (gaps and islands), so a
-text of any number of pages needs no loop.
+text of any number of pages needs no loop. Pages are dealt by text once, in ``page_lines``;
+all that follows is told by windows within a text, so no line is shuffled or stored again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from vellum.functions.prose import heading_id, join_hyphens
 from vellum.functions.text import CJK, edge_key
 from vellum.operators.assembly import escaped
-from vellum.storage import store
 
 #: Lines at the top and at the bottom of a page that may be running heads; on how many pages, and on what share of all, they must stand.
 EDGE_LINES, LEAST_PAGES, EDGE_SHARE = 3, 3, 0.3
@@ -44,7 +44,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     Line ends are unified and signs of no width dropped. Of rows of one page the texts are
     put one after the other in order of their text.
     """
-    one = pages.filter("doc IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").groupBy("doc", "page").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+    dealt = pages.filter("doc IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").select("doc", "page", "text").repartition("doc")
+    one = dealt.groupBy("doc", "page").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
     clean = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
     return one.select("doc", "page", F.posexplode(F.split(clean, "\n")).alias("line", "text"))
 
@@ -57,33 +58,35 @@ def without_running_lines(lines: DataFrame) -> DataFrame:
     """
     trimmed = F.trim(F.regexp_replace("text", r"\s+", " "))
     shown = trimmed != ""
-    by_page = Window.partitionBy("doc", "page")
-    down = F.sum(shown.cast("int")).over(by_page.orderBy("line"))
-    placed = lines.withColumn("own", trimmed).withColumn("shown", shown).withColumn("down", down).withColumn("all", F.sum(shown.cast("int")).over(by_page))
+    by_page, by_doc, by_key = Window.partitionBy("doc", "page"), Window.partitionBy("doc"), Window.partitionBy("doc", "key")
+    total = lambda flag, window: F.sum(flag.cast("int")).over(window)
+    first = lambda window: F.row_number().over(window.orderBy("line")) == 1
+    down = total(F.col("shown"), by_page.orderBy("line"))
+    placed = lines.withColumn("own", trimmed).withColumn("shown", shown).withColumn("down", down).withColumn("all", total(F.col("shown"), by_page)).withColumn("top", first(by_page))
     edge = F.col("shown") & ((F.col("down") <= EDGE_LINES) | (F.col("down") > F.col("all") - EDGE_LINES))
-    placed = store(placed.withColumn("edge", edge).withColumn("key", F.when(edge, edge_key(F.col("text")))), "edges")
-    counts = placed.filter("edge").select("doc", "page", "key").distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"))
-    totals = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    known = placed.join(totals, "doc").join(counts, ["doc", "key"], "left")
+    placed = placed.withColumn("key", F.when(edge, edge_key(F.col("text")))).withColumn("pages", total(F.col("top"), by_doc))
+    # A key counts once for each of its pages; lines without a key are counted too, which tells nothing.
+    known = placed.withColumn("once", first(Window.partitionBy("doc", "key", "page"))).withColumn("n", total(F.col("once"), by_key))
     size = F.length("own")
     kept = heading_id(F.col("own")).isNotNull() | ((size > SENTENCE) & F.col("own").rlike(r"[.!?。！？]$")) | ((size > PLAIN) & ~((size <= STAMP) & F.col("own").rlike(STAMP_WORDS)))
-    running = (F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * EDGE_SHARE))) & ~kept
-    left = known.filter(~F.coalesce(running, F.lit(False)))
+    running = F.col("key").isNotNull() & (F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * EDGE_SHARE))) & ~kept
+    left = known.filter(~F.coalesce(running, F.lit(False))).select("doc", "page", "line", "text", "own", "shown", "pages")
     # What is the first or last line of a page is told anew, now that running lines are gone.
-    down, up = (F.sum(F.col("shown").cast("int")).over(by_page.orderBy(order)) for order in (F.col("line").asc(), F.col("line").desc()))
     numbers = F.col("own").rlike("|".join(f"(?:{p})" for p in PAGE_NUMBER))
-    bare = (F.col("pages") > 1) & F.col("shown") & ((down == 1) | (up == 1)) & numbers
-    return left.withColumn("bare", bare).filter("NOT bare").select("doc", "page", "line", "text")
+    ends = (F.col("down") == 1) | (F.col("down") == F.col("all"))
+    bare = (F.col("pages") > 1) & F.col("shown") & ends & numbers
+    return left.withColumn("down", down).withColumn("all", total(F.col("shown"), by_page)).filter(~bare).select("doc", "page", "line", "text")
 
 
-def wrapped_texts(lines: DataFrame) -> DataFrame:
-    """``doc, wrapped``: whether paragraphs of a text run over several lines; told by the pairs of adjacent lines, over pages too."""
-    own = F.trim("text")
-    after = F.lead(own).over(Window.partitionBy("doc").orderBy("page", "line"))
-    pairs = lines.select("doc", own.alias("a"), after.alias("b")).filter("a <> '' AND b <> '' AND NOT startswith(a, '|') AND NOT startswith(b, '|')")
-    on = F.col("b").rlike(r"^\p{Ll}") | F.col("a").rlike(_BROKEN) | _goes_on(F.col("a"), F.col("b"))
-    told = pairs.groupBy("doc").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(on).alias("on"))
-    return lines.select("doc").distinct().join(told, "doc", "left").select("doc", F.coalesce((F.col("pairs") >= WRAPPED_PAIRS) & (F.col("on") >= F.col("pairs") * WRAPPED_SHARE), F.lit(False)).alias("wrapped"))
+def told_wrapped(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``wrapped``: whether paragraphs of their text run over several lines; told by the pairs of adjacent lines, over pages too."""
+    by_doc = Window.partitionBy("doc")
+    a, b = F.trim("text"), F.col("after")
+    pair = F.expr("trim(text) <> '' AND after <> '' AND NOT startswith(trim(text), '|') AND NOT startswith(after, '|')")
+    on = b.rlike(r"^\p{Ll}") | a.rlike(_BROKEN) | _goes_on(a, b)
+    pairs, goes_on = (F.count_if(F.col(c)).over(by_doc) for c in ("pair", "on"))
+    paired = lines.withColumn("after", F.lead(F.trim("text")).over(by_doc.orderBy("page", "line"))).withColumn("pair", pair).withColumn("on", F.col("pair") & on)
+    return paired.withColumn("wrapped", (pairs >= WRAPPED_PAIRS) & (goes_on >= pairs * WRAPPED_SHARE)).drop("after", "pair", "on")
 
 
 def joined(lines: Column) -> Column:
@@ -112,21 +115,20 @@ def paragraphs(pages: DataFrame, wrapped: bool | None = None) -> DataFrame:
     empty result; only doc, page and text are read.
     """
     lines = without_running_lines(page_lines(pages))
-    shape = wrapped_texts(lines) if wrapped is None else None
-    rows = lines.join(shape, "doc") if shape is not None else lines.withColumn("wrapped", F.lit(wrapped))
+    rows = told_wrapped(lines) if wrapped is None else lines.withColumn("wrapped", F.lit(wrapped))
     rows = rows.withColumn("text", F.trim(F.regexp_replace("text", "[ \t]+", " ")))
     rows = rows.withColumn("alone", F.col("text").startswith("|") | heading_id(F.col("text")).isNotNull())
     order = Window.partitionBy("doc", "page").orderBy("line")
     before, alone_before = F.lag("text").over(order), F.lag("alone").over(order)
     rows = _islands(rows, before.isNull() | (before == "") | alone_before | F.col("alone") | ~F.col("wrapped"), ["page", "line"], "part").filter("text <> ''")
     parts = _gathered(rows, "part", ["page", "line"])
+    parts = parts.withColumn("alone", heading_id(F.col("text")).isNotNull() | F.col("text").startswith("|"))
 
     by_doc = Window.partitionBy("doc").orderBy("part")
     a, b = F.lag("text").over(by_doc), F.col("text")
-    whole = lambda c: heading_id(c).isNotNull() | c.startswith("|")
     follows = (a.rlike(_BROKEN) & b.rlike(r"^\p{Ll}")) | (~a.rlike(SENTENCE_END) & (b.rlike(r"^\p{Ll}") | (_goes_on(a, b) & ~b.rlike(_NUMBERED))))
-    starts = (F.lag("last_page").over(by_doc) == F.col("first_page")) | whole(a) | whole(b) | ~follows
-    over = _gathered(_islands(parts, starts, ["part"], "whole").withColumnRenamed("first_page", "page").drop("last_page"), "whole", ["part"])
+    starts = (F.lag("last_page").over(by_doc) == F.col("first_page")) | F.lag("alone").over(by_doc) | F.col("alone") | ~follows
+    over = _gathered(_islands(parts, starts, ["part"], "whole").withColumnRenamed("first_page", "page").drop("last_page", "alone"), "whole", ["part"])
 
     tidy = over.withColumn("text", joined(F.col("text")))
     section = heading_id(F.col("text"))
