@@ -134,3 +134,11 @@ def test_schema_is_evolved_and_nothing_overwritten(spark):
     assert out.columns == ["title", "year", "tags", "title_old", "other"]
     assert tuple(out.first()) == ("x", 7, None, "mine", None)
     assert lists.evolved(rows.limit(0), want).count() == 0
+
+
+def test_watch_plan_is_told_by_one_sort_and_no_join(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "watch string, id int, pos int")
+    seen = frame([("w", 1, 0), ("w", 1, 7), ("w", None, 0), (None, 5, 0)])
+    take, wait = events.plan_watch(seen, frame([("w", 2, None), ("w", None, 3), (None, 5, 1)]), frame([("w", 1, 0), ("w", 2, 0), ("w", 4, 9)]), 2)
+    assert "Join" not in take._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in take.collect()} == {("w", 2, 1), ("w", None, 2), (None, 5, 1)} and [tuple(r) for r in wait.collect()] == [("w", 4, 3)]

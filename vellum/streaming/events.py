@@ -87,8 +87,11 @@ def suppress_own(events: DataFrame, own: DataFrame, seconds: int = 16) -> DataFr
 
 def plan_watch(seen: DataFrame, queued: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """What a saved search takes now, and what waits: queued ids first, then new ones, none seen before, ``most`` per watch."""
-    both = queued.select("watch", "id", "pos", F.lit(0).alias("rank")).unionByName(found.select("watch", "id", "pos", F.lit(1).alias("rank")))
-    fresh = both.join(seen.select("watch", "id").distinct(), ["watch", "id"], "left_anti").groupBy("watch", "id").agg(F.min(F.struct("rank", "pos")).alias("o"))
+    ranked = lambda rows, rank, pos: rows.select("watch", "id", pos, F.lit(rank).alias("rank"))
+    known = ranked(seen.filter("watch IS NOT NULL AND id IS NOT NULL"), -1, F.lit(None).alias("pos"))
+    every = ranked(queued, 0, F.col("pos")).unionByName(ranked(found, 1, F.col("pos"))).unionByName(known)
+    # Dealt before it is summed: a table of all ids that a task has read would grow with the task; one sort then tells seen ids and first places.
+    fresh = every.repartition("watch", "id").groupBy("watch", "id").agg(F.min(F.struct("rank", "pos")).alias("o")).filter("o.rank >= 0")
     placed = fresh.withColumn("n", F.row_number().over(Window.partitionBy("watch").orderBy("o", "id")))
     return placed.filter(F.col("n") <= most).select("watch", "id", "n"), placed.filter(F.col("n") > most).select("watch", "id", "n")
 
