@@ -75,3 +75,21 @@ def test_what_stands_outside_is_kept(spark, above, below):
     text = "\n".join([*above, region, *below])
     got = one(spark, R.put_region(F.col("t"), "ai", F.lit("new"), 1), t=text)
     assert re.split(r"%% vellum:ai:(?:start v1 %%\n\nnew\n\n%% vellum:ai:)?end %%", got) == text.split(region)
+
+
+def test_a_note_is_cut_once_at_each_mark(spark):
+    frame = spark.createDataFrame([("b", "m", "x")], "base string, mine string, ai string")
+    make = R.merged_note(F.col("base"), F.col("mine"), managed(title="title: T"), OWNED, [("main", F.lit("new")), ("ai", F.col("ai"))], 2, "## Mine")
+    plan = frame.select(make.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(word) for word in ("RLIKE", "regexp_extract(", "split(")) < 50
+
+
+def test_marks_beside_odd_signs(spark):
+    block = "%% vellum:ai:start v1 %%\n\nA\n\n%% vellum:ai:end %%"
+    put = R.put_region(F.col("t"), "ai", F.lit("A"), 1)
+    for before, region, after in [
+        ("\U0001f600 é\r\n", "%% vellum:ai:start x %%\r\n\U0001f600\r\n%% vellum:ai:end %%", "\r\nz"),
+        ("", "%% vellum:ai:start a %%\r%% vellum:ai:end %%", "\rz"),
+        ("a %% vellum:ai:start %%\n", "%% vellum:ai:start %%\n%% vellum:ai:start %%\nb\n%% vellum:ai:end %%", "\n%% vellum:ai:end %%"),
+    ]:
+        assert one(spark, put, t=before + region + after) == before + block + after
