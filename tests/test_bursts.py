@@ -106,3 +106,31 @@ def test_one_timer_gives_all_flushes_that_the_watermark_has_passed():
     assert [r.changed for r in found] == [[str(k)] for k in range(40)] and state.reads == 1
     # The next flush has a timer of its own.
     assert timers[1:] == [(bursts.micros(START) + 40_250_000) // 1000]
+
+
+def test_bursts_are_held_slice_by_slice(monkeypatch):
+    """However many notices wait, a channel is never read or written as one value; parts of a burst may lie in many slices."""
+    from types import SimpleNamespace as Some
+
+    monkeypatch.setattr(bursts, "CHUNK", 40)
+    monkeypatch.setattr(bursts, "SLICE", 3)
+    held, count, timers = {}, [], []
+    parts = Some(keys=lambda: iter(list(held)), getValue=held.__getitem__, updateValue=held.__setitem__, removeKey=held.pop)
+    added = Some(exists=lambda: bool(count), get=lambda: count[-1], update=count.append)
+    random.seed(7)
+    times = sorted(random.sample(range(0, 4_000_000, 1_000), 700))
+    rows = [("c", t, None if t % 97 == 0 else str(t // 1000 % 5), random.choice(["add", "delete"])) for t in times]
+    want, found, delay = naive(rows, 9_000, True), {}, 9_000
+    burster = bursts.Burster(delay)
+    burster.init(Some(getMapState=lambda *_: parts, getValueState=lambda *_: added, registerTimer=timers.append))
+    shuffled = random.sample(rows, len(rows))
+    assert list(burster.handleInputRows(("c",), (Some(ts=START + timedelta(microseconds=t), id=i, kind=k) for _, t, i, k in shuffled), None)) == []
+    assert len(held) > 100 and max(len(v[0]) for v in held.values()) < 2_000
+    for at in (500, 501, 2_000, 2_400, 9_000):
+        watermark = bursts.micros(START) // 1000 + at
+        for r in burster.handleExpiredTimer(("c",), Some(getCurrentWatermarkInMs=lambda w=watermark: w), None):
+            due = bursts.micros(r.flushed) - bursts.micros(START)
+            assert due <= at * 1000 and due not in found
+            found["c", due] = (r.notices, r.everything, r.changed, r.removed)
+        assert all(key in found for key in want if key[1] <= at * 1000)
+    assert found == want and not held

@@ -1,6 +1,7 @@
 """Change notices gathered into flushes, by event-time timers of ``transformWithState``.
 
-Notices (channel, ts, id, kind) of a channel wait in the state until their flush is due:
+Notices (channel, ts, id, kind) of a channel wait in the state until their flush is due,
+those of ``debounce`` summed up as bursts, slice by slice of time:
 
 * ``debounce``: every notice starts the delay anew, so a flush comes when a channel has been
   quiet for the delay;
@@ -14,8 +15,10 @@ the same notices give in order; those later than the watermark are dropped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -108,29 +111,142 @@ class Flusher(StatefulProcessor):
         pass
 
 
+#: How many notices are summed up before they go to the state, and how many delays one slice of time is long.
+CHUNK, SLICE = 50_000, 256
+
+#: A burst, or a part of one: times of its first and last notice, how many, whether any affects everything, and each id's last time and kind.
+Burst = list
+
+
+def burst_of(notice: Notice) -> Burst:
+    at, i, kind = notice
+    return [at, at, 1, i is None, {} if i is None else {i: [at, kind]}]
+
+
+def joined(bursts: list[Burst], delay: int) -> list[Burst]:
+    """Bursts in order of time, those less than a delay apart put together; parts of bursts may come in any order and overlap."""
+    out: list[Burst] = []
+    for burst in sorted(bursts, key=lambda b: b[:2]):
+        if not out or burst[0] - out[-1][1] >= delay:
+            out.append([*burst[:4], dict(burst[4])])
+            continue
+        last = out[-1]
+        last[1], last[2], last[3] = max(last[1], burst[1]), last[2] + burst[2], last[3] or burst[3]
+        for i, told in burst[4].items():
+            if i not in last[4] or last[4][i] < list(told):
+                last[4][i] = list(told)
+    return out
+
+
+def burst_row(channel: str, delay: int, burst: Burst) -> Row:
+    _, last, n, everything, ids = burst
+    listed = {} if everything else ids
+    changed = sorted(i for i, (_, kind) in listed.items() if kind != REMOVED)
+    removed = sorted(i for i, (_, kind) in listed.items() if kind == REMOVED)
+    return Row(channel=channel, flushed=EPOCH + timedelta(microseconds=last + delay), notices=n, everything=everything, changed=changed, removed=removed)
+
+
+class Burster(StatefulProcessor):
+    """State of a channel: bursts by the slice of time that they begin in, in as many parts as were added.
+
+    Notices, each of which comes once, are summed up as they are read, and parts are put
+    together when the watermark has passed them, one slice at a time: what is held in memory
+    is a chunk of notices, the numbers of the slices, and the bursts of one slice.
+    """
+
+    def __init__(self, delay: int):
+        self.delay, self.slice = delay, SLICE * delay
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "slice bigint, part bigint", "bursts string")
+        self.added = handle.getValueState("added", "n bigint")
+
+    def _add(self, bursts: list[Burst]) -> None:
+        n = self.added.get()[0] if self.added.exists() else 0
+        by_slice: dict[int, list[Burst]] = {}
+        for burst in bursts:
+            by_slice.setdefault(burst[0] // self.slice, []).append(burst)
+        for k, held in by_slice.items():
+            self.parts.updateValue((k, n), (json.dumps(held),))
+        self.added.update((n + 1,))
+
+    def _wait_for(self, due: int) -> None:
+        self.handle.registerTimer(-(-due // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = None
+        while chunk := [burst_of((micros(r.ts), r.id, r.kind)) for r in islice(rows, CHUNK)]:
+            found = joined(chunk, self.delay)
+            self._add(found)
+            first = min(first or found[0], found[0], key=lambda b: b[1])
+        if first:
+            self._wait_for(first[1] + self.delay)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = lambda burst: burst[1] + self.delay <= now
+        slices: dict[int, list[int]] = {}
+        for k, part in self.parts.keys():
+            slices.setdefault(k, []).append(part)
+        last: list[Burst] = []  # the burst at the end of the slices read so far
+        for k in sorted(slices):
+            if last and last[0][1] + self.delay <= k * self.slice and passed(last[0]):
+                yield burst_row(key[0], self.delay, last.pop())
+            if (last and not passed(last[0])) or (not last and k * self.slice + self.delay > now):
+                self._wait_for(last[0][1] + self.delay if last else k * self.slice + self.delay)
+                break
+            for part in slices[k]:
+                last += json.loads(self.parts.getValue((k, part))[0])
+                self.parts.removeKey((k, part))
+            *done, end = joined(last, self.delay)
+            for at, burst in enumerate(done):
+                if not passed(burst):  # nor is any burst after it
+                    self._add(done[at:] + [end])
+                    self._wait_for(burst[1] + self.delay)
+                    return
+                yield burst_row(key[0], self.delay, burst)
+            last = [end]
+        if last and passed(last[0]):
+            yield burst_row(key[0], self.delay, last.pop())
+        if last:
+            self._add(last)
+            self._wait_for(last[0][1] + self.delay)
+
+    def close(self) -> None:
+        pass
+
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _flushed(notices: DataFrame, delay_ms: int, late: str, restart: bool) -> DataFrame:
+def _flushed(notices: DataFrame, late: str, once: bool, processor: StatefulProcessor) -> DataFrame:
     notices.sparkSession.conf.set(STATE_STORE, ROCKS)  # the only one that keeps timers
     timed = notices.select(F.col("channel").cast("string"), F.col("ts").cast("timestamp"), F.col("id").cast("string"), F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("kind"))
     timed = timed.filter("channel IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
-    return timed.groupBy("channel").transformWithState(statefulProcessor=Flusher(delay_ms * 1000, restart), outputStructType=FLUSH_SCHEMA, outputMode="append", timeMode="eventTime")
+    timed = timed.dropDuplicates(["channel", "ts", "id", "kind"]) if once else timed
+    return timed.groupBy("channel").transformWithState(statefulProcessor=processor, outputStructType=FLUSH_SCHEMA, outputMode="append", timeMode="eventTime")
 
 
 def debounce(notices: DataFrame, delay_ms: int = 8_000, late: str = "1 minute") -> DataFrame:
     """Flushes of a stream of notices, each when its channel has been quiet for the delay.
 
-    A channel's waiting notices are held together; they are those of one burst and of the
-    time that the watermark allows. Rows without a channel or a time are left out.
+    Repeated notices are dropped by the state store, whatever their channel; what waits are
+    bursts, not notices, and a task holds those of one slice of time. Rows without a channel
+    or a time are left out.
     """
-    return _flushed(notices, delay_ms, late, restart=True)
+    return _flushed(notices, late, True, Burster(delay_ms * 1000))
 
 
 def coalesce(notices: DataFrame, delay_ms: int = 250, late: str = "1 minute") -> DataFrame:
-    """Flushes of a stream of notices, each one delay after the first notice that it holds."""
-    return _flushed(notices, delay_ms, late, restart=False)
+    """Flushes of a stream of notices, each one delay after the first notice that it holds.
+
+    A channel's waiting notices are held together, as an earlier one that comes late moves
+    the flushes after it.
+    """
+    return _flushed(notices, late, False, Flusher(delay_ms * 1000, restart=False))
 
 
 def debounced(notices: DataFrame, delay_ms: int = 8_000) -> DataFrame:
