@@ -107,3 +107,21 @@ def test_view_survives_a_death_between_its_tables(spark, tmp_path, monkeypatch):
             view.apply(frames[1], 1)
     view.apply(frames[1], 1)
     assert rows(view.read()) == rows(buckets.rebuilt(frames[:2]).select("key", "n_notes", "n_mentions", "orphan"))
+
+
+def test_a_view_stores_and_deals_changed_rows_once(spark, tmp_path, monkeypatch):
+    view = CountView(spark, f"file://{tmp_path}/v", buckets=4)
+    frames = [spark.createDataFrame(b, "note long, keys array<string>, deleted boolean") for b in BATCHES]
+    stored, plans, merged, store = [], [], BucketTable._merged, buckets.store
+    monkeypatch.setattr(buckets, "store", lambda df, name: (stored.append(name), store(df, name))[1])
+
+    def seen(self, *args):
+        found = merged(self, *args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(BucketTable, "_merged", seen)
+    for number, frame in enumerate(frames[:2]):
+        view.apply(frame, number)
+    assert stored == ["notes", "delta", "after"] * 2
+    assert len(plans) == 4 and all(p.count("Exchange ") == 1 for p in plans)

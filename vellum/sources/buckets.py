@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vellum.sources.sinks import upsert
 from vellum.storage import discard, store
 
 LOG_SCHEMA = "batch long, bucket int, folder string"
@@ -57,27 +56,40 @@ class BucketTable:
         """Buckets of the keys of ``changes``; null keys have none."""
         return sorted(r[0] for r in changes.filter(F.col(self.key).isNotNull()).select(self.bucket(self.key)).distinct().collect())
 
-    def apply(self, changes: DataFrame, batch: int, order: Column | None = None, deleted: str | None = None) -> list[int]:
+    def _merged(self, buckets: list[int], one: DataFrame, deleted: str | None) -> DataFrame:
+        """Buckets with ``one`` row of each changed key, and their number: old and new rows are dealt once, by bucket, and the new row of a key counts."""
+        names, gone = self.schema.names, F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        old = self.read(buckets).select(*names, F.lit(False).alias("_gone"), F.lit(0).alias("_new"))
+        both = old.unionByName(one.select(*names, gone.alias("_gone"), F.lit(1).alias("_new"))).withColumn("bucket", self.bucket(self.key)).repartition("bucket")
+        rest = [c for c in [*names, "_gone"] if c != self.key]
+        last = both.groupBy("bucket", self.key).agg(F.max_by(F.struct(*rest), "_new").alias("_row"))
+        return last.filter("NOT _row._gone").select(*[F.col(c) if c == self.key else F.col(f"_row.{c}").alias(c) for c in names], "bucket")
+
+    def apply(self, changes: DataFrame, batch: int, order: Column | None = None, deleted: str | None = None, unique: bool = False) -> list[int]:
         """Apply ``changes`` as batch number ``batch``; returns the buckets rewritten, none if it was applied before.
 
         Of rows of one key the last by ``order`` counts (by all columns if it ties or is not
         given); rows whose ``deleted`` is true take their key out. Null keys are left out.
+        ``unique`` changes are a stored table with one row per key, which is used as it is.
         """
         if self.applied(batch):
             return []
         columns = [*self.schema.names, *([deleted] if deleted else [])]
         rest = [c for c in columns if c != self.key]
         latest = F.struct(*([order] if order is not None else []), *[F.to_json(F.struct(*rest)) if rest else F.lit("")])
-        known = changes.filter(F.col(self.key).isNotNull()).select(self.key, F.struct(*rest).alias("_row"), latest.alias("_order"))
-        one = known.groupBy(self.key).agg(F.max_by("_row", "_order").alias("_row")).select(self.key, "_row.*").select(*columns)
-        one = store(one, "changes")
+        known = changes.filter(F.col(self.key).isNotNull())
+        if unique:
+            one = known.select(*columns)
+        else:
+            known = known.select(self.key, F.struct(*rest).alias("_row"), latest.alias("_order"))
+            one = store(known.groupBy(self.key).agg(F.max_by("_row", "_order").alias("_row")).select(self.key, "_row.*").select(*columns), "changes")
         buckets = self.touched(one)
         folder = f"data/batch={batch}-{uuid.uuid4().hex}"
         if buckets:
-            merged = upsert(self.read(buckets), one, self.key, deleted).withColumn("bucket", self.bucket(self.key))
-            merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            self._merged(buckets, one, deleted).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         self._enter(batch, buckets, folder)
-        discard(one)
+        if not unique:
+            discard(one)
         return buckets
 
     def _enter(self, batch: int, buckets: list[int], folder: str) -> None:
@@ -142,9 +154,11 @@ class CountView:
             delta = store(both.groupBy("key").agg(F.sum("n_notes").alias("n_notes"), F.sum("n_mentions").alias("n_mentions")).filter("n_notes <> 0 OR n_mentions <> 0"), "delta")
             before = self.counts.read(self.counts.touched(delta)).join(delta.select("key"), "key", "left_semi")
             after = before.unionByName(delta).groupBy("key").agg(F.sum("n_notes").alias("n_notes"), F.sum("n_mentions").alias("n_mentions"))
-            counts = self.counts.apply(after, batch)
+            after = store(after, "after")
+            counts = self.counts.apply(after, batch, unique=True)
             discard(delta)
-        notes = self.notes.apply(changed, batch, deleted="deleted")
+            discard(after)
+        notes = self.notes.apply(changed, batch, deleted="deleted", unique=True)
         discard(changed)
         return notes, counts
 
