@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -130,6 +131,58 @@ def test_quotes_join_on_rare_tokens(spark):
     assert sorted(map(tuple, verify.fuzzy_quotes(q, t).collect())) == [(1, 1), (3, 1), (4, 4)]
 
 
+def by_steps(column):
+    """The tokens of a text, each sign dropped by a pass of its own over a text folded in Python."""
+    hyphens, letter = r"[\-\x{AD}\x{2010}-\x{2013}\x{2212}]", r"(\p{L})"
+    text = F.regexp_replace(F.coalesce(I._nfkc(column), F.lit("")), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+    text = F.regexp_replace(text, rf"{letter}{hyphens}\s+(?=\p{{L}})", "$1")
+    text = F.regexp_replace(F.regexp_replace(text, r"\x{AD}", ""), rf"{letter}{hyphens}(?=\p{{L}})", "$1")
+    text = F.lower(F.regexp_replace(text, letter + r"['’‘`´ʼ](?=\p{L}|\s|$)", "$1"))
+    return F.regexp_extract_all(F.regexp_replace(text, f"({T.CJK})", " $1 "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+def test_tokens_in_one_pass_are_those_of_all_steps(spark):
+    draw = random.Random(4)
+    plain = "aZ9 éßŁİſĳŉ\n\t\r-‐‑–−'’‘`´ʼ.—“²×"
+    odd = plain + "\xad\u200b\ufeff\u0301ﬁＡ護カ한𝒜𐐀"
+    made = ["".join(draw.choices(signs, k=draw.randrange(12))) for signs in (plain, plain[:20], "aé-‐'’ \n", odd) for _ in range(3000)]
+    single = [f"a{chr(k)}B {chr(k)}" for k in range(1, 0x3000)]
+    df = spark.createDataFrame([(t,) for t in [*made, *single, None]], "t string")
+    assert df.filter(verify.match_tokens(F.col("t")) != by_steps(F.col("t"))).collect() == []
+    # Accented letters and marks of print need no folding, so such a text is not sent to Python.
+    kept = "".join(chr(k) for k in range(1, 0x2100) if chr(k) not in odd) + plain
+    letters = spark.createDataFrame([(c,) for c in kept], "c string")
+    asis = [r.c for r in letters.filter(I.nfkc_of_odd(F.col("c")).isNull()).collect()]
+    assert {"é", "Ł", "’", "—"} <= set(asis)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in asis for b in asis)
+
+
+def pairs_of(df):
+    return sorted({(r.quote_id, r.text_id) for r in df.select("quote_id", "text_id").collect()})
+
+
+def test_texts_with_a_rare_token_alone_are_no_candidates(spark):
+    words = [f"w{k}" for k in range(20)]
+    quotes = spark.createDataFrame([(1, words), (2, ["a", "b"])], "quote_id long, tokens array<string>")
+    texts = [(k, [words[k]]) for k in range(20)] + [(20, words[2:]), (21, [*words[:9], *words[10:], "a"]), (22, ["b", "x", "a"])]
+    texts = spark.createDataFrame(texts, "text_id long, tokens array<string>")
+    assert pairs_of(verify.candidate_pairs(quotes, texts, fuzzy=True)) == [(1, 20), (1, 21), (2, 22)]
+    assert pairs_of(verify.candidate_pairs(quotes, texts, fuzzy=False)) == [(2, 22)]
+
+
+def test_candidates_lose_no_match(spark):
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    # Ids that repeat with other tokens, quotes of few and of repeated tokens.
+    quotes = [(k // 2, draw.choices(words[: draw.choice([1, 3, 12, 30])], k=draw.choice([1, 2, 3, 9, 10, 25, 40]))) for k in range(60)]
+    texts = [(k, draw.choices(words, k=5) + [t for t in draw.choice(quotes)[1] if draw.random() > 0.08] + draw.choices(words, k=5)) for k in range(200)]
+    wanted = sorted({(i, j) for i, q in quotes for j, t in texts if verify.fuzzy_in(q, t)})
+    q = spark.createDataFrame(quotes, "quote_id long, tokens array<string>")
+    t = spark.createDataFrame(texts, "text_id long, tokens array<string>")
+    assert wanted and pairs_of(verify.fuzzy_quotes(q, t)) == wanted
+    assert pairs_of(verify.fuzzy_quotes(q, t.select("text_id", F.array_join("tokens", " ").alias("text")))) == wanted
+
+
 def test_unsupported_numbers(spark):
     claims = spark.createDataFrame([(1, "found 1,200 of 3.50 and 7"), (2, "5")], "k int, text string")
     sources = spark.createDataFrame([(1, "1200 then 3.5"), (2, None)], "k int, text string")

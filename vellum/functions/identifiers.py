@@ -100,9 +100,20 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Signs beyond ASCII that the compatibility form may change, alone or beside others, the soft hyphen, and the letter whose
+#: lower case is two signs. Those left out are Latin letters and marks of print that are their own form and join no
+#: neighbour. The range in front tells ASCII at one step.
+MAYBE_UNFOLDED = r"[\x{80}-\x{10FFFF}&&[^\xA1-\xA7\xA9\xAB\xAC\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\x{12F}\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}\x{2012}-\x{2015}\x{2018}-\x{201E}]]"
+
+
+def nfkc_of_odd(column: Column) -> Column:
+    """Compatibility form of texts with a sign of ``MAYBE_UNFOLDED``; null for all others, which are in that form already and are not sent to Python."""
+    return _nfkc(F.when(column.rlike(MAYBE_UNFOLDED), column))
+
+
 def nfkc(column: Column) -> Column:
-    """Compatibility form. ASCII text is in that form already and is not sent to Python."""
-    return F.coalesce(_nfkc(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column)
+    """Compatibility form."""
+    return F.coalesce(nfkc_of_odd(column), column)
 
 
 def normalize_title(column: Column) -> Column:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.identifiers import nfkc
-from vellum.functions.text import CJK, edge_key, numbers_in
+from vellum.functions.identifiers import nfkc_of_odd
+from vellum.functions.text import CJK, MAYBE_CJK, edge_key, numbers_in
 from vellum.operators.updates import stepwise
 from vellum.session import ship
 from vellum.storage import store
@@ -18,15 +18,34 @@ from vellum.storage import store
 FUZZY_SHARE = 0.9
 SLACK = 2
 
+#: Rarest tokens of a quote that are looked at beside those it may miss; as many must stand in a text.
+ANCHORS = 3
+
+
+#: Hyphens and apostrophes dropped within words of texts without a sign of ``MAYBE_UNFOLDED``: the ranges in front tell most letters in few steps, and the letter before a sign is looked at only where the sign is.
+PLAIN_SIGN = r"[\-'`\x{2010}-\x{2019}&&[\-'`\x{2010}-\x{2013}\x{2018}\x{2019}]](?:(?<=\p{L}[\-\x{2010}-\x{2013}])\s*(?=\p{L})|(?<=\p{L}['`\x{2018}\x{2019}])(?=\p{L}|\s|$))"
+#: Small letters and digits of texts without a sign of ``MAYBE_UNFOLDED``. Signs named one by one are told by one table, ranges and classes each by a call.
+PLAIN = f"[{''.join(map(chr, (*range(48, 58), *range(97, 123), *range(223, 247), *range(248, 256))))}\\x{{100}}-\\x{{17E}}]+"
+
 
 def match_tokens(column: Column) -> Column:
-    """Words and numbers of a text as compared: folded, hyphens and apostrophes within words dropped, CJK characters one by one."""
-    hyphens = r"[\-\x{AD}\x{2010}-\x{2013}\x{2212}]"
-    text = F.regexp_replace(nfkc(F.coalesce(column, F.lit(""))), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
-    text = F.regexp_replace(text, rf"(\p{{L}}){hyphens}\s+(?=\p{{L}})", "$1")
-    text = F.regexp_replace(F.regexp_replace(text, r"\x{AD}", ""), rf"(\p{{L}}){hyphens}(?=\p{{L}})", "$1")
-    text = F.lower(F.regexp_replace(text, r"(\p{L})['’‘`´ʼ](?=\p{L}|\s|$)", "$1"))
-    return F.regexp_extract_all(F.regexp_replace(text, f"({CJK})", " $1 "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    """Words and numbers of a text as compared: folded, hyphens and apostrophes within words dropped, CJK characters one by one.
+
+    Most texts have no sign that needs folding, no soft hyphen, unseen sign or CJK character,
+    all told by one look. There what a hyphen or an apostrophe is decided by is never
+    dropped with another, so one pass drops them all.
+    """
+    text = F.coalesce(column, F.lit(""))
+    odd = nfkc_of_odd(text)
+    plain = F.lower(F.regexp_replace(text, PLAIN_SIGN, ""))
+    # U+02BC is an apostrophe and a letter, and look-behinds miss letters beyond 16 bits: here the letter before a sign is taken with it.
+    hyphens = r"(\p{L})[\-\x{AD}\x{2010}-\x{2013}\x{2212}]"
+    bare = F.regexp_replace(odd, r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"{hyphens}\s+(?=\p{{L}})", "$1"), r"\x{AD}", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"{hyphens}(?=\p{{L}})", "$1"), r"(\p{L})['’‘`´ʼ](?=\p{L}|\s|$)", "$1")
+    apart = F.regexp_replace(F.lower(bare), f"[{MAYBE_CJK}&&{CJK}]", " $0 ")
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(odd.isNull(), found(plain, PLAIN)).otherwise(found(apart, r"[\p{L}\p{M}\p{N}]+"))
 
 
 def misses_of(n: Column) -> Column:
@@ -37,19 +56,26 @@ def misses_of(n: Column) -> Column:
 def candidate_pairs(quotes: DataFrame, texts: DataFrame, fuzzy: bool) -> DataFrame:
     """Pairs (quote_id, text_id) with the tokens of both, joined on the rarest tokens of the quotes.
 
-    A text that matches with m misses holds one of any m + 1 tokens of the quote, so the
-    m + 1 rarest distinct ones find every match, and very common words join nothing.
-    Takes (quote_id, tokens) and (text_id, tokens), both stored.
+    A text that matches with m misses lacks at most m tokens of the quote, so of the m +
+    ``ANCHORS`` rarest distinct ones it holds ``ANCHORS``, or all but m where a quote has
+    fewer: no match is lost, very common words join nothing, and hardly any other text
+    passes. Tokens go by their hashes, which at worst lets a pair more through. Takes
+    (quote_id, tokens), stored, and (text_id, tokens), stored, or (text_id, text): then
+    texts are read twice, the second time only those of pairs are made tokens, and no
+    tokens are stored.
     """
-    asked = quotes.select("quote_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    held = texts.select("text_id", F.explode(F.array_distinct("tokens")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    split = lambda df: df if "tokens" in df.columns else df.withColumn("tokens", match_tokens(F.col("text"))).drop("text")
+    asked = quotes.select("quote_id", F.xxhash64("tokens").alias("of"), (misses_of(F.size("tokens")) if fuzzy else F.lit(0)).alias("misses"), F.explode("tokens").alias("token")).withColumn("token", F.xxhash64("token")).distinct()
+    held = split(texts).select("text_id", F.explode(F.array_distinct("tokens")).alias("token")).select("text_id", F.xxhash64("token").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     held = store(held, "held")
     frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = asked.join(frequency, "token", "left").groupBy("quote_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("by_df"))
-    most = misses_of(F.size("tokens")) + 1 if fuzzy else F.lit(1)
-    anchors = quotes.join(ranked, "quote_id").select("quote_id", F.explode(F.slice("by_df", 1, most)).alias("a")).select("quote_id", "a.token")
-    pairs = anchors.join(held, "token").select("quote_id", "text_id").distinct()
-    return pairs.join(quotes, "quote_id").withColumnRenamed("tokens", "quote").join(texts, "text_id").withColumnRenamed("tokens", "text")
+    ranked = asked.join(frequency, "token", "left").groupBy("quote_id", "of", "misses").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("by_df"))
+    rarest = ranked.withColumn("by_df", F.slice("by_df", 1, F.col("misses") + ANCHORS))
+    anchors = rarest.select("quote_id", "of", F.greatest(F.size("by_df") - F.col("misses"), F.lit(1)).alias("least"), F.explode("by_df").alias("a")).select("quote_id", "of", "least", "a.token")
+    # Once stored, anchors and pairs have a size that Spark knows: while they are few, neither what is held nor texts are shuffled.
+    met = store(anchors, "anchors").join(held, "token").groupBy("quote_id", "of", "text_id").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    pairs = store(met.filter("n >= least").select("quote_id", "text_id").distinct(), "pairs")
+    return split(texts.join(pairs, "text_id")).withColumnRenamed("tokens", "text").join(quotes.withColumnRenamed("tokens", "quote"), "quote_id")
 
 
 def _grams(tokens: Column) -> Column:

@@ -84,10 +84,9 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.repeated_edges(pages, share=0.01)
 
 
-def tokenised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tokens = verify.match_tokens(F.col("text")).alias("tokens")
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), tokens)
-    return store(quotes.filter(F.size("tokens") > 0), "quotes"), store(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), tokens), "texts")
+def asked_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), verify.match_tokens(F.col("text")).alias("tokens"))
+    return store(quotes.filter(F.size("tokens") > 0), "quotes")
 
 
 @query("quote_exact", r"""
@@ -96,12 +95,13 @@ d AS (SELECT doc_id AS text_id, ' ' || array_to_string(regexp_extract_all(lower(
 SELECT quote_id, text_id FROM q JOIN d ON contains(d.t, q.t)
 """)
 def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.exact_quotes(*tokenised(spark, sf_dir))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), verify.match_tokens(F.col("text")).alias("tokens"))
+    return verify.exact_quotes(asked_quotes(spark, sf_dir), store(texts, "texts"))
 
 
 @query("quote_fuzzy")
 def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.fuzzy_quotes(*tokenised(spark, sf_dir))
+    return verify.fuzzy_quotes(asked_quotes(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
 @query("chunk_requests", """
