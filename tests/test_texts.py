@@ -333,6 +333,17 @@ def test_citekeys_of_other_bases_and_reserved_places(spark):
     assert found == {1: "lee2020xc", 2: "lee2020xd", 3: "lee2020xa", 4: "Lee2020XB", 5: "lee2020xba", 6: "lee2020xq", 7: "wu"}
 
 
+def test_citekeys_pass_occupied_places_of_any_length_and_meet_no_list_of_them(spark):
+    occupied = {0, 2, 18_278, 18_279}  # the bare base, b, zzz and aaaa
+    entries = spark.range(18_281).selectExpr("id", "cast(id AS string) AS uid", "cast(NULL AS string) AS explicit", "'b1x' AS base", "'2020' AS added")
+    retired = spark.createDataFrame([("b1x",), ("B1Xb",), ("b1xzzz",), ("b1xaaaa",), ("b1x-a",), ("other",)], "citekey string")
+    found = records.assign_citekeys(entries, spark.createDataFrame([], "uid string, citekey string"), retired)
+    # An array of a base's places beside each of its rows would grow with the square of the base.
+    assert "collect_set" not in found._jdf.queryExecution().analyzed().toString()
+    free = [n for n in range(18_290) if n not in occupied][:18_281]
+    assert {r.id: r.citekey for r in found.collect()} == {k: f"b1x{I.suffix(n - 1)}" for k, n in enumerate(free)}
+
+
 def test_features_in_a_circle_or_without_what_they_require_stay_off(spark):
     rows = [("a", True, []), ("b", True, ["a"]), ("c", True, ["d"]), ("d", True, ["c"]), ("e", True, ["nothing"]), ("f", None, None), ("g", True, ["b", "f"])]
     found = records.enabled_features(spark.createDataFrame(rows, "id string, on boolean, requires array<string>")).collect()

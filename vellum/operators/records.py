@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import metadata, prose
-from vellum.functions.identifiers import blank, key_suffix
+from vellum.functions.identifiers import blank, key_suffix, suffix
 from vellum.functions.text import numbers_in
 from vellum.operators.lists import numbered_within
 from vellum.storage import discard, store
@@ -152,17 +152,24 @@ def assign_citekeys(entries: DataFrame, store_keys: DataFrame, retired: DataFram
 
 
 def _suffixed(rows: DataFrame, taken: DataFrame, folded) -> DataFrame:
-    """``id, citekey``: rows of a base in order of age at its free places."""
+    """``id, citekey``: rows of a base in order of age at its free places.
+
+    The row of number k (from 0) passes each occupied place that, less the occupied ones before
+    it, is at most k. So rows and occupied places of a base, put in order by these two, are
+    numbered by the places that the rows take; no row meets a base's list of places.
+    """
     rows = store(numbered_within(rows.withColumn("name", folded("base")), "name", F.col("added").asc(), F.col("id").asc()), "numbered")
-    bases = rows.select("name").distinct()
-    # A key takes a place of each base that it begins with, if at most three letters follow; another base takes no bare place.
-    cut = lambda least: F.explode(F.filter(F.transform(F.sequence(F.lit(least), F.lit(3)), lambda n: F.struct(F.left("key", F.length("key") - n).alias("name"), F.right("key", n).alias("rest"))), lambda x: x["rest"].rlike("^[a-z]*$"))).alias("x")
+    bases = store(rows.select("name").distinct(), "bases")
+    # A key takes a place of each base that it begins with, if letters follow, at most as many as the last place can have; another base takes no bare place.
+    most = len(suffix(rows.count() + taken.count() + bases.count()))
+    cut = lambda least: F.explode(F.filter(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.struct(F.left("key", F.length("key") - n).alias("name"), F.right("key", n).alias("rest"))), lambda x: x["rest"].rlike("^[a-z]*$"))).alias("x")
     places = taken.select(cut(0)).unionByName(bases.select(F.col("name").alias("key")).select(cut(1)))
     letters = F.transform(F.split(F.col("x.rest"), ""), lambda c: F.ascii(c) - 96)
-    number = F.when(F.col("x.rest") == "", 0).otherwise(F.aggregate(letters, F.lit(0), lambda total, c: total * 26 + c))
-    occupied = places.select("x.name", number.alias("place")).join(bases, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    free = F.aggregate(F.coalesce("places", F.array().cast("array<int>")), F.col("n").cast("int") - 1, lambda at, place: F.when(place <= at, at + 1).otherwise(at))
-    return rows.join(occupied, "name", "left").select("id", F.concat("base", key_suffix(free)).alias("citekey"))
+    number = F.when(F.col("x.rest") == "", F.lit(0).cast("long")).otherwise(F.aggregate(letters, F.lit(0).cast("long"), lambda total, c: total * 26 + c))
+    occupied = places.select("x.name", number.alias("place")).join(bases, "name", "left_semi").distinct()
+    passed = numbered_within(occupied, "name", F.col("place").asc()).select("name", (F.col("place") - F.col("n") + 1).alias("at"), F.lit(0).alias("kind"))
+    line = rows.select("name", (F.col("n") - 1).alias("at"), F.lit(1).alias("kind"), "id", "base").unionByName(passed, allowMissingColumns=True)
+    return numbered_within(line, "name", F.col("at").asc(), F.col("kind").asc()).filter("kind = 1").select("id", F.concat("base", key_suffix(F.col("n") - 1)).alias("citekey"))
 
 
 def draft_sentences(drafts: DataFrame) -> DataFrame:
