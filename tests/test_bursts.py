@@ -134,3 +134,44 @@ def test_bursts_are_held_slice_by_slice(monkeypatch):
             found["c", due] = (r.notices, r.everything, r.changed, r.removed)
         assert all(key in found for key in want if key[1] <= at * 1000)
     assert found == want and not held
+
+
+@pytest.mark.parametrize(("chunk", "slice_", "seed"), [(40, 256, 1), (40, 3, 2), (7, 16, 3), (1_000, 1, 4)])
+def test_notices_are_held_slice_by_slice(monkeypatch, chunk, slice_, seed):
+    """However many notices wait, no value of the state has more than two chunks of them; late ones move the flushes after them."""
+    from types import SimpleNamespace as Some
+
+    monkeypatch.setattr(bursts, "CHUNK", chunk)
+    monkeypatch.setattr(bursts, "SLICE", slice_)
+    held, count, timers, sizes = {}, [], [], []
+    parts = Some(keys=lambda: iter(list(held)), getValue=held.__getitem__, removeKey=held.pop, updateValue=lambda k, v: (sizes.append(k[3]), held.__setitem__(k, v)))
+    added = Some(exists=lambda: bool(count), get=lambda: count[-1], update=count.append)
+    random.seed(seed)
+    delay = 9_000
+    times = random.choices(range(0, 4_000_000, 500), k=1_500) + [1_000_000] * 5
+    rows = [("c", t, None if t % 97_000 == 0 else str(random.randint(0, 9)), random.choice(["add", "delete"])) for t in times]
+    want, found = naive(rows, delay, False), {}
+    slicer = bursts.Slicer(delay)
+    slicer.init(Some(getMapState=lambda *_: parts, getValueState=lambda *_: added, registerTimer=timers.append))
+
+    def come(new):
+        new = new + random.choices(new, k=len(new) // 5)  # some come twice
+        assert list(slicer.handleInputRows(("c",), (Some(ts=START + timedelta(microseconds=t), id=i, kind=k) for _, t, i, k in random.sample(new, len(new))), None)) == []
+
+    waiting, at = random.sample(rows, len(rows)), 0
+    while at < 4_100:
+        # What the watermark has passed must have come; of the rest, a part comes now and a part later.
+        coming = [r for r in waiting if r[1] < (at + 200) * 1000 or random.random() < 0.2]
+        waiting = [r for r in waiting if r not in coming]
+        if coming:
+            come(coming)
+        at += random.choice([1, 7, 60, 200])
+        before = len(timers)
+        for r in slicer.handleExpiredTimer(("c",), Some(getCurrentWatermarkInMs=lambda: bursts.micros(START) // 1000 + at), None):
+            due = bursts.micros(r.flushed) - bursts.micros(START)
+            assert due <= at * 1000 and ("c", due) not in found
+            found["c", due] = (r.notices, r.everything, r.changed, r.removed)
+        assert all(key in found for key in want if key[1] <= at * 1000)
+        assert bool(held) == (len(timers) > before) and all(t > bursts.micros(START) // 1000 + at for t in timers[before:])
+    assert found == want and not held
+    assert max(sizes) <= 2 * chunk

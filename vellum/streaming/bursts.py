@@ -1,7 +1,7 @@
 """Change notices gathered into flushes, by event-time timers of ``transformWithState``.
 
 Notices (channel, ts, id, kind) of a channel wait in the state until their flush is due,
-those of ``debounce`` summed up as bursts, slice by slice of time:
+slice by slice of time, those of ``debounce`` summed up as bursts:
 
 * ``debounce``: every notice starts the delay anew, so a flush comes when a channel has been
   quiet for the delay;
@@ -15,6 +15,7 @@ the same notices give in order; those later than the watermark are dropped.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -53,17 +54,29 @@ def flushes(waiting: list[Notice], delay: int, restart: bool) -> list[tuple[int,
     return out
 
 
+def in_order(notice: Notice) -> tuple[int, bool, str, str]:
+    """Order is by time, then id and kind, so equal times do not depend on arrival."""
+    return notice[0], notice[1] is not None, notice[1] or "", notice[2]
+
+
+def told_row(channel: str, due: int, n: int, everything: bool, last: dict[str, str]) -> Row:
+    """The row of a flush of ``n`` notices, with the last kind of each id; "everything" dominates the ids."""
+    listed = {} if everything else last
+    changed = sorted(i for i, kind in listed.items() if kind != REMOVED)
+    removed = sorted(i for i, kind in listed.items() if kind == REMOVED)
+    return Row(channel=channel, flushed=EPOCH + timedelta(microseconds=due), notices=n, everything=everything, changed=changed, removed=removed)
+
+
 def flush_row(channel: str, due: int, held: list[Notice]) -> Row:
-    """The row of one flush; "everything" dominates the ids."""
-    everything = any(i is None for _, i, _ in held)
-    last = {} if everything else {i: kind for _, i, kind in held}
-    changed = sorted(i for i, kind in last.items() if kind != REMOVED)
-    removed = sorted(i for i, kind in last.items() if kind == REMOVED)
-    return Row(channel=channel, flushed=EPOCH + timedelta(microseconds=due), notices=len(held), everything=everything, changed=changed, removed=removed)
+    """The row of one flush."""
+    return told_row(channel, due, len(held), any(i is None for _, i, _ in held), {i: kind for _, i, kind in held})
 
 
 class Flusher(StatefulProcessor):
-    """State of a channel: the notices that wait. A timer stands at the time at which its first flush is due."""
+    """State of a channel: the notices that wait, as one value. A timer stands at the time at which its first flush is due.
+
+    It needs memory for all that waits; ``Slicer`` gives the same flushes, and tests compare the two.
+    """
 
     def __init__(self, delay: int, restart: bool):
         self.delay, self.restart = delay, restart
@@ -85,9 +98,8 @@ class Flusher(StatefulProcessor):
             self.waiting.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # A notice that came twice is one; order is by time, then id and kind, so equal times do not depend on arrival.
-        found = {*self._held(), *((micros(r.ts), r.id, r.kind) for r in rows)}
-        waiting = sorted(found, key=lambda n: (n[0], n[1] is not None, n[1] or "", n[2]))
+        # A notice that came twice is one.
+        waiting = sorted({*self._held(), *((micros(r.ts), r.id, r.kind) for r in rows)}, key=in_order)
         self._wait_for(flushes(waiting, self.delay, self.restart))
         self._keep(waiting)
         return iter([])
@@ -111,8 +123,123 @@ class Flusher(StatefulProcessor):
         pass
 
 
-#: How many notices are summed up before they go to the state, and how many delays one slice of time is long.
-CHUNK, SLICE = 50_000, 256
+#: How many notices are gathered before they go to the state, how many delays one slice of time is long, and into how many a slice of more notices is dealt.
+CHUNK, SLICE, FINER = 50_000, 256, 16
+
+#: A part of a slice: when the slice begins, how long it is (both in microseconds), the number of the part, and how many notices it has.
+Part = tuple[int, int, int, int]
+
+
+class Slicer(StatefulProcessor):
+    """State of a channel: the notices that wait, by slices of time, each in as many parts as were added.
+
+    Slices are read in order of time when the watermark has passed them. One of more than a
+    chunk of notices, or with a shorter one inside it, is first dealt into shorter ones, so
+    what is held in memory is two chunks of notices, the numbers of the parts, and the ids of
+    one flush. Only notices of one microsecond, each there once, are read together however many
+    they are. Notices that came twice lie in one slice.
+    """
+
+    def __init__(self, delay: int):
+        self.delay, self.slice = delay, SLICE * delay
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "start bigint, length bigint, part bigint, n bigint", "notices string")
+        self.added = handle.getValueState("added", "n bigint")
+
+    def _put(self, notices: list[Notice], length: int, origin: int = 0) -> list[Part]:
+        """Keep notices by slices of a length, counted from an origin."""
+        number = self.added.get()[0] if self.added.exists() else 0
+        slices: dict[int, list[Notice]] = {}
+        for notice in notices:
+            slices.setdefault(origin + (notice[0] - origin) // length * length, []).append(notice)
+        made = []
+        for start, held in slices.items():
+            made.append((start, length, number, len(held)))
+            self.parts.updateValue(made[-1], (json.dumps(held),))
+        self.added.update((number + 1,))
+        return made
+
+    def _take(self, part: Part) -> list[Notice]:
+        held = [(at, i, kind) for at, i, kind in json.loads(self.parts.getValue(part)[0])]
+        self.parts.removeKey(part)
+        return held
+
+    def _deal(self, parts: list[Part]) -> Iterator[Part]:
+        """Parts of one slice, dealt into slices of a fraction of its length."""
+        start, length = parts[0][:2]
+        finer, held = -(-length // FINER), []
+        for part in parts:
+            held += self._take(part)
+            if len(held) >= CHUNK:
+                yield from self._put(held, finer, start)
+                held = []
+        if held:
+            yield from self._put(held, finer, start)
+
+    def _wait_for(self, due: int) -> None:
+        self.handle.registerTimer(-(-due // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = None
+        while chunk := {(micros(r.ts), r.id, r.kind) for r in islice(rows, CHUNK)}:
+            self._put(list(chunk), self.slice)
+            earliest = min(chunk, key=in_order)[0]
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._wait_for(first + self.delay)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        slices: dict[tuple[int, int], list[Part]] = {}
+        queue: list[tuple[int, int]] = []  # of slices that begin at the same time, the longest comes first
+
+        def add(part: Part) -> None:
+            if (at := (part[0], -part[1])) not in slices:
+                slices[at] = []
+                heapq.heappush(queue, at)
+            slices[at].append(part)
+
+        for part in self.parts.keys():
+            add(tuple(part))
+        due = None  # of the flush that is being gathered; only one that the watermark has passed is begun
+        while queue:
+            start, length = queue[0][0], -queue[0][1]
+            if due is not None and start >= due:
+                yield told_row(key[0], due, n, everything, last)
+                due = None
+            if due is None and start + self.delay > now:
+                self._wait_for(start + self.delay)
+                return
+            parts = slices.pop(heapq.heappop(queue))
+            if length > 1 and (sum(p[3] for p in parts) > CHUNK or (queue and queue[0][0] < start + length)):
+                for part in self._deal(parts):
+                    add(part)
+                continue
+            notices = sorted({notice for part in parts for notice in self._take(part)}, key=in_order)
+            for k, (at, i, kind) in enumerate(notices):
+                if due is not None and at >= due:
+                    yield told_row(key[0], due, n, everything, last)
+                    due = None
+                if due is None:
+                    if at + self.delay > now:
+                        self._put(notices[k:], length, start)
+                        self._wait_for(at + self.delay)
+                        return
+                    due, n, everything, last = at + self.delay, 0, False, {}
+                n += 1
+                if i is None:
+                    everything, last = True, {}
+                elif not everything:
+                    last[i] = kind
+        if due is not None:
+            yield told_row(key[0], due, n, everything, last)
+
+    def close(self) -> None:
+        pass
+
 
 #: A burst, or a part of one: times of its first and last notice, how many, whether any affects everything, and each id's last time and kind.
 Burst = list
@@ -140,10 +267,7 @@ def joined(bursts: list[Burst], delay: int) -> list[Burst]:
 
 def burst_row(channel: str, delay: int, burst: Burst) -> Row:
     _, last, n, everything, ids = burst
-    listed = {} if everything else ids
-    changed = sorted(i for i, (_, kind) in listed.items() if kind != REMOVED)
-    removed = sorted(i for i, (_, kind) in listed.items() if kind == REMOVED)
-    return Row(channel=channel, flushed=EPOCH + timedelta(microseconds=last + delay), notices=n, everything=everything, changed=changed, removed=removed)
+    return told_row(channel, last + delay, n, everything, {i: kind for i, (_, kind) in ids.items()})
 
 
 class Burster(StatefulProcessor):
@@ -243,10 +367,10 @@ def debounce(notices: DataFrame, delay_ms: int = 8_000, late: str = "1 minute")
 def coalesce(notices: DataFrame, delay_ms: int = 250, late: str = "1 minute") -> DataFrame:
     """Flushes of a stream of notices, each one delay after the first notice that it holds.
 
-    A channel's waiting notices are held together, as an earlier one that comes late moves
-    the flushes after it.
+    An earlier notice that comes late moves the flushes after it, so what waits are notices; a
+    task holds two chunks of them, the numbers of the parts kept and the ids of one flush.
     """
-    return _flushed(notices, late, False, Flusher(delay_ms * 1000, restart=False))
+    return _flushed(notices, late, False, Slicer(delay_ms * 1000))
 
 
 def debounced(notices: DataFrame, delay_ms: int = 8_000) -> DataFrame:
