@@ -102,3 +102,14 @@ def test_lengths_are_told_once_and_only_of_texts_that_can_pass_the_limit(spark):
     texts = ["護理 word [S1] **two**\n## heading\n| a |", "plain words, don't", "", "é ü", "長" * 5]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.rough_length(F.col("t")).alias("n"), R._over(F.col("t"), 4).alias("over")).collect()
     assert [r.n for r in rows] == [4, 3, 0, 0, 5] and [r.over for r in rows] == [[], [], [], [], [5]]
+
+
+def test_words_and_characters_are_counted_in_one_pass(spark):
+    assert str(R.rough_length(F.col("t"))).count("IsHan") == 1
+    random.seed(3)
+    bits = ["a", "Z9", "word", ".", "'", "’", "-", " ", "\n", "漢", "護理", "é", "[S1", "]", "#", "# ", "*", "| ", "〔待補〕", "_"]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 25))) for _ in range(400)]
+    # The lines that go are told in one way only where no mark or empty line stands before the line that follows.
+    texts = [t for t in texts if not re.search(r"#\n|\n\s*\n", t)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.rough_length(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n) for r in found] == [(t, length(t)) for t in texts] and len(texts) > 200

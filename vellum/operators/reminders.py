@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.identifiers import blank, let
+from vellum.functions.identifiers import blank
 from vellum.functions.prose import citations
 from vellum.functions.text import HAN
 
@@ -26,6 +26,8 @@ TO_DO = "〔待補"
 NOT_SEARCHED = "尚未實際檢索"
 PICO = (("population", "P"), ("intervention", "I"), ("comparison", "C"), ("outcome", "O"))
 THERAPY = "therapy"
+#: A Latin word, or a Han character: these part words and are in none, so one pass counts both. The range in front tells ASCII at one step.
+WORD_OR_HAN = rf"[A-Za-z0-9]++(?:[.'’-][A-Za-z0-9]++)*+|[\x{{80}}-\x{{10FFFF}}&&[{HAN}]]"
 
 REPORT = (
     "report string, sections map<string, string>, entries array<struct<id: string, citation: string, chinese: boolean>>, rows array<struct<id: string, design: string, level: string, tool: string>>, "
@@ -48,8 +50,7 @@ def rough_length(text: Column) -> Column:
     """Han characters and Latin words of a text, without tables, headings, citations and marks."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^(?:\s*\||#{1,6}\s).*$", "")
     plain = F.regexp_replace(plain, r"(?i)\[S\d+(?:[^\]\n]*)\]|[*_`>#]", "")
-    words = lambda t: F.regexp_count(t, F.lit(r"[A-Za-z0-9]+(?:[.'’-][A-Za-z0-9]+)*"))
-    return let(plain, lambda t: F.when(F.octet_length(t) == F.length(t), words(t)).otherwise(F.regexp_count(t, F.lit(HAN)) + words(F.regexp_replace(t, HAN, " "))))
+    return F.regexp_count(plain, F.lit(WORD_OR_HAN))
 
 
 def _over(text: Column, limit: int) -> Column:
