@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from itertools import islice
 
@@ -148,7 +148,7 @@ class Slicer(StatefulProcessor):
         self.parts = handle.getMapState("parts", "start bigint, length bigint, part bigint, n bigint", "notices string")
         self.added = handle.getValueState("added", "n bigint")
 
-    def _put(self, notices: list[Notice], length: int, origin: int = 0) -> list[Part]:
+    def _put(self, notices: Iterable[Notice], length: int, origin: int = 0) -> list[Part]:
         """Keep notices by slices of a length, counted from an origin."""
         number = self.added.get()[0] if self.added.exists() else 0
         slices: dict[int, list[Notice]] = {}
@@ -169,12 +169,12 @@ class Slicer(StatefulProcessor):
     def _deal(self, parts: list[Part]) -> Iterator[Part]:
         """Parts of one slice, dealt into slices of a fraction of its length."""
         start, length = parts[0][:2]
-        finer, held = -(-length // FINER), []
+        finer, held = -(-length // FINER), set()
         for part in parts:
-            held += self._take(part)
+            held.update(self._take(part))
             if len(held) >= CHUNK:
                 yield from self._put(held, finer, start)
-                held = []
+                held = set()
         if held:
             yield from self._put(held, finer, start)
 
@@ -184,7 +184,7 @@ class Slicer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first = None
         while chunk := {(micros(r.ts), r.id, r.kind) for r in islice(rows, CHUNK)}:
-            self._put(list(chunk), self.slice)
+            self._put(chunk, self.slice)
             earliest = min(chunk, key=in_order)[0]
             first = earliest if first is None else min(first, earliest)
         if first is not None:
